@@ -26,8 +26,8 @@ class as (select k, min(doc_id) rep, any_value(n_shingles) n from n where n_shin
 e as (select rep, n, unnest(s) x from class join g on rep = doc_id),
 pair as (select a.rep a, b.rep b, count(*) k, any_value(a.n) na, any_value(b.n) nb from e a join e b using (x) where a.rep < b.rep group by all),
 link as (select a u, b v from pair where 100 * k >= 85 * (na + nb - k)),
-both as (select u, v from link union all select v, u from link),
-reach as (select rep as node, rep as seen from class union select reach.node, both.v from reach join both on reach.seen = both.u),
+sym as (select u, v from link union all select v, u from link),
+reach as (select rep as node, rep as seen from class union select reach.node, sym.v from reach join sym on reach.seen = sym.u),
 comp as (select node, min(seen) c from reach group by node)
 select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = coalesce(c, n.doc_id) kept
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
