@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import minhash
+from lineflow.llm import minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,32 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2).drop("source")
+
+
+OP3 = r"""
+with d as (select doc_id, case when source is null then '1' else '0' || source end sk, md5('mix:' || doc_id) h,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+s as (select sk, sum(size)::bigint source_size from d group by sk),
+w as (select *, [3, 1, 2][((row_number() over (order by sk)) - 1) % 3 + 1]::bigint w, 2 * source_size cap, sum(source_size) over ()::double * 1.5 budget from s),
+k as (select *, row_number() over o k, (budget - (sum(cap) over o - cap)) / (sum(w) over () - (sum(w) over o - w)) lv from w
+    window o as (order by cap::double / w::double, sk)),
+lvl as (select arg_min(lv, k) filter (lv <= cap::double / w::double) lv from k),
+t as (select sk, source_size, budget, least(cap::double, coalesce(lvl.lv * w, cap::double)) target from k, lvl),
+c as (select d.*, source_size, target, budget, sum(size) over (partition by d.sk order by h, doc_id, size rows unbounded preceding)::bigint cum from d join t using (sk)),
+e as (select c.*, e, (source_size * e + cum)::double / target f from c, (values (0), (1)) v(e) where target > 0 and size > 0),
+r as (select *, sum(size) over (order by f, sk, h, doc_id, size, e rows unbounded preceding) run from e),
+n as (select doc_id, sum(size) taken from r where run <= budget group by doc_id)
+select c.doc_id, c.size, c.source_size, c.target, coalesce(n.taken, 0)::bigint taken from c left join n using (doc_id)
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7 = rf"""
 with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws from documents),
 g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-        else list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) end s from w),
+        else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) end s from w),
 n as (select doc_id, len(s)::bigint n_shingles, md5(array_to_string(list_sort(s), chr(10))) k from g),
 class as (select k, min(doc_id) rep, any_value(n_shingles) n from n where n_shingles > 0 group by k),
 e as (select rep, n, unnest(s) x from class join g on rep = doc_id),
@@ -33,5 +53,5 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op7_minhash": op7_minhash}
-ORACLES = {"op7_minhash": OP7}
+QUERIES = {"op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
+ORACLES = {"op3_mixing": OP3, "op7_minhash": OP7}
