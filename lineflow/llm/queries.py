@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import minhash, mixing
+from lineflow.llm import minhash, mixing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,20 @@ n as (select doc_id, sum(size) taken from r where run <= budget group by doc_id)
 select c.doc_id, c.size, c.source_size, c.target, coalesce(n.taken, 0)::bigint taken from c left join n using (doc_id)
 """
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(_table(spark, sf_dir, "pages"), least=0)
+
+
+OP4 = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b)::bigint n, upper(sha1(b)) x from p),
+d as (select page_id, n, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::bigint) >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') dg from h),
+m as (select *, min(page_id) over (partition by dg) f from d)
+select page_id, n payload_bytes, dg payload_digest, case when f = page_id then 'response' else 'revisit' end record_type,
+    case when f <> page_id then f end refers_to from m
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7 = rf"""
@@ -53,5 +67,5 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
-ORACLES = {"op3_mixing": OP3, "op7_minhash": OP7}
+QUERIES = {"op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
+ORACLES = {"op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
