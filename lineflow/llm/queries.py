@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import language, minhash, mixing, secrets, warc
+from lineflow.llm import language, minhash, mixing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_all(_table(spark, sf_dir, "documents"), mod=4, held=2)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mod=5, held=0, threshold=0.3)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7 = rf"""
@@ -75,5 +79,5 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op8_secrets": op8_secrets, "op9_language": op9_language, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
+QUERIES = {"op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
 ORACLES = {"op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
