@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import language, minhash, mixing, quality, secrets, warc
+from lineflow.llm import embeddings, language, minhash, mixing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mod=5, held=0, threshold=0.3)
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP2 = """
+with recursive n as (select vec_id, embedding::double[] v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id u, b.vec_id v from n a join n b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach as (select u as node, u as seen from link union select node, v from reach join link on seen = u),
+comp as (select node, min(seen) c from reach group by node),
+cnt as (select u, count(*) k from link group by u)
+select vec_id, coalesce(k, 0)::bigint n_links, coalesce(c, vec_id) component_id, vec_id = coalesce(c, vec_id) kept
+from embeddings left join cnt on u = vec_id left join comp on node = vec_id
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7 = rf"""
@@ -79,5 +94,5 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
-ORACLES = {"op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
+QUERIES = {"op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
+ORACLES = {"op2_embeddings": OP2, "op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
