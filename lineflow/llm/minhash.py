@@ -131,65 +131,108 @@ def digests(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DIGEST)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their whole shingle sets."""
+#: Members of a block; a bucket is compared block by block.
+BLOCK = 256
+
+
+def _linked(keys: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Boolean matrix of the rows whose sets satisfy 100 * intersection >= percent * union."""
+    n = len(counts)
+    value, owner = keys & _LOW, (keys >> U64(BITS)).astype(np.int64)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1 if len(column) else new
+    column, owner = column[shared], owner[shared]
+    inter = np.zeros((n, n), dtype=np.float32)
+    if len(column):
+        fresh = np.concatenate([[True], column[1:] != column[:-1]])
+        column = np.cumsum(fresh) - 1
+        for lo in range(0, int(column[-1]) + 1, 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            hit = np.zeros((n, min(4096, int(column[-1]) + 1 - lo)), dtype=np.float32)
+            hit[owner[a:b], column[a:b] - lo] = 1
+            inter += hit @ hit.T
+    inter = inter.astype(np.int64)
+    return (inter > 0) & (100 * inter >= percent * (counts[:, None] + counts[None, :] - inter))
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph, breadth first."""
+    left, edges = np.ones(len(linked), dtype=bool), []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
+            x = queue.pop()
+            for y in np.flatnonzero(linked[x] & left):
+                left[y] = False
+                queue.append(int(y))
+                edges.append((x, int(y)))
+    return edges
+
+
+def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect what is linked inside each block pair of (bucket, i, j, doc_id, text), rows in that order.
+
+    Rows of a block pair come together and number 2 * BLOCK or so, whatever the size of its bucket.
+    """
+
+    def links(batch: pa.RecordBatch, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        ids = batch["doc_id"].to_numpy()
+        u, v = [], []
+        for lo, hi in groups:
+            keys, counts = shingle_keys(*text_column(batch["text"].slice(lo, hi - lo)))
+            for x, y in _forest(_linked(keys, counts, percent)):
+                u.append(ids[lo + x])
+                v.append(ids[lo + y])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                ka, na = shingle_keys(*text_column(batch.column("ta")))
-                kb, nb = shingle_keys(*text_column(batch.column("tb")))
-                both = np.sort(np.concatenate([ka, kb]))
-                same = both[1:][both[1:] == both[:-1]] if len(both) else both
-                inter = np.bincount((same >> U64(BITS)).astype(np.int64), minlength=batch.num_rows)
-                ok = (inter > 0) & (100 * inter >= percent * (na + nb - inter))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+        held: pa.Table | None = None
+        for new in batches:
+            held = pa.Table.from_batches([new]) if held is None else pa.concat_tables([held, pa.Table.from_batches([new])])
+            key = np.stack([held[c].to_numpy() for c in ("bucket", "i", "j")])
+            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+            whole = held.combine_chunks().to_batches(max_chunksize=held.num_rows)
+            if len(cut) > 1:
+                yield from links(whole[0], list(zip(cut[:-1].tolist(), cut[1:].tolist())))
+            held = held.slice(int(cut[-1]))
+        if held is not None and held.num_rows:
+            yield from links(held.combine_chunks().to_batches(max_chunksize=held.num_rows)[0], [(0, held.num_rows)])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return blocks.select("bucket", "i", "j", "doc_id", "text").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of `docs` (doc_id, text; other columns are ignored).
 
     Null or wordless texts have no shingles and link with nothing (component_id = doc_id, kept).  Documents with equal
-    sets form a class, only its smallest document goes on, so copies are never paired.  Each bucket first compares its
-    members with one pivot drawn by hash; after merging, members outside a bucket's largest component are compared with
-    whatever is not yet connected to them, so no candidate link between different components stays unchecked.
-    Rows without doc_id are dropped, repeated rows come back as often as they came; an empty table gives an empty result.
+    sets form a class and only its smallest document goes on, so copies are never paired.  Buckets with the same members
+    count once.  A bucket is cut into blocks by hash, and every two of its blocks are compared exactly in one bounded
+    step that returns a spanning forest, so pairs are never emitted and none is skipped.  Rows without doc_id are
+    dropped, repeated rows come back as often as they came; an empty table gives an empty result.
     """
-    d = materialise(digests(docs.where("doc_id is not null"), bands, rows), "digests")
-    classes = d.where("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    firsts = d.where("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
-    rowset = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    order = F.struct(F.xxhash64("bucket", "doc_id").alias("o"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"))
-    pivots = rowset.groupBy("bucket").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "p.pivot", "p.pivot_n")
-    members = materialise(rowset.join(pivots, "bucket"), "members")
-    texts = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-
-    fits = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-    star = members.where("doc_id <> pivot").withColumn("other_n", F.col("pivot_n")).where(fits)
-    star = star.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-    links = materialise(confirm(star, texts, percent), "links")
-    merged = components(links, "a", "b")
-
-    # What one pivot a bucket has not connected: rest of a bucket against everything of other components in it.
-    labelled = members.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-    by_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = by_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("main"))
-    open_ = materialise(labelled.join(main, "bucket"), "open")
-    rest = open_.where("label <> main")
-    other = open_.select("bucket", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    cross = rest.join(other, "bucket").where("label <> other_label and (other_label = main or doc_id < other)").where(fits)
-    cross = cross.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialise(confirm(cross, texts, percent), "links")
-    of = merged.select(F.col("node"), "component")
-    lifted = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    second = components(lifted.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
-
-    reps = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c1", F.coalesce("component", "rep"))
-    reps = reps.join(second.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left").select("set_hi", "set_lo", "n_shingles", F.coalesce("c2", "c1").alias("c"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    d = materialise(digests(docs, bands, rows), "digests")
+    classes = d.where("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
+    rowset = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket"))
+    members = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit("second"))).alias("y")]
+    kept = rowset.groupBy("bucket").agg(*members).where("k > 1").groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
+    n = F.ceil(F.col("k") / BLOCK)
+    own = F.pmod(F.xxhash64("doc_id", F.lit("block")), n)
+    dealt = rowset.join(kept, "bucket").select("bucket", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    dealt = materialise(dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id"), "blocks")
+    needed = dealt.select("doc_id").distinct()
+    texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    blocks = dealt.join(texts.hint("merge"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    merged = components(materialise(block_links(blocks, percent), "links"))
+
+    reps = classes.select("set_hi", "set_lo", "n_shingles", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
+    reps = reps.select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("c"))
     out = d.select("doc_id", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
