@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import embeddings, language, minhash, mixing, quality, secrets, warc
+from lineflow.llm import decontaminate, embeddings, language, minhash, mixing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ select vec_id, coalesce(k, 0)::bigint n_links, coalesce(c, vec_id) component_id,
 from embeddings left join cnt on u = vec_id left join comp on node = vec_id
 """
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7 = rf"""
@@ -94,5 +98,5 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
+QUERIES = {"op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_decontaminate": op10_decontaminate, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
 ORACLES = {"op2_embeddings": OP2, "op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
