@@ -143,6 +143,28 @@ class Items:
         return best, end
 
 
+    def found(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """(row, item, edits, end) of what is within the edit budget: fewest edits, then least end, of each row and item."""
+        raw, offsets = normalise(*text_column(texts))
+        row, item, first = self.regions(raw, offsets)
+        edits, end = self.verify(raw, offsets, row, item, first)
+        ok = edits <= self.edits[item]
+        got = [x[ok] for x in (row, item, edits, end)]
+        order = np.lexsort(got[::-1])
+        row, item, edits, end = (x[order] for x in got)
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        return row[new], item[new], edits[new], end[new]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of about 4 MB of the batches."""
+    for whole in batches:
+        step = max(1, min(2048, whole.num_rows * (4 << 20) // max(1, whole.nbytes)))
+        for lo in range(0, whole.num_rows, step):
+            yield whole.slice(lo, step)
+
+
 def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[pa.Table]:
     """The benchmark in parts of at most about PASS_BYTES, dealt by hash of the item."""
     rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -164,25 +186,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, leas
         items = Items(table["item_id"].to_numpy(), table["text"].combine_chunks(), rate, least)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                step = max(1, min(2048, whole.num_rows * (4 << 20) // max(1, whole.nbytes)))
-                for lo in range(0, whole.num_rows, step):
-                    batch = whole.slice(lo, step)
-                    raw, offsets = normalise(*text_column(batch["text"]))
-                    row, item, first = items.regions(raw, offsets)
-                    edits, end = items.verify(raw, offsets, row, item, first)
-                    ok = edits <= items.edits[item]
-                    row, item, edits, end = row[ok], item[ok], edits[ok], end[ok]
-                    order = np.lexsort([end, edits, item, row])
-                    row, item, edits, end = row[order], item[order], edits[order], end[order]
-                    new = np.ones(len(row), dtype=bool)
-                    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-                    row, item, edits, end = row[new], item[new], edits[new], end[new]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].cast(pa.int64()).take(pa.array(row)), pa.array(items.ids[item]), pa.array(edits.astype(np.int64)), pa.array(items.size[item]), pa.array(end)],
-                        names=["doc_id", "item_id", "edits", "item_chars", "doc_end"],
-                    )
+            for batch in _parts(batches):
+                row, item, edits, end = items.found(batch["text"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].cast(pa.int64()).take(pa.array(row)), pa.array(items.ids[item]), pa.array(edits.astype(np.int64)), pa.array(items.size[item]), pa.array(end)],
+                    names=["doc_id", "item_id", "edits", "item_chars", "doc_end"],
+                )
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, edits long, item_chars long, doc_end long")
         out = found if out is None else out.union(found)
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, all columns as they are.  Row-local."""
+    for table in _passes(benchmark, "item_id", "text"):
+        items = Items(table["item_id"].to_numpy(), table["text"].combine_chunks(), rate, least)
+
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for batch in _parts(batches):
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[items.found(batch["text"])[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -202,6 +202,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: tuple[np.ndarray, Network | None], threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` with a score of `threshold` or more, all columns as they are.  Row-local."""
+    vectors, net = model
+    if net is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                yield batch.filter(pa.array(softmax(net.logits(pooled(batch["text"], vectors)))[:, 1] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """Fit on labels whose crc32(doc_id) mod `mod` is not `held`; score every row of `docs`."""
     out = score(docs, fit(docs, labels.where(remainder("doc_id", mod) != held)))
