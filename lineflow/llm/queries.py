@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import decontaminate, embeddings, language, minhash, mixing, pii, quality, secrets, warc
+from lineflow.llm import decontaminate, embeddings, language, minhash, mixing, pii, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pseudonymise(_table(spark, sf_dir, "documents")))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.deduplicate(_table(spark, sf_dir, "documents")))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP7 = rf"""
@@ -102,5 +106,5 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op1_pii": op1_pii, "op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_decontaminate": op10_decontaminate, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
+QUERIES = {"op5_substrings": op5_substrings, "op1_pii": op1_pii, "op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_decontaminate": op10_decontaminate, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
 ORACLES = {"op2_embeddings": OP2, "op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
