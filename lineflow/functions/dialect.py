@@ -176,6 +176,15 @@ class Spark(Dialect):
     def int_sum(self, x):
         return f"cast(sum({x}) as bigint)"
 
+    def first_by(self, x, y):
+        return f"min_by({x}, {y})"
+
+    def last_by(self, x, y):
+        return f"max_by({x}, {y})"
+
+    def last_value(self, x, over):
+        return f"last({x}, true) over ({over})"
+
 
 class Duck(Dialect):
     name = "duckdb"
@@ -281,3 +290,12 @@ class Duck(Dialect):
 
     def int_sum(self, x):
         return f"sum({x})::bigint"
+
+    def first_by(self, x, y):
+        return f"arg_min({x}, {y})"
+
+    def last_by(self, x, y):
+        return f"arg_max({x}, {y})"
+
+    def last_value(self, x, over):
+        return f"last_value({x} ignore nulls) over ({over})"

@@ -1,20 +1,53 @@
-"""Every registered query of the command-output engine with its SQL twin."""
+"""Every registered query of the command-output engine with its SQL twin.
+
+A query is one builder `f(dialect) -> SQL`; Spark runs its Spark form, the DuckDB form is the oracle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lineflow.functions.dialect import Dialect, Duck, Spark
+
+Builder = Callable[[Dialect], str]
+
+BUILDERS: dict[str, Builder] = {}
+#: Queries that SQL can't express (stateful or sequential), without an oracle.
+NATIVE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(name: str) -> Callable[[Builder], Builder]:
+    def add(builder: Builder) -> Builder:
+        BUILDERS[name] = builder
+        return builder
+
+    return add
+
+
+def native(name: str):
+    def add(f):
+        NATIVE[name] = f
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from lineflow.plans import queries_analytics, queries_commands, queries_native, queries_text  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a14_saved_by_source"](spark, sf_dir)
+    return queries()["a14_saved_by_source"](spark, sf_dir)
 
 
-def queries() -> dict:
-    return dict(QUERIES)
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    run = lambda builder: lambda spark, sf_dir: spark.sql(builder(Spark(sf_dir)))
+    return {name: run(builder) for name, builder in BUILDERS.items()} | NATIVE
 
 
 def oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    _load()
+    return {name: builder(Duck()) for name, builder in BUILDERS.items()}
