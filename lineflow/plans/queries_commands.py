@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lineflow.functions.dialect import Dialect
-from lineflow.operators import commands
+from lineflow.operators import classify, commands, detect, summary
 from lineflow.plans import views
 from lineflow.plans.catalog import BUILDERS
 
@@ -20,3 +20,36 @@ def _command(kind: str):
 
 for _kind, _id in _IDS.items():
     BUILDERS[f"{_id}_{_kind}"] = _command(_kind)
+
+
+def _mixed(d: Dialect) -> str:
+    """Documents of several kinds, a few lines of each kind at a time."""
+    kinds = ["grep", "go", "ls", "npm", "cargo", "make", "git", "docker", "terraform", "test"]
+    parts = [f"select doc * {len(kinds)} + {k} as doc, pos, line from {views.command_lines(d, kind, 60)} k{k}" for k, kind in enumerate(kinds)]
+    return "(" + " union all ".join(parts) + ")"
+
+
+def _tests(d: Dialect) -> str:
+    return views.command_lines(d, "test")
+
+
+def _invocations(d: Dialect) -> str:
+    names = ["/usr/bin/grep", "git", "C:\\tools\\npm.exe", "unknown", "pytest", "cargo", "kubectl", "x/y/zip"]
+    return f"(select o_orderkey as doc, {d.item(d.array(*map(d.lit, names)), 'cast(o_orderkey % 8 as int) + 1')} as command from {d.table('orders')})"
+
+
+BUILDERS["a01_auto_detect"] = lambda d: f"select doc, cmd_type from {detect.auto_detect(d, _mixed(d) + ' v')} q"
+BUILDERS["p05_identify"] = lambda d: f"select doc, command, cmd_type from {detect.identify(d, _invocations(d) + ' v')} q"
+BUILDERS["p06_resolve"] = lambda d: f"select doc, cmd_type, source from {detect.resolve(d, _invocations(d) + ' v', _mixed(d) + ' w', {'pytest': 'python'})} q"
+BUILDERS["p09_context_levels"] = lambda d: f"select doc, pos, cast(level as int) as level from {summary.context_levels(d, _tests(d) + ' v')} q"
+BUILDERS["a02_summary"] = lambda d: f"select * from {summary.summary(d, _tests(d) + ' v')} q"
+BUILDERS["a02_summary_log"] = lambda d: f"select * from {summary.summary(d, views.log_lines(d) + ' v', '1')} q"
+BUILDERS["a02_summary_header"] = lambda d: f"select * from {summary.summary_header(d, _tests(d) + ' v')} q"
+BUILDERS["a04_runner_result"] = lambda d: f"select doc, verdict from {summary.runner_result(d, _mixed(d) + ' v')} q"
+BUILDERS["t01_truncate"] = lambda d: f"select doc, pos, sub, line from {summary.truncate(d, _tests(d) + ' v', 50)} q"
+BUILDERS["t01_truncate_30"] = lambda d: f"select doc, pos, sub, line from {summary.truncate(d, _mixed(d) + ' v', 30)} q"
+for _mode in ("window", "hint", "conservative", "off"):
+    BUILDERS[f"t02_escalate_{_mode}"] = lambda d, mode=_mode: f"select doc, pos, sub, line from {summary.escalate(d, _mixed(d) + ' v', 40, mode)} q"
+BUILDERS["t03_window"] = lambda d: f"select doc, pos, sub, line from {summary.window_truncate(d, _tests(d) + ' v', 50, 3)} q"
+BUILDERS["t03_window_capped"] = lambda d: f"select doc, pos, sub, line from {summary.window_truncate(d, _tests(d) + ' v', 20, 10)} q"
+BUILDERS["t04_anchors"] = lambda d: f"select doc, {d.agg_join('cast(pos as varchar(20))', 'pos', ',')} as positions from {_tests(d)} v where {classify.failure_anchor(d, 'line')} group by doc"
