@@ -1 +1,120 @@
-"""Queries."""
+"""Queries over measurements, learning, requests, search and the benches."""
+
+from __future__ import annotations
+
+from lineflow.functions import text as T
+from lineflow.functions.dialect import Dialect
+from lineflow.operators import generic, learn, measure, search
+from lineflow.plans import views
+from lineflow.plans.catalog import query
+
+#: 2024-01-20 12:00 UTC in microseconds; reports take `now` as a parameter.
+NOW = 1_705_752_000_000_000
+
+
+def _m(d: Dialect) -> str:
+    return views.measurements(d) + " v"
+
+
+def _r(d: Dialect) -> str:
+    return views.requests(d) + " v"
+
+
+def _code(d: Dialect) -> str:
+    """(path, pos, line): code-like files in several languages."""
+    lines = ["package main", "func run{n}() error {", "import os", "def load{n}(x):", "class Load{m}:", "type T{n} struct {", "    return load{n}(x)", "// loads {n}", "const a = 1", "var b{m} = 2", "}", "export default x", "#include <a.h>", ""]
+    ext = d.item(d.array("'go'", "'py'", "'ts'", "'rs'", "'js'", "'c'", "'txt'"), "cast(doc % 7 as int) + 1")
+    return f"(select concat('src/d', cast(doc % 9 as varchar(20)), '/f', cast(doc as varchar(20)), '.', {ext}) as path, pos, line from {views.templated(d, lines, run=1, lines=50)} t)"
+
+
+def _observed(d: Dialect) -> str:
+    src = f"(select doc, pos, line, concat('s', cast(doc % 5 as varchar(20))) as session, case when pos % 2 = 0 then 'make' else 'npm' end as cmd from {views.log_lines(d)} l)"
+    return learn.observe(d, src + " v")
+
+
+def _commands(d: Dialect) -> str:
+    texts = ["cd /x", "FOO=1 make -j{n}", "rm -rf /tmp/{n}", "cat a{n} | bash", "ls -la | grep {n} | wc -l", "vim f{n}", "/usr/bin/git log -{n}", "cat f > out{n}", "npm test | lineflow", "find . | xargs rm"]
+    return f"(select doc * 1000 + pos as id, line as text from {views.templated(d, texts, run=1)} t)"
+
+
+query("a05_report")(lambda d: f"select * from {measure.report(d, _m(d))} q")
+for _p in ("today", "7d", "30d", "all"):
+    query(f"dt01_period_{_p}")(lambda d, p=_p: f"select cast(count(*) as bigint) as n, {d.int_sum('raw_tokens')} as raw_tokens from {_m(d)} where {measure.in_period(d, 'us', p, NOW)}")
+query("a06_insights")(lambda d: f"select * from {measure.insights(d, _m(d))} q")
+query("a07_sessions")(lambda d: f"select * from {measure.session_summary(d, _m(d))} q")
+query("t05_last")(lambda d: f"select * from {measure.last_entries(d, _m(d), 20)} q")
+query("t06_top_commands")(lambda d: f"select name, saved from {measure.report(d, _m(d))} q where level = 'type' order by saved desc, name limit 8")
+query("k02_newest_half")(lambda d: f"select id, us from {measure.newest_half(d, _m(d))} q")
+query("s10_since")(lambda d: f"select id, cmd_type from {_m(d)} where us >= {NOW}")
+query("j02_limits")(lambda d: f"select id, cmd_type, max_lines from {measure.limits(d, _m(d).removesuffix(' v'), {'click': 10, 'error': 500}, 50)} q")
+query("j05_rerequest")(lambda d: f"select id, type, since_us from {learn.rerequests(d, _r(d))} q")
+query("j05_rerequest_hour")(lambda d: f"select id, type, since_us from {learn.rerequests(d, _r(d), 3_600_000_000)} q")
+query("p18_escalation")(lambda d: f"select type, cast(count(*) as bigint) as n from {learn.rerequests(d, _r(d), 86_400_000_000)} q group by type")
+query("a20_cache")(lambda d: f"select key, hits, misses from {learn.cache_totals(d, _r(d).replace('raw_key, cast', 'raw_key, cast'))} q")
+query("a08_learn")(lambda d: f"select * from {learn.analyse(d, _observed(d) + ' o', least=0.01)} q")
+query("a09_observe")(lambda d: f"select session, cmd, norm, level, cast(count(*) as bigint) as n from {_observed(d)} o group by session, cmd, norm, level")
+query("a10_store_stats")(lambda d: f"select * from {learn.statistics(d, _observed(d) + ' o')} q")
+query("p12_skip")(lambda d: f"select id, {learn.first_word(d, 'text')} as word, {learn.skipped(d, 'text')} as skip from {_commands(d)} c")
+query("p13_denied")(lambda d: f"select id, {learn.denied(d, 'text')} as denied from {_commands(d)} c")
+query("p14_sandbox")(lambda d: f"select id, {learn.sandboxed(d, 'text')} as allowed from {_commands(d)} c")
+query("x11_request_keys")(lambda d: f"select id, {learn.request_key(d, 'tool', 'text')} as key from (select *, case id % 3 when 0 then 'exec' when 1 then 'read' else 'filter' end as tool from {_commands(d)} c) c2")
+query("s04_walk")(lambda d: f"select path from {views.paths(d)} p where {search.walkable(d, 'path')}")
+query("s04_walk_extensions")(lambda d: f"select path from {views.paths(d)} p where {search.walkable(d, 'path', ('go', 'py'))}")
+query("s06_glob")(lambda d: f"select path from {search.glob(d, views.paths(d) + ' p', '**/*.go')} q")
+query("s06_glob_path")(lambda d: f"select path from {search.glob(d, views.paths(d) + ' p', 'src/d*/*_run.sh')} q")
+query("a19_clusters")(lambda d: f"select dir, n, line from {search.glob_clusters(d, views.paths(d) + ' p')} q")
+query("h03_search")(lambda d: f"select path, pos, line from {search.matches(d, _code(d) + ' s', 'load[0-9]+')} q")
+query("s08_grep")(lambda d: f"select path, cast(count(*) as bigint) as n from {search.matches(d, _code(d) + ' s', 'LOAD', fold=True)} q group by path")
+query("h04_scan")(lambda d: f"select path, pos, line from {search.scan(d, _code(d) + ' s', 'load')} q")
+query("h05_detail")(lambda d: f"select path, pos, sub, line from {search.detail(d, _code(d) + ' s', 'load1[0-9]', 2)} q")
+query("h06_definitions")(lambda d: f"select path, pos, line from {search.definitions(d, _code(d) + ' s', 'load|run|T[0-9]')} q")
+query("h07_skeleton")(lambda d: f"select path, pos, line from {search.skeleton(d, _code(d) + ' s', 'load1')} q")
+query("h08_folders")(lambda d: f"select dir, files, n from {search.by_folder(d, _code(d) + ' s', 'load')} q")
+query("t08_first_files")(lambda d: f"select path from (select distinct path, {d.split('path', '/')} as o from {search.matches(d, _code(d) + ' s', 'load')} m) q order by o limit 10")
+query("w11_capped_matches")(lambda d: f"select doc, pos, line from {search.capped(d, views.command_lines(d, 'grep') + ' v', 5)} q")
+
+
+def _clean(d: Dialect) -> str:
+    return generic.chain(d, generic.assemble(d, views.command_lines(d, "test") + " v", sub=False) + " s")
+
+
+query("a11_quality")(lambda d: f"select * from {measure.quality(d, views.command_lines(d, 'test') + ' v', _clean(d))} q")
+query("a12_credit")(lambda d: f"select doc, {measure.marker_credit(d, 'text')} as credit from {generic.assemble(d, generic.collapse_node_warnings(d, views.command_lines(d, 'nodewarn') + ' v') + ' a')} q")
+query("a17_percentiles")(lambda d: f"select * from {measure.percentiles(d, _m(d), 'cmd_type', 'raw_bytes')} q")
+
+
+@query("a15_modes")
+def modes(d: Dialect) -> str:
+    """Documents x modes (J-10, U-06): lines kept and tokens under each mode's limit."""
+    table = "(select 'raw' as mode, cast(1000000000 as bigint) as most union all select 'conservative', 200 union all select 'balanced', 50 union all select 'aggressive', 30)"
+    docs = f"(select doc, {d.size('lines')} as n, lines from (select doc, {d.split('text', chr(10))} as lines from {views.documents(d)} v) a0)"
+    return f"select mode, cast(count(*) as bigint) as docs, {d.int_sum('least(n, most)')} as lines, {d.int_sum(T.words(d, d.join(d.slice('lines', '1', 'least(n, most)'), ' ')))} as words from {docs} x cross join {table} m group by mode"
+
+
+@query("a16_contribution")
+def contribution(d: Dialect) -> str:
+    """Bytes before and after each text step, summed by step (J-10 of the per-step report)."""
+    steps = [("ansi", T.strip_ansi(d, "text")), ("whitespace", generic.normalise_whitespace(d, "t0")), ("paths", generic.compress_paths(d, "t1", "/home/u/app", "/home/u")), ("redact", generic.redact(d, "t2"))]
+    src, before, rows = f"(select doc, text from {generic.assemble(d, views.log_lines(d) + ' v', sub=False)} a)", "text", []
+    for i, (_, expr) in enumerate(steps):
+        src = f"(select *, {expr} as t{i} from {src} s{i})"
+    for i, (name, _) in enumerate(steps):
+        rows.append(f"select '{name}' as step, {i} as nth, {d.int_sum(d.octets(before))} as bytes_before, {d.int_sum(d.octets(f't{i}'))} as bytes_after from {src} r{i}")
+        before = f"t{i}"
+    return " union all ".join(rows)
+
+
+@query("j03_parity")
+def parity(d: Dialect) -> str:
+    rate = lambda f, w: f"(select source as name, round({d.double(d.int_sum(d.octets('text') + ' - ' + d.octets(f)))} / {d.double(d.int_sum(d.octets('text')))} * 100, 6) as reduction from {views.documents(d)} v where {w} group by source)"
+    base = rate(generic.normalise_whitespace(d, "text"), "source <> 'src3'")
+    other = rate(d.sub("text", "[.,!?]", ""), "source <> 'src5'")
+    return f"select * from {measure.parity(d, base, other, 1)} q"
+
+
+@query("j04_snapshot_changed")
+def snapshot(d: Dialect) -> str:
+    """Two snapshots (path, mtime): any path new, gone or of another time (S-14, J-04)."""
+    one = f"(select path, id % 5 as mtime from {views.paths(d)} p where id % 7 <> 0)"
+    two = f"(select path, id % 5 + case when id % 50 = 0 then 1 else 0 end as mtime from {views.paths(d)} p where id % 11 <> 0)"
+    return f"select coalesce(a.path, b.path) as path, case when a.path is null then 'new' when b.path is null then 'gone' else 'changed' end as change from {one} a full outer join {two} b on a.path = b.path where a.path is null or b.path is null or a.mtime <> b.mtime"
