@@ -6,6 +6,8 @@ per-word Python object exists.  All hashes are wrapping 64-bit polynomials over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -65,6 +67,18 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw, offsets - offsets[0]
 
 
+def parts(batch: pa.RecordBatch, limit: int, rows: int = 65535) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with up to `rows` rows and about `limit` bytes, single longer rows excepted."""
+    size = np.diff(text_column(batch["text"])[1]) if "text" in batch.schema.names else np.full(batch.num_rows, batch.nbytes // max(1, batch.num_rows))
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < batch.num_rows:
+        base = upto[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(upto, base + limit, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def prefix_hash(raw: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
     """S with S[e] - S[s] = sum of table[raw[j]] * BASE**j for s <= j < e."""
     out = np.zeros(len(raw) + 1, dtype=U64)

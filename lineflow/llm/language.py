@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineflow.llm._bytes import parts
 from lineflow.llm._fit import balanced_sample, fit_once, remainder, softmax, temperature
 
 #: Hashed feature space, 2**FEATURES; sample bound per language; most languages that a model may have.
 FEATURES, PER_LANG, MAX_LANGS = 16, 1000, 500
+#: Bytes of text whose n-grams are held at once.
+PART = 1 << 18
 ORDERS = (1, 2, 3)
 SCALE = 20.0
 _GAP = 32
@@ -74,8 +77,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << FEATURES, dtype=np.int64), 0
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                texts = whole["text"].slice(lo, 512)
+            for part in parts(whole, PART):
+                texts = part["text"]
                 f, r, _ = grams(texts)
                 keys = np.unique((r << FEATURES) | f)
                 df += np.bincount(keys & ((1 << FEATURES) - 1), minlength=len(df))
@@ -107,9 +110,14 @@ def train(table: pa.Table, langs: list[str], idf: np.ndarray, alpha: float = 0.5
     """FTRL-proximal over the sample, four fifths for the weights and one fifth for the temperature."""
     where = {x: k for k, x in enumerate(langs)}
     y = np.array([where[x] for x in table["lang"].to_pylist()])
-    f, r, _ = grams(table["text"].combine_chunks())
-    order = np.argsort(r, kind="stable")
-    f, bounds = f[order], np.searchsorted(r[order], np.arange(len(y) + 1))
+    docs = []
+    for batch in table.select(["text"]).combine_chunks().to_batches():
+        for part in parts(batch, PART):
+            f, r, _ = grams(part["text"])
+            keys, count = np.unique((r << FEATURES) | f, return_counts=True)
+            at = np.searchsorted(keys >> FEATURES, np.arange(part.num_rows + 1))
+            keys = (keys & ((1 << FEATURES) - 1)).astype(np.int32)
+            docs += [(keys[a:b], count[a:b].astype(np.float32)) for a, b in zip(at[:-1], at[1:])]
     rng = np.random.default_rng(seed)
     turn = rng.permutation(len(y))
     hold = turn[: len(y) // 5]
@@ -121,7 +129,7 @@ def train(table: pa.Table, langs: list[str], idf: np.ndarray, alpha: float = 0.5
 
     for _ in range(epochs):
         for d in rng.permutation(turn[len(hold) :]):
-            i, c = np.unique(f[bounds[d] : bounds[d + 1]], return_counts=True)
+            i, c = docs[d]
             if not len(i):
                 continue
             x = c / c.sum() * idf[i] * SCALE
@@ -134,7 +142,7 @@ def train(table: pa.Table, langs: list[str], idf: np.ndarray, alpha: float = 0.5
             n[i] += g * g
     model = Model(langs, weights(slice(None)), idf)
     if len(hold):
-        logits, _ = model.logits(pa.array([table["text"][int(k)].as_py() for k in hold], pa.string()))
+        logits = np.stack([c @ model.table[i] / max(c.sum(), 1) for i, c in (docs[d] for d in hold)])
         model.heat = temperature(logits, y[hold])
     return model
 
@@ -161,8 +169,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for batch in parts(whole, PART):
                 lang = np.full(batch.num_rows, "und", dtype=object)
                 score = np.zeros(batch.num_rows)
                 if model is not None:
