@@ -34,8 +34,19 @@ def normalise(d: Dialect, x: str) -> str:
     return out
 
 
-#: Placeholder regexes of learned patterns.
-PLACEHOLDERS = {"UUID": "[0-9a-f-]+", "IP": r"[\d.:]+", "TIMESTAMP": r"[\dT:.Z+-]+", "DATE": r"[\d/-]+", "TIME": r"[\d:.]+", "SIZE": r"[\d.]+\s*\w+", "DURATION": r"[\d.]+\s*\w+", "VERSION": r"v?[\d.]+[-\w.]*", "HASH": "[0-9a-f]+", "N": r"\d+(\.\d+)?"}
+#: What a placeholder matches in a learned pattern.
+PLACEHOLDERS = {
+    "UUID": r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
+    "HASH": r"[0-9a-f]+",
+    "TIMESTAMP": r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\S*",
+    "DATE": r"\d{4}[-/]\d{2}[-/]\d{2}",
+    "TIME": r"\d{2}:\d{2}:\d{2}\S*",
+    "SIZE": r"\d+(\.\d+)?\s*(B|KB|MB|GB|TB|KiB|MiB|GiB|TiB|bytes)",
+    "DURATION": r"\d+(\.\d+)?\s*(ms|µs|ns|us|s|m|h)",
+    "IP": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d+)?",
+    "VERSION": r"v?\d+\.\d+\.\d+[-\w.]*",
+    "N": r"\d+(\.\d+)?",
+}
 
 
 def to_regex(d: Dialect, x: str) -> str:

@@ -59,13 +59,14 @@ def find(d: Dialect, src: str) -> str:
     folder = f"(select *, {d.slice('seg', 1, d.size('seg') + ' - 1')} as dir from {rows} f1)"
     # The common prefix of all directories is that of the least and the greatest.
     ends = f"(select doc, cast(count(*) as bigint) as n, min(dir) as a, max(dir) as b from {folder} f2 group by doc)"
-    level = f"(select doc, n, a, i.n as lv from {ends} f3 join {d.numbers(0, 40)} i on i.n <= {d.size('a')} and i.n <= {d.size('b')} and {d.join(d.slice('a', 1, 'i.n'), '/')} = {d.join(d.slice('b', 1, 'i.n'), '/')})".replace("select doc, n, a, i.n as lv", "select doc, f3.n as n, a, i.n as lv")
+    level = f"(select doc, f3.n as n, a, i.n as lv from {ends} f3 join {d.numbers(0, 40)} i on i.n <= {d.size('a')} and i.n <= {d.size('b')} and {d.join(d.slice('a', 1, 'i.n'), '/')} = {d.join(d.slice('b', 1, 'i.n'), '/')})"
     base = f"(select doc, n, lv, {d.join(d.slice('a', 1, 'lv'), '/')} as p from (select doc, n, max(lv) as lv, min(a) as a from {level} f4 group by doc, n) f5)"
     joined = f"(select r.doc, r.pos, r.t, case when b.n >= 2 and {d.octets('b.p')} >= 3 then b.p else '' end as p, r.seg, b.lv as lv from {rows} r join {base} b on r.doc = b.doc)"
     rest = f"(select doc, pos, p, case when p = '' then t else {d.join(d.slice('seg', 'lv + 1', d.size('seg')), '/')} end as rest, case when p = '' then '' else {d.item('seg', 'cast(lv as int) + 1')} end as head from {joined} f6)"
     seen = f"(select *, min(pos) over (partition by doc, head) as first_seen, min(pos) over (partition by doc) as top from {rest} f7)"
     return f"""(select doc, case when p = '' then pos else first_seen end as pos, case when p = '' then cast(0 as bigint) else pos + 1 end as sub, rest as line from {seen} f8
-        union all select doc, cast(-1 as bigint) as pos, cast(0 as bigint) as sub, concat('[base: ', p, '/]') as line from {seen} f9 where p <> '' and pos = top)"""
+        union all select doc, cast(-1 as bigint) as pos, cast(0 as bigint) as sub, concat('[base: ', p, '/]') as line from {seen} f9 where p <> '' and pos = top
+        union all select doc, cast(1000000000000 as bigint) as pos, cast(0 as bigint) as sub, '' as line from {rows} fa group by doc having count(*) >= 2)"""
 
 
 def git(d: Dialect, src: str) -> str:
@@ -87,7 +88,8 @@ def ls(d: Dialect, src: str) -> str:
     f = d.all("t", r"[^ \t\n\f\r]+")
     long = f"{d.size('f')} >= 9 and {d.chars(d.item('f', 1))} >= 10 and {d.match(d.item('f', 1), '^[-dlcb]')}"
     short = f"concat({d.item('f', 1)}, ' ', {d.item('f', 5)}, ' ', {d.join(d.slice('f', 9, d.size('f')), ' ')})"
-    return f"(select doc, pos, cast(0 as bigint) as sub, case when {long} then {short} else line end as line from {trimmed(d, src, f', {f} as f').replace(' as t, ', ' as t, ').replace(f, f.replace('t,', d.trim('line') + ',', 1))} c where not {d.starts('t', 'total ')})"
+    rows = f"(select doc, pos, line, t, {f} as f from {trimmed(d, src)} c0 where not {d.starts('t', 'total ')})"
+    return f"(select doc, pos, cast(0 as bigint) as sub, case when {long} then {short} else line end as line from {rows} c)"
 
 
 def docker(d: Dialect, src: str) -> str:
@@ -152,20 +154,36 @@ def make(d: Dialect, src: str) -> str:
     return f"(select doc, pos, cast(0 as bigint) as sub, case when {d.match('t', comp)} then {short} else line end as line from {trimmed(d, src)} c where not ({drop}))"
 
 
+#: Response headers that stay.
+RESPONSE_HEADERS = r"(?i)^< (content-type|location|www-authenticate|x-error|retry-after|status)"
+
+
 def curl(d: Dialect, src: str) -> str:
-    """Progress and connection notes dropped, header blocks as counts that flush at block ends alone (C-11)."""
-    info = f"{d.match('t', '^' + chr(92) + '*' + chr(92) + 's+')} and not {d.match('t', '(?i)(error|fail|refused|timeout)')}"
-    classes = [(d.any_of((r"^\s*%\s+Total\s+%\s+Received", r"^\.{5,}", r"\d+%\[=*>?\s*\]"), "line"), DROP), (info, DROP), (f"{BLANK} or t in ('>', '<')", KEEP), (d.match("t", r"^>\s+\S"), 1), (f"{d.match('t', '^<' + chr(92) + 's+' + chr(92) + 'S')} and not {d.match('t', '(?i)^< *(HTTP/|content-type:|content-length:|location:|server:|set-cookie:|www-authenticate:)')}", 2)]
-    return counter_flush(d, src, classes, {1: [("n > 0", _n(d, "> (", " request headers)"))], 2: [("n > 0", _n(d, "< (", " other headers)"))]})
+    """Progress and connection notes dropped; header blocks shortened, which flush at a blank line, at a bare sign or at the
+    end, never before ordinary lines (C-11)."""
+    head, data = d.match("t", r"^\s*%\s+Total\s+%\s+Received"), d.match("t", r"^\s*\d+\s+\d+.*\d+[kMG]?\s+\d+")
+    table = d.last_value(f"case when t = '' or ({data} and not {head}) then null when {head} then 1 else 0 end", UPTO)
+    bars, info = d.any_of((r"^\.{5,}", r"\d+%\[=*>?\s*\]"), "t"), d.match("t", r"^\*\s+")
+    kind = f"""case when t = '' then 'blank' when {head} then 'drop' when {data} and coalesce(in_table, 0) = 1 then 'drop' when {bars} then 'drop'
+        when {info} then case when {d.match('t', '(?i)(error|fail|refused|timeout)')} then 'keep' else 'drop' end
+        when t = '>' then 'end_send' when t = '<' then 'end_recv' when {d.match('t', '^>' + chr(92) + 's+' + chr(92) + 'S')} then 'send' when {d.match('t', '^<' + chr(92) + 's+' + chr(92) + 'S')} then 'recv' else 'keep' end"""
+    base = f"(select doc, pos, line, t, {kind} as k from (select *, {table} as in_table from {trimmed(d, src)} u0) u1)"
+    after = lambda x: f"min(case when k in ('blank', '{x}') then pos end) over (partition by doc order by pos rows between current row and unbounded following)"
+    rows = f"(select *, coalesce(case when k = 'send' then {after('end_send')} else {after('end_recv')} end, 1000000000000) as due from {base} u2)"
+    kept = d.match("t", RESPONSE_HEADERS)
+    count = lambda k, cond, sub, label, end: f"select doc, cast(due as bigint) as pos, cast({sub} as bigint) as sub, concat('{label} (', cast(count(*) as varchar(20)), ' {end})') as line from {rows} u4 where k = '{k}' and {cond} group by doc, due"
+    return f"""(select doc, pos, cast(1000000000 as bigint) as sub, line from {rows} u3 where k in ('blank', 'keep') union all
+        select doc, cast(due as bigint) as pos, pos - 1000000000 as sub, t as line from {rows} u3 where k = 'recv' and {kept} union all
+        {count('recv', f'not {kept}', 0, '<', 'other headers')} union all {count('send', 'true', 1, '>', 'request headers')})"""
 
 
 def python(d: Dialect, src: str) -> str:
     """Package installs as counts, progress bars dropped, deprecations as the first and a count (C-12, install part)."""
     classes = [
-        (BLANK, KEEP), (d.match("t", r"^Requirement already satisfied:"), 1), (d.match("line", r"\s+\|[█▓▒░#=\-\s]+\|\s+[\d.]+\s*[kMG]?B"), DROP),
-        (d.match("line", r"^\s*(Downloading|Installing|Collecting|Using cached)\s+"), 2), (d.match("t", r"^\S+:\d+:\s*(DeprecationWarning|PendingDeprecationWarning|FutureWarning):"), 3),
+        (BLANK, KEEP), (d.match("t", r"^Requirement already satisfied:"), 1), (d.match("t", r"^\s*(Downloading|Installing|Collecting|Using cached)\s+"), 2),
+        (d.match("t", r"\s+\|[█▓▒░#=\-\s]+\|\s+[\d.]+\s*[kMG]?B"), DROP), (d.match("t", r"^\S+:\d+:\s*(DeprecationWarning|PendingDeprecationWarning|FutureWarning):"), 3),
     ]
-    return counter_flush(d, src, classes, {1: [("n > 0", _n(d, "(", " packages already satisfied)"))], 2: [("n > 0", _n(d, "(", " download/install steps)"))], 3: [("n > 0", "first_line"), ("n > 1", _n(d, "... and ", " more deprecation warnings", 1))]})
+    return counter_flush(d, src, classes, {1: [("n > 0", _n(d, "Already satisfied: ", " packages"))], 2: [("n > 0", _n(d, "pip: ", " packages downloaded/installed"))], 3: [("n > 0", "first_line"), ("n > 1", _n(d, "... and ", " more deprecation warnings", 1))]})
 
 
 def terraform(d: Dialect, src: str) -> str:

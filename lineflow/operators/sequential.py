@@ -17,6 +17,8 @@ _CONSOLE = re.compile(r"^\s*console\.(log|warn|error|info|debug)\s*$")
 _TRAILER = re.compile(r"^\s+at (?:[^\s()]+:\d+:\d+|[^\s()]+ \([^()]+:\d+:\d+\))\s*$")
 _FRAME = re.compile(r"^\s+at\s")
 _PY_FRAME, _CHAIN = re.compile(r'^\s+File "'), re.compile(r"^(During handling|The above exception)")
+_PY_CALL, _PY_CODE = re.compile(r'^\s*File "(.+)", line (\d+), in (.+)'), re.compile(r"^\s{4}\S")
+_IMPORT = re.compile(r"^(ImportError|ModuleNotFoundError|ModuleNotFound):")
 _NODE_ERROR = re.compile(r"^([A-Z]\w*(?:Error|Exception)): ")
 _ROUTINE = re.compile(r"^goroutine \d+ \[.*\]:$")
 _BRANCH = re.compile(r"^[│├└─┬┤┼╠╚═╔╗╝╬║\s|+\\`-]+")
@@ -120,7 +122,7 @@ def strip_console(text: str, drop_all: bool = False) -> str:
             i += 1
     flush()
     if dropped:
-        out[where] = f"[... {dropped} console block{'s' if dropped > 1 else ''} dropped: run passed]"
+        out[where] = f"  [{dropped} console.* log block{'s' if dropped > 1 else ''} dropped — run passed]"
     return "\n".join(out)
 
 
@@ -177,6 +179,25 @@ def compress_python_traces(text: str, most: int = 5) -> str:
     return "\n".join(out)
 
 
+def compress_script_traces(text: str) -> str:
+    """Tracebacks of more than two frames as first and last, unless an import failed (C-12)."""
+    lines, out, i = text.split("\n"), [], 0
+    while i < len(lines):
+        out.append(lines[i])
+        i += 1
+        if not lines[i - 1].strip().startswith("Traceback (most recent call last):"):
+            continue
+        frames: list[list[str]] = []
+        while i < len(lines) and _PY_CALL.match(lines[i]):
+            n = 2 if i + 1 < len(lines) and _PY_CODE.match(lines[i + 1]) else 1
+            frames.append(lines[i : i + n])
+            i += n
+        failed_import = i < len(lines) and _IMPORT.match(lines[i].strip())
+        kept = frames if failed_import or len(frames) <= 2 else [frames[0], [f"  ... {len(frames) - 2} more frames ..."], frames[-1]]
+        out += [x for f in kept for x in f]
+    return "\n".join(out)
+
+
 def compress_node_traces(text: str, most: int = 2) -> str:
     """Stacks under an error line as their first two application frames and counts of the others (F-12)."""
     lines, out, i = text.split("\n"), [], 0

@@ -25,6 +25,7 @@ native("f10_go_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spa
 native("f11_python_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_python_traces))
 native("f12_node_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_node_traces))
 native("f13_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_traces))
+native("c12_script_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_script_traces))
 native("c13_tree")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TREE), sequential.compress_tree))
 native("c16_jq")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _JSON, 2), sequential.compress_jq))
 native("c18_console")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _CONSOLE), sequential.strip_console))
