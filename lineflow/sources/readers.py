@@ -21,7 +21,7 @@ CAPTURE_CAP, CAPTURE_NOTICE = 10 << 20, "\n[output truncated: exceeded 10 MiB]\n
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file one document (S-01)."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def capped(docs: DataFrame, text: str = "text", most: int = CAPTURE_CAP) -> DataFrame:
