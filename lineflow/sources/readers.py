@@ -27,7 +27,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def capped(docs: DataFrame, text: str = "text", most: int = CAPTURE_CAP) -> DataFrame:
     """Texts cut at `most` bytes with a notice (S-02); a character cut in two is dropped."""
     raw = F.col(text).cast("binary")
-    cut = F.regexp_replace(F.decode(F.substring(raw, 1, most), "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, most).cast("string")), "\ufffd+$", "")
     return docs.withColumn(text, F.when(F.octet_length(text) > most, F.concat(cut, F.lit(CAPTURE_NOTICE))).otherwise(F.col(text)))
 
 
