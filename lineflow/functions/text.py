@@ -94,3 +94,19 @@ def version_key(d: Dialect, x: str) -> list[str]:
     """Numbers of a version and whether it is a release (X-17)."""
     part = lambda k: f"cast(coalesce(nullif({d.extract(x, r'^v?([0-9]+)(?:[.]([0-9]+))?(?:[.]([0-9]+))?', k)}, ''), '0') as bigint)"
     return [part(1), part(2), part(3), f"case when {d.contains(x, d.lit('-'))} then 0 else 1 end"]
+
+
+def tree_name(d: Dialect, x: str) -> str:
+    """Entry name of a tree line, without branches (X-14)."""
+    return d.trim(d.sub(x, r"^[│├└─┬┤┼╠╚═╔╗╝╬║ \t|+\\`-]+", ""))
+
+
+def tree_depth(d: Dialect, x: str) -> str:
+    """Width of the branches before an entry (X-14)."""
+    return d.chars(d.extract(x, r"^[ │|\t]*"))
+
+
+def age(d: Dialect, seconds: str) -> str:
+    """Age text of a snapshot (X-18)."""
+    ago = lambda by, unit: f"concat(cast({d.div(seconds, str(by))} as varchar(20)), '{unit} ago')"
+    return f"case when {seconds} < 60 then 'just now' when {seconds} < 3600 then {ago(60, 'm')} when {seconds} < 86400 then {ago(3600, 'h')} else {ago(86400, 'd')} end"

@@ -79,6 +79,18 @@ def quality(d: Dialect, raw: str, clean: str) -> str:
     return f"(select doc, important, least(kept + credit, important) as preserved, case when important = 0 then 100.0 else round({d.double('least(kept + credit, important)')} / {d.double('important')} * 100, 6) end as score from {credit} q1)"
 
 
+def bench_quality(d: Dialect, raw: str, clean: str) -> str:
+    """Like quality(), on lines without escape codes: contained in an output line, or their core in the whole (A-13)."""
+    bare = T.strip_ansi(d, "t")
+    core = T.core(d, "n")
+    lines = f"(select doc, n, level from (select doc, {d.trim(bare)} as n, level, t from {classify.classified(d, raw)} b0) b1)"
+    out = f"(select doc, text, {T.strip_ansi(d, 'text')} as bare from {clean})"
+    kept = f"(select l.doc, n = '' or {d.contains('o.bare', 'n')} or ({core} <> '' and {d.contains('o.bare', core)}) or {d.match('n', P.DROP_SAFE)} as kept from {lines} l join {out} o on l.doc = o.doc where level >= {P.WARNING})"
+    counts = f"(select doc, cast(count(*) as bigint) as important, {d.int_sum('case when kept then 1 else 0 end')} as kept from {kept} b2 group by doc)"
+    credit = f"(select o.doc, coalesce(important, 0) as important, coalesce(kept, 0) as kept, {marker_credit(d, 'o.text')} as credit from {out} o left join {counts} n on o.doc = n.doc)"
+    return f"(select doc, important, least(kept + credit, important) as preserved from {credit} b3)"
+
+
 def parity(d: Dialect, base: str, candidate: str, per_item: float = 5, average: float = 5) -> str:
     """Two reports (name, reduction) side by side: drift, what is missing, what is over the limit (J-03)."""
     return f"""(select coalesce(b.name, c.name) as name, coalesce(b.reduction, 0.0) as base_reduction, coalesce(c.reduction, 0.0) as candidate_reduction,
