@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineflow.llm._bytes import TABLE_FOLDED, U64, mix, prefix_hash, span_hash, text_column, word_spans
+from lineflow.llm._bytes import TABLE_FOLDED, U64, mix, parts, prefix_hash, span_hash, text_column, word_spans
 from lineflow.llm._fit import balanced_sample, fit_once, remainder, softmax, temperature
 
 #: Hashed vocabulary, vector width, non-zeros of an index vector, neighbours on each side.
 VOCABULARY, WIDTH, NONZERO, REACH = 1 << 13, 32, 4, 2
 #: Labelled rows of each label that the network is fitted on, at most (about).
 PER_LABEL = 3000
+#: Bytes of text whose tokens are held at once.
+PART = 1 << 20
 HIDDEN = 32
 
 _SHAPES = 1 << 10
@@ -78,8 +80,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 total[:] += np.bincount(token * WIDTH + _AT[context, k], weights=_SIGN[context, k], minlength=len(total))
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                words, shapes, rows, _ = tokens(*text_column(whole["text"].slice(lo, 4096)))
+            for part in parts(whole, PART):
+                words, shapes, rows, _ = tokens(*text_column(part["text"]))
                 for step in range(1, REACH + 1):
                     same = rows[step:] == rows[:-step]
                     a, b = words[:-step][same], words[step:][same]
@@ -173,11 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") != 0).cast("int")).alias("y"))
     sample = balanced_sample(marks, "y", per_label)
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    # The sample has about two times per_label rows at any size of the input.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "y")), "doc_id")
 
     def learn(table: pa.Table) -> Network:
         y = table["y"].to_numpy().astype(np.int64)
-        x = np.concatenate([pooled(table["text"].slice(lo, 512).combine_chunks(), vectors) for lo in range(0, len(y), 512)])
+        x = np.concatenate([pooled(part["text"], vectors) for batch in table.select(["text"]).combine_chunks().to_batches() for part in parts(batch, PART)])
         got = np.bincount(y, minlength=2)
         prior = np.array([counts.get(0, 0), counts.get(1, 0)], dtype=float)
         return train(x, y, (prior / np.maximum(got, 1))[y])
@@ -194,8 +197,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for batch in parts(whole, PART):
                 got = softmax(net.logits(pooled(batch["text"], vectors)))[:, 1] if net is not None else np.full(batch.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(got)], names=["doc_id", "score"])
 
@@ -210,8 +212,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, Network | None], threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for batch in parts(whole, PART):
                 yield batch.filter(pa.array(softmax(net.logits(pooled(batch["text"], vectors)))[:, 1] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
