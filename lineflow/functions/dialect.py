@@ -176,6 +176,10 @@ class Spark(Dialect):
     def int_sum(self, x):
         return f"cast(sum({x}) as bigint)"
 
+    def row_hash(self, *xs):
+        """A 64-bit hash for comparisons inside one engine."""
+        return f"xxhash64({', '.join(xs)})"
+
     def first_by(self, x, y):
         return f"min_by({x}, {y})"
 
@@ -291,6 +295,9 @@ class Duck(Dialect):
     def int_sum(self, x):
         return f"sum({x})::bigint"
 
+    def row_hash(self, *xs):
+        return f"hash({', '.join(xs)})"
+
     def first_by(self, x, y):
         return f"arg_min({x}, {y})"
 

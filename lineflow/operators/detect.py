@@ -25,15 +25,20 @@ def auto_detect(d: Dialect, src: str, sample: int = 50) -> str:
     """
     first = "case " + " ".join(f"when {d.match('line', p)} then {d.lit(t)}" for t, p in P.DETECT_FIRST) + " end"
     counted = "case " + " ".join(f"when {d.match('line', p)} then {d.lit(t)}" for t, p, _ in P.DETECT_COUNTED) + " end"
-    weight = "case kind " + " ".join(f"when {d.lit(t)} then {w}" for t, _, w in P.DETECT_COUNTED) + " else 1 end"
+    kinds = sorted((t, w) for t, _, w in P.DETECT_COUNTED)
     lines = f"(select * from (select doc, pos, line, row_number() over (partition by doc order by pos) as i from {src} where {d.trim('line')} <> '') a0 where i <= {sample})"
     marked = f"(select doc, pos, {first} as first_kind, {counted} as kind from {lines} a1)"
-    docs = f"(select doc, cast(count(*) as bigint) as n, {d.first_by('case when first_kind is not null then first_kind end', 'case when first_kind is not null then pos end')} as decided from {marked} a2 group by doc)"
-    scores = f"(select doc, kind, cast(count(*) as bigint) as score from {marked} a3 where kind is not null group by doc, kind)"
-    joined = f"(select s.doc, s.kind, s.score, s.score * {weight} as w, greatest({d.div('n * 40', '100')}, 2) as high, greatest({d.div('n * 20', '100')}, 2) as low from {scores} s join {docs} x on s.doc = x.doc)"
-    ranked = f"(select doc, kind, score, high, low, row_number() over (partition by doc order by case when score >= high then 0 else 1 end, w desc, kind) as r, sum(case when score >= low then 1 else 0 end) over (partition by doc) as candidates, max(case when score >= high then 1 else 0 end) over (partition by doc) as strong from {joined} a4)"
-    best = f"(select doc, case when max(strong) = 1 then max(case when r = 1 then kind end) when max(candidates) = 1 then max(case when score >= low then kind end) end as kind from {ranked} a5 group by doc)"
-    return f"(select x.doc, coalesce(x.decided, b.kind, 'generic') as cmd_type from {docs} x left join {best} b on x.doc = b.doc)"
+    # One aggregation by document: the deciding line and a count for each type.
+    each = ", ".join(f"{d.int_sum(f'case when kind = {d.lit(t)} then 1 else 0 end')} as n_{t}" for t, _ in kinds)
+    decided = d.first_by("case when first_kind is not null then first_kind end", "case when first_kind is not null then pos end")
+    counts = f"(select doc, cast(count(*) as bigint) as n, {decided} as decided, {each} from {marked} a2 group by doc)"
+    bounds = f"(select *, greatest({d.div('n * 40', '100')}, 2) as high, greatest({d.div('n * 20', '100')}, 2) as low from {counts} a3)"
+    # Weighted count and rank of the name in one number, so that the greatest is the winner with ties to the first name.
+    coded = "greatest(" + ", ".join(f"case when n_{t} >= high then n_{t} * {w * 100} + {99 - r} else 0 end" for r, (t, w) in enumerate(kinds)) + ")"
+    name = "case 99 - best % 100 " + " ".join(f"when {r} then {d.lit(t)}" for r, (t, _) in enumerate(kinds)) + " end"
+    some = " + ".join(f"case when n_{t} >= low then 1 else 0 end" for t, _ in kinds)
+    only = "case " + " ".join(f"when n_{t} >= low then {d.lit(t)}" for t, _ in kinds) + " end"
+    return f"(select doc, coalesce(decided, case when best > 0 then {name} when {some} = 1 then {only} end, 'generic') as cmd_type from (select *, {coded} as best from {bounds} a4) a5)"
 
 
 def resolve(d: Dialect, commands: str, lines: str, mapping: dict[str, str]) -> str:

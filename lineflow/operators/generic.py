@@ -51,24 +51,23 @@ def dedup(d: Dialect, src: str) -> str:
 
 
 def collapse_node_warnings(d: Dialect, src: str) -> str:
-    """Blocks of the same warning from several workers become the first and a marker (F-06)."""
+    """Blocks of the same warning from several workers become the first and a marker (F-06).
+
+    A block is a header with its continuation lines.  Blocks carry a digest of their lines without process ids, and a
+    block equal to the one right before it joins its run; windows over one partitioning do all of it, without a join.
+    """
     head, more = d.match("line", P.NODE_WARNING), d.match("line", r"^[( \t]")
-    return f"""(select doc, pos, sub, line from (
-        select doc, pos, cast(0 as bigint) as sub, line from w4 where not inside or first_of_run = block
-        union all
-        select doc, max(pos) as pos, cast(1 as bigint) as sub, concat('... and ', cast(count(distinct block) - 1 as varchar(20)), case when count(distinct block) = 2 then ' identical warning' else ' identical warnings' end, ' from other workers') as line
-        from w4 where inside group by doc, first_of_run having count(distinct block) > 1) m)""".replace("w4", f"({_node_blocks(d, src, head, more)}) w4")
-
-
-def _node_blocks(d: Dialect, src: str, head: str, more: str) -> str:
-    # A block is a header with the continuation lines after it; `brk` numbers stretches without a gap between blocks.
-    lines = f"""select *, sum(case when head or not more then 1 else 0 end) over ({UPTO}) as unit, sum(case when not more and not head then 1 else 0 end) over ({UPTO}) as brk
-        from (select doc, pos, line, {head} as head, {more} as more from {src}) w0"""
-    blocks = f"""select doc, unit as block, brk, {d.agg_join(d.sub('line', P.NODE_PID, '(node)'), 'pos', chr(10))} as body, {d.bool_or('head')} as is_block from ({lines}) w1 group by doc, unit, brk"""
-    runs = f"""select doc, block, is_block, first_of_run from (select doc, block, is_block, min(block) over (partition by doc, run) as first_of_run
-        from (select *, sum(case when same then 0 else 1 end) over (partition by doc order by block rows between unbounded preceding and current row) as run
-        from (select *, coalesce(is_block and lag(is_block) over (partition by doc order by block) and body = lag(body) over (partition by doc order by block), false) as same from ({blocks}) w2) w3a) w3b) w3c"""
-    return f"select l.doc, l.pos, l.line, l.unit as block, r.is_block as inside, r.first_of_run from ({lines}) l join ({runs}) r on l.doc = r.doc and l.unit = r.block"
+    one = f"(select *, sum(case when head or not more then 1 else 0 end) over ({UPTO}) as unit from (select doc, pos, line, {head} as head, {more} as more from {src}) w0)"
+    two = f"(select *, row_number() over (partition by doc, unit order by pos) as j, max(case when head then 1 else 0 end) over (partition by doc, unit) as is_block from {one} w1)"
+    key = d.row_hash("j", d.sub("line", P.NODE_PID, "(node)"))
+    three = f"(select *, bit_xor({key}) over (partition by doc, unit) as body, count(*) over (partition by doc, unit) as size from {two} w2)"
+    prev = lambda x: f"lag({x}) over ({PREVIOUS})"
+    four = f"(select *, case when j = 1 and not coalesce(is_block = 1 and {prev('is_block')} = 1 and body = {prev('body')} and size = {prev('size')}, false) then 1 else 0 end as starts from {three} w3)"
+    five = f"(select *, sum(starts) over ({UPTO}) as run from {four} w4)"
+    six = f"(select *, min(unit) over (partition by doc, run) as first_unit, max(unit) over (partition by doc, run) as last_unit, max(pos) over (partition by doc, run) as last_pos from {five} w5)"
+    count = "cast(last_unit - first_unit as varchar(20))"
+    return f"""(select doc, pos, cast(k as bigint) as sub, case when k = 0 then line else concat('... and ', {count}, case when last_unit - first_unit = 1 then ' identical warning' else ' identical warnings' end, ' from other workers') end as line
+        from {six} w6 cross join (select 0 as k union all select 1 as k) two where (k = 0 and unit = first_unit) or (k = 1 and last_unit > first_unit and pos = last_pos))"""
 
 
 #: Secrets, in order of application: pattern and replacement.
