@@ -27,7 +27,14 @@ def java(pattern: str) -> str:
             elif e == r"\S" and not inside:
                 out.append(f"[^{_SPACE}]")
             elif e == r"\b" and not inside:
-                out.append(_EDGE)
+                # Next to a literal word character one look decides; the general form is slow.
+                before, after = pattern[: i - 2], pattern[i : i + 2]
+                if re.match(rf"[{_WORD}](?![*?{{])", after) or re.match(r"\\[dw](?![*?{])", pattern[i:]):
+                    out.append(f"(?<![{_WORD}])")
+                elif re.search(rf"(?<!\\)[{_WORD}]$", before):
+                    out.append(f"(?![{_WORD}])")
+                else:
+                    out.append(_EDGE)
             else:
                 out.append(e)
             continue
