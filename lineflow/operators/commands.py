@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from lineflow.functions import patterns as P
 from lineflow.functions.dialect import Dialect
 from lineflow.operators.generic import PREVIOUS, UPTO
 
