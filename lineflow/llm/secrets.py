@@ -8,7 +8,6 @@ spans, unless they look like a known digest or identifier or overlap a pattern s
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
