@@ -5,7 +5,8 @@ half to the other, alternately, which permutes the whole format; the result is u
 equal values get equal pseudonyms in every document, different values different ones, and a valid value stays valid.
 
     card    13 to 19 digits that pass Luhn: first digit stays, check digit is computed, the rest is permuted
-    phone   North American: area and exchange begin with 2 to 9; country code and punctuation stay
+    phone   North American notation with any area and exchange; country code and punctuation stay, and each of the two
+            codes keeps its side of 200, so that a number that can be assigned (2 to 9 first) gets one that can
     ip      IPv4, all 32 bits
     ssn     area 001-899 without 666, group 01-99, serial 0001-9999
     date    y-m-d, y/m/d and d.m.y of 1900 to 2099, permuted as day numbers
@@ -28,8 +29,8 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d|[.-]\d)"
-CARD = r"(?<![\d-])(?:\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{13,19})(?![\d]|-\d)"
+PHONE = r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|[.-]\d)"
+CARD = r"(?<![\d-])(?:\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5}|\d{13,19})(?![\d]|-\d)"
 ANY = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
@@ -111,7 +112,8 @@ def _card(m: Column, key: str) -> Column:
         mixed = feistel(F.substring(digits, F.lit(2), a), F.substring(digits, a + 2, b), ten(a), ten(b), "card", key)
         body = _let(mixed, lambda s: F.concat(F.substring(digits, 1, 1), _padded(s["l"], a), _padded(s["r"], b)))
         full = _let(body, lambda s: F.concat(s, F.pmod(F.lit(10) - luhn_sum(F.concat(s, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-        spaced = lambda sep: F.regexp_replace(full, r"^(\d{4})(\d{4})(\d{4})", f"$1{sep}$2{sep}$3{sep}")
+        fours = lambda sep: F.regexp_replace(full, r"^(\d{4})(\d{4})(\d{4})", f"$1{sep}$2{sep}$3{sep}")
+        spaced = lambda sep: F.when(m.rlike(r"^\d{4}\D\d{6}\D"), F.regexp_replace(full, r"^(\d{4})(\d{6})", f"$1{sep}$2{sep}")).otherwise(fours(sep))
         return F.when(luhn_sum(digits) % 10 != 0, m).when(F.contains(m, F.lit(" ")), spaced(" ")).when(F.contains(m, F.lit("-")), spaced("-")).otherwise(full)
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), made)
@@ -120,8 +122,10 @@ def _card(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     parts = r"^((?:\+?1[ .-]?)?\(?)(\d{3})(\)? ?|[ .-])(\d{3})([ .-])(\d{4})$"
     g = lambda k: F.regexp_extract(m, parts, k)
-    mixed = feistel((g(2).cast("long") - 200) * 800 + g(4).cast("long") - 200, g(6), 640_000, 10_000, "phone", key)
-    return _let(mixed, lambda s: F.concat(g(1), (F.floor(s["l"] / 800) + 200).cast("string"), g(3), (s["l"] % 800 + 200).cast("string"), g(5), _padded(s["r"], 4)))
+    low = lambda k: F.when(g(k) < "200", 0).otherwise(200).cast("long")
+    size = lambda k: F.when(g(k) < "200", 200).otherwise(800).cast("long")
+    mixed = feistel((g(2).cast("long") - low(2)) * size(4) + g(4).cast("long") - low(4), g(6), size(2) * size(4), 10_000, "phone", key)
+    return _let(mixed, lambda s: F.concat(g(1), _padded(F.floor(s["l"] / size(4)) + low(2), 3), g(3), _padded(s["l"] % size(4) + low(4), 3), g(5), _padded(s["r"], 4)))
 
 
 def _ip(m: Column, key: str) -> Column:

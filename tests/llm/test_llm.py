@@ -230,6 +230,21 @@ def test_pii_is_a_permutation(spark):
     assert out.select("text").distinct().count() == 73049 == out.where("size(pii) >= 0 and text rlike '^(19|20)'").count()
 
 
+def test_pii_any_area_and_card_grouping(spark):
+    """Phones with any area and exchange, and cards grouped 4-6-5 and 4-6-4."""
+    values = ["+1 (017) 555-7713", "(269) 055-3296", "117.155.0042", "3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+    rows = [(i, f"call {v}, please") for i, v in enumerate(values)] + [(9, "not 3782 822463 10006 at all")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, v in enumerate(values):
+        out = got[i]["text"].removeprefix("call ").removesuffix(", please")
+        assert out != v and re.sub(r"\d", "0", out) == re.sub(r"\d", "0", v) and [p["kind"] for p in got[i]["pii"]] == ["phone" if i < 3 else "card"]
+        assert i < 3 or luhn(re.sub(r"\D", "", out))
+    assert got[3]["text"].replace(" ", "-") == got[4]["text"].replace(" ", "-") and got[9]["text"] == rows[-1][1]
+    phones = spark.sql("select id doc_id, printf('%03d-%03d-7713', id div 40, (id % 40) * 25) text from range(40000)")
+    out = pii.pseudonymise(phones)
+    assert out.select("text").distinct().count() == 40000 == out.where("size(pii) <= 1 and text rlike '^[0-9]{3}-[0-9]{3}-[0-9]{4}$'").count()
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
