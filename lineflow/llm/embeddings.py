@@ -1,8 +1,10 @@
 """Operator 2: near-duplicate embeddings by an inverted multi-index.
 
 Each half of the unit vectors has its own codebook; the product of the two is the grid of cells.  For a query, the cells
-are traversed in order of a lower bound on the distance to anything in them, until the bound passes a radius measured on
-a query sample against all vectors for a target recall; what the visited cells hold is verified in double precision.
+are traversed in order of a lower bound on the distance to anything in them, until the bound passes a radius; what the
+visited cells hold is verified in double precision.  The radius gives every query of a sample the target recall of its
+links among all vectors, and covers links drawn at the threshold itself, where links are hardest to reach, so that it
+depends neither on one large group nor on the sample having such links.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineflow.llm._fit import fit_once
@@ -23,6 +25,8 @@ from lineflow.llm._shared import components, materialise
 SAMPLE, PROBES, BLOCK, RECALL = 20_000, 256, 1024, 0.9995
 #: The measured radius (squared) is widened by this factor; it never needs to exceed the threshold's own distance.
 MARGIN = 2.0
+#: Links at the threshold in random directions that are drawn for each query of the sample.
+DRAWS = 16
 _BINS = 4096
 
 
@@ -68,11 +72,13 @@ def codebook(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarr
 
 
 class Grid:
-    """Two codebooks.  A vector is stored in the cell of its nearest centroids."""
+    """Two codebooks.  A vector is stored in the cell of its nearest centroids; `span` neighbouring cells of a row of the
+    grid are stored together, so that a query is not copied to many cells of a few vectors."""
 
-    def __init__(self, books: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, books: tuple[np.ndarray, np.ndarray], span: int = 1):
         self.books = books
         self.cut = books[0].shape[1]
+        self.span = span
 
     def bounds(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(home, low): nearest centroid of each half and, for every centroid, the least squared distance that a vector
@@ -89,17 +95,18 @@ class Grid:
         return home, low
 
     def cells(self, home: list[np.ndarray]) -> np.ndarray:
-        return home[0] * len(self.books[1]) + home[1]
+        return home[0] * len(self.books[1]) + home[1] // self.span
 
     def traverse(self, low: list[np.ndarray], row: int, radius: float) -> np.ndarray:
-        """Cells in order of the sum of the halves' bounds, up to the radius: both halves sorted, then merged."""
+        """Stored cells in order of the sum of the halves' bounds, up to the radius: both halves sorted, then merged."""
         a, b = np.argsort(low[0][row], kind="stable"), np.argsort(low[1][row], kind="stable")
         a = a[: np.searchsorted(low[0][row][a], radius, side="right")]
         b = b[: np.searchsorted(low[1][row][b], radius, side="right")]
         total = low[0][row][a][:, None] + low[1][row][b][None]
         i, j = np.nonzero(total <= radius)
         order = np.argsort(total[i, j], kind="stable")
-        return a[i[order]] * len(self.books[1]) + b[j[order]]
+        cells = a[i[order]] * len(self.books[1]) + b[j[order]] // self.span
+        return cells[np.sort(np.unique(cells, return_index=True)[1])]
 
 
 def fit_grid(vectors: DataFrame, n: int) -> Grid:
@@ -111,37 +118,53 @@ def fit_grid(vectors: DataFrame, n: int) -> Grid:
         x = _matrix(table["v"].combine_chunks())
         cut = max(1, x.shape[1] // 2)
         right = x[:, cut:] if x.shape[1] > 1 else np.zeros((len(x), 1))
-        return Grid((codebook(x[:, :cut], k), codebook(right, k)))
+        return Grid((codebook(x[:, :cut], k), codebook(right, k)), min(k, -(-BLOCK * k * k // max(1, n))))
 
     grid = fit_once(sample.select(F.col("rep").alias("doc_id"), "v"), ["doc_id", "v"], learn)
     return grid or fit_once(vectors.orderBy("rep").limit(1).select(F.col("rep").alias("doc_id"), "v"), ["doc_id", "v"], learn)
 
 
+def drawn_bounds(q: np.ndarray, grid: Grid, low: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Bounds, by query, of the cells of DRAWS vectors at exactly the threshold from it, in random directions."""
+    rng = np.random.default_rng(5)
+    rows, out = np.arange(len(q)), []
+    for _ in range(DRAWS):
+        z = rng.normal(size=q.shape)
+        z -= (z * q).sum(axis=1)[:, None] * q
+        z /= np.maximum(np.linalg.norm(z, axis=1), 1e-300)[:, None]
+        home, _ = grid.bounds(threshold * q + max(0.0, 1 - threshold**2) ** 0.5 * z)
+        out.append(low[0][rows, home[0]] + low[1][rows, home[1]])
+    return np.array(out)
+
+
 def measured_radius(vectors: DataFrame, grid: Grid, threshold: float, recall: float) -> float:
-    """Squared radius of the traversal that finds `recall` of the true links of a query sample against all vectors."""
+    """Squared radius of the traversal that finds, for each query of a sample, `recall` of its true links to other vectors
+    of the whole table, and every drawn link at the threshold."""
     most = 2 - 2 * threshold
-    probes = vectors.orderBy(F.xxhash64("rep", F.lit("probe"))).limit(PROBES).select("v").toArrow()
-    q = _matrix(probes["v"].combine_chunks())
+    probes = vectors.orderBy(F.xxhash64("rep", F.lit("probe"))).limit(PROBES).select("rep", "v").toArrow()
+    if not probes.num_rows or most <= 0:
+        return max(0.0, most) + 1e-9
+    ids, q = probes["rep"].to_numpy(), _matrix(probes["v"].combine_chunks())
     _, low = grid.bounds(q)
+    drawn = drawn_bounds(q, grid, low, threshold).max()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(_BINS, dtype=np.int64)
+        seen = np.zeros(len(q) * _BINS, dtype=np.int64)
         for b in batches:
             x = _matrix(b["v"])
             home, _ = grid.bounds(x)
-            i, j = np.nonzero(q @ x.T >= threshold)
+            i, j = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != b["rep"].to_numpy()[None]))
             s = low[0][i, home[0][j]] + low[1][i, home[1][j]]
-            seen += np.bincount(np.minimum((s / most * _BINS).astype(np.int64), _BINS - 1), minlength=_BINS)
+            np.add.at(seen, i * _BINS + np.minimum((s / most * _BINS).astype(np.int64), _BINS - 1), 1)
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bin", "n"])
-
-    got = vectors.select("v").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    total, run_ = sum(r["n"] for r in got), 0
-    for r in got:
-        run_ += r["n"]
-        if run_ >= recall * total:
-            return min(most, max((r["bin"] + 1) / _BINS * most * MARGIN, most / 50)) + 1e-9
-    return most + 1e-9
+        yield pa.RecordBatch.from_arrays([pa.array(at // _BINS), pa.array(at % _BINS), pa.array(seen[at])], names=["probe", "bin", "n"])
+
+    of = Window.partitionBy("probe")
+    got = vectors.select("rep", "v").mapInArrow(run, "probe long, bin long, n long").groupBy("probe", "bin").agg(F.sum("n").alias("n"))
+    got = got.select("probe", "bin", F.sum("n").over(of.orderBy("bin")).alias("run"), F.sum("n").over(of).alias("total"))
+    reach = got.where(F.col("run") >= F.lit(recall) * F.col("total")).groupBy("probe").agg(F.min("bin").alias("bin")).agg(F.max("bin")).first()[0]
+    found = 0.0 if reach is None else (reach + 1) / _BINS * most * MARGIN
+    return min(most, max(found, drawn, most / 50)) + 1e-9
 
 
 def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:

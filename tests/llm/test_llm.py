@@ -261,6 +261,31 @@ def test_embeddings_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (100, 101, 102, 103, 104, 105))
 
 
+@pytest.mark.parametrize("rare", [False, True])
+def test_embeddings_hot_group_hides_no_links(spark, rare):
+    """A third of the vectors around one centre; links at 0.95 to 0.97 elsewhere, many or too few for the probes."""
+    rng = np.random.default_rng(4)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    dim, n = 16, 6000
+
+    def near(x, cosine):
+        z = rng.normal(size=x.shape)
+        z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+        return cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * z
+
+    hot = near(np.tile(unit(rng.normal(size=dim)), (n // 3, 1)), np.full(n // 3, 0.999))
+    base = unit(rng.normal(size=(n // 3, dim)))
+    some = base[: len(base) // 10] if rare else base
+    other = near(some, rng.uniform(0.951, 0.97, len(some)))
+    x = unit(np.concatenate([hot, base, other]))
+    schema = "vec_id long, embedding array<double>"
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)).collect()}
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    cold = range(len(hot), len(x))
+    assert sum(got[i]["n_links"] for i in cold) >= 0.9995 * want[len(hot) :].sum() > 300
+    assert all(got[i]["n_links"] <= want[i] for i in cold)
+
+
 def test_parts_keep_rows():
     from lineflow.llm._bytes import parts
 
