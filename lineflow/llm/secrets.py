@@ -2,7 +2,10 @@
 
 Random strings compress badly under a byte-pair vocabulary learned from text: they have few characters a token.  Runs of
 RUN or more characters that mix letters and digits are tokenised, and those under RATIO characters a token become `token`
-spans, unless they look like a known digest or identifier or overlap a pattern span.
+spans, unless they look like a known digest or identifier.  Of a run that a pattern span touches, what the span leaves is
+tested.  A run that is not random as a whole is tested in parts, so that words around a secret, as in a path or a URL, do
+not hide it: stretches of segments that are no words or numbers, the segments between / . - _ = and, within a long
+segment, windows of WINDOW characters.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from lineflow.llm._bytes import text_column, word_spans
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of byte-level BPE; runs without spaces only meet its letter, digit and sign branches.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
-RUN, RATIO = 20, 2.0
+RUN, WINDOW, RATIO = 16, 20, 2.0
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,6 +35,13 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Digests and identifiers that are no secrets: hex digests of usual lengths, UUIDs, base32 SHA-1, plain numbers, dotted or dashed words and numbers, paths.
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha512)[-:=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Z2-7]{32}|[0-9+/_.=-]+|(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8})(?:[/_.=-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8}|[a-z]))*[/_.=-]*")
+#: Dates with a time of day, also no secrets.
+INSTANT = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_.-]?[0-9]{2}[-_.]?[0-9]{2}[-_.]?(?:[0-9]{2})?(?:[.-][0-9]+)?[Zz]?")
+#: UUIDs and digests of usual lengths inside a run.
+KNOWN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[A-Z2-7]{32})(?![0-9A-Za-z])")
+SEGMENT = re.compile(r"[^/._=-]+")
+#: A segment that is a word or a number and so parts a stretch of odd segments.
+PLAIN = re.compile(r"[A-Z]?[a-z]{2,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]{1,8}|[A-Za-z]")
 _CLASS = np.zeros(256, dtype=bool)
 _CLASS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 
@@ -59,11 +69,69 @@ def random_like(run: str, vocabulary: str, ratio: float) -> bool:
     core = run.strip("+/_.=-")
     if len(core) < RUN or not re.search("[0-9]", core) or not re.search("[A-Za-z]", core):
         return False
-    if DIGEST.fullmatch(core) or IDENTIFIER.fullmatch(core):
+    if DIGEST.fullmatch(core) or IDENTIFIER.fullmatch(core) or INSTANT.fullmatch(core):
         return False
     return token_ratio(core, vocabulary) < ratio
 
 
+def free_parts(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What `taken` leaves of [start, end), parts of RUN or more characters."""
+    out = []
+    for a, b in sorted(taken):
+        if a < end and b > start:
+            out.append((start, a))
+            start = max(start, b)
+    return [(a, b) for a, b in [*out, (start, end)] if b - a >= RUN]
+
+
+def random_windows(segment: str, vocabulary: str, ratio: float) -> list[tuple[int, int]]:
+    """Unions of the windows of whole tokens, WINDOW or more characters, that mix letters and digits under the ratio."""
+    enc = encoding(vocabulary)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in enc.decode_tokens_bytes(enc.encode_ordinary(segment))])])
+    raw = np.frombuffer(segment.encode(), dtype=np.uint8)
+    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+    letters = np.concatenate([[0], np.cumsum(raw >= 65)])
+    i = np.arange(np.searchsorted(at, at[-1] - WINDOW, side="right"))
+    i, j = np.append(i, i[-1]), np.append(np.searchsorted(at, at[i] + WINDOW), len(at) - 1)
+    a, b = at[i], at[j]
+    hit = (b - a < ratio * (j - i)) & (digits[b] > digits[a]) & (letters[b] > letters[a])
+    out: list[tuple[int, int]] = []
+    for x, y in zip(a[hit].tolist(), b[hit].tolist()):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], y)
+        else:
+            out.append((x, y))
+    return out
+
+
+def random_parts(run: str, vocabulary: str, ratio: float) -> list[tuple[int, int]]:
+    """Random-looking parts of a run: the whole of it, or else stretches, segments and windows, none overlapping."""
+    if len(run) < RUN or not re.search("[0-9]", run):
+        return []
+    if random_like(run, vocabulary, ratio):
+        return [(0, len(run))]
+    out: list[tuple[int, int]] = []
+    for lo, hi in free_parts(0, len(run), [m.span() for m in KNOWN.finditer(run)]):
+        segments = [m.span() for m in SEGMENT.finditer(run, lo, hi)]
+        odd = [PLAIN.fullmatch(run, a, b) is None for a, b in segments]
+        k = 0
+        while k < len(segments):
+            n = k + 1
+            while odd[k] and n < len(segments) and odd[n] and segments[n][0] == segments[n - 1][1] + 1:
+                n += 1
+            a, b = segments[k][0], segments[n - 1][1]
+            if n > k + 1 and random_like(run[a:b], vocabulary, ratio):
+                out.append((a, b))
+            else:
+                for a, b in segments[k:n]:
+                    if random_like(run[a:b], vocabulary, ratio):
+                        out.append((a, b))
+                    elif b - a > WINDOW and DIGEST.fullmatch(run, a, b) is None:
+                        out += [(a + x, a + y) for x, y in random_windows(run[a:b], vocabulary, ratio)]
+            k = n
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Pattern spans, leftmost non-overlapping for each kind, failing matches dropped, by start then kind."""
     found = [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -73,7 +141,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def all_spans(text: str, base: list[Span], runs: list[tuple[int, int]], vocabulary: str, ratio: float) -> list[Span]:
-    added = [Span("token", s, e) for s, e in runs if not any(b.start < e and s < b.end for b in base) and random_like(text[s:e], vocabulary, ratio)]
+    added = []
+    for s, e in runs:
+        for lo, hi in free_parts(s, e, [(b.start, b.end) for b in base if b.start < e and s < b.end]):
+            added += [Span("token", lo + x, lo + y) for x, y in random_parts(text[lo:hi], vocabulary, ratio)]
     return sorted(base + added, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
