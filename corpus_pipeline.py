@@ -9,7 +9,7 @@ mix          draws the sources to their target weights; `copies` says how often
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineflow.llm import decontaminate, minhash, mixing, pii, quality
@@ -43,9 +43,21 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with taken words and copies; repeated rows of one doc_id share the largest count."""
-    plan = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return docs.join(plan.hint("merge"), "doc_id")
+    """Documents that the mix takes, with taken words and copies; repeated rows of one doc_id share the largest count.
+
+    Documents without doc_id count each on their own: the mix knows them by source and size alone, so of those that share
+    both, in order of text, the first get the largest counts.
+    """
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    plan = taken.where("doc_id is not null").groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("copies").alias("copies"))
+    named = docs.join(plan.hint("merge"), "doc_id")
+    of = Window.partitionBy("source", "size")
+    places = taken.where("doc_id is null").select(F.struct("source", "size", F.row_number().over(of.orderBy(F.desc("taken"))).alias("k")).alias("place"), "taken", "copies")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    nameless = docs.where("doc_id is null").select(row, "source", "text", mixing.size_of("text").alias("size"))
+    nameless = nameless.select("row", F.struct("source", "size", F.row_number().over(of.orderBy("text")).alias("k")).alias("at"))
+    nameless = nameless.join(places.hint("merge"), F.col("at").eqNullSafe(F.col("place"))).select("row.*", "taken", "copies")
+    return named.unionByName(nameless)
 
 
 #: Order is fixed: near-duplicates after the classifier, personal data after decontamination, mixing last.

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineflow.llm._shared import materialise
@@ -22,6 +22,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 4096
 
 
+def size_of(text: str) -> Column:
+    """Words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, cycle: Sequence[int], share: float, cap: int) -> DataFrame:
     """(sk, source_size, target) from (sk, source_size): weights cycle over sk order, water-filled under cap x size."""
     by_name = Window.orderBy("sk")
@@ -52,7 +57,7 @@ def mix(docs: DataFrame, cycle: Sequence[int] = (3, 1, 2), share: float = 1.5, c
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        size_of("text").alias("size"),
         sk.alias("sk"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
     )

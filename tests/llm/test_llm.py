@@ -339,3 +339,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[1] == kept[0] - {500} and kept[2] == kept[1] - {501} and kept[3] == kept[2]
     assert kept[4] <= kept[3] and len(kept[4]) > 80
     assert "a.b1@x.org" not in " ".join(r["text"] for r in docs.collect())
+
+
+def test_mix_stage_keeps_documents_without_id(spark, tmp_path):
+    """Every document that the mix takes comes out, those without doc_id too, and the words add up."""
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i, prose(i % 30, 20 + i % 7), "en", None if i % 5 == 0 else "ab"[i % 2], i) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS + ", n_chars long")
+    plan = [r for r in mixing.mix(docs).collect() if r["taken"]]
+    got = corpus_pipeline.mix_stage(spark, docs, str(tmp_path)).collect()
+    key = lambda r: (r["doc_id"] or -1, r["source"] or "", r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, plan)) and any(r["doc_id"] is None for r in got)
+    assert all(r["taken"] == r["copies"] * len(r["text"].split()) for r in got) and len({r["n_chars"] for r in got}) == len(got)
