@@ -2,7 +2,8 @@
 
 An occurrence of an item of m characters with at most k edits keeps at least (m - Q + 1) - k * Q of its q-grams, all on
 diagonals within k of each other.  Shared q-grams are counted in diagonal bands of width 2 (k + 1) that overlap by half,
-so one band holds them all; bands that reach the bound are verified by banded alignment.
+so one band holds them all; bands that reach the bound are verified by banded alignment.  Items under LEAST characters
+are looked for without edits, from word border to word border.
 
 Characters are the UTF-8 bytes of a text with A-Z folded and every run of space and 0x09-0x0D made one space.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from lineflow.llm._bytes import SPACE, U64, text_column
 
 Q = 8
-#: Share of an item's characters that may be edited; items under LEAST characters are too short to be evidence.
+#: Share of an item's characters that may be edited; items under LEAST characters must occur exactly.
 RATE, LEAST = 0.1, 24
 #: Normalised item text compared in one pass over the documents; larger benchmarks take several passes.
 PASS_BYTES = 8 << 20
@@ -27,6 +28,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 _TABLE_BITS = 22
+#: Bytes of words: letters, digits and all of other alphabets.
+_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
 def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +76,15 @@ class Items:
         self.item, self.pos = item[order], pos[order]
         self.gram, first = np.unique(g[order], return_index=True)
         self.first = np.append(first, len(g))
+        # Short items by length: their texts, sorted, and which items they are.
+        self.short = {}
+        least = max(least, Q)
+        self.edits[m < least] = 0
+        for n in np.unique(m[(m > 0) & (m < least)]):
+            which = np.flatnonzero(m == n)
+            texts = self._strings(self.text, self.offsets[which], int(n))
+            order = np.argsort(texts, kind="stable")
+            self.short[int(n)] = texts[order], which[order]
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[self._slot(self.gram)] = True
 
@@ -80,6 +92,35 @@ class Items:
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g * U64(0x9E3779B97F4A7C15) >> U64(64 - _TABLE_BITS)).astype(np.int64)
 
+    @staticmethod
+    def _strings(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The n bytes from each position, comparable."""
+        return np.ascontiguousarray(text[at[:, None] + np.arange(n)]).view(f"S{n}").ravel()
+
+    def exact(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, end in the row) of every occurrence of a short item between word borders."""
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        if self.short and len(text):
+            word = _WORD[text]
+            border = np.ones(len(text) + 1, dtype=bool)
+            border[1:-1] = ~(word[1:] & word[:-1])
+            border[offsets] = True
+            starts = np.flatnonzero(border[:-1])
+            row = np.searchsorted(offsets, starts, side="right") - 1
+            for n, (texts, which) in self.short.items():
+                fit = starts + n <= offsets[row + 1]
+                at, of = starts[fit], row[fit]
+                fit = border[at + n]
+                at, of = at[fit], of[fit]
+                for lo in range(0, len(at), 1 << 18):
+                    a, r = at[lo : lo + (1 << 18)], of[lo : lo + (1 << 18)]
+                    here = self._strings(text, a, n)
+                    low, high = np.searchsorted(texts, here, side="left"), np.searchsorted(texts, here, side="right")
+                    k = high - low
+                    each = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low, k)
+                    found.append(np.stack([np.repeat(r, k), which[each], np.repeat(a + n - offsets[r], k)]))
+        return tuple(np.concatenate(found, axis=1))
+
     def regions(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first diagonal) of the bands that meet the lemma's bound."""
         none = np.zeros((3, 0), dtype=np.int64)
@@ -149,7 +190,8 @@ class Items:
         row, item, first = self.regions(raw, offsets)
         edits, end = self.verify(raw, offsets, row, item, first)
         ok = edits <= self.edits[item]
-        got = [x[ok] for x in (row, item, edits, end)]
+        short = self.exact(raw, offsets)
+        got = [np.concatenate([x[ok], y]) for x, y in zip((row, item, edits, end), (*short[:2], np.zeros(len(short[0]), dtype=np.int64), short[2]))]
         order = np.lexsort(got[::-1])
         row, item, edits, end = (x[order] for x in got)
         new = np.ones(len(row), dtype=bool)
@@ -178,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, leas
     """(doc_id, item_id, edits, item_chars, doc_end): benchmark items that a document holds with at most rate * size edits.
 
     One row per document row and item, with the fewest edits and where that piece ends in the normalised text.  Null and
-    empty texts hold nothing; items shorter than `least` normalised characters are not looked for; repeated items are
+    empty texts hold nothing; items shorter than `least` normalised characters must occur exactly between word borders, empty items never do; repeated items are
     reported each, repeated rows come back repeated.  Row-local against a bounded part of the benchmark: no shuffle.
     """
     out = None
