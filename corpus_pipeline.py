@@ -63,7 +63,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Order is fixed: near-duplicates after the classifier, personal data after decontamination, mixing last.
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontam", decontam_stage), ("pii", pii_stage), ("mix", mix_stage)]
 
-#: SQL can't express the classifier and the alignment; tests compare each stage with a brute-force version.
+#: SQL can't express the classifier and the alignment; tests compare near_dedup and decontam with brute force, mix with its
+#: plan, and hold quality and pii against planted documents.
 ORACLE_SQL = None
 
 
