@@ -43,12 +43,17 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = {BASE: np.ones(1, dtype=U64), BASE_INV: np.ones(1, dtype=U64)}
 
 
+#: Powers that a process keeps.
+_KEPT = 1 << 21
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown by doubling and kept per process."""
+    """base**0 .. base**(n-1) modulo 2**64, grown by doubling; up to _KEPT of them are kept per process."""
     got = _powers[base]
     while len(got) < n:
         got = np.concatenate([got, got * U64(pow(base, len(got), 1 << 64))])
-        _powers[base] = got
+        if len(got) <= _KEPT:
+            _powers[base] = got
     return got[:n]
 
 
