@@ -34,9 +34,20 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """`name`, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced; n_chars, where there is one, follows the text."""
-    done = pii.pseudonymise(docs)
+    """Every document, personal data replaced under the session's key; n_chars, where there is one, follows the text.
+
+    No other column changes, whatever it is called.
+    """
+    done = pii.pseudonymise(docs, pii.session_key(spark), into=_free("pii", docs.columns))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
@@ -46,17 +57,21 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with taken words and copies; repeated rows of one doc_id share the largest count.
 
     Documents without doc_id count each on their own: the mix knows them by source and size alone, so of those that share
-    both, in order of text, the first get the largest counts.
+    both, in order of text, the first get the largest counts.  Where a column is called `taken` or `copies` already, the
+    new one has an underscore behind its name.
     """
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    plan = taken.where("doc_id is not null").groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("copies").alias("copies"))
-    named = docs.join(plan.hint("merge"), "doc_id")
-    of = Window.partitionBy("source", "size")
-    places = taken.where("doc_id is null").select(F.struct("source", "size", F.row_number().over(of.orderBy(F.desc("taken"))).alias("k")).alias("place"), "taken", "copies")
+    words, copies = _free("taken", docs.columns), _free("copies", docs.columns)
+    counts = [F.col("mix.taken").alias(words), F.col("mix.copies").alias(copies)]
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    nameless = docs.where("doc_id is null").select(row, "source", "text", mixing.size_of("text").alias("size"))
-    nameless = nameless.select("row", F.struct("source", "size", F.row_number().over(of.orderBy("text")).alias("k")).alias("at"))
-    nameless = nameless.join(places.hint("merge"), F.col("at").eqNullSafe(F.col("place"))).select("row.*", "taken", "copies")
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", F.struct("taken", (F.col("taken") / F.col("size")).cast("int").alias("copies")).alias("mix"))
+    plan = taken.where("doc_id is not null").groupBy("doc_id").agg(F.max("mix").alias("mix"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row).join(plan.hint("merge"), "doc_id").select("row.*", *counts)
+    of = Window.partitionBy("source", "size")
+    places = taken.where("doc_id is null").select(F.struct("source", "size", F.row_number().over(of.orderBy(F.desc("mix"))).alias("k")).alias("place"), "mix")
+    nameless = docs.where("doc_id is null").select(row, "source", "text", mixing.size_of("text").alias("mix_size"))
+    of = Window.partitionBy("source", "mix_size")
+    nameless = nameless.select("row", F.struct("source", F.col("mix_size").alias("size"), F.row_number().over(of.orderBy("text")).alias("k")).alias("at"))
+    nameless = nameless.join(places.hint("merge"), F.col("at").eqNullSafe(F.col("place"))).select("row.*", *counts)
     return named.unionByName(nameless)
 
 

@@ -9,25 +9,29 @@ equal values get equal pseudonyms in every document, different values different
             codes keeps its side of 200, so that a number that can be assigned (2 to 9 first) gets one that can
     ip      IPv4, all 32 bits
     ssn     area 001-899 without 666, group 01-99, serial 0001-9999
-    date    y-m-d, y/m/d and d.m.y of 1900 to 2099, permuted as day numbers
+    date    y-m-d, y/m/d, m/d/y and d.m.y of 1900 to 2099, permuted as day numbers
     email   local part: letters stay letters of their case, digits stay digits; the domain stays
 
-Anything else, such as a digit run that fails Luhn or a day that no calendar has, is left as it is.
+Anything else, such as a digit run that fails Luhn or a day that no calendar has, is left as it is.  Who has the key can
+undo the permutation, so a production run sets its own.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "change-me"
+#: Session setting that holds the key, and the key of runs that don't set it, which hides nothing from readers of this file.
+KEY_SETTING, DEMO_KEY = "spark.lineflow.pii.key", "change-me"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
+#: Loops over labels are possessive: the matcher runs them without recursion, so a name of any length fits its stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]++\.))++[A-Za-z]{2,}+"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
+DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|[.-]\d)"
 CARD = r"(?<![\d-])(?:\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5}|\d{13,19})(?![\d]|-\d)"
@@ -57,17 +61,24 @@ def feistel(left: Column, right: Column, a: Column | int, b: Column | int, tag:
     return F.aggregate(_turns(), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; a lambda's body would compute it for every item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _shift(text: Column, hexes: Column) -> Column:
     """Every letter and digit of `text` moved within its class by the hex pairs, reused in turn."""
 
-    def move(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        by = F.conv(F.substring(hexes, (i - 1) % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        code = F.ascii(c)
-        turn = lambda base, size: F.char(F.pmod(code - base + by, F.lit(size)) + base)
-        return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+    def moved(by: Column) -> Column:
+        def move(c: Column, i: Column) -> Column:
+            code = F.ascii(c)
+            turn = lambda base, size: F.char(F.pmod(code - base + F.get(by, i % 32), F.lit(size)) + base)
+            return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), move), "")
 
-    return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), move), ""))
+    pairs = lambda h: F.transform(F.array(*[F.substring(h, 2 * k + 1, 2) for k in range(32)]), lambda x: F.conv(x, 16, 10).cast("int"))
+    return _let(_let(hexes, pairs), moved)
 
 
 def feistel_text(text: Column, tag: str, key: str) -> Column:
@@ -87,11 +98,6 @@ def _padded(x: Column, n: Column | int) -> Column:
     return F.lpad(x.cast("string"), n if isinstance(n, Column) else F.lit(n), F.lit("0"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a digit string, its last digit counted single."""
 
@@ -145,14 +151,15 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    form = F.when(F.contains(m, F.lit("-")), "yyyy-MM-dd").when(F.contains(m, F.lit("/")), "yyyy/MM/dd").otherwise("dd.MM.yyyy")
-    iso = F.when(F.contains(m, F.lit(".")), F.regexp_replace(m, r"^(\d\d)\.(\d\d)\.(\d{4})$", "$3-$2-$1")).otherwise(F.replace(m, F.lit("/"), F.lit("-")))
+    form = F.when(F.contains(m, F.lit("-")), "yyyy-MM-dd").when(m.rlike("^../"), "MM/dd/yyyy").when(F.contains(m, F.lit("/")), "yyyy/MM/dd").otherwise("dd.MM.yyyy")
+    iso = F.when(F.contains(m, F.lit(".")), F.regexp_replace(m, r"^(\d\d)\.(\d\d)\.(\d{4})$", "$3-$2-$1")).when(form == "MM/dd/yyyy", F.regexp_replace(m, r"^(\d\d)/(\d\d)/(\d{4})$", "$3-$1-$2")).otherwise(F.replace(m, F.lit("/"), F.lit("-")))
     day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
 
     def made(d: Column) -> Column:
         mixed = feistel(F.floor(d / _DAYS[1]), d % _DAYS[1], _DAYS[0], _DAYS[1], "date", key)
         new = _let(mixed, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * _DAYS[1] + s["r"]).cast("int")).cast("string"))
-        back = F.when(form == "yyyy/MM/dd", F.replace(new, F.lit("-"), F.lit("/"))).when(form == "dd.MM.yyyy", F.regexp_replace(new, r"^(\d{4})-(\d\d)-(\d\d)$", "$3.$2.$1")).otherwise(new)
+        turned = lambda to: F.regexp_replace(new, r"^(\d{4})-(\d\d)-(\d\d)$", to)
+        back = F.when(form == "yyyy/MM/dd", turned("$1/$2/$3")).when(form == "MM/dd/yyyy", turned("$2/$3/$1")).when(form == "dd.MM.yyyy", turned("$3.$2.$1")).otherwise(new)
         return F.when(d.isNull(), m).otherwise(back)
 
     return _let(day, made)
@@ -165,7 +172,7 @@ def _email(m: Column, key: str) -> Column:
 
 def kind_of(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return F.when(F.contains(m, F.lit("@")), "email").when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), "ip").when(whole(r"\d{4}([-/])\d\d\1\d\d|\d\d\.\d\d\.\d{4}"), "date").when(whole(r"\d{3}-\d\d-\d{4}"), "ssn").when(whole(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), "phone").otherwise("card")
+    return F.when(F.contains(m, F.lit("@")), "email").when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), "ip").when(whole(r"\d{4}([-/])\d\d\1\d\d|\d\d([./])\d\d\2\d{4}"), "date").when(whole(r"\d{3}-\d\d-\d{4}"), "ssn").when(whole(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), "phone").otherwise("card")
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -175,23 +182,32 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.when(kind == "ssn", _ssn(m, key)).when(kind == "phone", _phone(m, key)).otherwise(_card(m, key))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """`docs` with personal data in `text` replaced, and pii array<struct<kind,pseudonym>> of what was replaced.
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; a demonstration key, with a warning, where it names none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms can be undone by anyone", stacklevel=2)
+    return key or DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pii") -> DataFrame:
+    """`docs` with personal data in `text` replaced, and `into` array<struct<kind,pseudonym>> of what was replaced.
 
-    Every other column stays; a column named `pii` is replaced.  Null text stays null with no entries, empty text stays
-    empty; matches do not overlap, the leftmost goes first.  Row-local: no shuffle, no Python.
+    Every other column stays; one named `into` is replaced.  Null text stays null with no entries, empty text stays
+    empty; matches do not overlap, the leftmost goes first; repeated rows come back repeated.  Texts and matches may be
+    of any length: the time grows in proportion, and no pattern recurses.  Row-local: no shuffle, no Python.
     """
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
     pairs = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("old"), pseudonym(m, key).alias("pseudonym")))
     some = t.rlike("[0-9]|@")
     none = F.array().cast("array<struct<kind:string,old:string,pseudonym:string>>")
-    out = docs.withColumn("pii", F.when(some, pairs).otherwise(none))
+    out = docs.withColumn(into, F.when(some, pairs).otherwise(none))
     gaps = F.split(t, ANY, -1)
-    whole = F.array_join(F.zip_with(gaps, F.concat(F.transform("pii", lambda p: p["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
-    out = out.withColumn(text, F.when(F.size("pii") > 0, whole).otherwise(t))
-    changed = F.filter("pii", lambda p: p["old"] != p["pseudonym"])
-    return out.withColumn("pii", F.transform(changed, lambda p: F.struct(p["kind"].alias("kind"), p["pseudonym"].alias("pseudonym"))))
+    whole = F.array_join(F.zip_with(gaps, F.concat(F.transform(into, lambda p: p["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
+    out = out.withColumn(text, F.when(F.size(into) > 0, whole).otherwise(t))
+    changed = F.filter(into, lambda p: p["old"] != p["pseudonym"])
+    return out.withColumn(into, F.transform(changed, lambda p: F.struct(p["kind"].alias("kind"), p["pseudonym"].alias("pseudonym"))))
 
 
 def digest(done: DataFrame) -> DataFrame:

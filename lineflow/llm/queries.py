@@ -81,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.pseudonymise(_table(spark, sf_dir, "documents")))
+    return pii.digest(pii.pseudonymise(_table(spark, sf_dir, "documents"), pii.session_key(spark)))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
