@@ -1,9 +1,12 @@
 """Operator 10: benchmark decontamination by q-gram lemma filtering.
 
-An occurrence of an item of m characters with at most k edits keeps at least (m - Q + 1) - k * Q of its q-grams, all on
+An occurrence of an item of m characters with at most k edits keeps at least (m - q + 1) - k * q of its q-grams, all on
 diagonals within k of each other.  Shared q-grams are counted in diagonal bands of width 2 (k + 1) that overlap by half,
-so one band holds them all; bands that reach the bound are verified by banded alignment.  Items under LEAST characters
-are looked for without edits, from word border to word border.
+so one band holds them all; bands that reach the bound are verified by banded alignment.  q is Q, or less for an item so
+short that the bound would be 0.  Q-grams of more than COMMON items, such as those of a phrase that opens every question,
+are not counted and the bound of their items is lowered by their number, but by no more than half: the filter passes
+more, the alignment decides as before.  Items under LEAST characters are looked for without edits, from word border to
+word border.
 
 Characters are the UTF-8 bytes of a text with A-Z folded and every run of space and 0x09-0x0D made one space.
 """
@@ -17,17 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineflow.llm._bytes import SPACE, U64, text_column
+from lineflow.llm._bytes import SPACE, U64, parts, text_column
 
 Q = 8
+#: Bytes of documents handled at once, longer ones alone.
+PART = 2 << 20
 #: Share of an item's characters that may be edited; items under LEAST characters must occur exactly.
 RATE, LEAST = 0.1, 24
-#: Normalised item text compared in one pass over the documents; larger benchmarks take several passes.
-PASS_BYTES = 8 << 20
+#: Items that a q-gram may have before it counts as common; q-gram hits expanded at once.
+COMMON, HITS = 64, 1 << 20
+#: Item text compared in one pass over the documents, which bounds what a pass sends to the tasks (some 30 times that);
+#: larger benchmarks take several passes.
+PASS_BYTES = 2 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
-_TABLE_BITS = 22
+_TABLE_BITS = 20
 #: Bytes of words: letters, digits and all of other alphabets.
 _WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
@@ -52,8 +60,105 @@ def grams(text: np.ndarray) -> np.ndarray:
     return x
 
 
+class Grams:
+    """The q-grams of the items that share a q, sorted, with a bit table in front."""
+
+    def __init__(self, items: "Items", which: np.ndarray, q: int):
+        self.items, self.q = items, q
+        # The first q bytes of eight, the lowest ones of the integer.
+        self.mask = U64((1 << 8 * q) - 1)
+        g, item, pos = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for k in which:
+            x = self.of(items.text[items.offsets[k] : items.ends[k]])
+            g.append(x)
+            item.append(np.full(len(x), k))
+            pos.append(np.arange(len(x)))
+        g, item, pos = map(np.concatenate, (g, item, pos))
+        order = np.lexsort((item, g))
+        g, item, pos = g[order], item[order], pos[order]
+        # Items by gram, and the most common grams of every item, which go as far as its bound allows.
+        new = np.ones(len(g), dtype=bool)
+        new[1:] = g[1:] != g[:-1]
+        group = np.cumsum(new) - 1
+        fresh = new.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        spread = np.bincount(group, weights=fresh, minlength=group[-1] + 1 if len(g) else 0)[group].astype(np.int64)
+        by = np.lexsort((-spread, item))
+        start = np.searchsorted(item[by], item[by])
+        drop = np.zeros(len(g), dtype=bool)
+        drop[by] = (spread[by] > COMMON) & (np.arange(len(g)) - start < items.bound[item[by]] // 2)
+        items.bound -= np.bincount(item[drop], minlength=len(items.bound))
+        g, self.item, self.pos = g[~drop], item[~drop], pos[~drop]
+        self.gram, first = np.unique(g, return_index=True)
+        self.first = np.append(first, len(g))
+        self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
+        self.table[self._slot(self.gram)] = True
+
+    def of(self, text: np.ndarray, eights: np.ndarray | None = None) -> np.ndarray:
+        """The q bytes from each position as one integer: exact, not hashed."""
+        g = grams(text) if eights is None else eights
+        if self.q == Q or not len(text):
+            return g[: max(0, len(text) - self.q + 1)] & self.mask
+        # Positions near the end have no eight bytes, but q.
+        tail = grams(np.concatenate([text[max(0, len(text) - Q + 1) :], np.zeros(Q - self.q, dtype=np.uint8)]))
+        return np.concatenate([g, tail[len(tail) - max(0, len(text) - self.q + 1 - len(g)) :]]) & self.mask
+
+    def hits(self, text: np.ndarray, offsets: np.ndarray, eights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, place in the row, gram) of the shared q-grams, all of some rows at a time."""
+        g = self.of(text, eights)
+        at = np.flatnonzero(self.table[self._slot(g)]) if len(g) and len(self.gram) else np.zeros(0, dtype=np.int64)
+        k = np.minimum(np.searchsorted(self.gram, g[at]), max(0, len(self.gram) - 1))
+        hit = self.gram[k] == g[at] if len(at) else np.zeros(0, dtype=bool)
+        at, k = at[hit], k[hit]
+        row = np.searchsorted(offsets, at, side="right") - 1
+        hit = at + self.q <= offsets[row + 1]
+        at, k, row = at[hit], k[hit], row[hit]
+        upto = np.cumsum(self.first[k + 1] - self.first[k])
+        lo = 0
+        while lo < len(at):
+            hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HITS, side="right"))
+            # Whole rows; a row with more hits than that is counted in slices by regions().
+            hi = len(at) if hi >= len(at) else max(int(np.searchsorted(row, row[hi])), int(np.searchsorted(row, row[lo], side="right")))
+            yield row[lo:hi], at[lo:hi] - offsets[row[lo:hi]], k[lo:hi]
+            lo = hi
+
+    def regions(self, text: np.ndarray, offsets: np.ndarray, eights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, first diagonal) of the bands that meet the lemma's bound."""
+        edits, bound, most = self.items.edits, self.items.bound, int(self.items.size.max())
+        for row, at, k in self.hits(text, offsets, eights):
+            wide = int(at.max()) + most + 2
+            keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            n = self.first[k + 1] - self.first[k]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            lo = 0
+            while lo < len(k):
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + HITS, side="right")) - 1)
+                m = n[lo:hi]
+                each = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.first[k[lo:hi]], m)
+                item = self.item[each]
+                cell = (np.repeat(at[lo:hi], m) - self.pos[each] + most) // (edits[item] + 1)
+                key, count = np.unique((np.repeat(row[lo:hi], m) * len(self.items.ids) + item) * wide + cell, return_counts=True)
+                keys, counts = np.concatenate([keys, key]), np.concatenate([counts, count])
+                lo = hi
+            key, back = np.unique(keys, return_inverse=True)
+            count = np.bincount(back, weights=counts, minlength=len(key)).astype(np.int64)
+            # Band b joins cells b and b + 1, so a band may also begin at an empty cell before a filled one.
+            start = np.unique(np.concatenate([key, key - 1]))
+            both = np.zeros(len(start), dtype=np.int64)
+            both[np.searchsorted(start, key)] += count
+            both[np.searchsorted(start, key - 1)] += count
+            item = start // wide % len(self.items.ids)
+            good = both >= bound[item]
+            start, item = start[good], item[good]
+            yield start // wide // len(self.items.ids), item, (start % wide) * (edits[item] + 1) - most
+
+    @staticmethod
+    def _slot(g: np.ndarray) -> np.ndarray:
+        return (g * U64(0x9E3779B97F4A7C15) >> U64(64 - _TABLE_BITS)).astype(np.int64)
+
+
 class Items:
-    """The q-grams of benchmark items, sorted, with a bit table in front."""
+    """The benchmark's items: texts, edit budgets, q-grams by q, and short ones by length."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, rate: float, least: int):
         self.ids = ids
@@ -63,34 +168,22 @@ class Items:
         self.ends = ends
         m = ends - self.offsets[:-1]
         self.size = m
-        self.edits = np.maximum(0, np.minimum((m * rate).astype(np.int64), (m - Q) // Q))
-        self.bound = (m - Q + 1) - self.edits * Q
-        g, item, pos = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for k in np.flatnonzero(m >= max(least, Q)):
-            x = grams(self.text[self.offsets[k] : ends[k]])
-            g.append(x)
-            item.append(np.full(len(x), k))
-            pos.append(np.arange(len(x)))
-        g, item, pos = map(np.concatenate, (g, item, pos))
-        order = np.argsort(g, kind="stable")
-        self.item, self.pos = item[order], pos[order]
-        self.gram, first = np.unique(g[order], return_index=True)
-        self.first = np.append(first, len(g))
+        self.edits = np.floor(m * rate + 1e-9).astype(np.int64)
+        # The largest q that leaves the bound at 1 or more: (m - q + 1) - k q >= 1.
+        q = np.minimum(Q, m // (self.edits + 1))
+        least = max(least, 1)
+        self.bound = (m - q + 1) - self.edits * q
+        if (long := (m >= least) & (q < 1)).any():
+            raise ValueError(f"a rate of {rate} leaves items without a q-gram: {ids[long][:5].tolist()}")
+        self.grams = [Grams(self, np.flatnonzero((m >= least) & (q == x)), int(x)) for x in np.unique(q[m >= least])]
         # Short items by length: their texts, sorted, and which items they are.
         self.short = {}
-        least = max(least, Q)
         self.edits[m < least] = 0
         for n in np.unique(m[(m > 0) & (m < least)]):
             which = np.flatnonzero(m == n)
             texts = self._strings(self.text, self.offsets[which], int(n))
             order = np.argsort(texts, kind="stable")
             self.short[int(n)] = texts[order], which[order]
-        self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.table[self._slot(self.gram)] = True
-
-    @staticmethod
-    def _slot(g: np.ndarray) -> np.ndarray:
-        return (g * U64(0x9E3779B97F4A7C15) >> U64(64 - _TABLE_BITS)).astype(np.int64)
 
     @staticmethod
     def _strings(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -121,38 +214,6 @@ class Items:
                     found.append(np.stack([np.repeat(r, k), which[each], np.repeat(a + n - offsets[r], k)]))
         return tuple(np.concatenate(found, axis=1))
 
-    def regions(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, first diagonal) of the bands that meet the lemma's bound."""
-        none = np.zeros((3, 0), dtype=np.int64)
-        g = grams(text)
-        at = np.flatnonzero(self.table[self._slot(g)]) if len(g) and len(self.gram) else none[0]
-        if not len(at):
-            return tuple(none)
-        k = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
-        hit = self.gram[k] == g[at]
-        at, k = at[hit], k[hit]
-        row = np.searchsorted(offsets, at, side="right") - 1
-        hit = at + Q <= offsets[row + 1]
-        at, k, row = at[hit], k[hit], row[hit]
-        n = self.first[k + 1] - self.first[k]
-        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
-        item, pos = self.item[each], self.pos[each]
-        row, at = np.repeat(row, n), np.repeat(at - offsets[row], n)
-        step = self.edits[item] + 1
-        most = int(self.size.max())
-        cell = (at - pos + most) // step
-        wide = int(cell.max()) + 2 if len(cell) else 1
-        key, count = np.unique((row * len(self.ids) + item) * wide + cell, return_counts=True)
-        # Band b joins cells b and b + 1, so a band may also begin at an empty cell before a filled one.
-        start = np.unique(np.concatenate([key, key - 1]))
-        both = np.zeros(len(start), dtype=np.int64)
-        both[np.searchsorted(start, key)] += count
-        both[np.searchsorted(start, key - 1)] += count
-        item = start // wide % len(self.ids)
-        good = both >= self.bound[item]
-        start, item = start[good], item[good]
-        return start // wide // len(self.ids), item, (start % wide) * (self.edits[item] + 1) - most
-
     def verify(self, text: np.ndarray, offsets: np.ndarray, row: np.ndarray, item: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least edit distance of the item to any piece of the text in the band, end of that piece in the row)."""
         best, end = np.full(len(row), 1 << 30), np.zeros(len(row), dtype=np.int64)
@@ -183,11 +244,12 @@ class Items:
                 end[part] = left + m + lane
         return best, end
 
-
     def found(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(row, item, edits, end) of what is within the edit budget: fewest edits, then least end, of each row and item."""
         raw, offsets = normalise(*text_column(texts))
-        row, item, first = self.regions(raw, offsets)
+        eights = grams(raw)
+        got = [np.stack(r) for x in self.grams for r in x.regions(raw, offsets, eights)]
+        row, item, first = np.concatenate([np.zeros((3, 0), dtype=np.int64), *got], axis=1)
         edits, end = self.verify(raw, offsets, row, item, first)
         ok = edits <= self.edits[item]
         short = self.exact(raw, offsets)
@@ -199,14 +261,6 @@ class Items:
         return row[new], item[new], edits[new], end[new]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of about 4 MB of the batches."""
-    for whole in batches:
-        step = max(1, min(2048, whole.num_rows * (4 << 20) // max(1, whole.nbytes)))
-        for lo in range(0, whole.num_rows, step):
-            yield whole.slice(lo, step)
-
-
 def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[pa.Table]:
     """The benchmark in parts of at most about PASS_BYTES, dealt by hash of the item."""
     rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -220,15 +274,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, leas
     """(doc_id, item_id, edits, item_chars, doc_end): benchmark items that a document holds with at most rate * size edits.
 
     One row per document row and item, with the fewest edits and where that piece ends in the normalised text.  Null and
-    empty texts hold nothing; items shorter than `least` normalised characters must occur exactly between word borders, empty items never do; repeated items are
-    reported each, repeated rows come back repeated.  Row-local against a bounded part of the benchmark: no shuffle.
+    empty texts hold nothing; items shorter than `least` normalised characters must occur exactly between word borders,
+    empty items never do; items without item_id are left out, repeated items are reported each, repeated rows come back
+    repeated, without doc_id too.  Texts of any length are compared whole.  Row-local against a bounded part of the
+    benchmark: no shuffle.
     """
     out = None
     for table in _passes(benchmark, item_id, text):
         items = Items(table["item_id"].to_numpy(), table["text"].combine_chunks(), rate, least)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in _parts(batches):
+            for batch in (p for whole in batches for p in parts(whole, PART)):
                 row, item, edits, end = items.found(batch["text"])
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].cast(pa.int64()).take(pa.array(row)), pa.array(items.ids[item]), pa.array(edits.astype(np.int64)), pa.array(items.size[item]), pa.array(end)],
@@ -246,7 +302,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
         items = Items(table["item_id"].to_numpy(), table["text"].combine_chunks(), rate, least)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in _parts(batches):
+            for batch in (p for whole in batches for p in parts(whole, PART)):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[items.found(batch["text"])[0]] = False
                 yield batch.filter(pa.array(clean))
