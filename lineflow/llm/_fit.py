@@ -16,19 +16,15 @@ def remainder(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % mod
 
 
-def balanced_sample(rows: DataFrame, label: str, per_label: int, seed: str = "fit") -> DataFrame:
-    """About `per_label` rows of each label, chosen by a keyed hash of doc_id; labels with fewer rows come whole.
+def balanced_sample(rows: DataFrame, label: str, per_label: int, most: int, seed: str = "fit") -> DataFrame:
+    """About `per_label` rows of each of the `most` most frequent labels, chosen by a keyed hash of doc_id; labels with
+    fewer rows come whole.  Ties in frequency fall to the label.
 
-    Only the counts by label, as many as there are label values, reach the driver.
+    The counts of those labels, `most` rows at the most, are broadcast; nothing that grows with the table is.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return rows
+    counts = rows.groupBy(F.col(label).alias("label_")).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), "label_").limit(most)
     place = (F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))).cast("double")
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
-    return rows.where(place < share)
+    return rows.join(F.broadcast(counts), F.col(label) == F.col("label_")).where(place * F.col("n_") < per_label).select(*rows.columns)
 
 
 def fit_once(sample: DataFrame, columns: list[str], train: Callable[[pa.Table], object]) -> object:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one where that is unset in local mode (tests)."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="lineflow-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")

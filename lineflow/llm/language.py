@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lineflow.llm._bytes import parts
 from lineflow.llm._fit import balanced_sample, fit_once, remainder, softmax, temperature
 
-#: Hashed feature space, 2**FEATURES; sample bound per language; most languages that a model may have.
+#: Hashed feature space, 2**FEATURES; sample bound per language; languages that a model learns, the most frequent ones.
 FEATURES, PER_LANG, MAX_LANGS = 16, 1000, 500
 #: Bytes of text whose n-grams are held at once.
 PART = 1 << 18
@@ -34,7 +34,7 @@ def _folded() -> np.ndarray:
     import unicodedata
 
     table = np.full(sys.maxunicode + 1, _GAP, dtype=np.uint32)
-    for i in range(0x30000):
+    for i in range(sys.maxunicode + 1):
         c = chr(i)
         if unicodedata.category(c)[0] == "L":
             low = c.lower()
@@ -148,23 +148,25 @@ def train(table: pa.Table, langs: list[str], idf: np.ndarray, alpha: float = 0.5
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Fit on rows of `docs` (doc_id, text, lang) with text and lang; None if there are none."""
+    """Fit on rows of `docs` (doc_id, text, lang) with text and lang; None if there are none.
+
+    The model learns the MAX_LANGS most frequent values of lang, so that its size doesn't depend on stray ones.
+    """
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(rows)
     if n == 0:
         return None
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    sample = balanced_sample(rows, "lang", per_lang)
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sample = balanced_sample(rows, "lang", per_lang, MAX_LANGS)
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     return fit_once(sample, ["doc_id", "text", "lang"], lambda table: train(table, langs, idf))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of `docs` (doc_id, text).
 
-    Null text, text without a letter, and everything if there is no model get `und` with score 0.  Row-local.
+    Null text, text without a letter of any alphabet, and everything if there is no model get `und` with score 0; texts
+    of any length are read whole, repeated rows come back repeated.  Row-local.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
     """Word vectors of all `docs` and the network from labelled rows; labels with null doc_id or quality are unused."""
     vectors = word_vectors(docs)
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") != 0).cast("int")).alias("y"))
-    sample = balanced_sample(marks, "y", per_label)
+    sample = balanced_sample(marks, "y", per_label, 2)
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # The sample has about two times per_label rows at any size of the input.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "y")), "doc_id")
