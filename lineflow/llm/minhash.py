@@ -3,7 +3,11 @@
 One permutation (sigma) shuffles the shingle universe, a second one (pi) is applied to circular shifts of it, so that
 two permutations give every signature coordinate: h_k(S) = min over s in S of pi(sigma(s) + k mod 2**32).  ROWS
 coordinates form a band; documents that agree on one of BANDS bands share a bucket.  Every link is confirmed on the full
-shingle sets.
+shingle sets, whose members are 64-bit hashes.
+
+A bucket of any size is compared in blocks, first each block with itself and with a few pivots drawn from the whole
+bucket, which joins a group of near copies in one pass over its texts; then, of the buckets that still hold several
+components, what lies outside the largest one with the whole bucket.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineflow.llm._bytes import BASE, MASK, TABLE_FOLDED, U64, mix, prefix_hash, row_of, span_hash, text_column, word_spans
@@ -21,12 +25,12 @@ from lineflow.llm._shared import components, materialise
 #: 24 bands of 5: a pair at similarity 0.85 shares no bucket with probability (1 - 0.85**5)**24, under 1e-6.
 BANDS, ROWS = 24, 5
 SHINGLE = 5
-BITS = 48
-_LOW = U64((1 << BITS) - 1)
+#: Members of a block, shingles of a block (about), pivots of a bucket of several blocks (about), parts of a hot key.
+BLOCK, SHINGLES, PIVOTS, SALTS = 256, 1 << 18, 16, 16
 
 
-def shingle_keys(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts): distinct shingles of each row as sorted row << 48 | hash, and how many a row has.
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): the distinct shingles of each row as 64-bit hashes, row by row, and how many a row has.
 
     Words are maximal runs outside space and 0x09-0x0D, A-Z folded.  A row of fewer than `size` words has its whole word
     sequence as one shingle, a row without words has none.
@@ -43,19 +47,25 @@ def shingle_keys(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> t
     # A short row: its own polynomial over word place, then its word count.
     np.cumsum(mix(words + place * U64(0x632BE59BD9B4E019)), out=whole[1:])
     at = np.flatnonzero(short)
-    tiny = mix((whole[first[at + 1]] - whole[first[at]]) ^ U64(0xA5A5A5A5A5A5A5A5)) & _LOW
-    keys = [(at.astype(U64) << U64(BITS)) | tiny]
+    h, row = [mix((whole[first[at + 1]] - whole[first[at]]) ^ U64(0xA5A5A5A5A5A5A5A5))], [at]
     if len(words) >= size:
         m = len(words) - size + 1
         grams = words[:m] * U64(BASE)
         for k in range(1, size):
             grams += words[k : m + k] * U64(pow(BASE, k + 1, MASK + 1))
         inside = rows[:m] == rows[size - 1 :]
-        keys.append((rows[:m][inside].astype(U64) << U64(BITS)) | (mix(grams[inside]) & _LOW))
-    got = np.sort(np.concatenate(keys))
-    if len(got):
-        got = got[np.concatenate([[True], got[1:] != got[:-1]])]
-    return got, np.bincount((got >> U64(BITS)).astype(np.int64), minlength=len(n))
+        h.append(mix(grams[inside]))
+        row.append(rows[:m][inside])
+    h, row = np.concatenate(h), np.concatenate(row)
+    # Sort by row and the upper 48 bits; where two hashes differ below them alone, by all bits.
+    key = (row.astype(U64) << U64(48)) | (h >> U64(16))
+    order = np.argsort(key)
+    if ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+        order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.bincount(row[new], minlength=len(n))
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -68,10 +78,10 @@ def _pi(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signatures(keys: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     """Circulant MinHash coordinates (rows with shingles x length)."""
     full = counts[counts > 0]
-    sigma = (mix(keys & _LOW) >> U64(32)).astype(np.uint32)
+    sigma = (mix(shingles) >> U64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(full)])
     out = np.empty((len(full), length), dtype=np.uint32)
     # Blocks of rows whose shingles stay in cache while all shifts are applied.
@@ -113,15 +123,14 @@ def digests(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 raw, offsets = text_column(batch.column("text"))
-                keys, counts = shingle_keys(raw, offsets)
+                value, counts = shingle_sets(raw, offsets)
                 full = counts > 0
                 hi, lo = np.zeros((2, len(counts)), dtype=U64)
                 at = np.concatenate([[0], np.cumsum(counts[full])])
-                value = keys & _LOW
-                if len(keys):
+                if len(value):
                     hi[full] = np.add.reduceat(mix(value + U64(0x1234567)), at[:-1])
                     lo[full] = np.add.reduceat(mix(value * U64(BASE) + U64(0x89ABCDEF)), at[:-1])
-                got = band_keys(signatures(keys, counts, bands * rows), bands, rows)
+                got = band_keys(signatures(value, counts, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32), pa.array(got.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), lists],
@@ -131,14 +140,10 @@ def digests(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DIGEST)
 
 
-#: Members of a block; a bucket is compared block by block.
-BLOCK = 256
-
-
-def _linked(keys: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+def _linked(value: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """Boolean matrix of the rows whose sets satisfy 100 * intersection >= percent * union."""
     n = len(counts)
-    value, owner = keys & _LOW, (keys >> U64(BITS)).astype(np.int64)
+    owner = row_of(counts)
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
     new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
@@ -176,17 +181,16 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect what is linked inside each block pair of (bucket, i, j, doc_id, text), rows in that order.
+    """Links (u, v) that connect what is linked inside each cell of (bucket, i, j, doc_id, text), rows in that order.
 
-    Rows of a block pair come together and number 2 * BLOCK or so, whatever the size of its bucket.
+    Rows of a cell come together and number 2 * BLOCK or so, whatever the size of its bucket.
     """
 
     def links(batch: pa.RecordBatch, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         ids = batch["doc_id"].to_numpy()
         u, v = [], []
         for lo, hi in groups:
-            keys, counts = shingle_keys(*text_column(batch["text"].slice(lo, hi - lo)))
-            for x, y in _forest(_linked(keys, counts, percent)):
+            for x, y in _forest(_linked(*shingle_sets(*text_column(batch["text"].slice(lo, hi - lo))), percent)):
                 u.append(ids[lo + x])
                 v.append(ids[lo + y])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -207,32 +211,70 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select("bucket", "i", "j", "doc_id", "text").mapInArrow(run, "u long, v long")
 
 
+def _compared(dealt: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The links inside the cells of `dealt` (bucket, i, j, doc_id), each with the texts of `docs`."""
+    dealt = materialise(dealt, "cells")
+    texts = docs.join(dealt.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    cells = dealt.join(texts.hint("merge"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return materialise(block_links(cells, percent), "links")
+
+
+def _blocks(k: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(k / BLOCK, shingles / SHINGLES, F.lit(1)))
+
+
+def _each(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Cells (bucket, i, j, doc_id) for what round one left in several components: blocks i of the members outside the
+    largest component of a bucket, with each block j of the whole bucket.  None if there is nothing left."""
+    found = members.where("n > 1").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    found = materialise(found.select("bucket", "doc_id", "n", "own", "n_shingles", F.coalesce("component", "doc_id").alias("c")), "labelled")
+    parts = found.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("k", "s", "c")).alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s")).where("k > top.k")
+    largest = materialise(largest.select("bucket", F.col("top.c").alias("top"), _blocks(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("m")), "largest")
+    if largest.isEmpty():
+        return None
+    left = found.join(largest, "bucket")
+    block = F.pmod(F.xxhash64("doc_id", F.lit("outside")), F.col("m"))
+    rest = left.where("c <> top").select("bucket", block.alias("i"), F.explode(_each(F.col("n"))).alias("j"), "doc_id")
+    return rest.union(left.select("bucket", F.explode(_each(F.col("m"))).alias("i"), F.col("own").alias("j"), "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of `docs` (doc_id, text; other columns are ignored).
 
     Null or wordless texts have no shingles and link with nothing (component_id = doc_id, kept).  Documents with equal
     sets form a class and only its smallest document goes on, so copies are never paired.  Buckets with the same members
-    count once.  A bucket is cut into blocks by hash, and every two of its blocks are compared exactly in one bounded
-    step that returns a spanning forest, so pairs are never emitted and none is skipped.  Rows without doc_id are
-    dropped, repeated rows come back as often as they came; an empty table gives an empty result.
+    count once.  Members of a bucket are compared exactly in cells of bounded size, each of which returns a spanning
+    forest, so pairs are never emitted; two members of one bucket that are not in one component are always compared, so
+    no link between components is lost.  A group of near copies costs its texts about once; only members of a bucket
+    outside its largest component meet all of the bucket.  Rows without doc_id are dropped, repeated rows come back as
+    often as they came (different texts of one doc_id: once with the component of any of them); texts are read whole; an
+    empty table gives an empty result.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     d = materialise(digests(docs, bands, rows), "digests")
-    classes = d.where("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    rowset = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket"))
-    members = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit("second"))).alias("y")]
-    kept = rowset.groupBy("bucket").agg(*members).where("k > 1").groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
-    n = F.ceil(F.col("k") / BLOCK)
-    own = F.pmod(F.xxhash64("doc_id", F.lit("block")), n)
-    dealt = rowset.join(kept, "bucket").select("bucket", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
-    dealt = materialise(dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id"), "blocks")
-    needed = dealt.select("doc_id").distinct()
-    texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    blocks = dealt.join(texts.hint("merge"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    merged = components(materialise(block_links(blocks, percent), "links"))
-
-    reps = classes.select("set_hi", "set_lo", "n_shingles", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    out = d.select("doc_id", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    key = ["set_hi", "set_lo", "n_shingles"]
+    classes = materialise(d.where("n_shingles > 0").groupBy(*key).agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    rowset = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("bucket"))
+    members = [F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit("second"))).alias("y")]
+    kept = rowset.groupBy("bucket").agg(*members).where("k > 1").groupBy("k", "s", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "k", _blocks(F.col("k"), F.col("s")).alias("n"))
+    own = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n"))
+    share = F.xxhash64("doc_id", "bucket").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    members = materialise(rowset.join(kept, "bucket").select("bucket", "doc_id", "n_shingles", "n", own.alias("own"), (share * F.col("k") < PIVOTS).alias("pivot")), "members")
+    cells = F.when(F.col("pivot"), _each(F.col("n"))).otherwise(F.array("own"))
+    merged = components(_compared(members.select("bucket", F.explode(cells).alias("i"), F.lit(0).cast("long").alias("j"), "doc_id"), docs, percent))
+    if (left := _outside(members, merged)) is not None:
+        known = merged.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        merged = components(known.union(_compared(left, docs, percent)))
+
+    # Only classes of several documents are looked up by their sets, in SALTS parts each, as one may be very large.
+    classes = classes.select(*key, "rep", "copies").where("copies > 1").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select(*key, F.coalesce("component", "rep").alias("c"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    out = d.select("doc_id", *key, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(classes, [*key, "salt"], "left")
+    out = out.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("c", "component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
