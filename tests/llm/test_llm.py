@@ -107,7 +107,7 @@ def test_warc_round_trip(spark):
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, offset int")
     archives = warc.write_archives(df)
     index = warc.build_index(spark, archives)
-    got = {r["page_id"]: r for r in warc.read_by_index(spark, archives, index).collect()}
+    got = {r["page_id"]: r for r in warc.read_records(warc.find(spark, index, warc.keys_of(df))).collect()}
     first = {}
     for i, _, html in pages:
         body = (html or "").encode()
