@@ -171,6 +171,13 @@ class Spark(Dialect):
     def array(self, *xs):
         return f"array({', '.join(xs)})"
 
+    def upto(self, n):
+        """The numbers 0 to n as an array."""
+        return f"sequence(cast(0 as bigint), cast({n} as bigint))"
+
+    def nul(self):
+        return "char(0)"
+
     def instr(self, x, s):
         return f"cast(instr({x}, {self.lit(s)}) as bigint)"
 
@@ -290,6 +297,12 @@ class Duck(Dialect):
     def array(self, *xs):
         return f"[{', '.join(xs)}]"
 
+    def upto(self, n):
+        return f"range(0, ({n})::bigint + 1)"
+
+    def nul(self):
+        return "chr(0)"
+
     def instr(self, x, s):
         return f"instr({x}, {self.lit(s)})::bigint"
 

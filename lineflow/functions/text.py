@@ -86,14 +86,28 @@ def leading(d: Dialect, x: str, tab: int = 4) -> str:
     return d.chars(d.replace(d.extract(x, r"^[ \t]*"), "\t", " " * tab))
 
 
+def leading_text(d: Dialect, x: str) -> str:
+    """The leading spaces and tabs themselves (X-13)."""
+    return d.extract(x, r"^[ \t]*")
+
+
+def stats_line(d: Dialect, raw: str, clean: str, important: str, name: str = "lineflow") -> str:
+    """Lines and bytes before and after, whole percent saved, and important lines that are left, if any (X-15)."""
+    n = lambda x: f"cast({x} as varchar(20))"
+    percent = f"case when {d.octets(raw)} > 0 then {d.div(f'({d.octets(raw)} - {d.octets(clean)}) * 100', d.octets(raw))} else 0 end"
+    tail = f"case when {important} > 0 then concat(', ', {n(important)}, ' errors/warnings preserved]') else ']' end"
+    return f"concat({d.lit(f'[{name}: ')}, {n(line_count(d, raw))}, ' → ', {n(line_count(d, clean))}, ' lines, ', {n(d.octets(raw))}, ' → ', {n(d.octets(clean))}, ' bytes (-', {n(percent)}, '%)', {tail})"
+
+
 def percent_saved(d: Dialect, raw: str, clean: str) -> str:
     return f"case when {raw} > 0 then {d.double(f'({raw} - {clean})')} / {d.double(raw)} * 100 else {d.double('0')} end"
 
 
 def version_key(d: Dialect, x: str) -> list[str]:
-    """Numbers of a version and whether it is a release (X-17)."""
+    """What versions are ordered by: three numbers, a release after its pre-releases, those by their text (X-17)."""
     part = lambda k: f"cast(coalesce(nullif({d.extract(x, r'^v?([0-9]+)(?:[.]([0-9]+))?(?:[.]([0-9]+))?', k)}, ''), '0') as bigint)"
-    return [part(1), part(2), part(3), f"case when {d.contains(x, d.lit('-'))} then 0 else 1 end"]
+    pre = d.extract(x, r"^[^-+]*[-+](.*)$", 1)
+    return [part(1), part(2), part(3), f"case when coalesce({pre}, '') = '' then 1 else 0 end", f"coalesce({pre}, '')"]
 
 
 def tree_name(d: Dialect, x: str) -> str:

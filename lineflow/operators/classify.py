@@ -12,7 +12,7 @@ def outside_paths(d: Dialect, pattern: str, x: str) -> str:
 
 
 def source_prefix() -> str:
-    return r"^[^\s:]+\.(?:" + P.SOURCE_EXTENSIONS.replace(" ", "|") + r"):\d+(?::\d+)?:\s*"
+    return r"^[^\s:]+\.(?:" + "|".join(P.SOURCE_EXTENSIONS) + r"):\d+(?::\d+)?:\s*"
 
 
 def source_level(d: Dialect, x: str) -> str:

@@ -58,8 +58,8 @@ def find(d: Dialect, src: str) -> str:
     folder = f"(select *, {d.slice('seg', 1, d.size('seg') + ' - 1')} as dir from {rows} f1)"
     # The common prefix of all directories is that of the least and the greatest.
     ends = f"(select doc, cast(count(*) as bigint) as n, min(dir) as a, max(dir) as b from {folder} f2 group by doc)"
-    level = f"(select doc, f3.n as n, a, i.n as lv from {ends} f3 join {d.numbers(0, 40)} i on i.n <= {d.size('a')} and i.n <= {d.size('b')} and {d.join(d.slice('a', 1, 'i.n'), '/')} = {d.join(d.slice('b', 1, 'i.n'), '/')})"
-    base = f"(select doc, n, lv, {d.join(d.slice('a', 1, 'lv'), '/')} as p from (select doc, n, max(lv) as lv, min(a) as a from {level} f4 group by doc, n) f5)"
+    shared = d.filter(d.upto(f"least({d.size('a')}, {d.size('b')})"), "i", f"{d.join(d.slice('a', 1, 'i'), '/')} = {d.join(d.slice('b', 1, 'i'), '/')}")
+    base = f"(select doc, n, lv, {d.join(d.slice('a', 1, 'lv'), '/')} as p from (select doc, n, a, {d.size(shared)} - 1 as lv from {ends} f3) f5)"
     joined = f"(select r.doc, r.pos, r.t, case when b.n >= 2 and {d.octets('b.p')} >= 3 then b.p else '' end as p, r.seg, b.lv as lv from {rows} r join {base} b on r.doc = b.doc)"
     rest = f"(select doc, pos, p, case when p = '' then t else {d.join(d.slice('seg', 'lv + 1', d.size('seg')), '/')} end as rest, case when p = '' then '' else {d.item('seg', 'cast(lv as int) + 1')} end as head from {joined} f6)"
     seen = f"(select *, min(pos) over (partition by doc, head) as first_seen, min(pos) over (partition by doc) as top from {rest} f7)"

@@ -8,7 +8,7 @@ from lineflow.functions.dialect import Dialect
 
 def registry(d: Dialect) -> str:
     """(binary, cmd_type): the small dimension that commands are looked up in."""
-    return "(" + " union all ".join(f"select {d.lit(b)} as binary_name, {d.lit(t)} as cmd_type" for t, bs in P.REGISTRY.items() for b in bs.split()) + ")"
+    return "(" + " union all ".join(f"select {d.lit(b)} as binary_name, {d.lit(t)} as cmd_type" for t, bs in P.REGISTRY.items() for b in bs) + ")"
 
 
 def identify(d: Dialect, src: str) -> str:

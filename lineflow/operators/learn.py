@@ -9,9 +9,9 @@ from lineflow.operators import classify
 
 
 def observe(d: Dialect, src: str) -> str:
-    """(session, cmd, norm, level) of non-blank lines of (doc, pos, line, session, cmd) (A-09)."""
+    """(ts, session, cmd, norm, level) of non-blank lines of (doc, pos, line, ts, session, cmd) (A-09)."""
     lines = f"(select *, {d.trim('line')} as t from {src})"
-    return f"(select session, cmd, {T.normalise(d, 'line')} as norm, cast({classify.level(d, 'line', 't')} as int) as level from {lines} o0 where t <> '')"
+    return f"(select ts, session, cmd, {T.normalise(d, 'line')} as norm, cast({classify.level(d, 'line', 't')} as int) as level from {lines} o0 where t <> '')"
 
 
 def analyse(d: Dialect, src: str, sessions: int = 3, least: float = 0.05, most: float = 0.30, noise: float = 0.80, top: int = 20) -> str:
@@ -24,8 +24,8 @@ def analyse(d: Dialect, src: str, sessions: int = 3, least: float = 0.05, most:
 
 
 def statistics(d: Dialect, src: str) -> str:
-    """Size of the learn store (A-10)."""
-    return f"(select cast(count(*) as bigint) as n, cast(count(distinct session) as bigint) as sessions, cast(count(distinct cmd) as bigint) as commands from {src})"
+    """Size and span of the learn store (A-10); `src` has a column ts."""
+    return f"(select cast(count(*) as bigint) as n, cast(count(distinct session) as bigint) as sessions, cast(count(distinct cmd) as bigint) as commands, min(ts) as oldest, max(ts) as newest from {src})"
 
 
 def rerequests(d: Dialect, src: str, window_us: int = 120_000_000) -> str:
@@ -42,41 +42,78 @@ def cache_totals(d: Dialect, src: str) -> str:
     return f"(select key, cast(count(*) - 1 as bigint) as hits, cast(1 as bigint) as misses from {src} group by key)"
 
 
-#: Commands that are not worth filtering, and interactive ones.
-TRIVIAL = "cd pwd echo exit clear true false export alias unalias source which type whoami date history set unset".split()
-INTERACTIVE = "vim vi nano emacs less more top htop man ssh tmux screen python node irb psql mysql sqlite3 redis-cli ftp telnet watch bash".split()
-#: Commands that are never run, and shells that nothing may be piped into.
-DENIED = "rm rmdir dd mkfs shutdown reboot halt kill killall chmod chown sudo su".split()
-SHELLS = "sh bash zsh fish ksh dash".split()
-READ_ONLY = "cat ls grep find head tail wc sort uniq cut tr sed awk git diff file stat du df tree rg fd jq".split()
+def _in(d: Dialect, x: str, words: tuple[str, ...]) -> str:
+    return f"{x} in ({', '.join(map(d.lit, words))})"
 
 
-def first_word(d: Dialect, x: str) -> str:
-    """The command's name: first word after NAME=value settings, without its folder."""
-    return d.sub(d.extract(d.sub(d.trim(x), r"^([A-Za-z_][A-Za-z0-9_]*=[^ ]* +)+", ""), r"^[^ |;&]+"), r"^.*/", "")
+def fields(d: Dialect, x: str) -> str:
+    return d.all(x, r"[^ \t\n\f\r\v]+")
 
 
-def _in(d: Dialect, x: str, words: list[str]) -> str:
-    return f"{x} in ({', '.join(map(d.lit, words))})"
+def _base(d: Dialect, x: str) -> str:
+    """Last element of a path; a path of slashes alone is one slash."""
+    return f"case when {d.match(x, '^/+$')} then '/' else {d.sub(d.sub(x, '/+$', ''), '^.*/', '')} end"
 
 
-def skipped(d: Dialect, x: str) -> str:
-    """Trivial, interactive, or already piped into the filter (P-12)."""
+def first_word(d: Dialect, x: str) -> str:
+    """The command's name: the first word that sets no variable, without its folder; empty if there is none."""
+    plain = d.filter(fields(d, x), "w", f"not {d.contains('w', d.lit('='))} or {d.contains('w', d.lit('/'))}")
+    return f"coalesce({_base(d, d.item(plain, '1'))}, '')"
+
+
+def skipped(d: Dialect, x: str, name: str = "lineflow") -> str:
+    """Nothing to run, trivial, interactive, the filter itself, or already piped into it (P-12)."""
     w = first_word(d, x)
-    return f"({_in(d, w, TRIVIAL)} or {_in(d, w, INTERACTIVE)} or {d.match(x, r'[|] *lineflow')})"
+    piped = " or ".join(d.contains(x, d.lit(bar + name)) for bar in ("| ", "|"))
+    return f"({w} in ('', {d.lit(name)}) or {_in(d, w, P.TRIVIAL)} or {_in(d, w, P.INTERACTIVE)} or {piped})"
+
+
+def wrapped(d: Dialect, x: str, name: str = "lineflow") -> str:
+    """The command piped into the filter, or as it is: already piped, the filter itself, trivial, or only settings (P-12)."""
+    plain = d.filter(fields(d, x), "w", f"not {d.contains('w', d.lit('='))} or {d.starts('w', '-')} or {d.contains('w', d.lit('/'))}")
+    w = f"coalesce({_base(d, d.item(plain, '1'))}, {_base(d, d.item(fields(d, x), '1'))}, '')"
+    t = d.trim(x)
+    piped = " or ".join(d.contains(x, d.lit(bar + name)) for bar in ("| ", "|"))
+    settings = f"({d.contains(w, d.lit('='))} and not {d.contains(w, d.lit('/'))})"
+    return f"case when {piped} or {t} = {d.lit(name)} or {d.starts(t, name + ' ')} or {_in(d, w, P.TRIVIAL)} or {settings} then {x} else concat('set -o pipefail; (', {x}, {d.lit(') | ' + name)}) end"
+
+
+def command_name(d: Dialect, words: str) -> str:
+    """Lower-case name of the command in an array of words, past settings and prefixes such as sudo; else of the first."""
+    plain = d.filter(words, "w", f"not {d.contains('w', d.lit('='))} and not {_in(d, d.lower('(' + _base(d, 'w') + ')'), P.PREFIXES)}")
+    return f"coalesce({d.lower('(' + _base(d, d.item(plain, '1')) + ')')}, {d.lower('(' + _base(d, d.item(words, '1')) + ')')}, '')"
 
 
 def denied(d: Dialect, x: str) -> str:
-    """Denied command, pipe into a shell, or writing to a device (P-13)."""
-    return f"({_in(d, first_word(d, x), DENIED)} or {d.match(x, r'[|] *(sudo +)?(' + '|'.join(SHELLS) + r')( |$)')} or {d.match(x, r'> */dev/(sd|hd|nvme)|--no-preserve-root')})"
+    """Denied name, download piped into a shell, fork bomb, write to a disk, or a name with denied arguments (P-13)."""
+    words = fields(d, x)
+    name, rest = command_name(d, words), d.slice(words, 2, d.size(words))
+    tests = [_in(d, name, P.DENIED), d.starts(name, "mkfs.")]
+    tests += [d.contains(d.lower(x), d.lit(p)) for p in P.DENIED_PIPES] + [d.contains(x, d.lit(p)) for p in P.DENIED_TEXTS]
+    for cmd, texts, alone in P.DENIED_ARGUMENTS:
+        each = [f"{name} = {d.lit(cmd)}", *(d.contains(d.join(rest, " "), d.lit(t)) for t in texts)]
+        tests.append("(" + " and ".join(each + ([d.exists(rest, "w", f"w = {d.lit(alone)}")] if alone else [])) + ")")
+    return "(" + " or ".join(tests) + ")"
 
 
 def sandboxed(d: Dialect, x: str) -> str:
-    """No redirection, and every stage of the pipe is read-only (P-14)."""
-    stages = d.split(x, "|")
-    return f"(not {d.contains(x, d.lit('>'))} and not {d.exists(stages, 's', 'not ' + _in(d, first_word(d, 's'), READ_ONLY))})"
+    """No redirection, and every stage of the pipe that isn't blank is a read-only command (P-14)."""
+    bad = d.exists(d.split(x, "|"), "s", f"{d.trim('s')} <> '' and not {_in(d, command_name(d, fields(d, 's')), P.READ_ONLY)}")
+    return f"(not {d.contains(x, d.lit('>'))} and not {bad})"
+
+
+def request_key(d: Dialect, tool: str, text: str, path: str = "''") -> str:
+    """Normalised key of a request (X-11): exec by its first word as it stands, read by path, grep by pattern and path,
+    anything else by the first 8 bytes of the text's SHA-256."""
+    word = f"coalesce({d.item(fields(d, text), '1')}, '')"
+    return f"case {tool} when 'exec' then concat('exec:', {word}) when 'read' then concat('read:', {path}) when 'grep' then concat('grep:', {text}, ':', {path}) else concat('filter:', substr({d.sha256(text)}, 1, 16)) end"
+
+
+def config_fingerprint(d: Dialect, filters: str, rules: str, mode: str, redact: str) -> str:
+    """128 bits of the settings that change a result (X-10)."""
+    return f"substr({d.sha256(f'concat({filters}, {d.lit(chr(124))}, {rules}, {d.lit(chr(124))}, {mode}, {d.lit(chr(124))}, {redact})')}, 1, 32)"
 
 
-def request_key(d: Dialect, tool: str, text: str) -> str:
-    """Normalised key of a request: exec by first word, read by path, filter by a short digest (X-11)."""
-    return f"case {tool} when 'exec' then concat('exec:', {first_word(d, text)}) when 'read' then concat('read:', {text}) else concat('filter:', substr({d.sha256(text)}, 1, 16)) end"
+def cache_key(d: Dialect, fingerprint: str, kind: str, most: str, text: str) -> str:
+    """Key of a cached result: fingerprint, NUL, number of the command type, line limit, raw text (X-10)."""
+    return d.sha256(f"concat({fingerprint}, {d.nul()}, cast({kind} as varchar(20)), ':', cast({most} as varchar(20)), ':', {text})")

@@ -30,10 +30,11 @@ def insights(d: Dialect, src: str) -> str:
     r = f"{report(d, src)} r"
     whole = lambda x: f"cast(cast(round({x}, 0) as bigint) as varchar(20))"
     flagged = f"(select name as flagged from {r} where level = 'type' and invocations >= 3 and rerequest_rate > 10)"
-    return f"""(select 'warning' as level, name as command, concat(name, ' has ', {whole('rerequest_rate')}, '% re-request rate (', cast(rerequests as varchar(20)), '/', cast(invocations as varchar(20)), ')') as message from {r} where level = 'type' and invocations >= 3 and rerequest_rate > 10
-        union all select 'info' as level, name as command, concat(name, ' has ', {whole('reduction')}, '% reduction with ', cast(rerequests as varchar(20)), ' re-request(s)') as message from {r} left join {flagged} f on r.name = f.flagged where r.level = 'type' and reduction > 90 and rerequests > 0 and invocations >= 3 and f.flagged is null
-        union all select 'warning' as level, '' as command, concat('Overall re-request rate is ', {whole('rerequest_rate')}, '%') as message from {r} where level = 'total' and invocations >= 10 and rerequest_rate > 15
-        union all select 'info' as level, '' as command, concat('No re-requests detected with ', {whole('reduction')}, '% avg reduction') as message from {r} where level = 'total' and invocations >= 10 and rerequests = 0 and reduction > 50)"""
+    count = lambda x: f"cast({x} as varchar(20))"
+    return f"""(select 'warning' as level, name as command, concat(name, ' has ', {whole('rerequest_rate')}, '% re-request rate (', {count('rerequests')}, '/', {count('invocations')}, ') — consider increasing truncation limit: [truncation] ', name, ' = <higher value>') as message from {r} where level = 'type' and invocations >= 3 and rerequest_rate > 10
+        union all select 'info' as level, name as command, concat(name, ' has ', {whole('reduction')}, '% reduction with ', {count('rerequests')}, ' re-request(s) — aggressive filtering may be removing useful content') as message from {r} left join {flagged} f on r.name = f.flagged where r.level = 'type' and reduction > 90 and rerequests > 0 and invocations >= 3 and f.flagged is null
+        union all select 'warning' as level, '' as command, concat('Overall re-request rate is ', {whole('rerequest_rate')}, '% — consider switching to a less aggressive profile or mode') as message from {r} where level = 'total' and invocations >= 10 and rerequest_rate > 15
+        union all select 'info' as level, '' as command, concat('No re-requests detected with ', {whole('reduction')}, '% avg reduction — filtering quality is excellent') as message from {r} where level = 'total' and invocations >= 10 and rerequests = 0 and reduction > 50)"""
 
 
 def session_summary(d: Dialect, src: str) -> str:
@@ -42,15 +43,25 @@ def session_summary(d: Dialect, src: str) -> str:
 
 
 def last_entries(d: Dialect, src: str, n: int) -> str:
-    """The newest n entries (T-05)."""
-    return f"(select id, session, cmd_type, raw_tokens, clean_tokens from {src} order by us desc, id desc limit {n})"
+    """The newest n entries, oldest first from 1, and their totals as entry 0 (T-05)."""
+    newest = f"(select * from {src} order by us desc, id desc limit {n})"
+    saved = d.double("sum(raw_tokens - clean_tokens)")
+    rate = lambda a, b: f"round(case when {b} > 0 then {a} / {d.double(b)} * 100 else {d.double('0')} end, 6)"
+    return f"""(select cast(row_number() over (order by us, id) as bigint) as nth, cast(id as bigint) as id, session, cmd_type, cast(raw_tokens as bigint) as raw_tokens, cast(clean_tokens as bigint) as clean_tokens, {rate(d.double('(raw_tokens - clean_tokens)'), 'raw_tokens')} as reduction from {newest} z0
+        union all select cast(0 as bigint), cast(null as bigint), '', 'TOTAL', {d.int_sum('raw_tokens')}, {d.int_sum('clean_tokens')}, {rate(saved, 'sum(raw_tokens)')} from {newest} z1 having count(*) > 0)"""
 
 
-def newest_half(d: Dialect, src: str) -> str:
-    """What a log keeps when it rotates: the newer half by count (K-02, K-03, T-11)."""
-    # The rank comes from counts by instant, so no window spans the log.
-    ranks = f"(select us, c, sum(c) over (order by us) - c as before, sum(c) over () as n from (select us, cast(count(*) as bigint) as c from {src} group by us) q0)"
-    return f"(select s.id, s.us from (select *, row_number() over (partition by us order by id) as i from {src}) s join {ranks} r on s.us = r.us where r.before + s.i > {d.div('r.n', '2')})"
+def newest_half(d: Dialect, src: str, step: int = HOUR) -> str:
+    """What a log keeps when it rotates: the newer half by count (K-02, K-03, T-11).
+
+    Counts by `step` microseconds, few however long the log, say which step holds the cut; only that step is ranked.
+    """
+    counts = f"(select {d.div('us', str(step))} as h, cast(count(*) as bigint) as c from {src} group by {d.div('us', str(step))})"
+    ranks = f"(select h, c, sum(c) over (order by h) as upto, sum(c) over () as n from {counts} q0)"
+    cut = f"(select h as cut_h, {d.div('n', '2')} - (upto - c) as gone from {ranks} q1 where upto > {d.div('n', '2')} and upto - c <= {d.div('n', '2')})"
+    inside = f"(select s.id, s.us, row_number() over (partition by {d.div('s.us', str(step))} order by s.us, s.id) as i, gone from {src.rsplit(' ', 1)[0]} s join {cut} k on {d.div('s.us', str(step))} = k.cut_h)"
+    return f"""(select s.id, s.us from {src.rsplit(' ', 1)[0]} s join {cut} k on {d.div('s.us', str(step))} > k.cut_h union all
+        select id, us from {inside} q2 where i > gone)"""
 
 
 def limits(d: Dialect, src: str, overrides: dict[str, int], default: int) -> str:
@@ -99,6 +110,11 @@ def parity(d: Dialect, base: str, candidate: str, per_item: float = 5, average:
 
 
 def percentiles(d: Dialect, src: str, key: str, value: str, ps: tuple[int, ...] = (50, 95, 99)) -> str:
-    """Nearest-rank percentiles: the sorted value at p * n / 100, cut, within range (A-17)."""
-    at = lambda p: f"max(case when i = least({d.div(f'n * {p}', '100')}, n - 1) then v end)"
-    return f"(select {key}, cast(count(*) as bigint) as n, min(v) as least_v, max(v) as most_v, {', '.join(f'{at(p)} as p{p}' for p in ps)} from (select {key}, {value} as v, row_number() over (partition by {key} order by {value}) - 1 as i, count(*) over (partition by {key}) as n from {src}) z group by {key})"
+    """Nearest-rank percentiles: the sorted value at p * n / 100, cut, within range (A-17).
+
+    Ranks come from running counts of distinct values, so that the rows themselves are neither sorted nor ranked.
+    """
+    counts = f"(select {key}, {value} as v, cast(count(*) as bigint) as c from {src} group by {key}, {value})"
+    ranks = f"(select {key}, v, sum(c) over (partition by {key} order by v) as upto, sum(c) over (partition by {key}) as n from {counts} z0)"
+    at = lambda p: f"min(case when upto > least({d.div(f'n * {p}', '100')}, n - 1) then v end)"
+    return f"(select {key}, cast(max(n) as bigint) as n, min(v) as least_v, max(v) as most_v, {', '.join(f'{at(p)} as p{p}' for p in ps)} from {ranks} z group by {key})"

@@ -25,7 +25,7 @@ def walkable(d: Dialect, x: str, extensions: tuple[str, ...] = ()) -> str:
     """Paths that a search opens: no excluded folder, lock file or binary; optionally of given extensions (S-04)."""
     folders = d.exists(d.split(d.sub(x, r"[^/]*$", ""), "/"), "s", f"s in ({', '.join(map(d.lit, P.SKIP_DIRS))})")
     only = f" and {extension(d, x)} in ({', '.join(map(d.lit, extensions))})" if extensions else ""
-    return f"(not {folders} and {base_name(d, x)} not in ({', '.join(map(d.lit, P.SKIP_FILES))}) and {extension(d, x)} not in ({', '.join(map(d.lit, P.BINARY.split()))}){only})"
+    return f"(not {folders} and {base_name(d, x)} not in ({', '.join(map(d.lit, P.SKIP_FILES))}) and {extension(d, x)} not in ({', '.join(map(d.lit, P.BINARY))}){only})"
 
 
 def glob_regex(pattern: str) -> tuple[str, bool]:
@@ -88,9 +88,12 @@ def by_folder(d: Dialect, src: str, pattern: str) -> str:
 
 
 def capped(d: Dialect, src: str, most: int = 10) -> str:
-    """Grep output (doc, pos, line) with at most `most` matches of a file and one line for the rest; a blank line starts
-    the count anew (W-11, T-09)."""
-    path = d.extract("line", r"^([^ :]+):\d+:", 1)
-    one = f"(select *, sum(case when {d.trim('line')} = '' then 1 else 0 end) over ({PREVIOUS} rows between unbounded preceding and current row) as block from (select doc, pos, line, {path} as path from {src}) c0)"
-    two = f"(select *, row_number() over (partition by doc, block, path order by pos) as i, count(*) over (partition by doc, block, path) as n from {one} c1)"
-    return f"(select doc, pos, case when path <> '' and i = {most} + 1 then concat('... ', cast(n - {most} as varchar(20)), ' more matches in ', path) else line end as line from {two} c2 where path = '' or i <= {most} + 1)"
+    """Grouped matches (doc, pos, line), `>> path` headers with indented lines under them, with at most `most` of a file and
+    one marker for the rest, which stands before the next header, blank or other line (W-11, T-09); most <= 0 keeps all."""
+    if most <= 0:
+        return f"(select doc, pos, cast(0 as bigint) as sub, line from {src})"
+    match = f"({d.starts('line', '  ')} and {d.trim('line')} <> '')"
+    # Every line that is no match ends the count before it, and the marker takes the place right before that line.
+    one = f"(select *, sum(case when is_match then 0 else 1 end) over ({PREVIOUS} rows between unbounded preceding and current row) as block from (select doc, pos, line, {match} as is_match from {src}) c0)"
+    two = f"(select *, row_number() over (partition by doc, block, is_match order by pos) as i, count(*) over (partition by doc, block, is_match) as n from {one} c1)"
+    return f"(select doc, pos, cast(0 as bigint) as sub, case when is_match and i = {most} + 1 then concat('  … ', cast(n - {most} as varchar(20)), ' more in this file') else line end as line from {two} c2 where not is_match or i <= {most} + 1)"

@@ -37,24 +37,30 @@ def per_document(df: DataFrame, function: Callable[[str], str], text: str = "tex
 
 
 def compress_jq(text: str, most: int = 10, small: int = 50) -> str:
-    """Array objects after the tenth suppressed up to the closing bracket; any bracket line starts the count anew (C-16)."""
+    """Array objects after the tenth dropped (C-16), until a closing bracket that leaves a marker at the depth of the first
+    of them.  Bracket lines always stay and start the count anew; a nested opening one doesn't end what is being dropped."""
     lines = text.split("\n")
     if len(lines) <= small:
         return text
-    out, depth, seen, hidden = [], 0, 0, False
+    out, depth, seen, gone, pad = [], 0, 0, 0, 0
     for line in lines:
         t = line.strip()
         if t.endswith("["):
-            depth, seen, hidden = depth + 1, 0, False
+            depth, seen = depth + 1, 0
         elif t in ("]", "],"):
-            if seen > most:
-                out.append(f"  ... {seen - most} more elements")
-            depth, seen, hidden = max(0, depth - 1), 0, False
-        elif depth and t.startswith("{"):
-            seen += 1
-            hidden = seen > most
-        if not hidden:
-            out.append(line)
+            if gone:
+                out.append(f"{' ' * pad}  ... {gone} more elements")
+            depth, seen, gone = depth - 1, 0, 0
+        elif depth > 0:
+            if t.startswith("{"):
+                seen += 1
+                if seen > most:
+                    pad = pad if gone else len(line) - len(line.lstrip(" \t"))
+                    gone += 1
+                    continue
+            if gone:
+                continue
+        out.append(line)
     return "\n".join(out)
 
 

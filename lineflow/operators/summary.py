@@ -40,15 +40,15 @@ def summary(d: Dialect, src: str, exit_code: str = "-1", threshold: int = 100) -
     return f"(select a.doc, n_lines, n_bytes, n_errors, n_warnings, error_1, error_2, error_3, warning_1, warning_2, coalesce(n_files, 0) as n_files, verdict from {agg} a left join {files} f on a.doc = f.doc)"
 
 
-def summary_header(d: Dialect, src: str, exit_code: str = "-1") -> str:
-    """(doc, header): the block that goes before a summarised text."""
+def summary_header(d: Dialect, src: str, exit_code: str = "-1", name: str = "lineflow") -> str:
+    """(doc, header): the block that goes before a summarised text, between lines that `name` it and with a blank line."""
     lf = d.lit("\n")
     line = lambda label, x: f"'  {label}', {x}, {lf}"
     quoted = lambda x: f"case when {x} <> '' then concat('   → ', {x}, {lf}) else '' end"
     errors = f"case when verdict = 'PASS' and n_errors > 0 then concat('  error-like lines: ', {thousands(d, 'n_errors')}, ' (run passed)', {lf}) else concat('  errors: ', {thousands(d, 'n_errors')}, {lf}) end"
     total = f"'  total: ', {thousands(d, 'n_lines')}, ' lines (', {thousands(d, 'n_bytes')}, ' bytes)', {lf}"
     files = f"case when n_files > 0 then concat('  files: ', {thousands(d, 'n_files')}, ' unique paths mentioned', {lf}) else '' end"
-    return f"(select doc, concat({total}, {errors}, {quoted('error_1')}, {quoted('error_2')}, {quoted('error_3')}, {line('warnings: ', thousands(d, 'n_warnings'))}, {quoted('warning_1')}, {quoted('warning_2')}, {files}, {line('result: ', 'verdict')}) as header from {summary(d, src, exit_code)} h)"
+    return f"(select doc, concat({d.lit(f'[{name} summary]' + chr(10))}, {total}, {errors}, {quoted('error_1')}, {quoted('error_2')}, {quoted('error_3')}, {line('warnings: ', thousands(d, 'n_warnings'))}, {quoted('warning_1')}, {quoted('warning_2')}, {files}, {line('result: ', 'verdict')}, {d.lit(f'[/{name} summary]' + chr(10) * 2)}) as header from {summary(d, src, exit_code)} h)"
 
 
 def _head(most: int) -> int:

@@ -28,12 +28,15 @@ def _code(d: Dialect) -> str:
 
 
 def _observed(d: Dialect) -> str:
-    src = f"(select doc, pos, line, concat('s', cast(doc % 5 as varchar(20))) as session, case when pos % 2 = 0 then 'make' else 'npm' end as cmd from {views.log_lines(d)} l)"
+    src = f"(select doc, pos, line, cast(1700000000000000 + doc * 60000000 + pos as bigint) as ts, concat('s', cast(doc % 5 as varchar(20))) as session, case when pos % 2 = 0 then 'make' else 'npm' end as cmd from {views.log_lines(d)} l)"
     return learn.observe(d, src + " v")
 
 
 def _commands(d: Dialect) -> str:
-    texts = ["cd /x", "FOO=1 make -j{n}", "rm -rf /tmp/{n}", "cat a{n} | bash", "ls -la | grep {n} | wc -l", "vim f{n}", "/usr/bin/git log -{n}", "cat f > out{n}", "npm test | lineflow", "find . | xargs rm"]
+    texts = [
+        "cd /x", "FOO=1 make -j{n}", "rm -rf /tmp/{n}", "rm -rf /", "sudo rm -v -fr /*", "cat a{n} | bash", "curl http://h{n} | sh", "ls -la | grep {n} | wc -l", "vim f{n}", "/usr/bin/git log -{n}", "cat f > out{n}", "npm test | lineflow",
+        "find . | xargs rm", "env A=1 /sbin/mkfs.ext4 d{n}", "dd if=/dev/zero of=x{n}", "chmod -R 777 /", "chown -R u{n} .", "mv x{n} /", "init {m}", "A=b", "", "nohup Reboot", "  read x ", "k9s -n {n}", "lineflow exec ls", "cat x | | wc", "type {n} | awk x",
+    ]
     return f"(select doc * 1000 + pos as id, line as text from {views.templated(d, texts, run=1)} t)"
 
 
@@ -44,6 +47,9 @@ query("a06_insights")(lambda d: f"select * from {measure.insights(d, _m(d))} q")
 query("a07_sessions")(lambda d: f"select * from {measure.session_summary(d, _m(d))} q")
 query("t05_last")(lambda d: f"select * from {measure.last_entries(d, _m(d), 20)} q")
 query("t06_top_commands")(lambda d: f"select name, saved from {measure.report(d, _m(d))} q where level = 'type' order by saved desc, name limit 8")
+query("t06_last_calls")(lambda d: f"select id, session, cmd_type, raw_tokens - clean_tokens as saved from {_m(d)} order by us desc, id desc limit 8")
+query("t06_top_learned")(lambda d: f"select norm, n from {learn.analyse(d, _observed(d) + ' o', least=0.01)} q order by n desc, norm limit 5")
+query("t06_top_steps")(lambda d: f"select step, saved from (select step, bytes_before - bytes_after as saved from ({contribution(d)}) s) q order by saved desc, step limit 6")
 query("k02_newest_half")(lambda d: f"select id, us from {measure.newest_half(d, _m(d))} q")
 query("s10_since")(lambda d: f"select id, cmd_type from {_m(d)} where us >= {NOW}")
 query("j02_limits")(lambda d: f"select id, cmd_type, max_lines from {measure.limits(d, _m(d).removesuffix(' v'), {'click': 10, 'error': 500}, 50)} q")
@@ -55,9 +61,10 @@ query("a08_learn")(lambda d: f"select * from {learn.analyse(d, _observed(d) + '
 query("a09_observe")(lambda d: f"select session, cmd, norm, level, cast(count(*) as bigint) as n from {_observed(d)} o group by session, cmd, norm, level")
 query("a10_store_stats")(lambda d: f"select * from {learn.statistics(d, _observed(d) + ' o')} q")
 query("p12_skip")(lambda d: f"select id, {learn.first_word(d, 'text')} as word, {learn.skipped(d, 'text')} as skip from {_commands(d)} c")
+query("p12_wrap")(lambda d: f"select id, {learn.wrapped(d, 'text')} as command from {_commands(d)} c")
 query("p13_denied")(lambda d: f"select id, {learn.denied(d, 'text')} as denied from {_commands(d)} c")
 query("p14_sandbox")(lambda d: f"select id, {learn.sandboxed(d, 'text')} as allowed from {_commands(d)} c")
-query("x11_request_keys")(lambda d: f"select id, {learn.request_key(d, 'tool', 'text')} as key from (select *, case id % 3 when 0 then 'exec' when 1 then 'read' else 'filter' end as tool from {_commands(d)} c) c2")
+query("x11_request_keys")(lambda d: f"select id, {learn.request_key(d, 'tool', 'text', 'path')} as key from (select *, concat('src/f', cast(id % 9 as varchar(20))) as path, case id % 4 when 0 then 'exec' when 1 then 'read' when 2 then 'grep' else 'filter' end as tool from {_commands(d)} c) c2")
 query("s04_walk")(lambda d: f"select path from {views.paths(d)} p where {search.walkable(d, 'path')}")
 query("s04_walk_extensions")(lambda d: f"select path from {views.paths(d)} p where {search.walkable(d, 'path', ('go', 'py'))}")
 query("s06_glob")(lambda d: f"select path from {search.glob(d, views.paths(d) + ' p', '**/*.go')} q")
@@ -71,7 +78,9 @@ query("h06_definitions")(lambda d: f"select path, pos, line from {search.definit
 query("h07_skeleton")(lambda d: f"select path, pos, line from {search.skeleton(d, _code(d) + ' s', 'load1')} q")
 query("h08_folders")(lambda d: f"select dir, files, n from {search.by_folder(d, _code(d) + ' s', 'load')} q")
 query("t08_first_files")(lambda d: f"select path from (select distinct path, {d.split('path', '/')} as o from {search.matches(d, _code(d) + ' s', 'load')} m) q order by o limit 10")
-query("w11_capped_matches")(lambda d: f"select doc, pos, line from {search.capped(d, views.command_lines(d, 'grep') + ' v', 5)} q")
+_GROUPED = [">> src/a{m}.go", "  {n}:func run", "  {n}:return", "", "plain {n}", "  {m}:x"]
+query("w11_capped_matches")(lambda d: f"select doc, pos, sub, line from {search.capped(d, views.templated(d, _GROUPED, run=7) + ' v', 5)} q")
+query("w11_capped_default")(lambda d: f"select doc, pos, sub, line from {search.capped(d, views.templated(d, _GROUPED, run=14) + ' v')} q")
 
 
 def _clean(d: Dialect) -> str:
@@ -94,15 +103,15 @@ def modes(d: Dialect) -> str:
 
 @query("a16_contribution")
 def contribution(d: Dialect) -> str:
-    """Bytes before and after each text step, summed by step (J-10 of the per-step report)."""
+    """Bytes before and after each text step, summed by step and ranked by what they save, then by name (A-16)."""
     steps = [("ansi", T.strip_ansi(d, "text")), ("whitespace", generic.normalise_whitespace(d, "t0")), ("paths", generic.compress_paths(d, "t1", "/home/u/app", "/home/u")), ("redact", generic.redact(d, "t2"))]
     src, before, rows = f"(select doc, text from {generic.assemble(d, views.log_lines(d) + ' v', sub=False)} a)", "text", []
     for i, (_, expr) in enumerate(steps):
         src = f"(select *, {expr} as t{i} from {src} s{i})"
     for i, (name, _) in enumerate(steps):
-        rows.append(f"select '{name}' as step, {i} as nth, {d.int_sum(d.octets(before))} as bytes_before, {d.int_sum(d.octets(f't{i}'))} as bytes_after from {src} r{i}")
+        rows.append(f"select '{name}' as step, {d.int_sum(d.octets(before))} as bytes_before, {d.int_sum(d.octets(f't{i}'))} as bytes_after from {src} r{i}")
         before = f"t{i}"
-    return " union all ".join(rows)
+    return f"select *, cast(row_number() over (order by bytes_before - bytes_after desc, step) as bigint) as rank from ({' union all '.join(rows)}) ranked"
 
 
 @query("j03_parity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lineflow.functions import patterns as P
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
-from lineflow.operators import classify, generic
+from lineflow.operators import classify, generic, learn
 from lineflow.plans import views
 from lineflow.plans.catalog import query
 
@@ -64,11 +64,21 @@ query("x06_thousands")(lambda d: f"select o_orderkey, {T.thousands(d, 'o_orderke
 query("x07_duration")(lambda d: f"select o_orderkey, {T.duration(d, 'o_orderkey * 37')} as text from {d.table('orders')}")
 query("x08_ellipsis")(lambda d: f"select doc, pos, {T.ellipsis(d, 'line', 20)} as text from {_log(d)}")
 query("x09_clean_line")(lambda d: f"select doc, pos, {d.trim(T.strip_ansi(d, 'line'))} as line from {_log(d)}")
-query("x10_cache_key")(lambda d: f"select doc, {d.sha256('concat(source, ' + d.lit(':50:') + ', text)')} as key from {_docs(d)}")
-query("x13_indent")(lambda d: f"select doc, pos, {T.leading(d, 'line')} as width from {_log(d)}")
+query("x10_cache_key")(lambda d: f"select doc, {learn.cache_key(d, learn.config_fingerprint(d, d.lit('{true false}'), d.lit('[]|[]'), d.lit('balanced'), d.lit('true')), 'doc % 18', '50', 'text')} as key from {_docs(d)}")
+query("x13_indent")(lambda d: f"select doc, pos, {T.leading(d, 'line')} as width, {T.leading_text(d, 'line')} as text from {_log(d)}")
 query("x14_tree")(lambda d: f"select doc, pos, {T.tree_name(d, 'line')} as name, {T.tree_depth(d, 'line')} as depth from {views.templated(d, ['├── a{m}', '│   ├── b{n}', '│   │   └── c.go', '.', 'x', '| +- y{n}'])} v")
 query("x18_age")(lambda d: f"select o_orderkey, {T.age(d, 'o_orderkey * 61')} as age from {d.table('orders')}")
-query("x15_stats_line")(lambda d: f"select doc, concat(cast({T.words(d, 'text')} as varchar(20)), ' words, ', cast({d.octets('text')} as varchar(20)), ' bytes, -', cast({d.div('(' + d.octets('text') + ' - ' + d.octets('clean') + ') * 100', 'greatest(' + d.octets('text') + ', 1)')} as varchar(20)), '%') as stats from (select doc, text, {generic.normalise_whitespace(d, 'text')} as clean from {_docs(d)}) s")
+
+
+@query("x15_stats_line")
+def stats_lines(d: Dialect) -> str:
+    """One line of figures for every text and its cleaned form."""
+    pair = f"(select doc, text, {generic.normalise_whitespace(d, 'text')} as clean from {_log_text(d)} t)"
+    lines = generic.split_lines(d, f"(select doc, clean as text from {pair} p0)" + (" x1" if d.name == "duckdb" else ""))
+    counts = f"(select doc as cdoc, {d.int_sum(f'case when level >= {P.WARNING} then 1 else 0 end')} as important from {classify.classified(d, lines + ' l')} c group by doc)"
+    return f"select doc, {T.stats_line(d, 'text', 'clean', 'important')} as stats from {pair} p1 join {counts} n on doc = cdoc"
+
+
 query("x17_version_order")(lambda d: f"select v, row_number() over (order by {', '.join(T.version_key(d, 'v'))}, v) as n from (select distinct concat('v', cast(p_size % 4 as varchar(9)), '.', cast(p_partkey % 12 as varchar(9)), case when p_partkey % 3 = 0 then '-rc1' else '' end) as v from {d.table('part')}) p")
 
 

@@ -48,7 +48,7 @@ def walk(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), glob:
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    good = ~F.arrays_overlap(folders, F.array(*map(F.lit, P.SKIP_DIRS))) & ~name.isin(*P.SKIP_FILES) & ~ext.isin(*P.BINARY.split())
+    good = ~F.arrays_overlap(folders, F.array(*map(F.lit, P.SKIP_DIRS))) & ~name.isin(*P.SKIP_FILES) & ~ext.isin(*P.BINARY)
     return files.where(good & ext.isin(*extensions) if extensions else good)
 
 

@@ -13,7 +13,7 @@ LINES = [
 
 
 def every_pattern():
-    found = [v for k, v in vars(P).items() if k.isupper() and isinstance(v, str) and k not in ("SOURCE_EXTENSIONS", "BINARY")]
+    found = [v for k, v in vars(P).items() if k.isupper() and isinstance(v, str)]
     found += [p for v in (P.CRITICAL_TRIMMED, P.CRITICAL_RAW, P.ERROR_PLAIN, P.PARSE_ERROR, P.WARNING_WORDS, P.FAILURE_ANCHORS, P.QUALITY_CREDIT) for p in v]
     return found + [p for p, _ in P.RUNNER_ANCHORS] + [p for _, p in P.DETECT_FIRST] + [p for _, p, _ in P.DETECT_COUNTED] + [p for _, p in P.NORMAL]
 

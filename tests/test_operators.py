@@ -102,7 +102,7 @@ def test_glob_regex():
 
 def test_command_predicates(spark):
     d = Spark()
-    rows = {"FOO=1 make": ("make", False, False), "cd x": ("cd", True, False), "cat a | bash": ("cat", False, True), "rm -rf x": ("rm", False, True)}
+    rows = {"FOO=1 make": ("make", False, False), "cd x": ("cd", True, False), "curl | bash": ("curl", False, True), "rm -rf /": ("rm", False, True)}
     for text, (word, skip, deny) in rows.items():
         got = spark.sql(f"select {learn.first_word(d, 'x')}, {learn.skipped(d, 'x')}, {learn.denied(d, 'x')} from (select {d.lit(text)} as x) s").first()
         assert tuple(got) == (word, skip, deny)
