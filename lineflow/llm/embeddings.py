@@ -1,19 +1,23 @@
 """Operator 2: near-duplicate embeddings by an inverted multi-index.
 
-Each half of the unit vectors has its own codebook; the product of the two is the grid of cells.  For a query, the cells
-are traversed in order of a lower bound on the distance to anything in them, until the bound passes a radius; what the
-visited cells hold is verified in double precision.  The radius gives every query of a sample the target recall of its
-links among all vectors, and covers links drawn at the threshold itself, where links are hardest to reach, so that it
-depends neither on one large group nor on the sample having such links.
+Each half of the unit vectors has its own codebook; the product of the two is the grid of cells.  For a query, a
+multi-sequence traversal takes the two halves' centroids in order of a lower bound on the distance to anything stored
+with them and visits cells in order of the sum of the bounds, from a heap that holds the next candidates only.  It stops
+at the bound at which a sample of queries has reached the target recall of its links among all vectors, or at which links
+drawn at the threshold itself are reached, where links are hardest to reach, so that it depends neither on one large
+group nor on the sample having such links.  What the visited cells hold is verified in double precision.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +26,11 @@ from lineflow.llm._groups import sorted_groups
 from lineflow.llm._shared import components, materialise
 
 #: Vectors that the codebooks are fitted on, queries that the radius is measured on, rows of a block, target recall.
-SAMPLE, PROBES, BLOCK, RECALL = 20_000, 256, 1024, 0.9995
+SAMPLE, PROBES, BLOCK, RECALL = 65_536, 256, 1024, 0.9995
+#: Vectors of a cell, about; most centroids of a half, so that each has 16 vectors of the sample.
+CELL, MOST = 16, SAMPLE // 16
+#: Distances held at once, parts of a dense cell's rows.
+HELD, SALTS = 1 << 21, 16
 #: The measured radius (squared) is widened by this factor; it never needs to exceed the threshold's own distance.
 MARGIN = 2.0
 #: Links at the threshold in random directions that are drawn for each query of the sample.
@@ -31,16 +39,30 @@ _BINS = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy()
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    """Unit vectors in double precision, row by row."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = x.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def unit_vectors(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, dim, key, v): unit vectors in double precision, key a digest of them; v is null for unusable vectors."""
+def _slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with HELD distances to `width` centroids or so."""
+    step = max(1, HELD // width)
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
+def usable_vectors(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, dim, key, v): vectors as they are, key a digest of the unit vector in double precision; dim is 0 and key
+    and v are null for unusable vectors."""
+    element = table.schema[embedding].dataType.elementType.simpleString()
+    element = element if element in ("float", "double") else "double"
+    kind = pa.list_(pa.float32() if element == "float" else pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, key, dim = [], [], []
+            good, key, dim = [], [], []
             for x in b["e"]:
                 a = None
                 if x.is_valid and len(x) and x.values.null_count == 0:
@@ -48,13 +70,14 @@ def unit_vectors(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
                     top = np.abs(a).max()
                     a = a / top if np.isfinite(top) and top > 0 else None
                     a = None if a is None or not np.isfinite(a).all() else a / np.linalg.norm(a)
-                v.append(a)
+                good.append(a is not None)
                 dim.append(0 if a is None else len(a))
                 key.append(None if a is None else hashlib.blake2b((a + 0.0).tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(dim, pa.int64()), pa.array(key, pa.binary()), pa.array(v, pa.list_(pa.float64()))], names=["vec_id", "dim", "key", "v"])
+            v = pc.if_else(pa.array(good, pa.bool_()), b["e"].cast(kind), pa.scalar(None, kind))
+            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(dim, pa.int64()), pa.array(key, pa.binary()), v], names=["vec_id", "dim", "key", "v"])
 
-    rows = table.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"))
-    return rows.mapInArrow(run, "vec_id long, dim long, key binary, v array<double>")
+    rows = table.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{element}>").alias("e"))
+    return rows.mapInArrow(run, f"vec_id long, dim long, key binary, v array<{element}>")
 
 
 def codebook(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
@@ -63,7 +86,7 @@ def codebook(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarr
     x = np.unique(x, axis=0)
     c = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
-        a = ((c**2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        a = np.concatenate([((c**2).sum(axis=1) - 2 * x[k : k + HELD // len(c) + 1] @ c.T).argmin(axis=1) for k in range(0, len(x), HELD // len(c) + 1)])
         n = np.bincount(a, minlength=len(c))
         s = np.zeros_like(c)
         np.add.at(s, a, x)
@@ -97,20 +120,40 @@ class Grid:
     def cells(self, home: list[np.ndarray]) -> np.ndarray:
         return home[0] * len(self.books[1]) + home[1] // self.span
 
-    def traverse(self, low: list[np.ndarray], row: int, radius: float) -> np.ndarray:
-        """Stored cells in order of the sum of the halves' bounds, up to the radius: both halves sorted, then merged."""
-        a, b = np.argsort(low[0][row], kind="stable"), np.argsort(low[1][row], kind="stable")
-        a = a[: np.searchsorted(low[0][row][a], radius, side="right")]
-        b = b[: np.searchsorted(low[1][row][b], radius, side="right")]
-        total = low[0][row][a][:, None] + low[1][row][b][None]
-        i, j = np.nonzero(total <= radius)
-        order = np.argsort(total[i, j], kind="stable")
-        cells = a[i[order]] * len(self.books[1]) + b[j[order]] // self.span
-        return cells[np.sort(np.unique(cells, return_index=True)[1])]
+    def sequences(self, low: list[np.ndarray]) -> list[np.ndarray]:
+        """Bounds of what is stored together: of each centroid of the first half, of each span of the second."""
+        return [low[0], np.minimum.reduceat(low[1], np.arange(0, low[1].shape[1], self.span), axis=1)]
+
+    def traverse(self, first: np.ndarray, second: np.ndarray, radius: float) -> list[int]:
+        """Stored cells of one query in order of the sum of their bounds, up to the radius (multi-sequence algorithm).
+
+        A pair of places in the two sorted lists enters the heap once both pairs before it have left it.
+        """
+        lists = []
+        for bound in (first, second):
+            near = np.flatnonzero(bound <= radius)
+            order = near[np.argsort(bound[near], kind="stable")]
+            lists.append((order.tolist(), bound[order].tolist()))
+        (a, x), (b, y) = lists
+        if not a or not b:
+            return []
+        heap, upto, cells = [(x[0] + y[0], 0, 0)], [0] * len(a), []
+        while heap:
+            bound, i, j = heapq.heappop(heap)
+            if bound > radius:
+                break
+            cells.append(a[i] * len(self.books[1]) + b[j])
+            # upto[i]: places of the second list already visited with place i of the first.
+            upto[i] = j + 1
+            if i + 1 < len(a) and upto[i + 1] == j:
+                heapq.heappush(heap, (x[i + 1] + y[j], i + 1, j))
+            if j + 1 < len(b) and (i == 0 or upto[i - 1] > j + 1):
+                heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
+        return cells
 
 
 def fit_grid(vectors: DataFrame, n: int) -> Grid:
-    k = int(min(256, max(4, round((n / 16) ** 0.5))))
+    k = int(min(MOST, max(4, round((n / CELL) ** 0.5))))
     share = min(1.0, SAMPLE / max(1, n))
     sample = vectors.where((F.xxhash64("rep", F.lit("grid")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < share)
 
@@ -150,7 +193,7 @@ def measured_radius(vectors: DataFrame, grid: Grid, threshold: float, recall: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(q) * _BINS, dtype=np.int64)
-        for b in batches:
+        for b in (p for whole in batches for p in _slices(whole, max(len(q), *map(len, grid.books)))):
             x = _matrix(b["v"])
             home, _ = grid.bounds(x)
             i, j = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != b["rep"].to_numpy()[None]))
@@ -168,7 +211,7 @@ def measured_radius(vectors: DataFrame, grid: Grid, threshold: float, recall: fl
 
 
 def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, links) of blocks: a query's weighted link count (v = -1), or an edge of a forest over the block (links 0)."""
+    """(u, v, links) of blocks: a query's weighted link count (v null), or an edge of a forest over the block (links 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["cell", "i", "j"]):
@@ -180,7 +223,7 @@ def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:
             near = (x[q] @ x[d].T >= threshold) & (ids[q][:, None] != ids[d][None])
             links = near @ w[d]
             some = np.flatnonzero(links)
-            u, v, n = [ids[q][some]], [np.full(len(some), -1)], [links[some]]
+            u, v, n = [ids[q][some]], [np.zeros(len(some), dtype=np.int64)], [links[some]]
             edges, left_q, left_d = [], near.any(axis=1), near.any(axis=0)
             for root in np.flatnonzero(left_q):
                 if not left_q[root]:
@@ -199,36 +242,52 @@ def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:
             if edges:
                 e = np.array(edges)
                 u, v, n = [*u, e[:, 0]], [*v, e[:, 1]], [*n, np.zeros(len(e), dtype=np.int64)]
-            v = np.concatenate(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(v), pa.array(np.concatenate(n))], names=["u", "v", "links"])
+            u, v, n = map(np.concatenate, (u, v, n))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=np.arange(len(v)) < len(some)), pa.array(n)], names=["u", "v", "links"])
 
     return blocks.mapInArrow(run, "u long, v long, links long")
 
 
-def _linked(vectors: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """((rep, links), edges) among class representatives (rep, w, v) of one dimension."""
+def _split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rep, links), edges) of block links."""
+    return found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")), found.where("v is not null").select("u", "v")
+
+
+def _linked(vectors: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Links among class representatives (rep, w, v) of one dimension."""
     n = vectors.count()
     grid = fit_grid(vectors, n)
     radius = measured_radius(vectors, grid, threshold, recall)
+    kind = vectors.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in _slices(whole, max(map(len, grid.books)))):
             home, low = grid.bounds(_matrix(b["v"]))
-            visits = [grid.traverse(low, k, radius) for k in range(b.num_rows)]
+            first, second = grid.sequences(low)
+            visits = [grid.traverse(x, y, radius) for x, y in zip(first, second)]
             yield pa.RecordBatch.from_arrays([b["rep"], b["w"], b["v"], pa.array(grid.cells(home)), pa.array(visits, pa.list_(pa.int64()))], names=["rep", "w", "v", "cell", "visits"])
 
-    placed = materialise(vectors.select("rep", "w", "v").mapInArrow(run, "rep long, w long, v array<double>, cell long, visits array<long>"), "cells")
+    placed = materialise(vectors.select("rep", "w", "v").mapInArrow(run, f"rep long, w long, v {kind}, cell long, visits array<long>"), "cells")
     chunks = lambda c: F.ceil(F.count(F.lit(1)) / BLOCK).alias(c)
     queries = placed.select("rep", "w", "v", F.explode("visits").alias("cell"))
-    stored_n = placed.groupBy("cell").agg(chunks("dn"))
-    sizes = queries.groupBy("cell").agg(chunks("qn")).join(stored_n, "cell")
+    sizes = queries.groupBy("cell").agg(chunks("qn")).join(placed.groupBy("cell").agg(chunks("dn")), "cell")
+    # Rows of a dense cell meet their cell's sizes in SALTS parts.
+    sizes = sizes.select("cell", "qn", "dn", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salted = lambda rows: rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS)).cast("int")).join(sizes, ["cell", "salt"])
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit("part")), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    d = placed.join(sizes, "cell").select("cell", part("dn").alias("i"), each("qn").alias("j"), "rep", "w", "v", F.lit(True).alias("stored"))
-    q = queries.join(sizes, "cell").select("cell", each("dn").alias("i"), part("qn").alias("j"), "rep", "w", "v", F.lit(False).alias("stored"))
+    d = salted(placed).select("cell", part("dn").alias("i"), each("qn").alias("j"), "rep", "w", "v", F.lit(True).alias("stored"))
+    q = salted(queries).select("cell", each("dn").alias("i"), part("qn").alias("j"), "rep", "w", "v", F.lit(False).alias("stored"))
     blocks = d.union(q).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = materialise(_block_links(blocks, threshold), "links")
-    return found.where("v = -1").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")), found.where("v <> -1").select("u", "v")
+    return materialise(_block_links(blocks, threshold), "links")
+
+
+def _few(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links among representatives (rep, w, v, dim) of dimensions that have a block or less: one cell a dimension."""
+    zero = F.lit(0).cast("long")
+    roles = F.explode(F.array(F.lit(True), F.lit(False))).alias("stored")
+    blocks = vectors.select(F.col("dim").alias("cell"), zero.alias("i"), zero.alias("j"), "rep", "w", "v", roles)
+    return materialise(_block_links(blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j"), threshold), "links")
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -236,19 +295,22 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, recall: float = R
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing, and so do vectors of
     different length.  Equal vectors (up to length) form a weighted class that is compared once.  Rows without vec_id
-    are dropped, repeated rows count each; ids are not negative.  An empty table gives an empty result.
+    are dropped, repeated rows count each; other columns are ignored; an empty table gives an empty result.  Dimensions
+    with more than a block of vectors have a grid each; of those a table should have few.
     """
-    units = materialise(unit_vectors(table, vec_id, embedding), "units")
+    units = materialise(usable_vectors(table, vec_id, embedding), "vectors")
     classes = materialise(units.where("v is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"), F.max("dim").alias("dim")), "classes")
-    links = edges = None
-    for dim in [r["dim"] for r in classes.select("dim").distinct().orderBy("dim").collect()]:
-        a, b = _linked(classes.where(F.col("dim") == dim), threshold, recall)
-        links, edges = (a, b) if links is None else (links.union(a), edges.union(b))
-    if links is None:
+    dims = materialise(classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "dims")
+    parts = [_linked(classes.where(F.col("dim") == r["dim"]), threshold, recall) for r in dims.where(F.col("n") > BLOCK).orderBy("dim").collect()]
+    if not (few := dims.where(F.col("n") <= BLOCK)).isEmpty():
+        parts.append(_few(classes.join(few.select("dim"), "dim", "left_semi"), threshold))
+    if not parts:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    links, edges = _split(reduce(DataFrame.union, parts))
     merged = components(edges).withColumnRenamed("node", "rep")
     of = classes.select("key", "rep", "w").join(links, "rep", "left").join(merged, "rep", "left")
-    of = of.select("key", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = units.select("vec_id", "key").join(of, "key", "left")
+    # A class may hold a third of all rows, so it is looked up in SALTS parts.
+    of = of.select("key", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = units.select("vec_id", "key", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt")).join(of, ["key", "salt"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
