@@ -2,7 +2,9 @@
 
 Random strings compress badly under a byte-pair vocabulary learned from text: they have few characters a token.  Runs of
 RUN or more characters that mix letters and digits are tokenised, and those under RATIO characters a token become `token`
-spans, unless they look like a known digest or identifier.  Of a run that a pattern span touches, what the span leaves is
+spans, unless they are a known digest or identifier: hex digests of usual lengths, labelled base32 digests, UUIDs, dates,
+and short words and numbers between signs.  Letters alone take LETTERS characters and LETTER_RATIO, which words of any of
+the usual languages stay above.  Of a run that a pattern span touches, what the span leaves is
 tested.  A run that is not random as a whole is tested in parts, so that words around a secret, as in a path or a URL, do
 not hide it: stretches of segments that are no words or numbers, the segments between / . - _ = and, within a long
 segment, windows of WINDOW characters.
@@ -21,24 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineflow.llm._bytes import text_column, word_spans
+from lineflow.llm._bytes import parts, text_column, word_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of byte-level BPE; runs without spaces only meet its letter, digit and sign branches.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
+#: Bytes of texts scanned at once, longer ones alone.
+PART = 4 << 20
 RUN, WINDOW, RATIO = 16, 20, 2.0
+LETTERS, LETTER_RATIO = 20, 1.85
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Digests and identifiers that are no secrets: hex digests of usual lengths, UUIDs, base32 SHA-1, plain numbers, dotted or dashed words and numbers, paths.
+#: Digests and identifiers that are no secrets: hex digests of usual lengths, UUIDs, plain numbers, short words and numbers between signs.
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha512)[-:=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Z2-7]{32}|[0-9+/_.=-]+|(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8})(?:[/_.=-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8}|[a-z]))*[/_.=-]*")
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_.=-]+|(?:[A-Za-z]{2,11}[0-9]{0,4}|[0-9]{1,8})(?:[/_.=-]+(?:[A-Za-z]{2,11}[0-9]{0,4}|[0-9]{1,8}|[a-z]))*[/_.=-]*")
 #: Dates with a time of day, also no secrets.
 INSTANT = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_.-]?[0-9]{2}[-_.]?[0-9]{2}[-_.]?(?:[0-9]{2})?(?:[.-][0-9]+)?[Zz]?")
-#: UUIDs and digests of usual lengths inside a run.
-KNOWN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[A-Z2-7]{32})(?![0-9A-Za-z])")
+#: UUIDs, digests of usual lengths and base32 digests with their label inside a run.
+KNOWN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|(?<=sha1[:=/-])[A-Z2-7]{32})(?![0-9A-Za-z])")
 SEGMENT = re.compile(r"[^/._=-]+")
 #: A segment that is a word or a number and so parts a stretch of odd segments.
 PLAIN = re.compile(r"[A-Z]?[a-z]{2,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]{1,8}|[A-Za-z]")
@@ -56,7 +61,11 @@ class Span(NamedTuple):
 def encoding(vocabulary: str):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    try:
+        f = open(vocabulary, "rb")
+    except OSError as e:
+        raise ValueError(f"every executor needs the vocabulary file {vocabulary}; name another with `vocabulary`") from e
+    with f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
@@ -67,11 +76,13 @@ def token_ratio(run: str, vocabulary: str = VOCABULARY) -> float:
 
 def random_like(run: str, vocabulary: str, ratio: float) -> bool:
     core = run.strip("+/_.=-")
-    if len(core) < RUN or not re.search("[0-9]", core) or not re.search("[A-Za-z]", core):
+    if len(core) < RUN or not re.search("[A-Za-z]", core):
         return False
     if DIGEST.fullmatch(core) or IDENTIFIER.fullmatch(core) or INSTANT.fullmatch(core):
         return False
-    return token_ratio(core, vocabulary) < ratio
+    if re.search("[0-9]", core):
+        return token_ratio(core, vocabulary) < ratio
+    return len(core) >= LETTERS and token_ratio(core, vocabulary) < min(ratio, LETTER_RATIO)
 
 
 def free_parts(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,30 +115,30 @@ def random_windows(segment: str, vocabulary: str, ratio: float) -> list[tuple[in
     return out
 
 
-def random_parts(run: str, vocabulary: str, ratio: float) -> list[tuple[int, int]]:
-    """Random-looking parts of a run: the whole of it, or else stretches, segments and windows, none overlapping."""
-    if len(run) < RUN or not re.search("[0-9]", run):
-        return []
-    if random_like(run, vocabulary, ratio):
-        return [(0, len(run))]
+def random_parts(text: str, start: int, end: int, vocabulary: str, ratio: float) -> list[tuple[int, int]]:
+    """Random-looking parts of text[start:end], a run: the whole of it, or else stretches, segments and windows, none
+    overlapping.  Known digests and identifiers inside it, for which what stands before the run counts too, are left out."""
+    known = [m.span() for m in KNOWN.finditer(text, start, end)]
+    if not known and random_like(text[start:end], vocabulary, ratio):
+        return [(start, end)]
     out: list[tuple[int, int]] = []
-    for lo, hi in free_parts(0, len(run), [m.span() for m in KNOWN.finditer(run)]):
-        segments = [m.span() for m in SEGMENT.finditer(run, lo, hi)]
-        odd = [PLAIN.fullmatch(run, a, b) is None for a, b in segments]
+    for lo, hi in free_parts(start, end, known):
+        segments = [m.span() for m in SEGMENT.finditer(text, lo, hi)]
+        odd = [PLAIN.fullmatch(text, a, b) is None for a, b in segments]
         k = 0
         while k < len(segments):
             n = k + 1
             while odd[k] and n < len(segments) and odd[n] and segments[n][0] == segments[n - 1][1] + 1:
                 n += 1
             a, b = segments[k][0], segments[n - 1][1]
-            if n > k + 1 and random_like(run[a:b], vocabulary, ratio):
+            if n > k + 1 and random_like(text[a:b], vocabulary, ratio):
                 out.append((a, b))
             else:
                 for a, b in segments[k:n]:
-                    if random_like(run[a:b], vocabulary, ratio):
+                    if random_like(text[a:b], vocabulary, ratio):
                         out.append((a, b))
-                    elif b - a > WINDOW and DIGEST.fullmatch(run, a, b) is None:
-                        out += [(a + x, a + y) for x, y in random_windows(run[a:b], vocabulary, ratio)]
+                    elif b - a > WINDOW and DIGEST.fullmatch(text, a, b) is None:
+                        out += [(a + x, a + y) for x, y in random_windows(text[a:b], vocabulary, ratio)]
             k = n
     return out
 
@@ -144,7 +155,7 @@ def all_spans(text: str, base: list[Span], runs: list[tuple[int, int]], vocabula
     added = []
     for s, e in runs:
         for lo, hi in free_parts(s, e, [(b.start, b.end) for b in base if b.start < e and s < b.end]):
-            added += [Span("token", lo + x, lo + y) for x, y in random_parts(text[lo:hi], vocabulary, ratio)]
+            added += [Span("token", x, y) for x, y in random_parts(text, lo, hi, vocabulary, ratio)]
     return sorted(base + added, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
@@ -163,17 +174,17 @@ def long_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def find_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
-    """(doc_id, secrets array<struct<kind,start,end,value>>) of every row of `docs` (doc_id, text).
+    """(doc_id, secrets array<struct<kind,start,end>>) of every row of `docs` (doc_id, text); no value leaves its text.
 
-    Offsets are code points, end exclusive; null and empty texts have no spans; repeated rows stay repeated; other
-    columns are ignored.  Row-local: no shuffle.
+    Offsets are code points, end exclusive; null and empty texts have no spans; texts of any length are scanned whole;
+    repeated rows stay repeated, rows without doc_id too; other columns are ignored.  `vocabulary` is a file that every
+    executor has at the same path.  Row-local: no shuffle.
     """
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                batch = whole.slice(lo, 2048)
+            for batch in parts(whole, PART, 2048):
                 raw, offsets = text_column(batch["text"])
                 row, start, end = long_runs(raw, offsets)
                 bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -188,11 +199,11 @@ def find_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = R
                     text = batch["text"][i].as_py()
                     base = base_spans(text) if a < b else [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
                     spans = all_spans(text, base, list(zip(start[a:b].tolist(), end[a:b].tolist())), vocabulary, ratio)
-                    out.append([{"kind": s.kind, "start": s.start, "end": s.end, "value": text[s.start : s.end]} for s in spans])
+                    out.append([s._asdict() for s in spans])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(out, kind)], names=["doc_id", "secrets"])
 
     columns = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return columns.mapInArrow(run, "doc_id long, secrets array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    return columns.mapInArrow(run, "doc_id long, secrets array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
