@@ -211,10 +211,8 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select("bucket", "i", "j", "doc_id", "text").mapInArrow(run, "u long, v long")
 
 
-def _compared(dealt: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The links inside the cells of `dealt` (bucket, i, j, doc_id), each with the texts of `docs`."""
-    dealt = materialise(dealt, "cells")
-    texts = docs.join(dealt.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _compared(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The links inside the cells of `dealt` (bucket, i, j, doc_id), each with its `texts` (doc_id, text)."""
     cells = dealt.join(texts.hint("merge"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return materialise(block_links(cells, percent), "links")
 
@@ -265,11 +263,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     own = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n"))
     share = F.xxhash64("doc_id", "bucket").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     members = materialise(rowset.join(kept, "bucket").select("bucket", "doc_id", "n_shingles", "n", own.alias("own"), (share * F.col("k") < PIVOTS).alias("pivot")), "members")
+    # Both rounds read the texts of bucket members only.
+    texts = materialise(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     cells = F.when(F.col("pivot"), _each(F.col("n"))).otherwise(F.array("own"))
-    merged = components(_compared(members.select("bucket", F.explode(cells).alias("i"), F.lit(0).cast("long").alias("j"), "doc_id"), docs, percent))
+    merged = components(_compared(members.select("bucket", F.explode(cells).alias("i"), F.lit(0).cast("long").alias("j"), "doc_id"), texts, percent))
     if (left := _outside(members, merged)) is not None:
         known = merged.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        merged = components(known.union(_compared(left, docs, percent)))
+        merged = components(known.union(_compared(left, texts, percent)))
 
     # Only classes of several documents are looked up by their sets, in SALTS parts each, as one may be very large.
     classes = classes.select(*key, "rep", "copies").where("copies > 1").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
