@@ -171,6 +171,13 @@ class Spark(Dialect):
     def array(self, *xs):
         return f"array({', '.join(xs)})"
 
+    def transform_at(self, a, var, at, body):
+        """transform() whose body also sees where an item stands; nth() turns that into a place from 1."""
+        return f"transform({a}, ({var}, {at}) -> {body})"
+
+    def nth(self, at):
+        return f"({at} + 1)"
+
     def upto(self, n):
         """The numbers 0 to n as an array."""
         return f"sequence(cast(0 as bigint), cast({n} as bigint))"
@@ -178,6 +185,13 @@ class Spark(Dialect):
     def nul(self):
         return "char(0)"
 
+    def printf(self, form, *xs):
+        return f"format_string({self.lit(form)}, {', '.join(xs)})"
+
+    def json(self, **xs):
+        """A row as a JSON object."""
+        return f"to_json(named_struct({', '.join(f'{self.lit(k)}, {x}' for k, x in xs.items())}))"
+
     def instr(self, x, s):
         return f"cast(instr({x}, {self.lit(s)}) as bigint)"
 
@@ -297,12 +311,24 @@ class Duck(Dialect):
     def array(self, *xs):
         return f"[{', '.join(xs)}]"
 
+    def transform_at(self, a, var, at, body):
+        return f"list_transform({a}, lambda {var}, {at}: {body})"
+
+    def nth(self, at):
+        return at
+
     def upto(self, n):
         return f"range(0, ({n})::bigint + 1)"
 
     def nul(self):
         return "chr(0)"
 
+    def printf(self, form, *xs):
+        return f"printf({self.lit(form)}, {', '.join(xs)})"
+
+    def json(self, **xs):
+        return f"cast(to_json({{{', '.join(f'{self.lit(k)}: {x}' for k, x in xs.items())}}}) as varchar)"
+
     def instr(self, x, s):
         return f"instr({x}, {self.lit(s)})::bigint"
 

@@ -11,6 +11,31 @@ def outside_paths(d: Dialect, pattern: str, x: str) -> str:
     return f"({d.match(x, pattern)} and {d.match(d.sub(x, P.PATH_TOKEN, ' '), pattern)})"
 
 
+#: Lower-case texts of which a line holds one wherever the pattern matches; they leave out s, whose other form ſ isn't lowered.
+NEEDS = {
+    P.ERROR_WORD: ("error",),
+    P.PYTHON_EXCEPTION: ("error:", "exception:", "warning:", "fault:"),
+    P.FAIL_WORD: ("fail",),
+    P.COMPILE_ERROR: ("cannot", "undefined", "not found", "yntax error"),
+    P.RUST_NOTE: ("note:", "help:"),
+    P.VERBOSE: ("debug", "trace", "verbo"),
+} | dict(zip(P.CRITICAL_TRIMMED, (("panic:",), ("fatal:",), ("fatal",), ("goroutine ",), ("traceback (mo",), ("egmentation fault", "egv", "egfault")))) | dict(
+    zip((*P.ERROR_PLAIN, *P.PARSE_ERROR, *P.WARNING_WORDS), (("ertion failed",), (" got",), ("exit ",), ("json", "jſon", "yaml", "toml"), ("unexpected ",), ("yaml:",), ("warn",), ("deprecated",), ("todo", "fixme", "hack"), ("kip",)))
+)
+
+
+def holds(d: Dialect, pattern: str, x: str, low: str, test: str = "") -> str:
+    """The pattern matches x, whose lower-case form is `low`: a plain text search spares most lines the pattern.  The oracle
+    does without the search, so that it shows that none is lost."""
+    if d.name == "duckdb":
+        return test or d.match(x, pattern)
+    return f"(({' or '.join(d.contains(low, d.lit(n)) for n in NEEDS[pattern])}) and {test or d.match(x, pattern)})"
+
+
+def holds_any(d: Dialect, patterns: tuple[str, ...], x: str, low: str) -> str:
+    return "(" + " or ".join(holds(d, p, x, low) for p in patterns) + ")"
+
+
 def source_prefix() -> str:
     return r"^[^\s:]+\.(?:" + "|".join(P.SOURCE_EXTENSIONS) + r"):\d+(?::\d+)?:\s*"
 
@@ -23,29 +48,32 @@ def source_level(d: Dialect, x: str) -> str:
         when {d.match(x, P.STRICT_COMPILER)} or {d.any_of(P.PARSE_ERROR, x)} then {P.ERROR} else {P.INFO} end"""
 
 
-def level(d: Dialect, line: str, t: str) -> str:
-    """Level 0 to 5 of a raw line and its trimmed form (P-01): the first rule that holds."""
-    warn = " or ".join(outside_paths(d, p, t) for p in P.WARNING_WORDS)
+def level(d: Dialect, line: str, t: str, low: str = "") -> str:
+    """Level 0 to 5 of a raw line and its trimmed form (P-01): the first rule that holds.  `low` is t in lower case."""
+    low = low or d.lower(t)
+    outside = lambda p: holds(d, p, t, low, outside_paths(d, p, t))
     bare = d.trim(d.sub(t, P.ANSI_CSI, ""))
     after = d.trim(d.sub(t, P.TIMESTAMP_ONLY, ""))
     content = d.trim(d.sub(t, source_prefix(), ""))
     return f"""case when {t} = '' or {d.match(t, P.PURE_ANSI)} or {d.match(t, P.DECORATIVE)} then {P.NOISE}
-        when {d.match(t, chr(92) + 'x1b' + chr(92) + '[')} and {bare} = '' then {P.NOISE}
-        when {d.match(t, source_prefix())} then {source_level(d, content)}
-        when {d.any_of(P.CRITICAL_TRIMMED, t)} or {d.any_of(P.CRITICAL_RAW, line)} then {P.CRITICAL}
-        when {outside_paths(d, P.ERROR_WORD, t)} and not {d.match(t, P.ZERO_ERRORS)} then {P.ERROR}
-        when {d.match(t, P.PYTHON_EXCEPTION)} or {outside_paths(d, P.FAIL_WORD, t)} or {d.any_of(P.ERROR_PLAIN, t)} or {outside_paths(d, P.COMPILE_ERROR, t)} then {P.ERROR}
-        when {d.match(t, P.RUST_NOTE)} then {P.WARNING}
-        when {d.any_of(P.PARSE_ERROR, t)} then {P.ERROR}
-        when {warn} then {P.WARNING}
-        when {d.match(t, P.VERBOSE)} or {d.match(t, P.PROGRESS)} then {P.DEBUG}
+        when {d.contains(t, d.lit(chr(27) + '['))} and {bare} = '' then {P.NOISE}
+        when {d.contains(t, d.lit(':'))} and {d.match(t, source_prefix())} then {source_level(d, content)}
+        when {holds_any(d, P.CRITICAL_TRIMMED, t, low)} or ({line} <> {t} and {d.any_of(P.CRITICAL_RAW, line)}) then {P.CRITICAL}
+        when {outside(P.ERROR_WORD)} and not {d.match(t, P.ZERO_ERRORS)} then {P.ERROR}
+        when {holds(d, P.PYTHON_EXCEPTION, t, low)} or {outside(P.FAIL_WORD)} or {holds_any(d, P.ERROR_PLAIN, t, low)} or {outside(P.COMPILE_ERROR)} then {P.ERROR}
+        when {holds(d, P.RUST_NOTE, t, low)} then {P.WARNING}
+        when {holds_any(d, P.PARSE_ERROR, t, low)} then {P.ERROR}
+        when {' or '.join(map(outside, P.WARNING_WORDS))} then {P.WARNING}
+        when {holds(d, P.VERBOSE, t, low)} or {d.match(t, P.PROGRESS)} then {P.DEBUG}
         when {d.match(t, P.TIMESTAMP_ONLY)} and {d.octets(after)} < 3 then {P.DEBUG}
         else {P.INFO} end"""
 
 
-def classified(d: Dialect, src: str) -> str:
-    """(doc, pos, line, t, level) of a line relation (P-04)."""
-    return f"(select doc, pos, line, t, cast({level(d, 'line', 't')} as int) as level from (select doc, pos, line, {d.trim('line')} as t from {src}) c0)"
+def classified(d: Dialect, src: str, keep: str = "") -> str:
+    """(doc, pos, line, t, level) of a line relation (P-04), and the columns `keep` of it."""
+    keep = f", {keep}" if keep else ""
+    trimmed = f"(select doc, pos, line, t, {d.lower('t')} as low{keep} from (select doc, pos, line, {d.trim('line')} as t{keep} from {src}) c0)"
+    return f"(select doc, pos, line, t, cast({level(d, 'line', 't', 'low')} as int) as level{keep} from {trimmed} c1)"
 
 
 def failure_anchor(d: Dialect, x: str) -> str:
@@ -71,6 +99,4 @@ def runner_verdict(d: Dialect, x: str) -> str:
 
 def by_extension(d: Dialect, table: dict[str, tuple[str, ...]], ext: str, x: str) -> str:
     """Whether a line matches one of its language's patterns; languages without patterns match nothing (P-16, P-17)."""
-    alias = {"tsx": "ts", "jsx": "js", "h": "c", "cpp": "c"}
-    names = {k: [k, *[a for a, b in alias.items() if b == k]] for k in table}
-    return "case " + " ".join(f"when {ext} in ({', '.join(map(d.lit, names[k]))}) then {d.any_of(v, x)}" for k, v in table.items()) + " else false end"
+    return f"case {d.lower(ext)} " + " ".join(f"when {d.lit(k)} then {d.any_of(v, x)}" for k, v in table.items()) + " else false end"

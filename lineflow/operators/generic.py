@@ -50,6 +50,18 @@ def dedup(d: Dialect, src: str) -> str:
         cross join (select 0 as k union all select 1 as k) two where k = 0 or n > 1)"""
 
 
+def dedup_text(d: Dialect, src: str, keep: str = "") -> str:
+    """dedup() of (doc, text) as (doc, text): rows stay where they are, for texts of which one fits in memory (F-05)."""
+    keep = f", {keep}" if keep else ""
+    lines = f"(select doc, {d.split('text', chr(10))} as a{keep} from {src})"
+    heads = d.filter(d.upto(d.size("a")), "i", f"i > 0 and (i = 1 or {d.item('a', 'cast(i as int)')} <> {d.item('a', 'cast(i as int) - 1')})")
+    runs = f"(select doc, a, {heads} as h{keep} from {lines} t0)"
+    at, after = "cast(i as int)", f"coalesce({d.item('h', d.nth('k') + ' + 1')}, {d.size('a')} + 1)"
+    marker = f"concat({d.lit(chr(10) + '  ... (')}, cast({after} - i - 1 as varchar(20)), case when {after} - i = 2 then ' duplicate line)' else ' duplicate lines)' end)"
+    item = f"case when {after} - i > 1 then concat({d.item('a', at)}, {marker}) else {d.item('a', at)} end"
+    return f"(select doc, {d.join(d.transform_at('h', 'i', 'k', item), chr(10))} as text{keep} from {runs} t1)"
+
+
 def collapse_node_warnings(d: Dialect, src: str) -> str:
     """Blocks of the same warning from several workers become the first and a marker (F-06).
 
@@ -127,9 +139,10 @@ def renumber(d: Dialect, src: str) -> str:
     return f"(select doc, cast(row_number() over (partition by doc order by pos, sub) - 1 as bigint) as pos, line from {src})"
 
 
-def split_lines(d: Dialect, src: str) -> str:
-    """(doc, pos, line) of a relation (doc, text) (S-01, S-05)."""
-    return d.explode(f"(select doc, {d.split('text', chr(10))} as lines from {src})" + (" x0" if d.name == "duckdb" else ""), "doc", "lines")
+def split_lines(d: Dialect, src: str, keep: str = "") -> str:
+    """(doc, pos, line) of a relation (doc, text) (S-01, S-05), and the columns `keep` of it."""
+    keep = f", {keep}" if keep else ""
+    return d.explode(f"(select doc, {d.split('text', chr(10))} as lines{keep} from {src})" + (" x0" if d.name == "duckdb" else ""), f"doc{keep}", "lines")
 
 
 def chain(d: Dialect, src: str, cwd: str = "/home/u/app", home: str = "/home/u", remove: list[str] | None = None) -> str:

@@ -10,8 +10,8 @@ from lineflow.operators import classify
 
 def observe(d: Dialect, src: str) -> str:
     """(ts, session, cmd, norm, level) of non-blank lines of (doc, pos, line, ts, session, cmd) (A-09)."""
-    lines = f"(select *, {d.trim('line')} as t from {src})"
-    return f"(select ts, session, cmd, {T.normalise(d, 'line')} as norm, cast({classify.level(d, 'line', 't')} as int) as level from {lines} o0 where t <> '')"
+    lines = f"(select *, {d.lower('t')} as low from (select *, {d.trim('line')} as t from {src}) o0 where t <> '')"
+    return f"(select ts, session, cmd, {T.normalise(d, 'line')} as norm, cast({classify.level(d, 'line', 't', 'low')} as int) as level from {lines} o1)"
 
 
 def analyse(d: Dialect, src: str, sessions: int = 3, least: float = 0.05, most: float = 0.30, noise: float = 0.80, top: int = 20) -> str:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from lineflow.functions import patterns as P
 from lineflow.functions import text as T
@@ -53,38 +55,137 @@ def matches(d: Dialect, src: str, pattern: str, fold: bool = False) -> str:
     return f"(select path, pos, line from {src} where {d.match('line', ('(?i)' if fold else '') + pattern) if pattern else 'false'})"
 
 
+#: Where the lines of a file's listing stand: a blank line before it, its header, its lines, a blank line after it.
+BEFORE, HEADER, AFTER = -2, -1, 1_000_000_000_000
+
+
+def _number(pos: str) -> str:
+    return f"cast({pos} + 1 as varchar(20))"
+
+
+def _between(d: Dialect, files: str) -> str:
+    """Blank lines before every file but the first in walk order."""
+    order = d.split("path", "/")
+    return f"select path, cast({BEFORE} as bigint) as pos, cast(0 as bigint) as sub, '' as line from {files} b0 where path <> (select {d.first_by('path', order)} from {files} b1)"
+
+
 def scan(d: Dialect, src: str, pattern: str, width: int = 120) -> str:
-    """`Nx path` and its matches (H-04, T-10)."""
+    """`Nx path` and its matches, each line cut to `width` (H-04, T-10): (path, pos, sub, line)."""
     m = f"{matches(d, src, pattern)} m"
-    text = T.ellipsis(d, d.trim("line"), width)
-    return f"""(select path, cast(-1 as bigint) as pos, concat(cast(count(*) as varchar(20)), 'x ', path) as line from {m} group by path
-        union all select path, pos, concat('  ', cast(pos + 1 as varchar(20)), ': ', {text}) as line from {m})"""
+    text = T.ellipsis(d, f"concat('  ', {_number('pos')}, ': ', {d.trim('line')})", width)
+    files = f"(select path, count(*) as n from {m} group by path)"
+    return f"""({_between(d, files)} union all select path, cast({HEADER} as bigint) as pos, cast(0 as bigint) as sub, concat(cast(n as varchar(20)), 'x ', path) as line from {files} f
+        union all select path, pos, cast(0 as bigint) as sub, {text} as line from {m})"""
 
 
 def detail(d: Dialect, src: str, pattern: str, context: int = 3) -> str:
-    """Matches with `context` lines around them; windows that touch are one, others are parted by `...` (H-05, J-07)."""
-    hit = d.match("line", pattern)
+    """Matches with `context` lines around them under `--- path:line ---`; windows that touch are one, those of one file are
+    parted by `  ...` (H-05, J-07): (path, pos, sub, line)."""
+    context = context if context > 0 else 3
+    hit = d.match("line", pattern) if pattern else "false"
     one = f"(select *, max(case when hit then 1 else 0 end) over ({ORDER} rows between {context} preceding and {context} following) as near from (select path, pos, line, {hit} as hit from {src}) d0)"
     two = f"(select *, pos - lag(pos) over ({ORDER}) as gap from {one} d1 where near = 1)"
-    return f"""(select path, pos, cast(1 as bigint) as sub, concat(case when hit then '> ' else '  ' end, cast(pos + 1 as varchar(20)), ': ', line) as line from {two} d2
-        union all select path, pos, cast(0 as bigint) as sub, '...' as line from {two} d3 where gap > 1)"""
+    files = f"(select distinct path from {matches(d, src, pattern)} m)"
+    return f"""({_between(d, files)} union all select path, pos, cast(2 as bigint) as sub, concat(case when hit then '> ' else '  ' end, {_number('pos')}, ': ', line) as line from {two} d2
+        union all select path, pos, cast(1 as bigint) as sub, concat('--- ', path, ':', {_number('pos')}, ' ---') as line from {two} d3 where coalesce(gap, 2) > 1
+        union all select path, pos, cast(0 as bigint) as sub, '  ...' as line from {two} d4 where gap > 1)"""
 
 
 def definitions(d: Dialect, src: str, pattern: str, width: int = 120) -> str:
-    """Matches that define something, by the file's language; files without any give all their matches (H-06)."""
+    """Matches that define something, by the file's language, under its path; files without any give all their matches
+    (H-06): (path, pos, sub, line)."""
     m = f"(select path, pos, line, {classify.by_extension(d, P.DEFINITIONS, extension(d, 'path'), d.trim('line'))} as def from {matches(d, src, pattern)} m0)"
-    return f"(select path, pos, {T.ellipsis(d, d.trim('line'), width)} as line from (select *, max(case when def then 1 else 0 end) over (partition by path) as any_def from {m} m1) m2 where def or any_def = 0)"
+    files = f"(select distinct path from {matches(d, src, pattern)} m3)"
+    heads = " union all ".join(f"select path, cast({k} as bigint) as pos, cast(0 as bigint) as sub, {x} as line from {files} f{j}" for j, (k, x) in enumerate(((HEADER, "path"), (AFTER, "''"))))
+    return f"""({heads} union all select path, pos, cast(0 as bigint) as sub, concat('  ', {_number('pos')}, ': ', {T.ellipsis(d, d.trim('line'), width - 8)}) as line
+        from (select *, max(case when def then 1 else 0 end) over (partition by path) as any_def from {m} m1) m2 where def or any_def = 0)"""
 
 
 def skeleton(d: Dialect, src: str, pattern: str, width: int = 120) -> str:
-    """Structural lines of every file with a match (H-07, P-17)."""
-    files = f"(select distinct path as hit_path from {matches(d, src, pattern)} k0)"
-    return f"(select path, pos, {T.ellipsis(d, 'line', width)} as line from {src} join {files} f on path = f.hit_path where {classify.by_extension(d, P.SKELETON, extension(d, 'path'), 'line')})"
+    """Structural lines of every file with a match under `== path ==` (H-07, P-17): (path, pos, sub, line)."""
+    files = f"(select distinct path from {matches(d, src, pattern)} k0)"
+    trimmed = f"(select path, pos, {d.trim('line')} as line from {src})"
+    lines = f"(select s.path, s.pos, s.line from {trimmed} s join {files} f on s.path = f.path where {classify.by_extension(d, P.SKELETON, extension(d, 's.path'), 's.line')})"
+    return f"""({_between(d, files)} union all select path, cast({HEADER} as bigint) as pos, cast(0 as bigint) as sub, concat('== ', path, ' ==') as line from {files} f1
+        union all select path, pos, cast(0 as bigint) as sub, concat('  ', {_number('pos')}, ': ', {T.ellipsis(d, 'line', width - 8)}) as line from {lines} k1
+        union all select f2.path, cast(0 as bigint) as pos, cast(0 as bigint) as sub, '  (no structure detected)' as line from {files} f2 left join (select distinct path as found from {lines} k2) k3 on f2.path = found where found is null)"""
 
 
 def by_folder(d: Dialect, src: str, pattern: str) -> str:
-    """Files and matches by folder, most matches first (H-08, A-18)."""
-    return f"(select dir, cast(count(distinct path) as bigint) as files, cast(count(*) as bigint) as n from (select path, {d.sub('path', '/?[^/]*$', '')} as dir from {matches(d, src, pattern)} b0) b1 group by dir)"
+    """Files and matches by folder (H-08, A-18); a path without a slash lies in `.`."""
+    folder = f"case when {d.contains('path', d.lit('/'))} then {d.sub('path', '/[^/]*$', '')} else '.' end"
+    return f"(select dir, cast(count(distinct path) as bigint) as files, cast(count(*) as bigint) as n from (select path, {folder} as dir from {matches(d, src, pattern)} b0) b1 group by dir)"
+
+
+def folder_table(d: Dialect, src: str, pattern: str) -> str:
+    """by_folder() as a table, most matches first, ties by name: (path, pos, sub, line) with an empty path."""
+    rows = by_folder(d, src, pattern)
+    name = f"case when {d.chars('dir')} <= 40 then dir else concat('...', substr(dir, cast({d.chars('dir')} - 36 as int))) end"
+    head = [f"concat('Pattern: ', {d.lit(pattern)})", "concat('Total: ', cast(sum(n) as varchar(20)), ' matches in ', cast(sum(files) as varchar(20)), ' files')", "''", d.printf("%-40s %6s %8s", "'Directory'", "'Files'", "'Matches'"), d.lit("-" * 56)]
+    heads = " union all ".join(f"select '' as path, cast({k - len(head)} as bigint) as pos, cast(0 as bigint) as sub, {x} as line from {rows} t{k} having count(*) > 0" for k, x in enumerate(head))
+    return f"({heads} union all select '' as path, cast(row_number() over (order by n desc, dir) - 1 as bigint) as pos, cast(0 as bigint) as sub, {d.printf('%-40s %6d %8d', name, 'files', 'n')} as line from {rows} t9)"
+
+
+@dataclass(frozen=True)
+class Options:
+    """A search (H-02); the mode is scan, detail, def, tree or summary."""
+
+    pattern: str = ""
+    folder: str = "."
+    mode: str = "scan"
+    context: int = 3
+    types: tuple[str, ...] = ()
+    glob: str = ""
+    max_results: int = 0
+    width: int = 120
+
+
+def parse_flags(args: Sequence[str]) -> Options:
+    """Options from arguments: -d [n], --def, --tree, --summary, -t ext, -g glob, -m n, -p folder, pattern, folder (H-02)."""
+    out, free, i = Options(), [], 0
+    named = {"-t": "types", "--type": "types", "-g": "glob", "--glob": "glob", "-m": "max_results", "--max": "max_results", "-p": "folder", "--path": "folder"}
+    while i < len(args):
+        a = args[i]
+        if a in ("-d", "--detail"):
+            out = replace(out, mode="detail")
+            if i + 1 < len(args) and re.fullmatch(r"[+-]?[0-9]+", args[i + 1]):
+                out, i = replace(out, context=int(args[i + 1])), i + 1
+        elif a in ("--def", "--tree", "--summary"):
+            out = replace(out, mode=a[2:])
+        elif field := named.get(a):
+            if i + 1 >= len(args):
+                raise ValueError(f"flag {a} requires an argument")
+            i += 1
+            value = args[i]
+            if field == "max_results" and not re.fullmatch(r"[+-]?[0-9]+", value):
+                raise ValueError(f"invalid max results: {value}")
+            out = replace(out, **{field: (*out.types, value.removeprefix(".")) if field == "types" else int(value) if field == "max_results" else value})
+        elif a.startswith("-"):
+            raise ValueError(f"unknown flag: {a}")
+        else:
+            free.append(a)
+        i += 1
+    return replace(out, pattern=free[0] if free else out.pattern, folder=free[1] if len(free) > 1 else out.folder)
+
+
+def run(d: Dialect, src: str, options: Options) -> str:
+    """A whole search over (path, pos, line): walk rules, glob, first files, and the listing of the mode (H-01, H-09)."""
+    if not options.pattern and options.mode != "tree":
+        raise ValueError("missing search pattern")
+    keep = [walkable(d, "path", options.types)]
+    if options.glob:
+        rx, whole = glob_regex(options.glob)
+        keep.append(d.match("path" if whole else base_name(d, "path"), rx))
+    rows = f"(select path, pos, line from {src} where {' and '.join(keep)})"
+    if options.max_results > 0:
+        first = f"(select path as hit from (select distinct path from {matches(d, rows + ' r0', options.pattern)} r1) r2 order by {d.split('path', '/')} limit {options.max_results})"
+        rows = f"(select path, pos, line from {rows} r3 join {first} r4 on path = hit)"
+    rows += " r5"
+    if options.mode == "detail":
+        return detail(d, rows, options.pattern, options.context)
+    if options.mode == "summary":
+        return folder_table(d, rows, options.pattern)
+    return {"scan": scan, "def": definitions, "tree": skeleton}[options.mode](d, rows, options.pattern, options.width)
 
 
 def capped(d: Dialect, src: str, most: int = 10) -> str:

@@ -14,6 +14,8 @@ from lineflow.functions.dialect import Dialect, Duck, Spark
 Builder = Callable[[Dialect], str]
 
 BUILDERS: dict[str, Builder] = {}
+#: Spark forms that plan better than the declaration of the same name, which stays their oracle.
+SPARK_FORMS: dict[str, Callable[[Spark], str]] = {}
 #: Queries that SQL can't express (stateful or sequential), without an oracle.
 NATIVE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +28,14 @@ def query(name: str) -> Callable[[Builder], Builder]:
     return add
 
 
+def spark_form(name: str):
+    def add(builder: Callable[[Spark], str]):
+        SPARK_FORMS[name] = builder
+        return builder
+
+    return add
+
+
 def native(name: str):
     def add(f):
         NATIVE[name] = f
@@ -45,7 +55,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
     run = lambda builder: lambda spark, sf_dir: spark.sql(builder(Spark(sf_dir)))
-    return {name: run(builder) for name, builder in BUILDERS.items()} | NATIVE
+    return {name: run(builder) for name, builder in (BUILDERS | SPARK_FORMS).items()} | NATIVE
 
 
 def oracles() -> dict[str, str]:

@@ -23,7 +23,7 @@ def _r(d: Dialect) -> str:
 def _code(d: Dialect) -> str:
     """(path, pos, line): code-like files in several languages."""
     lines = ["package main", "func run{n}() error {", "import os", "def load{n}(x):", "class Load{m}:", "type T{n} struct {", "    return load{n}(x)", "// loads {n}", "const a = 1", "var b{m} = 2", "}", "export default x", "#include <a.h>", ""]
-    ext = d.item(d.array("'go'", "'py'", "'ts'", "'rs'", "'js'", "'c'", "'txt'"), "cast(doc % 7 as int) + 1")
+    ext = d.item(d.array("'go'", "'py'", "'ts'", "'rs'", "'js'", "'c'", "'txt'", "'java'", "'h'", "'cpp'", "'JSX'"), "cast(doc % 11 as int) + 1")
     return f"(select concat('src/d', cast(doc % 9 as varchar(20)), '/f', cast(doc as varchar(20)), '.', {ext}) as path, pos, line from {views.templated(d, lines, run=1, lines=50)} t)"
 
 
@@ -72,11 +72,14 @@ query("s06_glob_path")(lambda d: f"select path from {search.glob(d, views.paths(
 query("a19_clusters")(lambda d: f"select dir, n, line from {search.glob_clusters(d, views.paths(d) + ' p')} q")
 query("h03_search")(lambda d: f"select path, pos, line from {search.matches(d, _code(d) + ' s', 'load[0-9]+')} q")
 query("s08_grep")(lambda d: f"select path, cast(count(*) as bigint) as n from {search.matches(d, _code(d) + ' s', 'LOAD', fold=True)} q group by path")
-query("h04_scan")(lambda d: f"select path, pos, line from {search.scan(d, _code(d) + ' s', 'load')} q")
+query("h04_scan")(lambda d: f"select path, pos, sub, line from {search.scan(d, _code(d) + ' s', 'load')} q")
 query("h05_detail")(lambda d: f"select path, pos, sub, line from {search.detail(d, _code(d) + ' s', 'load1[0-9]', 2)} q")
-query("h06_definitions")(lambda d: f"select path, pos, line from {search.definitions(d, _code(d) + ' s', 'load|run|T[0-9]')} q")
-query("h07_skeleton")(lambda d: f"select path, pos, line from {search.skeleton(d, _code(d) + ' s', 'load1')} q")
+query("h06_definitions")(lambda d: f"select path, pos, sub, line from {search.definitions(d, _code(d) + ' s', 'load|run|T[0-9]')} q")
+query("h07_skeleton")(lambda d: f"select path, pos, sub, line from {search.skeleton(d, _code(d) + ' s', 'load1')} q")
 query("h08_folders")(lambda d: f"select dir, files, n from {search.by_folder(d, _code(d) + ' s', 'load')} q")
+query("h08_folder_table")(lambda d: f"select path, pos, sub, line from {search.folder_table(d, _code(d) + ' s', 'load')} q")
+for _name, _args in {"scan": ["load1", "-t", "go", "-t", ".py"], "detail": ["load3", "-d", "1", "-g", "*.ts"], "def": ["run|load", "--def", "-m", "5"], "tree": ["load", "--tree", "-g", "f1?.*"], "summary": ["load", "--summary", "-m", "40"]}.items():
+    query(f"h01_{_name}")(lambda d, args=_args: f"select path, pos, sub, line from {search.run(d, _code(d) + ' s', search.parse_flags(args))} q")
 query("t08_first_files")(lambda d: f"select path from (select distinct path, {d.split('path', '/')} as o from {search.matches(d, _code(d) + ' s', 'load')} m) q order by o limit 10")
 _GROUPED = [">> src/a{m}.go", "  {n}:func run", "  {n}:return", "", "plain {n}", "  {m}:x"]
 query("w11_capped_matches")(lambda d: f"select doc, pos, sub, line from {search.capped(d, views.templated(d, _GROUPED, run=7) + ' v', 5)} q")

@@ -7,7 +7,7 @@ from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
 from lineflow.operators import classify, generic, learn
 from lineflow.plans import views
-from lineflow.plans.catalog import query
+from lineflow.plans.catalog import query, spark_form
 
 
 def _log(d: Dialect) -> str:
@@ -48,7 +48,8 @@ query("s02_capped_capture")(lambda d: f"select doc, case when {d.octets('text')}
 query("s05_numbered_lines")(lambda d: f"select doc, pos + 1 as line_num, {d.sub('line', chr(92) + 'r+$', '')} as line from (select *, max(pos) over (partition by doc) as z from {generic.split_lines(d, _docs(d))} l) m where not (pos = z and line = '')")
 query("s07_read_window")(lambda d: f"select doc, {d.join(d.slice(d.split('text', chr(10)), 2, 6), chr(10))} as text from {_docs(d)}")
 query("p01_levels")(lambda d: f"select doc, pos, level from {classify.classified(d, _log(d))} q")
-query("p01_level_histogram")(lambda d: f"select source, level, cast(count(*) as bigint) as n from {classify.classified(d, generic.split_lines(d, _docs(d)) + ' l')} c join (select doc_id, source from {d.table('documents')}) s on c.doc = s.doc_id group by source, level")
+query("p01_level_histogram")(lambda d: f"select source, level, cast(count(*) as bigint) as n from {classify.classified(d, generic.split_lines(d, _docs(d), 'source') + ' l', 'source')} c group by source, level")
+query("f05_dedup_text")(lambda d: f"select doc, text from {generic.dedup_text(d, _log_text(d) + ' v')} q")
 query("p02_source_levels")(lambda d: f"select doc, pos, line, cast({classify.source_level(d, 't')} as int) as level from (select doc, pos, line, {d.trim(d.sub('line', classify.source_prefix(), ''))} as t from {_log(d)}) s where {d.match('line', classify.source_prefix())}")
 query("p03_outside_paths")(lambda d: f"select doc, pos, {classify.outside_paths(d, P.ERROR_WORD, 'line')} as hit from {_log(d)}")
 query("p07_failure_anchors")(lambda d: f"select doc, pos, line from {views.command_lines(d, 'test')} v where {classify.failure_anchor(d, 'line')}")
@@ -90,3 +91,12 @@ def saved_by_source(d: Dialect) -> str:
         {d.int_sum(T.tokens(d, 'raw'))} as raw_tokens, {d.int_sum(T.tokens(d, 'clean'))} as clean_tokens,
         round({d.double(d.int_sum(T.tokens(d, 'raw')) + ' - ' + d.int_sum(T.tokens(d, 'clean')))} / {d.double(d.int_sum(T.tokens(d, 'raw')))} * 100, 6) as saved_pct
         from (select r.source, r.text as raw, c.text as clean from {views.documents(d)} r join {generic.assemble(d, lines + ' m')} c on r.doc = c.doc) j group by source"""
+
+
+@spark_form("a14_saved_by_source")
+def saved_by_source_in_place(d: Dialect) -> str:
+    """The same figures without a shuffle of lines: each text is collapsed where it lies."""
+    raw = f"(select doc, source, text, {d.octets('text')} as raw_bytes, {T.tokens(d, 'text')} as raw_tokens from {_docs(d)})"
+    clean = f"(select source, raw_bytes, raw_tokens, {d.octets('text')} as clean_bytes, {T.tokens(d, 'text')} as clean_tokens from {generic.dedup_text(d, raw + ' r', 'source, raw_bytes, raw_tokens')} c)"
+    return f"""select source, cast(count(*) as bigint) as docs, {d.int_sum('raw_bytes')} as raw_bytes, {d.int_sum('clean_bytes')} as clean_bytes, {d.int_sum('raw_tokens')} as raw_tokens, {d.int_sum('clean_tokens')} as clean_tokens,
+        round({d.double(d.int_sum('raw_tokens') + ' - ' + d.int_sum('clean_tokens'))} / {d.double(d.int_sum('raw_tokens'))} * 100, 6) as saved_pct from {clean} s group by source"""

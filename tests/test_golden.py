@@ -159,3 +159,42 @@ def test_newest_half_and_percentiles(spark):
     for r in out:
         v = sorted(x[3] for x in rows if x[2] == r["k"])
         assert (r["n"], r["p50"], r["p95"], r["p99"]) == (len(v), *(v[min(len(v) * p // 100, len(v) - 1)] for p in (50, 95, 99)))
+
+
+FILES = {
+    "src/a.go": 'package main\n\nimport (\n\t"os"\n)\n\nfunc load() error {\n\treturn nil\n}\n// end load\n',
+    "src/lib/b.JAVA": "import x.Y;\npublic class Load {\n  private int load(int a) {\n  }\n}\n",
+    "c.txt": "nothing\nload here " + "x" * 150 + "\n",
+    "src/node_modules/d.go": "load\n",
+    "e.h": "#pragma once\n#define LOAD load\n",
+}
+SEARCHES = {
+    ("load",): "1x c.txt\n  2: load here " + "x" * 102 + "...\n\n1x e.h\n  2: #define LOAD load\n\n2x src/a.go\n  7: func load() error {\n  10: // end load\n\n1x src/lib/b.JAVA\n  3: private int load(int a) {",
+    ("load", "-d", "1", "-t", "go"): "--- src/a.go:6 ---\n  6: \n> 7: func load() error {\n  8: \treturn nil\n  9: }\n> 10: // end load",
+    ("load", "-d", "2", "-g", "*.go"): "--- src/a.go:5 ---\n  5: )\n  6: \n> 7: func load() error {\n  8: \treturn nil\n  9: }\n> 10: // end load",
+    ("os|end", "-d", "1", "-t", "go"): '--- src/a.go:3 ---\n  3: import (\n> 4: \t"os"\n  5: )\n  ...\n--- src/a.go:9 ---\n  9: }\n> 10: // end load',
+    ("(?i)load", "--def", "-m", "3"): "c.txt\n  2: load here " + "x" * 99 + "...\n\ne.h\n  2: #define LOAD load\n\nsrc/a.go\n  7: func load() error {\n",
+    ("load", "--tree"): '== c.txt ==\n  (no structure detected)\n\n== e.h ==\n  1: #pragma once\n  2: #define LOAD load\n\n== src/a.go ==\n  1: package main\n  3: import (\n  4: "os"\n  5: )\n  7: func load() error {\n\n== src/lib/b.JAVA ==\n  1: import x.Y;\n  2: public class Load {\n  3: private int load(int a) {',
+    ("load", "--summary"): f"Pattern: load\nTotal: 5 matches in 4 files\n\n{'Directory':<40} {'Files':>6} {'Matches':>8}\n{'-' * 56}\n{'.':<40} {2:>6} {2:>8}\n{'src':<40} {1:>6} {2:>8}\n{'src/lib':<40} {1:>6} {1:>8}",
+}
+
+
+@pytest.mark.parametrize("args", SEARCHES, ids=" ".join)
+def test_searches(spark, args):
+    rows = [(p, i, x) for p, t in FILES.items() for i, x in enumerate(t.split("\n")[:-1])]
+    pick = lambda d: f"select path, pos, sub, line from {search.run(d, 'g_files s', search.parse_flags(args))} q"
+    con = duckdb.connect()
+    con.execute("create table g_files(path varchar, pos bigint, line varchar)")
+    con.executemany("insert into g_files values (?, ?, ?)", rows)
+    spark.createDataFrame(rows, "path string, pos long, line string").createOrReplaceTempView("g_files")
+    for got in (con.execute(pick(Duck())).fetchall(), [tuple(r) for r in spark.sql(pick(Spark())).collect()]):
+        assert "\n".join(r[3] for r in sorted(got, key=lambda r: (r[0].split("/"), r[1], r[2]))) == SEARCHES[args]
+
+
+def test_flags():
+    assert search.parse_flags(["p", "dir", "-d", "7", "-t", ".go", "--type", "py", "-m", "3"]) == search.Options("p", "dir", "detail", 7, ("go", "py"), "", 3)
+    for bad in (["-t"], ["-m", "x"], ["--nope"]):
+        with pytest.raises(ValueError):
+            search.parse_flags(bad)
+    with pytest.raises(ValueError):
+        search.run(Duck(), "x s", search.Options())
