@@ -1,8 +1,11 @@
 """Operator 6: quality classifier.
 
-Random indexing gives every token a vector: each token has a sparse random index vector, and a token's context vector
-sums the index vectors of its neighbours over the whole corpus.  Context vectors are pooled per document, for words and
-for token shapes, and a two-layer numpy network turns the pooled vector into a probability, calibrated by temperature.
+Random indexing gives every word a vector: each word has a sparse random index vector, drawn from its own hash, and a
+word's context vector sums the index vectors of its neighbours over the whole corpus.  The vocabulary has the WORDS most
+frequent words of the corpus, told apart by 64-bit hashes, and one entry for all others.  Because rare words say little
+one by one, a second vocabulary holds the SHAPES most frequent word forms (capitals, closing signs, length, repetition),
+which are indexed like words.  Vectors are pooled per document, and a two-layer numpy network turns the pooled vector
+into a probability, calibrated by temperature.
 """
 
 from __future__ import annotations
@@ -16,43 +19,35 @@ from pyspark.sql import functions as F
 
 from lineflow.llm._bytes import TABLE_FOLDED, U64, mix, parts, prefix_hash, span_hash, text_column, word_spans
 from lineflow.llm._fit import balanced_sample, fit_once, remainder, softmax, temperature
+from lineflow.llm._shared import materialise
 
-#: Hashed vocabulary, vector width, non-zeros of an index vector, neighbours on each side.
-VOCABULARY, WIDTH, NONZERO, REACH = 1 << 13, 32, 4, 2
+#: Words and forms of the vocabulary, vector width, non-zeros of an index vector, neighbours on each side.
+WORDS, SHAPES, WIDTH, NONZERO, REACH = 1 << 15, 1 << 10, 32, 4, 2
 #: Labelled rows of each label that the network is fitted on, at most (about).
 PER_LABEL = 3000
 #: Bytes of text whose tokens are held at once.
 PART = 1 << 20
 HIDDEN = 32
 
-_SHAPES = 1 << 10
+#: The upper bit of a hash tells forms from words.
+_FORM = U64(1 << 63)
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the sparse random index vectors, from a keyed hash."""
-    h = mix(np.arange(VOCABULARY * NONZERO, dtype=U64) + U64(0xABCDEF)).reshape(VOCABULARY, NONZERO)
-    return (h >> U64(8)).astype(np.int64) % WIDTH, np.where(h & U64(1), 1.0, -1.0)
-
-
-_AT, _SIGN = _index_vectors()
-
-
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, shape ids, rows, words per row).
+    """(word hashes, form hashes, rows, words per row).
 
-    A word's id hashes its folded bytes; its shape joins capital or not, all capitals, up to two closing non-letter
+    A word's hash is that of its folded bytes; its form joins capital or not, all capitals, up to two closing non-letter
     bytes, length class, and whether it repeats the word before.
     """
     starts, ends, n = word_spans(raw, offsets)
     rows = np.repeat(np.arange(len(n)), n)
     if not len(starts):
-        return starts, starts, rows, n
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), rows, n
     h = span_hash(prefix_hash(raw, TABLE_FOLDED), starts, ends)
-    words = _SHAPES + (h % U64(VOCABULARY - _SHAPES)).astype(np.int64)
     length = ends - starts
     first, last = raw[starts], raw[ends - 1]
     second = raw[np.maximum(ends - 2, starts)]
@@ -62,74 +57,136 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     close2 = np.where(_LETTER[second] | (length < 2), 0, second).astype(np.uint64)
     caps = _UPPER[first].astype(np.uint64) + U64(2) * (_UPPER[raw[np.minimum(starts + 1, ends - 1)]] & (length > 1)).astype(np.uint64)
     size = np.minimum(length // 8, 3).astype(np.uint64)
-    shape = mix(close + close2 * U64(256) + caps * U64(1 << 16) + size * U64(1 << 18) + repeat.astype(np.uint64) * U64(1 << 20))
-    return words, (shape % U64(_SHAPES)).astype(np.int64), rows, n
+    form = close + close2 * U64(256) + caps * U64(1 << 16) + size * U64(1 << 18) + repeat.astype(np.uint64) * U64(1 << 20)
+    return h & ~_FORM, mix(form) | _FORM, rows, n
+
+
+class Vocabulary:
+    """Sorted hashes of words and forms.  Ids: words, one for other words, forms, one for other forms."""
+
+    def __init__(self, hashes: np.ndarray):
+        hashes = np.sort(hashes)
+        cut = int(np.searchsorted(hashes, _FORM))
+        self.words, self.forms = hashes[:cut], hashes[cut:]
+        self.size = len(hashes) + 2
+        # Sparse index vectors: places and signs from each entry's hash.
+        own = np.concatenate([self.words, [U64(0)], self.forms, [_FORM]]).astype(U64)
+        h = mix(own[:, None] * U64(NONZERO) + np.arange(NONZERO, dtype=U64)[None] + U64(0xABCDEF))
+        self.at, self.sign = (h >> U64(8)).astype(np.int64) % WIDTH, np.where(h & U64(1), 1.0, -1.0)
+
+    def ids(self, words: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for table, h, base in ((self.words, words, 0), (self.forms, forms, len(self.words) + 1)):
+            k = np.searchsorted(table, h)
+            known = table[np.minimum(k, len(table) - 1)] == h if len(table) else np.zeros(len(h), dtype=bool)
+            found.append(base + np.where(known, k, len(table)))
+        return found[0], found[1]
+
+    def index_vectors(self) -> np.ndarray:
+        out = np.zeros((self.size, WIDTH), dtype=np.float32)
+        for k in range(NONZERO):
+            np.add.at(out, (np.arange(self.size), self.at[:, k]), self.sign[:, k])
+        return out
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors (VOCABULARY x WIDTH), rows of unit length, from all of `docs` (text).
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The most frequent words and forms of all of `docs` (text); ties fall to the hash.
 
-    A task keeps one dense sum, whose rows are then added by token; the result has a fixed size.
+    A task counts before it ships; WORDS + SHAPES rows reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY * WIDTH)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def add(token, context):
-            for k in range(NONZERO):
-                total[:] += np.bincount(token * WIDTH + _AT[context, k], weights=_SIGN[context, k], minlength=len(total))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(back, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
 
         for whole in batches:
             for part in parts(whole, PART):
-                words, shapes, rows, _ = tokens(*text_column(part["text"]))
-                for step in range(1, REACH + 1):
-                    same = rows[step:] == rows[:-step]
-                    a, b = words[:-step][same], words[step:][same]
-                    add(a, b)
-                    add(b, a)
-                    if step == 1:
-                        add(shapes[:-1][same], shapes[1:][same])
-                        add(shapes[1:][same], shapes[:-1][same])
-        got = total.reshape(VOCABULARY, WIDTH)
-        at = np.flatnonzero(np.abs(got).sum(axis=1))
-        lists = pa.ListArray.from_arrays(np.arange(0, len(at) * WIDTH + 1, WIDTH, dtype=np.int32), pa.array(got[at].reshape(-1).astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array(at), lists], names=["token", "v"])
+                words, forms, _, _ = tokens(*text_column(part["text"]))
+                held.append(np.unique(np.concatenate([words, forms]), return_counts=True))
+                if len(held) == 32:
+                    held[:] = [merged()]
+        if held:
+            keys, n = merged()
+            for lo in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 16)].view(np.int64)), pa.array(n[lo : lo + (1 << 16)])], names=["hash", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    # Forms have the sign bit.
+    top = lambda rows, most: rows.orderBy(F.desc("n"), "hash").limit(most)
+    counts = materialise(counts, "words")
+    found = top(counts.where("hash >= 0"), WORDS).union(top(counts.where("hash < 0"), SHAPES)).select("hash").toArrow()
+    return Vocabulary(found["hash"].to_numpy().view(U64) if found.num_rows else np.zeros(0, dtype=U64))
+
+
+class Space:
+    """A vocabulary and its context vectors, rows of unit length."""
+
+    def __init__(self, words: Vocabulary, vectors: np.ndarray):
+        self.words, self.vectors, self.index = words, vectors, words.index_vectors()
+
+    def pooled(self, column: pa.Array) -> np.ndarray:
+        """Mean word vector and mean form vector of each text, and the mean index vector of its forms."""
+        words, forms, _, n = tokens(*text_column(column))
+        words, forms = self.words.ids(words, forms)
+        out = np.zeros((len(n), 3 * WIDTH))
+        full = np.flatnonzero(n)
+        if not len(full):
+            return out
+        at = np.concatenate([[0], np.cumsum(n[full])])[:-1]
+        for k, (table, ids) in enumerate(((self.vectors, words), (self.vectors, forms), (self.index, forms))):
+            for c in range(0, len(full), 256):
+                lo, hi = at[c], (at[c + 256] if c + 256 < len(full) else len(words))
+                out[full[c : c + 256], k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(table[ids[lo:hi]], at[c : c + 256] - lo, axis=0, dtype=np.float64)
+        out[full] /= n[full][:, None]
+        return out
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((VOCABULARY, WIDTH))
-        for b in batches:
-            v = b["v"].flatten().to_numpy().reshape(-1, WIDTH)
-            np.add.at(total, b["token"].to_numpy(), v)
+
+def word_vectors(docs: DataFrame) -> Space:
+    """Context vectors of the vocabulary from all of `docs` (text).
+
+    A task keeps one dense sum, whose rows are then added by entry; the result has a fixed size.
+    """
+    words = vocabulary(docs)
+
+    def rows(total: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         lists = pa.ListArray.from_arrays(np.arange(0, len(at) * WIDTH + 1, WIDTH, dtype=np.int32), pa.array(total[at].reshape(-1).astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array(at), lists], names=["token", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(at), lists], names=["entry", "v"])
 
-    kind = "token long, v array<float>"
-    rows = docs.select("text").mapInArrow(run, kind).repartition("token").mapInArrow(merge, kind).toArrow()
-    out = np.zeros((VOCABULARY, WIDTH), dtype=np.float32)
-    if rows.num_rows:
-        out[rows["token"].to_numpy()] = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
-    # Sums of whole numbers, exact in any order; then unit rows.
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(words.size * WIDTH)
 
+        def add(entry, context):
+            for k in range(NONZERO):
+                np.add.at(total, entry * WIDTH + words.at[context, k], words.sign[context, k])
 
-def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector and mean shape vector of each text, and the mean index vector of its shapes."""
-    words, shapes, rows, n = tokens(*text_column(column))
-    out = np.zeros((len(n), 3 * WIDTH))
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    at = np.concatenate([[0], np.cumsum(n[full])])[:-1]
-    index = np.zeros((_SHAPES, WIDTH), dtype=np.float32)
-    for k in range(NONZERO):
-        np.add.at(index, (np.arange(_SHAPES), _AT[:_SHAPES, k]), _SIGN[:_SHAPES, k])
-    for k, (table, ids) in enumerate(((vectors, words), (vectors, shapes), (index, shapes))):
-        for c in range(0, len(full), 256):
-            lo, hi = at[c], (at[c + 256] if c + 256 < len(full) else len(words))
-            out[full[c : c + 256], k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(table[ids[lo:hi]], at[c : c + 256] - lo, axis=0, dtype=np.float64)
-    out[full] /= n[full][:, None]
-    return out
+        for whole in batches:
+            for part in parts(whole, PART):
+                w, f, row, _ = tokens(*text_column(part["text"]))
+                w, f = words.ids(w, f)
+                for step in range(1, REACH + 1):
+                    same = row[step:] == row[:-step]
+                    for ids in (w, f) if step == 1 else (w,):
+                        add(ids[:-step][same], ids[step:][same])
+                        add(ids[step:][same], ids[:-step][same])
+        yield rows(total.reshape(words.size, WIDTH))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((words.size, WIDTH))
+        for b in batches:
+            np.add.at(total, b["entry"].to_numpy(), b["v"].flatten().to_numpy().reshape(-1, WIDTH))
+        yield rows(total)
+
+    kind = "entry long, v array<float>"
+    got = docs.select("text").mapInArrow(run, kind).repartition("entry").mapInArrow(merge, kind).toArrow()
+    out = np.zeros((words.size, WIDTH), dtype=np.float32)
+    if got.num_rows:
+        out[got["entry"].to_numpy()] = got["v"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    # Sums of whole numbers, exact in any order; then unit rows.
+    return Space(words, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9))
 
 
 class Network:
@@ -169,9 +226,9 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ra
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, Network | None]:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[Space, Network | None]:
     """Word vectors of all `docs` and the network from labelled rows; labels with null doc_id or quality are unused."""
-    vectors = word_vectors(docs)
+    space = word_vectors(docs)
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") != 0).cast("int")).alias("y"))
     sample = balanced_sample(marks, "y", per_label, 2)
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -180,40 +237,41 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
 
     def learn(table: pa.Table) -> Network:
         y = table["y"].to_numpy().astype(np.int64)
-        x = np.concatenate([pooled(part["text"], vectors) for batch in table.select(["text"]).combine_chunks().to_batches() for part in parts(batch, PART)])
+        x = np.concatenate([space.pooled(part["text"]) for batch in table.select(["text"]).combine_chunks().to_batches() for part in parts(batch, PART)])
         got = np.bincount(y, minlength=2)
         prior = np.array([counts.get(0, 0), counts.get(1, 0)], dtype=float)
         return train(x, y, (prior / np.maximum(got, 1))[y])
 
-    return vectors, fit_once(rows, ["doc_id", "text", "y"], learn)
+    return space, fit_once(rows, ["doc_id", "text", "y"], learn)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Space, Network | None]) -> DataFrame:
     """(doc_id, score) of every row of `docs` (doc_id, text): the probability of label 1.
 
-    Null and empty texts pool to zeros and are scored so; without any label the score is 0.5.  Row-local.
+    Null and empty texts pool to zeros and are scored so; without any label the score is 0.5; texts of any length are
+    read whole, repeated rows come back repeated, rows without doc_id too.  Row-local.
     """
-    vectors, net = model
+    space, net = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts(whole, PART):
-                got = softmax(net.logits(pooled(batch["text"], vectors)))[:, 1] if net is not None else np.full(batch.num_rows, 0.5)
+                got = softmax(net.logits(space.pooled(batch["text"])))[:, 1] if net is not None else np.full(batch.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(got)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def keep(docs: DataFrame, model: tuple[np.ndarray, Network | None], threshold: float = 0.3) -> DataFrame:
+def keep(docs: DataFrame, model: tuple[Space, Network | None], threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` with a score of `threshold` or more, all columns as they are.  Row-local."""
-    vectors, net = model
+    space, net = model
     if net is None:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts(whole, PART):
-                yield batch.filter(pa.array(softmax(net.logits(pooled(batch["text"], vectors)))[:, 1] >= threshold))
+                yield batch.filter(pa.array(softmax(net.logits(space.pooled(batch["text"])))[:, 1] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
