@@ -26,18 +26,17 @@ def trimmed(d: Dialect, src: str, extra: str = "") -> str:
 
 def counter_flush(d: Dialect, src: str, classes: Sequence[tuple[str, int]], markers: dict[int, list[tuple[str, str]]], keep: str = "line") -> str:
     """`classes` in order of test, first match wins, KEEP otherwise; `markers` maps a counter to (condition, text) pairs
-    over n (lines), first_line and joined; counters flush in their numeric order."""
+    over n (lines) and first_line; counters flush in their numeric order."""
     which = " ".join(f"when {c} then {k}" for c, k in classes)
     base = f"""(select *, sum(case when k in ({KEEP}, {FLUSH}) then 1 else 0 end) over ({UPTO}) as g from (select *, case {which} else {KEEP} end as k from {trimmed(d, src)} c0) c1)"""
-    rows = [f"select doc, cast(g - 1 as bigint) as pos, cast(100000 as bigint) as sub, {keep} as line from {base} b where k = {KEEP}"]
-    counts = f"(select doc, g, k, cast(count(*) as bigint) as n, {d.first_by('line', 'pos')} as first_line from {base} b where k > 0 group by doc, g, k)"
+    # The first line of a counter's run carries its markers; the relation is read once.
+    one = f"(select doc, line, g, k, row_number() over (partition by doc, g, k order by pos) as nth, cast(count(*) over (partition by doc, g, k) as bigint) as n, line as first_line from {base} c2)"
     parts = [(code, j, cond, text) for code, texts in markers.items() for j, (cond, text) in enumerate(texts)]
-    if parts:
-        # One pass over the counts: every marker is a pair of flag and text in an array.
-        table = " union all ".join(f"select {code} as code, {j} as j" for code, j, _, _ in parts)
-        text = "case " + " ".join(f"when code = {code} and j = {j} and {cond} then {text}" for code, j, cond, text in parts) + " end"
-        rows.append(f"select doc, pos, sub, line from (select doc, cast(g as bigint) as pos, cast(code * 10 + j as bigint) as sub, {text} as line from {counts} c2 join ({table}) m on c2.k = m.code) c3 where line is not null")
-    return "(" + " union all ".join(rows) + ")"
+    most = max((j for _, j, _, _ in parts), default=0)
+    places = " union all ".join(f"select {j} as j" for j in range(most + 1))
+    text = f"case when k = {KEEP} and j = 0 then {keep} " + " ".join(f"when k = {code} and j = {j} and nth = 1 and {cond} then {text}" for code, j, cond, text in parts) + " end"
+    rows = f"(select doc, case when k = {KEEP} then cast(g - 1 as bigint) else cast(g as bigint) end as pos, case when k = {KEEP} then cast(100000 as bigint) else cast(k * 10 + j as bigint) end as sub, {text} as line from {one} c3 cross join ({places}) c4)"
+    return f"(select doc, pos, sub, line from {rows} c5 where line is not null)"
 
 
 def grep(d: Dialect, src: str) -> str:

@@ -37,6 +37,51 @@ def insights(d: Dialect, src: str) -> str:
         union all select 'info' as level, '' as command, concat('No re-requests detected with ', {whole('reduction')}, '% avg reduction — filtering quality is excellent') as message from {r} where level = 'total' and invocations >= 10 and rerequests = 0 and reduction > 50)"""
 
 
+def clock(d: Dialect, us: str) -> str:
+    """HH:MM of an instant in microseconds, UTC (DT-02)."""
+    minute = d.div(us, "60000000")
+    return f"concat(lpad(cast({d.div(minute, '60')} % 24 as varchar(20)), 2, '0'), ':', lpad(cast({minute} % 60 as varchar(20)), 2, '0'))"
+
+
+def report_lines(d: Dialect, src: str, period: str, name: str = "Lineflow") -> str:
+    """(nth, line): the report as a printed table, types in order of name (K-06)."""
+    r, whole = f"{report(d, src)} r", "level = 'total'"
+    one = lambda n, text, cond="true": f"select cast({n} as bigint) as nth, {text} as line from {r} where {whole} and {cond}"
+    number = lambda label, x: d.printf(f"%-19s %d", d.lit(label), x)
+    percent = lambda label, x: d.printf("%-19s %.1f%%", d.lit(label), d.double(f"coalesce({x}, 0)"))
+    head = [d.lit(f"{name} Measurement Report — {period}"), d.lit("=" * 50), "''", number("Total invocations:", "invocations"), number("Total raw tokens:", "raw_tokens"), number("Total clean tokens:", "clean_tokens"), number("Total tokens saved:", "saved"), percent("Avg reduction:", "reduction"), percent("Avg quality score:", "quality")]
+    rows = [one(k, x) for k, x in enumerate(head)]
+    rows.append(one(10, d.printf("%-19s %d (%.1f%% of invocations)", d.lit("Re-requests:"), "rerequests", d.double("rerequest_rate")), "rerequests > 0"))
+    table = ["''", d.lit("By command type:"), d.printf("  %-12s %6s %10s %10s %8s %6s", *map(d.lit, ("TYPE", "COUNT", "RAW TOK", "SAVED", "REDUC", "RE-REQ"))), d.lit("  " + "-" * 58)]
+    rows += [one(20 + k, x) for k, x in enumerate(table)]
+    again = "case when rerequests > 0 then cast(rerequests as varchar(20)) else '-' end"
+    line = d.printf("  %-12s %6d %10d %10d %7.1f%% %6s", "name", "invocations", "raw_tokens", "saved", d.double("coalesce(reduction, 0)"), again)
+    rows.append(f"select cast(100 + row_number() over (order by name) as bigint) as nth, {line} as line from {r} where level = 'type'")
+    rows += [f"select cast({1_000_000 + k} as bigint) as nth, {x} as line from {r} where level = 'session' having count(*) > 0" for k, x in enumerate(("''", "concat('Sessions: ', cast(count(*) as varchar(20)))"))]
+    tips = f"{insights(d, src)} i"
+    rows += [f"select cast({2_000_000 + k} as bigint) as nth, {x} as line from {tips} having count(*) > 0" for k, x in enumerate(("''", "'Quality Insights:'"))]
+    rows.append(f"select cast(3000000 + row_number() over (order by level desc, message) as bigint) as nth, concat(case when level = 'info' then '  [i] ' else '  [!] ' end, message) as line from {tips}")
+    return "(" + " union all ".join(rows) + ")"
+
+
+def last_lines(d: Dialect, src: str, n: int, name: str = "Lineflow") -> str:
+    """(nth, line): the last n entries of (id, us, command, raw_tokens, clean_tokens, quality, rerequest) as a printed table
+    with their totals (K-06, T-05)."""
+    newest = f"(select *, raw_tokens - clean_tokens as saved, case when rerequest then ' [RE]' else '' end as tag, row_number() over (order by us, id) as i from (select * from {src} order by us desc, id desc limit {n}) z0)"
+    rate = lambda raw, saved: f"case when {raw} > 0 then {d.double(saved)} / {d.double(raw)} * 100 else {d.double('0')} end"
+    room = "(28 - length(tag))"
+    command = f"concat(case when length(command) > {room} then concat(substr(command, 1, cast({room} - 3 as int)), '...') else command end, tag)"
+    form = "  %-4s %-5s  %-28s %7d %7d %7d %5.1f%%"
+    line = d.printf(form + " %6.1f%%", "cast(i as varchar(20))", clock(d, "us"), command, "raw_tokens", "clean_tokens", "saved", rate("raw_tokens", "saved"), d.double("quality"))
+    sums = [d.int_sum(x) for x in ("raw_tokens", "clean_tokens", "saved")]
+    total = d.printf(form, "''", "''", "'TOTAL'", *sums, rate(sums[0], sums[2]))
+    head = [f"concat({d.lit(f'{name} — Last ')}, cast(count(*) as varchar(20)), ' invocations')", d.lit("=" * 78), "''", d.printf("  %-4s %-5s  %-28s %7s %7s %7s %6s %7s", *map(d.lit, ("#", "TIME", "COMMAND", "RAW", "CLEAN", "SAVED", "REDUC", "QUAL"))), d.lit("  " + "-" * 74)]
+    rows = [f"select cast({k - 10} as bigint) as nth, {x} as line from {newest} h{k} having count(*) > 0" for k, x in enumerate(head)]
+    rows += [f"select cast(i as bigint) as nth, {line} as line from {newest} z1", f"select cast(1000001 as bigint) as nth, {total} as line from {newest} z2 having count(*) > 0"]
+    rows += [f"select cast(1000000 as bigint) as nth, {d.lit('  ' + '-' * 74)} as line from {newest} z3 having count(*) > 0", f"select cast(0 as bigint) as nth, 'No measurement entries found.' as line from {newest} z4 having count(*) = 0"]
+    return "(" + " union all ".join(rows) + ")"
+
+
 def session_summary(d: Dialect, src: str) -> str:
     """Per session: commands, bytes, whole percent saved, span of time (A-07)."""
     return f"(select session, cast(count(*) as bigint) as commands, {d.int_sum('raw_bytes')} as raw_bytes, {d.int_sum('raw_bytes - clean_bytes')} as saved_bytes, cast({d.div('sum(raw_bytes - clean_bytes) * 100', 'sum(raw_bytes)')} as bigint) as pct, cast(max(us) - min(us) as bigint) as span_us from {src} where session <> '' group by session)"

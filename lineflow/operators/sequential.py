@@ -9,19 +9,27 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lineflow.functions import patterns as P
+
+# How the tools print what the operators look for.
 _CONSOLE = re.compile(r"^\s*console\.(log|warn|error|info|debug)\s*$")
 _TRAILER = re.compile(r"^\s+at (?:[^\s()]+:\d+:\d+|[^\s()]+ \([^()]+:\d+:\d+\))\s*$")
 _FRAME = re.compile(r"^\s+at\s")
-_PY_FRAME, _CHAIN = re.compile(r'^\s+File "'), re.compile(r"^(During handling|The above exception)")
+_TRACEBACK = "Traceback (most recent call last):"
+_CHAINED = ("During handling of the above exception, another exception occurred:", "The above exception was the direct cause of the following exception:")
 _PY_CALL, _PY_CODE = re.compile(r'^\s*File "(.+)", line (\d+), in (.+)'), re.compile(r"^\s{4}\S")
 _IMPORT = re.compile(r"^(ImportError|ModuleNotFoundError|ModuleNotFound):")
-_NODE_ERROR = re.compile(r"^([A-Z]\w*(?:Error|Exception)): ")
-_ROUTINE = re.compile(r"^goroutine \d+ \[.*\]:$")
-_BRANCH = re.compile(r"^[│├└─┬┤┼╠╚═╔╗╝╬║\s|+\\`-]+")
+_NODE_ERROR = re.compile(r"(?:[A-Z].*)?(?:Error|Exception)")
+_NODE_INTERNAL = re.compile(r"\(node:|node:(?:internal/|events|net|async_hooks|stream|fs|_)")
+_NODE_MODULES = re.compile(r"node_modules[/\\]")
+_RUNTIME = ("runtime.goexit", "runtime.main(")
+_BRANCH, _INDENT = re.compile(r"^[│├└─┬┤┼╠╚═╔╗╝╬║ \t\n\f\r|+\\`-]+"), re.compile(r"^[ │|\t]*")
+_TREE_SUMMARY = re.compile(r"^\d+ director(y|ies), \d+ files?")
 
 
 def per_document(df: DataFrame, function: Callable[[str], str], text: str = "text") -> DataFrame:
@@ -65,123 +73,174 @@ def compress_jq(text: str, most: int = 10, small: int = 50) -> str:
 
 
 def compress_tree(text: str, small: int = 20) -> str:
-    """Chains of folders that hold one folder each, joined into one line (C-13)."""
+    """Chains of folders whose next line is a deeper folder, joined with the entry after them (C-13); a folder and its entry
+    alone stay on two lines.  Both forms lose their depth."""
     lines = text.split("\n")
     if len(lines) <= small:
         return text
-    depth = [len(_BRANCH.match(x)[0]) if _BRANCH.match(x) else 0 for x in lines]
-    name = [_BRANCH.sub("", x).strip() for x in lines]
-    folder = [bool(n) and ("." not in n or n.endswith("/")) for n in name]
-    out, i = [], 0
-    while i < len(lines):
-        j = i
-        while j + 1 < len(lines) and folder[j] and folder[j + 1] and depth[j + 1] > depth[j] and depth[j] > 0:
-            j += 1
-        if j - i >= 2:
-            out.append("├── " + "/".join(n.rstrip("/") for n in name[i : j + 1]))
+    names = [_BRANCH.sub("", x.strip()).strip() for x in lines]
+    depth = [len(_INDENT.match(x)[0]) for x in lines]
+    folder = [bool(n) and ("." not in n or n.endswith("/")) for n in names]
+    opens = [folder[i] and folder[i + 1] and depth[i + 1] > depth[i] for i in range(len(lines) - 1)] + [False]
+    out: list[str] = []
+    chain: list[str] = []
+
+    def close() -> None:
+        out.extend(f"├── {x}" for x in (["/".join(chain)] if len(chain) > 2 else chain))
+        chain.clear()
+
+    for line, name, opening in zip(lines, names, opens):
+        if not line.strip() or _TREE_SUMMARY.match(line.strip()):
+            close()
+            out.append(line)
+        elif opening:
+            chain.append(name)
+        elif chain:
+            chain.append(name)
+            close()
         else:
-            out += lines[i : j + 1]
-        i = j + 1
+            out.append(line)
+    close()
     return "\n".join(out)
 
 
-def strip_console(text: str, drop_all: bool = False) -> str:
-    """Console blocks of a test runner as their message alone, equal neighbours counted; all as one marker if asked (C-18)."""
-    lines, out, i, last, same, dropped = text.split("\n"), [], 0, None, 0, 0
+def run_passed(lines: list[str]) -> bool:
+    """The runner's own totals say that the run passed, and none says that it failed (A-04)."""
+    read = {
+        "count": lambda line: "FAIL" if (m := re.search(P.FAILED_COUNT, line)) and m[1] != "0" else "PASS",
+        "pytest": lambda line: "FAIL" if re.search(P.FAILED_COUNT, line) else "PASS" if "passed" in line else None,
+        "cargo": lambda line: "PASS" if (m[1] == "ok" and m[2] == "0" if (m := re.search(P.CARGO_FULL, line)) else "test result: ok" in line) else "FAIL",
+        "FAIL": lambda line: "FAIL",
+        "PASS": lambda line: "PASS",
+    }
+    found = {next((v for p, kind in P.RUNNER_ANCHORS if kind != "none" and re.search(p, x) and (v := read[kind](x))), None) for x in lines}
+    return found - {None} == {"PASS"}
+
+
+def strip_console(text: str, drop_all: bool = False, name: str = "lineflow") -> str:
+    """Console blocks of a test runner as their message alone, equal neighbours counted; all as one marker if asked (C-18).
+
+    A block is a header, up to nine indented lines and a lone frame; a blank line after it goes too.
+    """
+    lines, out, i = text.split("\n"), [], 0
+    last, same, dropped, place = None, 0, 0, 0
 
-    def flush():
+    def close() -> None:
         nonlocal last, same
-        if last is not None and same:
-            pad = last[: len(last) - len(last.lstrip())]
-            out.append(f"{pad}... and {same} identical console block{'s' if same > 1 else ''}")
+        if last and same > 1:
+            out.append(f"{re.match('[ \t]*', last[0])[0]}... and {same - 1} identical console blocks")
         last, same = None, 0
 
+    def block_end(i: int) -> int | None:
+        for j in range(i + 1, min(i + 11, len(lines))):
+            if not lines[j][:1].isspace():
+                return None
+            if _TRAILER.match(lines[j]):
+                return None if j + 1 < len(lines) and _FRAME.match(lines[j + 1]) else j
+        return None
+
     while i < len(lines):
-        end = None
-        if _CONSOLE.match(lines[i]):
-            for j in range(i + 1, min(i + 11, len(lines))):
-                if _TRAILER.match(lines[j]) and not (j + 1 < len(lines) and _FRAME.match(lines[j + 1])):
-                    end = j
-                    break
-                if lines[j].strip() and not lines[j][:1].isspace():
-                    break
+        end = block_end(i) if _CONSOLE.match(lines[i]) else None
         if end is None:
-            flush()
+            close()
             out.append(lines[i])
             i += 1
             continue
+        message = lines[i + 1 : end]
         if drop_all:
             if not dropped:
+                place = len(out)
                 out.append("")
-                where = len(out) - 1
             dropped += 1
+        elif same and message == last:
+            same += 1
         else:
-            message = "\n".join(x for x in lines[i + 1 : end] if x.strip())
-            if message == last:
-                same += 1
-            else:
-                flush()
-                out.append(message)
-                last = message
+            close()
+            out += message
+            last, same = message, 1
         i = end + 1
-        if i < len(lines) and not lines[i].strip():
+        if i < len(lines) and not lines[i]:
             i += 1
-    flush()
+    close()
     if dropped:
-        out[where] = f"  [{dropped} console.* log block{'s' if dropped > 1 else ''} dropped — run passed]"
+        out[place] = f"  [{name}: {dropped} console.* log block{'s' if dropped > 1 else ''} dropped — run passed]"
     return "\n".join(out)
 
 
+def console(text: str, drop_on_pass: bool = True) -> str:
+    """strip_console() that drops every block of a run that passed."""
+    return strip_console(text, drop_on_pass and run_passed(text.split("\n")))
+
+
+def _frames(body: list[str]) -> list[str]:
+    """The body of a goroutine dump without runtime frames, where others remain; lines of no frame come last."""
+    frames: list[list[str]] = []
+    loose: list[str] = []
+    call = False
+    for line in body:
+        place, call = call and line.startswith("\t"), bool(line.strip()) and not line.startswith("\t")
+        if call:
+            frames.append([line])
+        elif place:
+            frames[-1].append(line)
+        else:
+            loose.append(line)
+    own = [f for f in frames if not f[0].strip().startswith(_RUNTIME)]
+    return [x for f in own for x in f] + loose if len(frames) > 1 and own else body
+
+
 def compress_go_traces(text: str) -> str:
     """Equal neighbouring goroutine dumps kept once with a count, runtime frames dropped where others remain (F-10).
-    Lines between the first and the last dump that belong to none are dropped too."""
-    lines, blocks, i = text.split("\n"), [], 0
-    while i < len(lines):
-        if not _ROUTINE.match(lines[i].strip()):
-            i += 1
-            continue
-        j = i + 1
-        while j < len(lines) and lines[j].strip() and not _ROUTINE.match(lines[j].strip()):
-            j += 1
-        blocks.append((i, j, "\n".join(lines[i + 1 : j])))
-        i = j
-    runs: list[list[tuple[int, int, str]]] = []
-    for b in blocks:
-        if runs and runs[-1][0][2] == b[2]:
-            runs[-1].append(b)
-        else:
-            runs.append([b])
-    if len(blocks) < 2 or len(runs) == len(blocks):
+
+    Without equal neighbours nothing changes; with some, lines between the dumps that belong to none go.
+    """
+    lines = text.split("\n")
+    heads = [i for i, x in enumerate(lines) if x.startswith("goroutine ") and " [" in x and x.strip().endswith(":")]
+    stops = []
+    for i, following in zip(heads, [*heads[1:], len(lines)]):
+        stops.append(next((j for j in range(i + 1, following) if not lines[j].strip()), following))
+    # A dump takes one blank line after it along.
+    ends = [j + (j < len(lines) and not lines[j].strip()) for j in stops]
+    runs = [[(i, e) for i, _, e in g] for _, g in groupby(zip(heads, stops, ends), key=lambda b: lines[b[0] + 1 : b[1]])]
+    if len(runs) == len(heads):
         return text
-    out = lines[: blocks[0][0]]
+    out = lines[: heads[0]]
     for run in runs:
-        start, end, _ = run[0]
-        frames = [lines[k : k + 2] for k in range(start + 1, end, 2)]
-        app = [f for f in frames if not f[0].strip().startswith(("runtime.goexit", "runtime.main("))]
-        out += [lines[start], *(x for f in (app or frames) for x in f)]
-        if len(run) > 1:
-            out.append(f"[... {len(run) - 1} more goroutine{'s' if len(run) > 2 else ''} with identical stack]")
-        out.append("")
-    rest = blocks[-1][1]
-    return "\n".join(out + lines[rest + (rest < len(lines) and not lines[rest].strip()) :])
+        start, end = run[0]
+        out += [lines[start], *_frames(lines[start + 1 : end])]
+        if more := len(run) - 1:
+            out += [f"[... {more} more goroutine{'s' if more > 1 else ''} with identical stack]", ""]
+    return "\n".join(out + lines[ends[-1] :])
+
+
+def _folded(frames: list[list[str]], most: int, marker: str) -> list[str]:
+    """All frames, or the first and the last of more than `most` around a marker."""
+    kept = frames if len(frames) <= most else [frames[0], [marker.format(len(frames) - 2)], frames[-1]]
+    return [x for f in kept for x in f]
 
 
 def compress_python_traces(text: str, most: int = 5) -> str:
-    """Tracebacks of more than five frames as their first and last (F-11)."""
+    """Tracebacks of more than five frames as their first and last (F-11); what follows the frames, up to a blank line or a
+    chain, belongs to the exception."""
     lines, out, i = text.split("\n"), [], 0
     while i < len(lines):
         out.append(lines[i])
-        if not lines[i].startswith("Traceback (most recent call last)"):
-            i += 1
-            continue
         i += 1
+        if out[-1].strip() != _TRACEBACK:
+            continue
         frames: list[list[str]] = []
-        while i < len(lines) and _PY_FRAME.match(lines[i]):
-            n = 2 if i + 1 < len(lines) and lines[i + 1].startswith("    ") and not _PY_FRAME.match(lines[i + 1]) else 1
-            frames.append(lines[i : i + n])
-            i += n
-        kept = frames if len(frames) <= most else [frames[0], [f"  [... {len(frames) - 2} more frames]"], frames[-1]]
-        out += [x for f in kept for x in f]
+        while i < len(lines) and lines[i].strip().startswith("File "):
+            frames.append([lines[i]])
+            i += 1
+            t = lines[i].strip() if i < len(lines) else ""
+            # A capital letter opens the exception's name.
+            if t and not t.startswith("File ") and t != _TRACEBACK and not "A" <= t[0] <= "Z":
+                frames[-1].append(lines[i])
+                i += 1
+        out += _folded(frames, most, "  [... {} more frames]")
+        while i < len(lines) and lines[i].strip() and lines[i].strip() not in _CHAINED:
+            out.append(lines[i])
+            i += 1
     return "\n".join(out)
 
 
@@ -191,7 +250,7 @@ def compress_script_traces(text: str) -> str:
     while i < len(lines):
         out.append(lines[i])
         i += 1
-        if not lines[i - 1].strip().startswith("Traceback (most recent call last):"):
+        if not out[-1].strip().startswith(_TRACEBACK):
             continue
         frames: list[list[str]] = []
         while i < len(lines) and _PY_CALL.match(lines[i]):
@@ -199,33 +258,35 @@ def compress_script_traces(text: str) -> str:
             frames.append(lines[i : i + n])
             i += n
         failed_import = i < len(lines) and _IMPORT.match(lines[i].strip())
-        kept = frames if failed_import or len(frames) <= 2 else [frames[0], [f"  ... {len(frames) - 2} more frames ..."], frames[-1]]
-        out += [x for f in kept for x in f]
+        out += _folded(frames, len(frames) if failed_import else 2, "  ... {} more frames ...")
+        # The line after the frames is the error, whatever it looks like.
+        out += lines[i : i + 1]
+        i += 1
     return "\n".join(out)
 
 
 def compress_node_traces(text: str, most: int = 2) -> str:
     """Stacks under an error line as their first two application frames and counts of the others (F-12)."""
     lines, out, i = text.split("\n"), [], 0
+    frame = lambda i: i < len(lines) and lines[i].strip().startswith("at ")
     while i < len(lines):
         out.append(lines[i])
-        head = _NODE_ERROR.match(lines[i])
+        # The name of the error ends at the first colon with a space.
+        name = lines[i].strip().partition(": ")
         i += 1
-        if not head or i >= len(lines) or not lines[i].strip().startswith("at "):
+        if not (name[1] and _NODE_ERROR.fullmatch(name[0]) and frame(i)):
             continue
-        kept = modules = internal = app = 0
-        while i < len(lines) and lines[i].strip().startswith("at "):
-            if "node_modules" in lines[i]:
-                modules += 1
-            elif "node:" in lines[i] or "internal/" in lines[i]:
+        modules = internal = app = 0
+        while frame(i):
+            if _NODE_INTERNAL.search(lines[i]):
                 internal += 1
-            elif kept < most:
-                kept += 1
-                out.append(lines[i])
+            elif _NODE_MODULES.search(lines[i]):
+                modules += 1
             else:
                 app += 1
+                out += lines[i : i + 1] if app <= most else []
             i += 1
-        parts = [f"{modules} node_modules frames"] * bool(modules) + [f"{internal} node internals"] * bool(internal) + [f"{app} more app frames"] * bool(app)
+        parts = [f"{n} {what}" for n, what in ((modules, "node_modules frames"), (internal, "node internals"), (app - most, "more app frames")) if n > 0]
         if parts:
             out.append(f"    [... {', '.join(parts)}]")
     return "\n".join(out)
@@ -236,38 +297,61 @@ def compress_traces(text: str) -> str:
     return compress_node_traces(compress_python_traces(compress_go_traces(text)))
 
 
-def rate_limit(df: DataFrame, per_minute: int, burst: int) -> DataFrame:
-    """(tool, us, id) with `allowed`: a token bucket per tool that refills per_minute / 60 a second up to burst (DT-04).
+def _in_order(df: DataFrame, columns: str, result: str, start: Callable[[], Callable[[dict], bool]]) -> DataFrame:
+    """`columns` (tool, us, id, ...) and the boolean `result`: a tool's rows pass a function with memory, made by `start`, in
+    order of time and id.
 
-    Every tool's history is one ordered group, as the bucket's state demands.
+    Spark sorts, and a task streams through its tools holding one of their memories, never a tool's history.
     """
-    import pandas as pd
+    names = columns.split(", ")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, decide = object(), None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row["tool"] != here:
+                    here, decide = row["tool"], start()
+                out.append(decide(row))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*names, result])
+
+    return df.select(*names).repartition("tool").sortWithinPartitions("tool", "us", "id").mapInArrow(run, f"{fields}, {result} boolean")
+
+
+def rate_limit(df: DataFrame, per_minute: int, burst: int) -> DataFrame:
+    """(tool, us, id) with `allowed`: a token bucket per tool that refills per_minute / 60 a second up to burst (DT-04)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us", "id"])
-        left, last, out = float(burst), None, []
-        for us in g["us"]:
-            left = min(float(burst), left + (0 if last is None else (us - last) / 1e6 * per_minute / 60))
-            last = us
-            out.append(left >= 1)
-            left -= left >= 1
-        return g.assign(allowed=out)
+    def bucket() -> Callable[[dict], bool]:
+        left, last = float(burst), None
 
-    return df.select("tool", "us", "id").groupBy("tool").applyInPandas(run, "tool long, us long, id long, allowed boolean")
+        def allowed(row: dict) -> bool:
+            nonlocal left, last
+            left = min(float(burst), left + (0 if last is None else (row["us"] - last) / 1e6 * per_minute / 60))
+            last = row["us"]
+            ok = left >= 1
+            left -= ok
+            return ok
+
+        return allowed
+
+    return _in_order(df, "tool, us, id", "allowed", bucket)
 
 
 def lru_hits(df: DataFrame, capacity: int = 128) -> DataFrame:
-    """(tool, us, id, key) with `hit` under an exact least-recently-used cache per tool (A-20)."""
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, cache, out = g.sort_values(["us", "id"]), OrderedDict(), []
-        for key in g["key"]:
-            out.append(key in cache)
-            cache[key] = True
-            cache.move_to_end(key)
-            if len(cache) > capacity:
-                cache.popitem(last=False)
-        return g.assign(hit=out)
-
-    return df.select("tool", "us", "id", "key").groupBy("tool").applyInPandas(run, "tool long, us long, id long, key string, hit boolean")
+    """(tool, us, id, key) with `hit` under an exact least-recently-used cache per tool; capacity 0 never hits (A-20)."""
+
+    def cache() -> Callable[[dict], bool]:
+        held: OrderedDict[str, bool] = OrderedDict()
+
+        def hit(row: dict) -> bool:
+            found = row["key"] in held
+            held[row["key"]] = True
+            held.move_to_end(row["key"])
+            if len(held) > capacity:
+                held.popitem(last=False)
+            return found
+
+        return hit
+
+    return _in_order(df, "tool, us, id, key", "hit", cache)

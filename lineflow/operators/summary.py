@@ -56,47 +56,53 @@ def _head(most: int) -> int:
     return int(most * 0.7)
 
 
+#: What a failure does to a text that is too long: nothing, a hint at its end, its surroundings, all of it.
+ESCALATIONS = ("off", "hint", "window", "conservative")
+
+
+def _cut(d: Dialect, src: str, most: int, on_failure: str, window: int, cap: int, always: bool = False) -> str:
+    """Every way of cutting long texts in one pass over windows of one partitioning.
+
+    A text of more than `most` lines keeps its head and tail, its runner totals behind one marker.  Where it has a failure
+    anchor (or `always`), `on_failure` says what else; its surroundings are `window` lines around every anchor, or around
+    the first and the last one if there are more than two and more than `cap` times `most` lines would stay.
+    """
+    head = _head(most)
+    whole = "over (partition by doc)"
+    near = f"max(case when anchor then 1 else 0 end) over ({PREVIOUS} rows between {window} preceding and {window} following)"
+    one = f"(select *, {near} as near, row_number() over ({PREVIOUS}) - 1 as i, count(*) {whole} as n, max(case when anchor then 1 else 0 end) {whole} as failed from (select doc, pos, line, {classify.failure_anchor(d, 'line')} as anchor, {classify.summary_anchor(d, 'line')} as pin from {src}) v0)"
+    ends = f"(i < {head} or i >= n - {most - head})"
+    two = f"(select *, sum(case when {ends} or near = 1 then 1 else 0 end) {whole} as kept, sum(case when anchor then 1 else 0 end) {whole} as anchors, min(case when anchor then i end) {whole} as a, max(case when anchor then i end) {whole} as b from {one} v1)"
+    surroundings = f"(pin or {ends} or case when kept > {cap * most} and anchors > 2 then (i between a - {window} and a + {window}) or (i between b - {window} and b + {window}) else near = 1 end)"
+    rule = "true" if always else "failed = 1"
+    plain = f"(n <= {most} or {ends})"
+    keep = {"off": plain, "hint": plain, "conservative": f"({plain} or {rule})", "window": f"case when {rule} then {'' if always else f'n <= {most} or '}{surroundings} else {plain} end"}[on_failure]
+    in_place = rule if on_failure == "window" else "false"
+    three = f"(select doc, pos, line, pin, n, failed, keep, {in_place} as in_place, sum(case when keep then 1 else 0 end) over ({PREVIOUS} rows between unbounded preceding and current row) as g, row_number() over (partition by doc order by pos desc) as back from (select *, {keep} as keep from {two} v2) v3)"
+    gap = "partition by doc, g, keep"
+    four = f"(select *, row_number() over ({gap} order by pos) as nth, count(*) over ({gap}) as gone, min(pos) over ({gap}) as first_pos, max(case when pin then 1 else 0 end) over ({gap}) as pins from {three} v4)"
+    pinned = d.lit(" lines omitted; summary pinned below ...]")
+    marker = f"concat({d.lit(chr(10) + '[... ')}, cast(gone as varchar(20)), case when pins = 1 and not in_place then {pinned} else {d.lit(' lines omitted ...]' + chr(10))} end)"
+    hint = "failed = 1" if on_failure == "hint" else "false"
+    text = f"""case when k = 0 and keep then line when k = 0 and nth = 1 then {marker} when k = 1 and not keep and pin and not in_place then line
+        when k = 2 and {hint} and n > {most} and back = 1 then '[failures detected: rerun with a higher line limit for full context]' end"""
+    place = f"case when k = 1 then pos + 2 when k = 2 then cast(1000000000 as bigint) when keep or in_place then cast(0 as bigint) else cast(1 as bigint) end"
+    rows = f"(select doc, case when k = 1 then first_pos else pos end as pos, {place} as sub, {text} as line from {four} v5 cross join (select 0 as k union all select 1 as k union all select 2 as k) v6)"
+    return f"(select doc, pos, cast(sub as bigint) as sub, line from {rows} v7 where line is not null)"
+
+
 def truncate(d: Dialect, src: str, most: int) -> str:
     """Head, one marker, pinned runner totals, tail (T-01); documents of up to `most` lines, and any if most <= 0, stay."""
-    if most <= 0:
-        return f"(select doc, pos, cast(0 as bigint) as sub, line from {src})"
-    head = _head(most)
-    base = f"(select *, {classify.summary_anchor(d, 'line')} as pin, row_number() over ({PREVIOUS}) - 1 as i, count(*) over (partition by doc) as n from {src})"
-    zone = f"(select *, case when n <= {most} or i < {head} or i >= n - {most - head} then 0 else 1 end as cut from {base} u0)"
-    gap = f"(select doc, min(pos) as pos, cast(count(*) as bigint) as n, {d.bool_or('pin')} as pinned from {zone} u1 where cut = 1 group by doc)"
-    text = f"concat({d.lit(chr(10) + '[... ')}, cast(n as varchar(20)), case when pinned then ' lines omitted; summary pinned below ...]' else {d.lit(' lines omitted ...]' + chr(10))} end)"
-    return f"""(select doc, pos, cast(0 as bigint) as sub, line from {zone} u2 where cut = 0 union all
-        select doc, pos, cast(1 as bigint) as sub, {text} as line from {gap} u3 union all
-        select doc, g.pos, z.pos + 2 as sub, z.line from {zone} z join (select doc as gdoc, pos from {gap} u4) g on z.doc = g.gdoc where cut = 1 and pin)"""
+    return _cut(d, src, most, "off", 0, 1) if most > 0 else f"(select doc, pos, cast(0 as bigint) as sub, line from {src})"
 
 
 def window_truncate(d: Dialect, src: str, most: int, window: int = 10, cap: int = 2) -> str:
     """Head, tail and `window` lines around every failure anchor; with more than two anchors and too much kept, only the
     first and the last anchor's; runner totals always; a marker for each gap (T-03, J-06)."""
-    head = _head(most)
-    near = f"max(case when anchor then 1 else 0 end) over ({PREVIOUS} rows between {window} preceding and {window} following)"
-    base = f"(select *, {near} as near, row_number() over ({PREVIOUS}) - 1 as i, count(*) over (partition by doc) as n from (select doc, pos, line, {classify.failure_anchor(d, 'line')} as anchor, {classify.summary_anchor(d, 'line')} as pin from {src}) v0)"
-    ends = f"(i < {head} or i >= n - {most - head})"
-    two = f"(select *, sum(case when {ends} or near = 1 then 1 else 0 end) over (partition by doc) as kept, sum(case when anchor then 1 else 0 end) over (partition by doc) as anchors, min(case when anchor then i end) over (partition by doc) as a, max(case when anchor then i end) over (partition by doc) as b from {base} v1)"
-    keep = f"(pin or {ends} or case when kept > {cap * most} and anchors > 2 then (i between a - {window} and a + {window}) or (i between b - {window} and b + {window}) else near = 1 end)"
-    three = f"(select doc, pos, line, keep, sum(case when keep then 1 else 0 end) over ({PREVIOUS} rows between unbounded preceding and current row) as g from (select *, {keep} as keep from {two} v2) v3)"
-    return f"""(select doc, pos, cast(0 as bigint) as sub, line from {three} v4 where keep union all
-        select doc, min(pos) as pos, cast(0 as bigint) as sub, concat({d.lit(chr(10) + '[... ')}, cast(count(*) as varchar(20)), {d.lit(' lines omitted ...]' + chr(10))}) as line from {three} v5 where not keep group by doc, g)"""
+    return _cut(d, src, most, "window", window, cap, always=True)
 
 
 def escalate(d: Dialect, src: str, most: int, mode: str = "window", window: int = 10) -> str:
-    """Truncation that reacts to failures (T-02): off, hint, window or conservative."""
+    """Truncation that reacts to failures (T-02): off, hint, window or conservative; other names mean window."""
     mode = {"none": "off", "disabled": "off", "full": "conservative"}.get(mode.lower(), mode.lower())
-    mode = mode if mode in ("off", "hint", "conservative") else "window"
-    plain = truncate(d, src, most)
-    if mode == "off" or most <= 0:
-        return plain
-    failed = f"(select doc as fdoc from {src} where {classify.failure_anchor(d, 'line')} group by doc)"
-    if mode == "hint":
-        foot = f"select x.doc, max(x.pos) as pos, cast(1000000000 as bigint) as sub, '[failures detected: rerun with a higher line limit for full context]' as line from {src.rsplit(' ', 1)[0]} x join {failed} f on x.doc = f.fdoc group by x.doc having count(*) > {most}"
-        return f"(select doc, pos, sub, line from {plain} p union all {foot})"
-    other = f"(select doc, pos, cast(0 as bigint) as sub, line from {src})" if mode == "conservative" else window_truncate(d, src, most, window)
-    size = f"(select doc as sdoc, count(*) as n_lines from {src} group by doc)"
-    return f"""(select p.doc, p.pos, p.sub, p.line from {plain} p left join {failed} f on p.doc = f.fdoc where f.fdoc is null union all
-        select o.doc, o.pos, o.sub, o.line from {other} o join {failed} f on o.doc = f.fdoc join {size} z on o.doc = z.sdoc where n_lines > {most} union all
-        select o.doc, o.pos, cast(0 as bigint) as sub, o.line from {src.rsplit(' ', 1)[0]} o join {failed} f on o.doc = f.fdoc join {size} z on o.doc = z.sdoc where n_lines <= {most})"""
+    return _cut(d, src, most, mode if mode in ESCALATIONS else "window", window, 2) if most > 0 else truncate(d, src, most)

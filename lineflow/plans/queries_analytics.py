@@ -46,6 +46,10 @@ for _p in ("today", "7d", "30d", "all"):
 query("a06_insights")(lambda d: f"select * from {measure.insights(d, _m(d))} q")
 query("a07_sessions")(lambda d: f"select * from {measure.session_summary(d, _m(d))} q")
 query("t05_last")(lambda d: f"select * from {measure.last_entries(d, _m(d), 20)} q")
+query("k06_report")(lambda d: f"select nth, line from {measure.report_lines(d, _m(d), 'all')} q")
+query("k06_last")(lambda d: f"select nth, line from {measure.last_lines(d, '(select *, concat(cmd_type, ' + d.lit(' with some arguments ') + ', session) as command from ' + _m(d) + ')' + ' w', 25)} q")
+query("dt02_clock")(lambda d: f"select id, {measure.clock(d, 'us')} as at from {_m(d)}")
+query("x16_json")(lambda d: f"select id, {d.json(id='id', tool='tool', key='key', no_trunc='no_trunc')} as json from {_r(d)}")
 query("t06_top_commands")(lambda d: f"select name, saved from {measure.report(d, _m(d))} q where level = 'type' order by saved desc, name limit 8")
 query("t06_last_calls")(lambda d: f"select id, session, cmd_type, raw_tokens - clean_tokens as saved from {_m(d)} order by us desc, id desc limit 8")
 query("t06_top_learned")(lambda d: f"select norm, n from {learn.analyse(d, _observed(d) + ' o', least=0.01)} q order by n desc, norm limit 5")
