@@ -157,22 +157,30 @@ def word_vectors(docs: DataFrame) -> Space:
         return pa.RecordBatch.from_arrays([pa.array(at), lists], names=["entry", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(words.size * WIDTH)
-
-        def add(entry, context):
-            for k in range(NONZERO):
-                np.add.at(total, entry * WIDTH + words.at[context, k], words.sign[context, k])
+        total, index = np.zeros((words.size, WIDTH)), words.index_vectors()
+
+        def add(ids, row, reach):
+            """Adds to each entry the index vectors of its neighbours: by place first, then by entry."""
+            near = np.zeros((len(ids), WIDTH), dtype=np.float32)
+            for step in range(1, min(reach, len(ids) - 1) + 1):
+                apart = row[step:] != row[:-step]
+                for here, there in ((near[:-step], ids[step:]), (near[step:], ids[:-step])):
+                    got = index[there]
+                    got[apart] = 0
+                    here += got
+            order = np.argsort(ids, kind="stable")
+            entry = ids[order]
+            start = np.flatnonzero(np.diff(entry, prepend=-1))
+            if len(start):
+                total[entry[start]] += np.add.reduceat(near[order], start, axis=0)
 
         for whole in batches:
             for part in parts(whole, PART):
                 w, f, row, _ = tokens(*text_column(part["text"]))
                 w, f = words.ids(w, f)
-                for step in range(1, REACH + 1):
-                    same = row[step:] == row[:-step]
-                    for ids in (w, f) if step == 1 else (w,):
-                        add(ids[:-step][same], ids[step:][same])
-                        add(ids[step:][same], ids[:-step][same])
-        yield rows(total.reshape(words.size, WIDTH))
+                add(w, row, REACH)
+                add(f, row, 1)
+        yield rows(total)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((words.size, WIDTH))
