@@ -5,7 +5,7 @@ from __future__ import annotations
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
 from lineflow.operators import generic, learn, measure, search
-from lineflow.plans import views
+from lineflow.plans import fixtures, views
 from lineflow.plans.catalog import query
 
 #: 2024-01-20 12:00 UTC in microseconds; reports take `now` as a parameter.
@@ -49,6 +49,8 @@ query("t05_last")(lambda d: f"select * from {measure.last_entries(d, _m(d), 20)}
 query("k06_report")(lambda d: f"select nth, line from {measure.report_lines(d, _m(d), 'all')} q")
 query("k06_last")(lambda d: f"select nth, line from {measure.last_lines(d, '(select *, concat(cmd_type, ' + d.lit(' with some arguments ') + ', session) as command from ' + _m(d) + ')' + ' w', 25)} q")
 query("dt02_clock")(lambda d: f"select id, {measure.clock(d, 'us')} as at from {_m(d)}")
+query("s16_fixtures")(lambda d: f"select name, cmd_type, {d.agg_join('line', 'pos', chr(10))} as text from {fixtures.lines(d)} f group by name, cmd_type")
+query("s16_sizes")(lambda d: f"select name, cast(count(*) as bigint) as n_lines, {d.int_sum(d.octets('line') + ' + 1')} as n_bytes, cast(count(distinct line) as bigint) as n_distinct from {fixtures.lines(d)} f group by name")
 query("x16_json")(lambda d: f"select id, {d.json(id='id', tool='tool', key='key', no_trunc='no_trunc')} as json from {_r(d)}")
 query("t06_top_commands")(lambda d: f"select name, saved from {measure.report(d, _m(d))} q where level = 'type' order by saved desc, name limit 8")
 query("t06_last_calls")(lambda d: f"select id, session, cmd_type, raw_tokens - clean_tokens as saved from {_m(d)} order by us desc, id desc limit 8")

@@ -17,18 +17,33 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def newest_half(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """The newer half of a log by count (K-02, T-11): ranks come from counts by instant, so no window spans the log."""
-    counts = rows.groupBy(ts).agg(F.count(F.lit(1)).alias("c"))
-    ranks = counts.select(ts, (F.sum("c").over(Window.orderBy(ts)) - F.col("c")).alias("before"))
-    n = rows.count()
-    place = F.row_number().over(Window.partitionBy(ts).orderBy(F.to_json(F.struct("*"))))
-    return rows.withColumn("_i", place).join(ranks, ts).where(F.col("before") + F.col("_i") > n // 2).drop("_i", "before")
+    """The newer half of a log by count (K-02, T-11), ties by the rows' text.
+
+    Counts by hour, of which there are few however long the log, say which hour holds the cut; only that hour is ranked.
+    """
+    hour = F.substring(F.col(ts), 1, 13)
+    counts = rows.groupBy(hour.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = counts.select("_h", "_c", F.sum("_c").over(Window.orderBy("_h")).alias("_upto"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    half, before = F.floor(F.col("_n") / 2), F.col("_upto") - F.col("_c")
+    parts = upto.select("_h", F.greatest(F.least(half - before, F.col("_c")), F.lit(0)).alias("_gone"), F.col("_c"))
+    marked = rows.withColumn("_h", hour).join(parts, "_h")
+    whole = marked.where("_gone = 0").drop("_h", "_gone", "_c")
+    place = F.row_number().over(Window.partitionBy("_h").orderBy(ts, F.to_json(F.struct(*[F.col(c) for c in rows.columns]))))
+    cut = marked.where("_gone > 0 and _gone < _c").withColumn("_i", place).where("_i > _gone").drop("_h", "_gone", "_c", "_i")
+    return whole.select(*rows.columns).union(cut.select(*rows.columns))
 
 
 def rotate(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Replace a log by its newer half, written beside it first."""
+    """Replace a log by its newer half: written beside it, then the folders change names, so that a reader or a failed run
+    finds the old log or the new one, never a part."""
     newest_half(rows).write.mode("overwrite").json(f"{path}.new")
-    spark.read.schema(rows.schema).json(f"{path}.new").write.mode("overwrite").json(path)
+    jvm = spark.sparkContext._jvm
+    here, new, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if store.exists(here) and not store.rename(here, old) or not store.rename(new, here):
+        raise OSError(f"could not replace {path}")
+    store.delete(old, True)
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
