@@ -269,16 +269,18 @@ def _linked(vectors: DataFrame, threshold: float, recall: float) -> DataFrame:
 
     placed = materialise(vectors.select("rep", "w", "v").mapInArrow(run, f"rep long, w long, v {kind}, cell long, visits array<long>"), "cells")
     chunks = lambda c: F.ceil(F.count(F.lit(1)) / BLOCK).alias(c)
-    queries = placed.select("rep", "w", "v", F.explode("visits").alias("cell"))
-    sizes = queries.groupBy("cell").agg(chunks("qn")).join(placed.groupBy("cell").agg(chunks("dn")), "cell")
+    stored, queries = placed.select("rep", "cell"), placed.select("rep", F.explode("visits").alias("cell"))
+    sizes = queries.groupBy("cell").agg(chunks("qn")).join(stored.groupBy("cell").agg(chunks("dn")), "cell")
     # Rows of a dense cell meet their cell's sizes in SALTS parts.
     sizes = sizes.select("cell", "qn", "dn", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     salted = lambda rows: rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS)).cast("int")).join(sizes, ["cell", "salt"])
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit("part")), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    d = salted(placed).select("cell", part("dn").alias("i"), each("qn").alias("j"), "rep", "w", "v", F.lit(True).alias("stored"))
-    q = salted(queries).select("cell", each("dn").alias("i"), part("qn").alias("j"), "rep", "w", "v", F.lit(False).alias("stored"))
-    blocks = d.union(q).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    d = salted(stored).select("cell", part("dn").alias("i"), each("qn").alias("j"), "rep", F.lit(True).alias("stored"))
+    q = salted(queries).select("cell", each("dn").alias("i"), part("qn").alias("j"), "rep", F.lit(False).alias("stored"))
+    # Places are dealt without vectors, which join them once and then travel to their blocks.
+    blocks = d.union(q).join(placed.select("rep", "w", "v").hint("merge"), "rep")
+    blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return materialise(_block_links(blocks, threshold), "links")
 
 

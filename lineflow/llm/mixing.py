@@ -5,7 +5,8 @@ and including it, divided by the source's target.  Serving documents in global o
 budget is used gives each source its target.  A source above its own size goes round again (second epoch).
 
 The global order is never sorted in one place: running totals are prefix sums over digest buckets and finish-time
-buckets, and only the one bucket that holds the end of the budget is ordered row by row.
+buckets.  The one bucket that holds the end of the budget is cut into finer ones until it is small, and only that one is
+ordered row by row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from lineflow.llm._shared import materialise
 #: Words are counted as maximal runs outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 4096
+#: Slots that are ordered row by row; buckets are cut until one holds no more, LEVELS times at the most (equal times stay
+#: together).
+EDGE, LEVELS = 100_000, 4
 
 
 def size_of(text: str) -> Column:
@@ -80,21 +84,43 @@ def mix(docs: DataFrame, cycle: Sequence[int] = (3, 1, 2), share: float = 1.5, c
         each = F.explode(F.array(*[F.struct(F.col(f"f{e}").alias("f"), "sk", "h", "doc_id", "size", F.lit(e).alias("e")) for e in range(cap)]))
         return frame.where("f0 is not null and size > 0").select(each.alias("slot"), "budget")
 
-    step = F.least(F.floor(F.col("slot.f") * STEPS), F.lit(STEPS * 16)).alias("g")
-    per_step = slots(timed).groupBy(step).agg(F.sum("slot.size").alias("total"), F.max("budget").alias("budget"))
-    running = per_step.withColumn("upto", F.sum("total").over(Window.orderBy("g")))
-    last = running.where("upto > budget").orderBy("g").select("g", (F.col("upto") - F.col("total")).alias("before"), "budget").first()
-    if last is None:
-        return timed.withColumn("taken", F.when(F.col("target") > 0, F.col("size") * cap).otherwise(F.lit(0)).cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken")
-    edge = slots(timed).where(step == last["g"]).withColumn("run", F.sum("slot.size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = edge.where(F.col("run") + F.lit(last["before"]) <= F.lit(float(last["budget"]))).agg(F.max("slot").alias("cut")).first()["cut"]
-    step_of = lambda e: F.least(F.floor(F.col(f"f{e}") * STEPS), F.lit(STEPS * 16))
+    def buckets(f: Column, levels: int) -> list[Column]:
+        """Bucket of a finish time among STEPS, then among STEPS inside that, and so on; their order is that of times."""
+        out, x = [], f * STEPS
+        for _ in range(levels):
+            out.append(F.least(F.floor(x), F.lit(STEPS * 16)))
+            x = (x - out[-1]) * STEPS
+        return out
+
+    last: list[int] = []
+    before = 0
+    while True:
+        here = buckets(F.col("slot.f"), len(last) + 1)
+        inside = slots(timed)
+        for g, value in zip(here, last):
+            inside = inside.where(g == value)
+        totals = inside.groupBy(here[-1].alias("g")).agg(F.sum("slot.size").alias("total"), F.count(F.lit(1)).alias("n"), F.max("budget").alias("budget"))
+        running = totals.withColumn("upto", F.sum("total").over(Window.orderBy("g")) + before)
+        end = running.where("upto > budget").orderBy("g").select("g", (F.col("upto") - F.col("total")).alias("before"), "n", "budget").first()
+        if end is None:
+            return timed.withColumn("taken", F.when(F.col("target") > 0, F.col("size") * cap).otherwise(F.lit(0)).cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken")
+        last.append(end["g"])
+        before = end["before"]
+        if end["n"] <= EDGE or len(last) == LEVELS:
+            break
+    edge = slots(timed)
+    for g, value in zip(buckets(F.col("slot.f"), len(last)), last):
+        edge = edge.where(g == value)
+    edge = edge.withColumn("run", F.sum("slot.size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = edge.where(F.col("run") + F.lit(before) <= F.lit(float(end["budget"]))).agg(F.max("slot").alias("cut")).first()["cut"]
     taken = F.lit(0).cast("long")
     for e in range(cap):
-        served = step_of(e) < last["g"]
+        served, same = F.lit(False), F.lit(True)
+        for g, value in zip(buckets(F.col(f"f{e}"), len(last)), last):
+            served, same = served | (same & (g < value)), same & (g == value)
         if cut is not None:
             here = F.struct(F.col(f"f{e}").alias("f"), "sk", "h", "doc_id", "size", F.lit(e).alias("e"))
             upto = F.struct(F.lit(cut["f"]).alias("f"), F.lit(cut["sk"]).alias("sk"), F.lit(cut["h"]).alias("h"), F.lit(cut["doc_id"]).cast("long").alias("doc_id"), F.lit(cut["size"]).cast("long").alias("size"), F.lit(cut["e"]).alias("e"))
-            served = served | ((step_of(e) == last["g"]) & (here <= upto))
+            served = served | (same & (here <= upto))
         taken = taken + F.when(F.coalesce(served, F.lit(False)), F.col("size")).otherwise(F.lit(0))
     return timed.withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken")
