@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineflow.functions.dialect import Spark
+from lineflow.functions.dialect import Duck, Spark
 from lineflow.operators import generic, sequential
 from lineflow.plans import views
-from lineflow.plans.catalog import native
+from lineflow.plans.catalog import NATIVE_ORACLES, native
 from lineflow.streaming import filter as stream
 
 _TRACES = ["goroutine {n} [running]:", "main.f()", "\t/a/b.go:{m}", "", "Traceback (most recent call last):", '  File "a.py", line {n}, in f', "    g()", '  File "b.py", line {m}, in g', "ValueError: x", "TypeError: bad {n}", "    at a (src/x.js:{n}:1)", "    at b (node:internal/y:{m})", "done {n}"]
@@ -32,6 +32,20 @@ native("c18_console")(lambda spark, sf_dir: sequential.per_document(_texts(spark
 native("dt04_rate_limit")(lambda spark, sf_dir: sequential.rate_limit(spark.sql(f"select tool, us, id from {views.requests(Spark(sf_dir))} v"), 1, 2))
 native("a20_lru")(lambda spark, sf_dir: sequential.lru_hits(spark.sql(f"select tool, us, id, raw_key as key from {views.requests(Spark(sf_dir))} v"), 4))
 
+_NUMBERED = f"(select tool, us, id, raw_key as key, row_number() over (partition by tool order by us, id) as i from {views.requests(Duck())} v)"
+# A key is still cached if fewer than the capacity's keys were asked for since it was.
+NATIVE_ORACLES["a20_lru"] = f"""
+with r as {_NUMBERED},
+p as (select *, max(i) over (partition by tool, key order by i rows between unbounded preceding and 1 preceding) as prev from r),
+n as (select p.tool, p.i, count(distinct r.key) as between_keys from p join r on r.tool = p.tool and r.i > p.prev and r.i < p.i group by all)
+select p.tool, p.us, p.id, p.key, prev is not null and coalesce(between_keys, 0) < 4 as hit from p left join n on p.tool = n.tool and p.i = n.i"""
+# What is left in the bucket follows from what the request before left.
+NATIVE_ORACLES["dt04_rate_limit"] = f"""
+with recursive r as {_NUMBERED},
+b as (select tool, i, us, id, true as allowed, 1.0::double as rest from r where i = 1 union all
+    select tool, i, us, id, x >= 1, x - case when x >= 1 then 1 else 0 end from (select r.*, least(2.0::double, b.rest + (r.us - b.us)::double / 1e6 * 1 / 60) as x from r join b on r.tool = b.tool and r.i = b.i + 1) s)
+select tool, us, id, allowed from b"""
+
 
 @native("r01_stream_filter")
 def stream_filter(spark, sf_dir):

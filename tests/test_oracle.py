@@ -6,7 +6,6 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lineflow.functions.dialect import Duck
 from lineflow.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
@@ -31,7 +30,7 @@ def test_query_matches_oracle(spark, duck, name):
     df = catalog.queries()[name](spark, str(SF))
     columns = sorted(df.columns)
     got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    result = duck.execute(catalog.BUILDERS[name](Duck()))
+    result = duck.execute(catalog.oracles()[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     want = Counter(tuple(plain(v) for _, v in sorted(zip(names, row))) for row in result.fetchall())
