@@ -24,7 +24,7 @@ from lineflow.llm._bytes import SPACE, U64, parts, text_column
 
 Q = 8
 #: Bytes of documents handled at once, longer ones alone.
-PART = 2 << 20
+PART = 1 << 20
 #: Share of an item's characters that may be edited; items under LEAST characters must occur exactly.
 RATE, LEAST = 0.1, 24
 #: Items that a q-gram may have before it counts as common; q-gram hits expanded at once.

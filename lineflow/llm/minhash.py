@@ -108,7 +108,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 _DIGEST = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
-def slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with up to 65,535 rows and about `limit` bytes of text."""
     size = batch.nbytes
     step = max(1, min(65535, batch.num_rows * limit // max(size, 1)))
