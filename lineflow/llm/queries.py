@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import decontaminate, embeddings, language, minhash, mixing, pii, quality, secrets, substrings, warc
+from lineflow.llm import collocations, decontaminate, embeddings, language, licenses, manifest, minhash, mixing, pii, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,5 +106,60 @@ select n.doc_id, n.n_shingles, coalesce(c, n.doc_id) component_id, n.doc_id = co
 from n left join class on n.k = class.k and n.n_shingles > 0 left join comp on comp.node = class.rep
 """
 
-QUERIES = {"op5_substrings": op5_substrings, "op1_pii": op1_pii, "op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_decontaminate": op10_decontaminate, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash}
-ORACLES = {"op2_embeddings": OP2, "op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000, inside=100)
+
+
+OP11 = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+q as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase, count(*) f
+    from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from q, range(1, 6) s(k)) group by all having count(*) >= 100),
+n as (select lang, sum(len(ws))::bigint n from q group by lang),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') w from g where k > 1),
+x as (select c.lang, phrase, a, j, array_to_string(w[1:j], ' ') lp, array_to_string(w[j + 1:], ' ') rp from c, range(1, 5) s(j) where j < k),
+y as (select x.lang, x.phrase, a, j, l.f l, r.f r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint score
+    from x join g l on l.lang = x.lang and l.phrase = lp join g r on r.lang = x.lang and r.phrase = rp join n on n.lang = x.lang),
+z as (select lang, phrase, a, n, arg_min({'l': l, 'r': r, 's': score}, score * 8 + j) b from y group by all),
+d as (select lang, array_to_string(w[i:i + m - 1], ' ') phrase, max(a) lf from (select lang, w, a, m, unnest(range(1, k - m + 2)) i from c, range(2, 5) s(m) where m < k) group by all)
+select lang, row_number() over (partition by lang order by b.s desc, a desc, phrase) "rank", phrase, a, b.l l, b.r r, n, b.s score
+from z left join d using (lang, phrase) where coalesce(100 * lf < 100 * a, true) qualify "rank" <= 2000
+"""
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(_table(spark, sf_dir, "documents"))
+
+
+OP13 = """
+with recursive x as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, b: xor(c >> 1, 3988292384 * (c & 1)))) t),
+d as (select doc_id, doc_id::varchar k, coalesce('1' || lang, '0') g, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') head, text,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from documents),
+l as (select doc_id, g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) leaf, sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) low,
+        xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 hit from d, x),
+p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 i, row_number() over () id from l),
+n as (select g, 0 lv, i, leaf h, count(*) over (partition by g) c from p
+    union all select g, lv, i, h, count(*) over (partition by g) from (select g, lv + 1 lv, i // 8 i, sha256(string_agg(h, '' order by i)) h from n where c > 1 group by g, lv, i // 8)),
+s as (select g, h, row_number() over (order by g) - 1 i from n where c = 1),
+t as (select 0 lv, i, h, count(*) over () c from s
+    union all select lv, i, h, count(*) over () from (select lv + 1 lv, i // 8 i, sha256(string_agg(h, '' order by i)) h from t where c > 1 group by lv, i // 8)),
+b as (select g, lv, i, coalesce(string_agg(h, '' order by i) over (partition by g, lv, i // 8 order by i rows between unbounded preceding and 1 preceding), '') lf,
+        coalesce(string_agg(h, '' order by i) over (partition by g, lv, i // 8 order by i rows between 1 following and unbounded following), '') rt from n where c > 1),
+u as (select lv, i, coalesce(string_agg(h, '' order by i) over (partition by lv, i // 8 order by i rows between unbounded preceding and 1 preceding), '') lf,
+        coalesce(string_agg(h, '' order by i) over (partition by lv, i // 8 order by i rows between 1 following and unbounded following), '') rt from t where c > 1),
+w as (select id, b.lv, lf, rt from p join b on b.g = p.g and b.i = p.i // (8 ** b.lv)::bigint
+    union all select id, 100 + u.lv, lf, rt from p join s using (g) join u on u.i = s.i // (8 ** u.lv)::bigint),
+a as (select id, list({'l': lf, 'r': rt} order by lv) way from w group by id),
+f as (select id, 0 k, case when hit then low else leaf end h from p union all select f.id, k + 1, sha256(way[k + 1].l || h || way[k + 1].r) from f join a using (id) where k < len(way)),
+e as (select id, arg_max(h, k) folded_root from f group by id)
+select doc_id, leaf, s.h subroot, t.h root, sha256(coalesce(list_reduce(list_transform(way, lambda y: y.l || y.r), lambda m, y: m || y), '')) proof_sha256, folded_root, folded_root = t.h verified
+from p join s using (g) cross join (select h from t where c = 1) t join e using (id) left join a using (id)
+"""
+
+QUERIES = {"op5_substrings": op5_substrings, "op1_pii": op1_pii, "op2_embeddings": op2_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_decontaminate": op10_decontaminate, "op4_warc": op4_warc, "op3_mixing": op3_mixing, "op7_minhash": op7_minhash, "op11_collocations": op11_collocations, "op12_licenses": op12_licenses, "op13_manifest": op13_manifest}
+ORACLES = {"op2_embeddings": OP2, "op4_warc": OP4, "op3_mixing": OP3, "op7_minhash": OP7, "op11_collocations": OP11, "op13_manifest": OP13}
