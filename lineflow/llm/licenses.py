@@ -17,6 +17,7 @@ a keyword is held as an array of words while it is scanned.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -174,27 +175,26 @@ def first_word(rule: str) -> str:
     return re.match(r"[a-z0-9]+", rule)[0]
 
 
-def _matched(window: Column, place: Column, first: str) -> Column:
-    """The longest match at a word, as (length, minus order, class, label, start)."""
-    got = []
+def _signatures() -> Column:
+    """First word -> its rules in order, one constant map; the pattern of a rule is a value, not a part of the plan."""
+    of: dict[str, list] = {}
     for order, (label, kind, rule) in enumerate(RULES):
-        if first_word(rule) == first:
-            whole = F.regexp_extract(window, f"^(?:{rule}) ", 0)
-            size = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit("")))
-            got.append(F.when(whole != "", F.struct(size.alias("n"), F.lit(-order).alias("order"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), place.cast("long").alias("start"))))
-    return F.array_max(F.array(*got)) if len(got) > 1 else got[0]
+        of.setdefault(first_word(rule), []).append({"order": -order, "kind": kind, "label": label, "rule": f"^(?:{rule}) "})
+    return F.from_json(F.lit(json.dumps(of)), "map<string,array<struct<order:int,kind:int,label:string,rule:string>>>")
 
 
 def _detections(words: Column) -> Column:
-    """One detection per word at the most, in order of words."""
-    firsts = sorted({first_word(r) for _, _, r in RULES})
+    """One detection per word at the most, in order of words: the longest match there, the earlier rule among equals."""
+    rules, firsts = _signatures(), sorted({first_word(r) for _, _, r in RULES})
 
     def at(word: Column, i: Column) -> Column:
         def tried(window: Column) -> Column:
-            out = F.when(word == firsts[0], _matched(window, i, firsts[0]))
-            for f in firsts[1:]:
-                out = out.when(word == f, _matched(window, i, f))
-            return out
+            def match(rule: Column) -> Column:
+                size = lambda whole: F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit("")))
+                found = lambda whole: F.when(whole.isNotNull(), F.struct(size(whole).alias("n"), rule["order"].alias("order"), rule["kind"].alias("kind"), rule["label"].alias("label"), i.cast("long").alias("start")))
+                return _let(F.regexp_substr(window, rule["rule"]), found)
+
+            return F.array_max(F.transform(F.try_element_at(rules, word), match))
 
         return F.when(word.isin(firsts), _let(F.concat(F.array_join(F.slice(words, i + 1, F.lit(WINDOW)), " "), F.lit(" ")), tried))
 
