@@ -4,11 +4,11 @@ Texts are lower-cased (A-Z), cut into pieces at `[.,;:!?]` and line ends, and pi
 every contiguous occurrence inside a piece, overlaps included, n the words of a language.
 
 1. Pieces.  Equal pieces of a language become one row with a multiplicity, so copies of documents are read once from here.
-2. Counts.  A task turns its pieces into weighted n-grams and adds them up in DuckDB before the shuffle, at most FLUSH of
-   them at a time; the rows go to hash buckets of (language, phrase), each summed by DuckDB under a memory limit, on disk
+2. Counts.  A task turns its pieces into weighted n-grams and adds them up in DuckDB before the shuffle, a limited number
+   of them at a time; the rows go to hash buckets of (language, phrase), each summed by DuckDB under a memory limit, on disk
    beyond it.  Phrases are compared as text, never by a hash alone.  Words are counted first, then pairs of frequent words,
    then longer phrases all of whose pairs are frequent: no phrase is more frequent than its parts, so nothing is lost.
-   Tasks know the frequent ones from a bitmap of 2**BITS bits, 8 MB whatever the corpus; where it is crowded, or two
+   Tasks know the frequent ones from a bitmap of 2**26 bits, 8 MB whatever the corpus; where it is crowded, or two
    phrases share a bit, more is counted, and the result is the same.
 3. Parts.  Candidates ask for the counts of their first and last words by shuffled requests, salted, because one word may
    be the part of a third of all candidates; replies meet at the candidate.
@@ -16,7 +16,7 @@ every contiguous occurrence inside a piece, overlaps included, n the words of a
 
 Defined results: null texts are empty; a null language is `und`; empty tables and texts without a phrase give no rows;
 equal scores fall to the more frequent phrase, then to the phrase in byte order; other columns are ignored; pieces longer
-than CUT bytes are counted in overlapping cuts, so that a worker's memory is bounded by the longest text, not by what is
+than half a megabyte are counted in overlapping cuts, so that a worker's memory is bounded by the longest text, not by what is
 derived from it.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import duckdb
 import numpy as np
@@ -35,12 +36,25 @@ from lineflow.llm import _bytes
 from lineflow.llm._shared import materialise
 
 MOST = 5
-#: Bits of the prune map, as a power of two; bytes of text handled at a time; bytes at which a piece is cut.
-BITS, CHUNK, CUT = 26, 1 << 21, 1 << 20
-#: Memory of one DuckDB, and n-grams that a task adds up before it ships them.
-MEMORY, FLUSH = "300MB", 2_000_000
 SALTS = 16
 
+
+class Limits(NamedTuple):
+    """What bounds a task's memory; no value changes a result.
+
+    Bits of the prune map as a power of two, bytes of text handled at a time, bytes at which a piece is cut, n-grams that
+    a task adds up before it ships them, memory of its DuckDB.
+    """
+
+    bits: int = 26
+    chunk: int = 1 << 19
+    cut: int = 1 << 19
+    flush: int = 300_000
+    memory: str = "100MB"
+
+
+LIMITS = Limits()
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9] = 32
@@ -82,10 +96,10 @@ def cut_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
     return _slices(small, starts[held], ends[held]), row[held]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], limits: Limits = LIMITS) -> Iterator[pa.RecordBatch]:
     """(lang, piece, own, m): own is how many of its words may begin an n-gram, the others follow in the next cut."""
     for whole in batches:
-        for b in _bytes.parts(whole, CHUNK):
+        for b in _bytes.parts(whole, limits.chunk):
             pieces, row = cut_pieces(*_bytes.text_column(b["text"]))
             if not len(pieces):
                 continue
@@ -95,7 +109,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = t["piece"].combine_chunks().cast(pa.large_string())
             raw, offs = _bytes.text_column(text)
             m = t["count_all"].combine_chunks().cast(pa.int64())
-            long = np.flatnonzero(np.diff(offs) > CUT)
+            long = np.flatnonzero(np.diff(offs) > limits.cut)
             own = np.bincount(np.searchsorted(offs, np.flatnonzero(raw == 32), side="right") - 1, minlength=len(text)) + 1
             rest = np.setdiff1d(np.arange(len(text)), long)
             yield _piece_rows(lang.take(pa.array(rest)), text.take(pa.array(rest)), own[rest], m.take(pa.array(rest)))
@@ -104,7 +118,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = np.concatenate([[0], np.flatnonzero(body == 32) + 1, [len(body) + 1]])
                 first = 0
                 while first < len(words) - 1:
-                    upto = min(max(first + 1, int(np.searchsorted(words, words[first] + CUT))), len(words) - 1)
+                    upto = min(max(first + 1, int(np.searchsorted(words, words[first] + limits.cut))), len(words) - 1)
                     end = words[min(upto + MOST - 1, len(words) - 1)] - 1
                     part = pa.array([body[words[first] : end].tobytes().decode()], pa.large_string())
                     yield _piece_rows(lang.slice(k, 1), part, np.array([upto - first]), m.slice(k, 1))
@@ -115,16 +129,16 @@ def _piece_rows(lang: pa.Array, text: pa.Array, own: np.ndarray, m: pa.Array) ->
     return pa.RecordBatch.from_arrays([lang.cast(pa.string()), text.cast(pa.string()), pa.array(own, pa.int64()), m], names=["lang", "piece", "own", "m"])
 
 
-def distinct_pieces(docs: DataFrame) -> DataFrame:
+def distinct_pieces(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(lang, piece, own, m) with one row per language and piece."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
-    rows = texts.mapInArrow(_pieces, "lang string, piece string, own long, m long")
+    rows = texts.mapInArrow(lambda batches: _pieces(batches, limits), "lang string, piece string, own long, m long")
     return rows.groupBy("lang", "piece", "own").agg(F.sum("m").alias("m"))
 
 
-def _key(lang_hash: np.ndarray, gram_hash: np.ndarray) -> np.ndarray:
+def _key(lang_hash: np.ndarray, gram_hash: np.ndarray, bits: int) -> np.ndarray:
     """Bit of a phrase in the prune map."""
-    return (_bytes.mix(gram_hash ^ lang_hash) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (_bytes.mix(gram_hash ^ lang_hash) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _lang_hash(lang: pa.Array) -> np.ndarray:
@@ -161,7 +175,7 @@ def grams(b: pa.RecordBatch, lengths: range, words_map: np.ndarray | None, pairs
         elif len(use):
             _, one, back = np.unique(key, return_index=True, return_inverse=True)
             at = use[one]
-            ok[use] = _known(bits, _key(seed[lang[at]], _bytes.span_hash(prefix, starts[at], ends[at + k - 1])))[back]
+            ok[use] = _known(bits, _key(seed[lang[at]], _bytes.span_hash(prefix, starts[at], ends[at + k - 1]), len(bits).bit_length() + 2))[back]
         return ok
 
     ids = word * len(code.dictionary) + lang
@@ -191,9 +205,9 @@ def grams(b: pa.RecordBatch, lengths: range, words_map: np.ndarray | None, pairs
                 yield pa.table({"lang": code.dictionary.take(pa.array(lang[at])).cast(pa.string()), "phrase": _slices(raw, starts[at], ends[at + k - 1]).cast(pa.string()), "f": pa.array(f)})
 
 
-def _summed(tables: Iterator[pa.Table], least: int, spill: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+def _summed(tables: Iterator[pa.Table], least: int, spill: str, memory: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Sums by language and phrase in DuckDB, out of core; after `most` rows those so far are handed on."""
-    con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill, "preserve_insertion_order": False})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill, "preserve_insertion_order": False})
     con.execute("create table g (lang varchar, phrase varchar, f bigint)")
     held = 0
 
@@ -223,44 +237,44 @@ def _plain(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([b[c].cast(kind[c]) for c in names], names=names)
 
 
-def count(pieces: DataFrame, lengths: range, least: int, words_map=None, pairs_map=None) -> DataFrame:
+def count(pieces: DataFrame, lengths: range, least: int, words_map=None, pairs_map=None, limits: Limits = LIMITS) -> DataFrame:
     """(lang, phrase, f, bit) of the n-grams of `lengths` words with f >= least.
 
-    The maps are broadcast bitmaps of 2**BITS bits, or None; a phrase one of whose words or pairs isn't in them is left out.
+    The maps are broadcast bitmaps, or None; a phrase one of whose words or pairs isn't in them is left out.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = (None if m is None else np.frombuffer(m.value, dtype=np.uint8) for m in (words_map, pairs_map))
-        chunks = (t for whole in batches for b in _sized(whole) for t in grams(b, lengths, words, pairs))
+        chunks = (t for whole in batches for b in _sized(whole, limits.chunk) for t in grams(b, lengths, words, pairs))
         with tempfile.TemporaryDirectory() as spill:
-            yield from _plain(_summed(chunks, 1, spill, FLUSH), ["lang", "phrase", "f"])
+            yield from _plain(_summed(chunks, 1, spill, limits.memory, limits.flush), ["lang", "phrase", "f"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as spill:
-            for b in _plain(_summed((pa.Table.from_batches([x]) for x in batches if x.num_rows), least, spill), ["lang", "phrase", "f"]):
+            for b in _plain(_summed((pa.Table.from_batches([x]) for x in batches if x.num_rows), least, spill, limits.memory), ["lang", "phrase", "f"]):
                 raw, offs = _bytes.text_column(b["phrase"])
                 code = b["lang"].dictionary_encode()
-                bit = _key(_lang_hash(code.dictionary)[code.indices.to_numpy()], _bytes.span_hash(_bytes.prefix_hash(raw), offs[:-1], offs[1:]))
+                bit = _key(_lang_hash(code.dictionary)[code.indices.to_numpy()], _bytes.span_hash(_bytes.prefix_hash(raw), offs[:-1], offs[1:]), limits.bits)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bit + 1)], names=["lang", "phrase", "f", "bit"])
 
     sent = pieces.select("lang", "piece", "own", "m").mapInArrow(emit, "lang string, phrase string, f long")
     return sent.repartition("lang", "phrase").mapInArrow(gather, "lang string, phrase string, f long, bit long")
 
 
-def _sized(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _sized(whole: pa.RecordBatch, chunk: int) -> Iterator[pa.RecordBatch]:
     size = np.diff(_bytes.text_column(whole["piece"])[1])
     upto, lo = np.cumsum(size), 0
     while lo < whole.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + chunk, side="right")))
         yield whole.slice(lo, hi - lo)
         lo = hi
 
 
-def bitmap(counted: DataFrame):
-    """Broadcast map of the phrases of `counted`, put together from pieces of 32,768 bits: 2**BITS / 8 bytes at the most."""
+def bitmap(counted: DataFrame, bits: int):
+    """Broadcast map of the phrases of `counted`, put together from pieces of 32,768 bits: 2**bits / 8 bytes at the most."""
     spark = counted.sparkSession
     parts = counted.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for r in parts.collect():
         # Places count from 1, and so do buckets.
         out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
@@ -273,17 +287,17 @@ def weakest_cut(a: str, n: str, parts: str) -> str:
     return f"array_min(transform({parts}, p -> named_struct('score', ({big('1000')} * {a} * {n}) div ({big('p.l')} * p.r), 'k', p.k, 'l', p.l, 'r', p.r)))"
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, inside: int = 100) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, inside: int = 100, limits: Limits = LIMITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's `top` best phrases of 2 to 5 words with a >= `least`.
 
     A phrase inside a longer candidate with 100 * f(longer) >= inside * a is dropped.
     """
-    pieces = materialise(distinct_pieces(docs), "pieces")
+    pieces = materialise(distinct_pieces(docs, limits), "pieces")
     total = pieces.groupBy("lang").agg(F.sum(F.col("own") * F.col("m")).alias("n"))
-    words = materialise(count(pieces, range(1, 2), least), "words")
-    words_map = bitmap(words)
-    pairs = materialise(count(pieces, range(2, 3), least, words_map), "pairs")
-    longer = materialise(count(pieces, range(3, MOST + 1), least, words_map, bitmap(pairs)), "longer")
+    words = materialise(count(pieces, range(1, 2), least, limits=limits), "words")
+    words_map = bitmap(words, limits.bits)
+    pairs = materialise(count(pieces, range(2, 3), least, words_map, limits=limits), "pairs")
+    longer = materialise(count(pieces, range(3, MOST + 1), least, words_map, bitmap(pairs, limits.bits), limits), "longer")
     known = words.unionByName(pairs).unionByName(longer).drop("bit")
     found = pairs.unionByName(longer).select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     asked = found.select("lang", "phrase", F.expr("explode(sequence(1, size(w) - 1)) as k"), "w")
