@@ -1,7 +1,8 @@
 """Vectorised kernels over the UTF-8 bytes of Arrow string columns.
 
 A batch of texts is one byte buffer with offsets; words and hashes are computed for all rows at once with numpy, so no
-per-word Python object exists.  All hashes are wrapping 64-bit polynomials over a byte table with a bijective finaliser.
+per-word Python object exists.  Hashes that tell texts apart are polynomials modulo the prime 2**61 - 1 over a byte table;
+modulo 2**64 every such polynomial has short texts that collide whatever its base.
 """
 
 from __future__ import annotations
@@ -84,16 +85,65 @@ def parts(batch: pa.RecordBatch, limit: int, rows: int = 65535) -> Iterator[pa.R
         lo = hi
 
 
-def prefix_hash(raw: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
-    """S with S[e] - S[s] = sum of table[raw[j]] * BASE**j for s <= j < e."""
+def rolling(raw: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
+    """S with S[e] - S[s] = sum of table[raw[j]] * BASE**j for s <= j < e, modulo 2**64.
+
+    Fast, but texts built for it collide: good for choosing places, not for telling texts apart.
+    """
     out = np.zeros(len(raw) + 1, dtype=U64)
     np.cumsum(table[raw] * powers(BASE, len(raw)), out=out[1:])
     return out
 
 
+#: Modulus of the hashes that tell texts apart, a prime, and their base with its inverse.
+PRIME = (1 << 61) - 1
+POINT = 0x1B873593CC9E2D51 % PRIME
+POINT_INV = pow(POINT, -1, PRIME)
+_P, _LOW31, _LOW30 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1)
+_points = {POINT: np.ones(1, dtype=U64), POINT_INV: np.ones(1, dtype=U64)}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 modulo PRIME, not reduced, under 2**62 for x under 2**61."""
+    return (x >> U64(30)) + ((x & _LOW30) << U64(31))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for values under PRIME."""
+    ah, al, bh, bl = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    return _reduced(((ah * bh) << U64(1)) + _shifted(_reduced(ah * bl + al * bh)) + _reduced(al * bl))
+
+
+def points(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME, grown by doubling; up to _KEPT of them are kept per process."""
+    got = _points[base]
+    while len(got) < n:
+        got = np.concatenate([got, times(got, np.full(len(got), pow(base, len(got), PRIME), dtype=U64))])
+        if len(got) <= _KEPT:
+            _points[base] = got
+    return got[:n]
+
+
+def prefix_hash(raw: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
+    """Running sums of a byte's 30-bit value times POINT**place modulo PRIME, their upper and lower halves apart."""
+    value, at = (table >> U64(34))[raw], points(POINT, len(raw))
+    term = _reduced(_shifted(value * (at >> U64(31))) + value * (at & _LOW31))
+    out = np.zeros((2, len(raw) + 1), dtype=U64)
+    np.cumsum(term >> U64(31), out=out[0, 1:])
+    np.cumsum(term & _LOW31, out=out[1, 1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent hash of each byte span."""
-    return mix((prefix[ends] - prefix[starts]) * powers(BASE_INV, len(prefix))[starts] + (ends - starts).astype(U64))
+    """Position-independent hash of each byte span: a polynomial modulo PRIME with the length, finalised."""
+    hi, lo = prefix[:, ends] - prefix[:, starts]
+    whole = _reduced(_reduced(_shifted(_reduced(hi))) + _reduced(lo))
+    return mix(times(whole, points(POINT_INV, prefix.shape[1])[starts]) * U64(8) + (ends - starts).astype(U64))
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

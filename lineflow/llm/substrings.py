@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineflow.llm._bytes import BASE_INV, U64, mix, parts, powers, prefix_hash, span_hash, text_column
+from lineflow.llm._bytes import BASE_INV, U64, mix, parts, powers, prefix_hash, rolling, span_hash, text_column
 from lineflow.llm._shared import materialise
 
 SPAN, GRAM = 100, 32
@@ -53,8 +53,8 @@ def phrases(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = S
     none = np.zeros(0, dtype=np.int64)
     if len(raw) < span:
         return none, none.astype(U64), none.astype(U64), none, none
+    trigger = least_grams(raw, rolling(raw), span, gram)
     prefix = prefix_hash(raw)
-    trigger = least_grams(raw, prefix, span, gram)
     edge = np.zeros(len(raw) + 1, dtype=np.int32)
     long = ends - starts >= span
     np.add.at(edge, starts[long], 1)

@@ -42,3 +42,14 @@ def test_repeated_rows_and_missing_ids(spark):
     a, b = prose(1, 40), prose(2, 40)
     got = minhash.near_duplicates(spark.createDataFrame([(5, a), (5, a), (3, a), (None, a), (7, b), (9, None), (9, "")], "doc_id long, text string")).collect()
     assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (9, 9, True), (9, 9, True)]
+
+
+def test_words_built_to_collide_stay_apart(spark):
+    """A word of 1,024 letters and its complement have one hash under any polynomial modulo 2**64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} one two three four five six"), (4, f"{other} one two three four five six"), (5, f"{word} x {other}"), (6, f"{other} x {word}")]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert all(got[k]["kept"] and got[k]["component_id"] == k for k, _ in rows) and got[3]["n_shingles"] == 3
