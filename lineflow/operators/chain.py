@@ -6,7 +6,6 @@ one join of lines; Catalyst sees each of them as one plan.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from itertools import groupby
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from lineflow.config import Config
 from lineflow.functions import patterns as P
 from lineflow.functions.dialect import Dialect, Spark
-from lineflow.operators import commands, generic, sequential, summary
+from lineflow.operators import commands, contain, generic, sequential, summary
+from lineflow.session import query_over
 
 LineOperator = Callable[[Dialect, str], str]
 
@@ -33,18 +33,6 @@ class Step:
     frame: Callable[[DataFrame], DataFrame] | None = None
 
 
-def _query(build: Callable[..., str], *frames: DataFrame) -> DataFrame:
-    """A query over frames as views, which are needed until the query is analysed only."""
-    views = [f"chain_{uuid.uuid4().hex}" for _ in frames]
-    for view, frame in zip(views, frames):
-        frame.createOrReplaceTempView(view)
-    try:
-        return frames[0].sparkSession.sql(build(*views))
-    finally:
-        for view in views:
-            frames[0].sparkSession.catalog.dropTempView(view)
-
-
 def _by_lines(docs: DataFrame, steps: list[Step]) -> DataFrame:
     d = Spark()
 
@@ -54,7 +42,7 @@ def _by_lines(docs: DataFrame, steps: list[Step]) -> DataFrame:
             src = step.lines(d, f"{src if k == 0 else generic.renumber(d, src + f' r{k}')} l{k}")
         return f"select doc, text from {generic.assemble(d, f'{src} a')} t"
 
-    return _query(build, docs)
+    return query_over(build, docs)
 
 
 @dataclass(frozen=True)
@@ -84,7 +72,7 @@ class Chain:
                 continue
             for step in steps:
                 if step.text is not None:
-                    docs = _query(lambda view, step=step: f"select doc, {step.text(Spark(), 'text')} as text from {view}", docs)
+                    docs = query_over(lambda view, step=step: f"select doc, {step.text(Spark(), 'text')} as text from {view}", docs)
                 elif step.native is not None:
                     docs = sequential.per_document(docs, step.native)
                 else:
@@ -140,7 +128,7 @@ def _with_summary(docs: DataFrame, exit_code: int) -> DataFrame:
     # The empty piece after a closing LF is no line of the summary.
     body = lambda view: f"(select doc, {d.sub('text', chr(92) + 'n$', '')} as text from {view})"
     header = lambda view: summary.summary_header(d, generic.split_lines(d, body(view)) + " l", str(exit_code))
-    return _query(lambda view: f"select v.doc, concat(coalesce(h.header, ''), v.text) as text from {view} v left join {header(view)} h on v.doc = h.doc", docs)
+    return query_over(lambda view: f"select v.doc, concat(coalesce(h.header, ''), v.text) as text from {view} v left join {header(view)} h on v.doc = h.doc", docs)
 
 
 def _kept(original: DataFrame, rules: tuple[str, ...], name: str) -> Callable[[DataFrame], DataFrame]:
@@ -150,8 +138,8 @@ def _kept(original: DataFrame, rules: tuple[str, ...], name: str) -> Callable[[D
     def run(docs: DataFrame) -> DataFrame:
         lines = original.selectExpr("doc", "coalesce(text, '') as text")
         clean = lines.select("doc").join(docs, "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"))
-        missing = lambda first, view: generic.keep_by_rules(d, generic.split_lines(d, first), view, list(rules))
-        lost = _query(lambda first, view: f"select doc, {d.agg_join('line', 'pos', chr(10))} as lost from {missing(first, view)} k group by doc", lines, clean)
+        wanted = query_over(lambda view: f"select doc, pos, line from {generic.split_lines(d, view)} l where {d.any_of(rules, 'line')}", lines)
+        lost = query_over(lambda view: f"select doc, {d.agg_join('line', 'pos', chr(10))} as lost from {view} k group by doc", contain.kept_by_rules(wanted, clean))
         notice = F.concat(F.when((F.col("text") != "") & ~F.col("text").endswith("\n"), F.lit("\n")).otherwise(F.lit("")), F.lit(f"[{name}: preserved by always_keep rule]\n"), F.col("lost"))
         docs = docs.join(lost, "doc", "full").withColumn("text", F.coalesce("text", F.lit("")))
         return docs.select("doc", F.concat("text", F.coalesce(notice, F.lit(""))).alias("text"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lineflow.functions import patterns as P
 from lineflow.functions import text as T
-from lineflow.functions.dialect import Dialect
-from lineflow.operators import classify
+from lineflow.functions.dialect import Dialect, Spark
+from lineflow.operators import classify, contain
+from lineflow.session import query_over
 
 HOUR = 3_600_000_000
 
@@ -125,28 +129,61 @@ def _sum(d: Dialect, array: str) -> str:
     return f"aggregate({array}, cast(0 as bigint), (a, b) -> a + b)" if d.name == "spark" else f"coalesce(list_sum({array}), 0)::bigint"
 
 
-def quality(d: Dialect, raw: str, clean: str) -> str:
+def quality_lines(d: Dialect, raw: str) -> str:
+    """(doc, whole, core, safe) of the Warning+ lines of raw (doc, pos, line)."""
+    return f"(select doc, t as whole, {T.core(d, 't')} as core, {d.match('t', P.DROP_SAFE)} as safe from {classify.classified(d, raw)} l where level >= {P.WARNING})"
+
+
+def bench_lines(d: Dialect, raw: str) -> str:
+    """The same of lines without escape codes."""
+    lines = f"(select doc, {d.trim(T.strip_ansi(d, 't'))} as n, level from {classify.classified(d, raw)} b0)"
+    return f"(select doc, n as whole, {T.core(d, 'n')} as core, {d.match('n', P.DROP_SAFE)} as safe from {lines} b1 where level >= {P.WARNING})"
+
+
+def still_there(d: Dialect, lines: str, clean: str) -> str:
+    """(doc, kept): whether the clean text (doc, text) has a line whole or its core, or needn't have it."""
+    return f"(select l.doc, {d.contains('c.text', 'whole')} or (core <> '' and {d.contains('c.text', 'core')}) or safe as kept from {lines} l join {clean} c on l.doc = c.doc)"
+
+
+def _credited(d: Dialect, kept: str, clean: str, text: str) -> str:
+    counts = f"(select doc, cast(count(*) as bigint) as important, {d.int_sum('case when kept then 1 else 0 end')} as kept from {kept} q0 group by doc)"
+    return f"(select c.doc, coalesce(important, 0) as important, coalesce(kept, 0) as kept, {marker_credit(d, text)} as credit from {clean} c left join {counts} n on c.doc = n.doc)"
+
+
+def quality(d: Dialect, raw: str, clean: str, kept: str = "") -> str:
     """(doc, important, preserved, score): share of Warning+ lines of raw (doc, pos, line) that clean (doc, text) still has,
-    whole or as core content, with credit for droppable noise and for count markers (A-11, J-08)."""
-    core = T.core(d, "t")
-    lines = f"(select l.doc, {d.contains('c.text', 't')} or ({core} <> '' and {d.contains('c.text', core)}) or {d.match('t', P.DROP_SAFE)} as kept from {classify.classified(d, raw)} l join {clean} c on l.doc = c.doc where level >= {P.WARNING})"
-    counts = f"(select doc, cast(count(*) as bigint) as important, {d.int_sum('case when kept then 1 else 0 end')} as kept from {lines} q0 group by doc)"
-    credit = f"(select c.doc, coalesce(important, 0) as important, coalesce(kept, 0) as kept, {marker_credit(d, 'c.text')} as credit from {clean} c left join {counts} n on c.doc = n.doc)"
+    whole or as core content, with credit for droppable noise and for count markers (A-11, J-08).
+
+    `kept` is still_there() from elsewhere, such as `contained`, which is linear in a document.
+    """
+    credit = _credited(d, kept or still_there(d, quality_lines(d, raw), clean), clean, "c.text")
     return f"(select doc, important, least(kept + credit, important) as preserved, case when important = 0 then 100.0 else round({d.double('least(kept + credit, important)')} / {d.double('important')} * 100, 6) end as score from {credit} q1)"
 
 
-def bench_quality(d: Dialect, raw: str, clean: str) -> str:
+def bare_text(d: Dialect, clean: str) -> str:
+    return f"(select doc, {T.strip_ansi(d, 'text')} as text from {clean})"
+
+
+def bench_quality(d: Dialect, raw: str, clean: str, kept: str = "") -> str:
     """Like quality(), on lines without escape codes: contained in an output line, or their core in the whole (A-13)."""
-    bare = T.strip_ansi(d, "t")
-    core = T.core(d, "n")
-    lines = f"(select doc, n, level from (select doc, {d.trim(bare)} as n, level, t from {classify.classified(d, raw)} b0) b1)"
-    out = f"(select doc, text, {T.strip_ansi(d, 'text')} as bare from {clean})"
-    kept = f"(select l.doc, n = '' or {d.contains('o.bare', 'n')} or ({core} <> '' and {d.contains('o.bare', core)}) or {d.match('n', P.DROP_SAFE)} as kept from {lines} l join {out} o on l.doc = o.doc where level >= {P.WARNING})"
-    counts = f"(select doc, cast(count(*) as bigint) as important, {d.int_sum('case when kept then 1 else 0 end')} as kept from {kept} b2 group by doc)"
-    credit = f"(select o.doc, coalesce(important, 0) as important, coalesce(kept, 0) as kept, {marker_credit(d, 'o.text')} as credit from {out} o left join {counts} n on o.doc = n.doc)"
+    credit = _credited(d, kept or still_there(d, bench_lines(d, raw), bare_text(d, clean)), clean, "c.text")
     return f"(select doc, important, least(kept + credit, important) as preserved from {credit} b3)"
 
 
+def contained(lines: DataFrame, clean: DataFrame) -> DataFrame:
+    """still_there() over frames, in time linear in every document."""
+    asked = lines.select("doc", "core", "safe", F.array("whole", F.when(F.col("core") != "", F.col("core"))).alias("needles"))
+    return contain.held(asked, clean).select("doc", (F.col("held")[0] | F.coalesce(F.col("held")[1], F.lit(False)) | F.col("safe")).alias("kept"))
+
+
+def quality_of(raw: DataFrame, clean: DataFrame, bench: bool = False) -> DataFrame:
+    """quality(), or bench_quality(), of frames (doc, pos, line) and (doc, text)."""
+    d = Spark()
+    lines = query_over(lambda view: f"select * from {(bench_lines if bench else quality_lines)(d, view)} q", raw)
+    text = query_over(lambda view: f"select * from {bare_text(d, view)} q", clean) if bench else clean
+    return query_over(lambda view, kept: f"select * from {(bench_quality if bench else quality)(d, '', view, kept)} q", clean, contained(lines, text))
+
+
 def parity(d: Dialect, base: str, candidate: str, per_item: float = 5, average: float = 5) -> str:
     """Two reports (name, reduction) side by side: drift, what is missing, what is over the limit (J-03)."""
     return f"""(select coalesce(b.name, c.name) as name, coalesce(b.reduction, 0.0) as base_reduction, coalesce(c.reduction, 0.0) as candidate_reduction,

@@ -97,7 +97,7 @@ def _clean(d: Dialect) -> str:
 
 
 query("a11_quality")(lambda d: f"select * from {measure.quality(d, views.command_lines(d, 'test') + ' v', _clean(d))} q")
-query("a13_bench_quality")(lambda d: f"select * from {measure.bench_quality(d, views.log_lines(d) + ' v', generic.assemble(d, generic.remove_by_rules(d, views.log_lines(d) + ' v', ['^TODO', 'panic']) + ' r') + ' c')} q")
+query("a13_bench_quality")(lambda d: f"select * from {measure.bench_quality(d, views.log_lines(d) + ' v', generic.assemble(d, generic.remove_by_rules(d, views.log_lines(d) + ' v', ['^TODO', 'panic']) + ' r'))} q")
 query("a12_credit")(lambda d: f"select doc, {measure.marker_credit(d, 'text')} as credit from {generic.assemble(d, generic.collapse_node_warnings(d, views.command_lines(d, 'nodewarn') + ' v') + ' a')} q")
 query("a17_percentiles")(lambda d: f"select * from {measure.percentiles(d, _m(d), 'cmd_type', 'raw_bytes')} q")
 

@@ -1,11 +1,11 @@
-"""Queries over operators with sequential state, which have no SQL twin."""
+"""Queries over DataFrame operators: sequential state, and forms of declared operators that are linear in a document."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lineflow.functions.dialect import Duck, Spark
-from lineflow.operators import generic, sequential
+from lineflow.operators import contain, generic, measure, sequential
 from lineflow.plans import views
 from lineflow.plans.catalog import NATIVE_ORACLES, native
 from lineflow.streaming import filter as stream
@@ -51,3 +51,29 @@ select tool, us, id, allowed from b"""
 def stream_filter(spark, sf_dir):
     lines = spark.sql(f"select doc as doc_id, pos as seq, line, pos % 10 = 3 as is_stderr from {views.log_lines(Spark(sf_dir))} v")
     return stream.filter_stream(lines).withColumn("out", F.col("out"))
+
+
+# The declarations of the same names stay their oracles.
+def _lines_and_text(spark, sf_dir, lines, removed):
+    """Lines (doc, pos, line) and their texts after some lines were removed."""
+    d = Spark(sf_dir)
+    return spark.sql(f"select doc, pos, line from {lines(d)} v"), spark.sql(f"select doc, text from {generic.assemble(d, generic.remove_by_rules(d, lines(d) + ' v', removed) + ' r')} t")
+
+
+@native("f14_keep_rules")
+def keep_rules(spark, sf_dir):
+    lines, clean = _lines_and_text(spark, sf_dir, views.log_lines, ["^ERROR", "panic"])
+    return contain.kept_by_rules(lines.where(Spark().any_of(["ERROR", "panic", "TODO"], "line")), clean)
+
+
+@native("a11_quality")
+def quality(spark, sf_dir):
+    d = Spark(sf_dir)
+    lines = views.command_lines(d, "test")
+    clean = generic.chain(d, generic.assemble(d, lines + " v", sub=False) + " s")
+    return measure.quality_of(spark.sql(f"select * from {lines} v"), spark.sql(f"select * from {clean} c"))
+
+
+@native("a13_bench_quality")
+def bench_quality(spark, sf_dir):
+    return measure.quality_of(*_lines_and_text(spark, sf_dir, views.log_lines, ["^TODO", "panic"]), bench=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -21,3 +23,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query_over(build: Callable[..., str], *frames: DataFrame) -> DataFrame:
+    """A query over frames as views, which are needed until the query is analysed only."""
+    views = [f"lineflow_{uuid.uuid4().hex}" for _ in frames]
+    for view, frame in zip(views, frames):
+        frame.createOrReplaceTempView(view)
+    try:
+        return frames[0].sparkSession.sql(build(*views))
+    finally:
+        for view in views:
+            frames[0].sparkSession.catalog.dropTempView(view)
