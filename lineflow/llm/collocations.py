@@ -49,8 +49,8 @@ class Limits(NamedTuple):
     bits: int = 26
     chunk: int = 1 << 19
     cut: int = 1 << 19
-    flush: int = 300_000
-    memory: str = "100MB"
+    flush: int = 500_000
+    memory: str = "150MB"
 
 
 LIMITS = Limits()
@@ -206,13 +206,16 @@ def grams(b: pa.RecordBatch, lengths: range, words_map: np.ndarray | None, pairs
 
 
 def _summed(tables: Iterator[pa.Table], least: int, spill: str, memory: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Sums by language and phrase in DuckDB, out of core; after `most` rows those so far are handed on."""
+    """Sums by language and phrase in DuckDB, out of core; after `most` rows those so far are handed on.
+
+    In order of phrases, because neighbours that begin alike take half the room in the shuffle.
+    """
     con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill, "preserve_insertion_order": False})
     con.execute("create table g (lang varchar, phrase varchar, f bigint)")
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        yield from con.sql(f"select lang, phrase, sum(f)::bigint f from g group by lang, phrase having sum(f) >= {least}").to_arrow_reader(20_000)
+        yield from con.sql(f"select lang, phrase, sum(f)::bigint f from g group by lang, phrase having sum(f) >= {least} order by lang, phrase").to_arrow_reader(20_000)
         con.execute("truncate g")
 
     try:
