@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from lineflow.functions.dialect import Dialect
-from lineflow.operators.generic import PREVIOUS, UPTO
+from lineflow.operators import segmented
+from lineflow.operators.generic import LAST, PREVIOUS, UPTO
 
 KEEP, DROP, FLUSH = 0, -1, -2
 BLANK = "t = ''"
@@ -24,19 +25,29 @@ def trimmed(d: Dialect, src: str, extra: str = "") -> str:
     return f"(select doc, pos, line, {d.trim('line')} as t{extra} from {src})"
 
 
-def counter_flush(d: Dialect, src: str, classes: Sequence[tuple[str, int]], markers: dict[int, list[tuple[str, str]]], keep: str = "line") -> str:
+def counter_flush(d: Dialect, src: str, classes: Sequence[tuple[str, int]], markers: dict[int, list[tuple[str, str]]], keep: str = "line", size: int = 0, blanks: bool = False) -> str:
     """`classes` in order of test, first match wins, KEEP otherwise; `markers` maps a counter to (condition, text) pairs
-    over n (lines) and first_line; counters flush in their numeric order."""
+    over n (lines) and first_line; counters flush in their numeric order.
+
+    `size` cuts long documents into pieces of so many positions; `blanks` keeps blank lines that are dropped otherwise where
+    they stand, inside the run.  A run's lines meet in one aggregation, markers come after its blanks and before what ended it.
+    """
     which = " ".join(f"when {c} then {k}" for c, k in classes)
-    base = f"""(select *, sum(case when k in ({KEEP}, {FLUSH}) then 1 else 0 end) over ({UPTO}) as g from (select *, case {which} else {KEEP} end as k from {trimmed(d, src)} c0) c1)"""
-    # The first line of a counter's run carries its markers; the relation is read once.
-    one = f"(select doc, line, g, k, row_number() over (partition by doc, g, k order by pos) as nth, cast(count(*) over (partition by doc, g, k) as bigint) as n, line as first_line from {base} c2)"
+    base = f"(select *, case {which} else {KEEP} end as k from {trimmed(d, src)} c0)"
+    ends = f"case when k in ({KEEP}, {FLUSH}) then 1 else 0 end"
+    base = segmented.running(d, f"{base} c1", ends, "g", size) if size else f"(select *, sum({ends}) over ({UPTO}) as g from {base} c1)"
+    # Only a kept line, a counter's run and, if wanted, a blank line make rows; a kept line has its g for itself.
+    alone = f"case when k = {DROP} then pos else 0 end" if blanks else "cast(0 as bigint)"
+    wanted = f"(k >= {KEEP} or (k = {DROP} and t = ''))" if blanks else f"k >= {KEEP}"
+    one = f"(select doc, g, k, {alone} as spot, cast(count(*) as bigint) as n, {d.first_by('line', 'pos')} as first_line, {d.first_by('t', 'pos')} as t from {base} c2 where {wanted} group by doc, g, k, {alone})"
     parts = [(code, j, cond, text) for code, texts in markers.items() for j, (cond, text) in enumerate(texts)]
+    counted = " ".join(f"when k = {code} and j = {j} and {cond} then {text}" for code, j, cond, text in parts)
     most = max((j for _, j, _, _ in parts), default=0)
-    places = " union all ".join(f"select {j} as j" for j in range(most + 1))
-    text = f"case when k = {KEEP} and j = 0 then {keep} " + " ".join(f"when k = {code} and j = {j} and nth = 1 and {cond} then {text}" for code, j, cond, text in parts) + " end"
-    rows = f"(select doc, case when k = {KEEP} then cast(g - 1 as bigint) else cast(g as bigint) end as pos, case when k = {KEEP} then cast(100000 as bigint) else cast(k * 10 + j as bigint) end as sub, {text} as line from {one} c3 cross join ({places}) c4)"
-    return f"(select doc, pos, sub, line from {rows} c5 where line is not null)"
+    text = f"case when k <= {KEEP} and j = 0 then {keep.replace('line', 'first_line')} {counted} end"
+    # Places: blanks by position, then counters, then the line that ended the run.
+    place = f"case when k = {KEEP} then {LAST} when k = {DROP} then spot - {LAST} else k * 10 + j end"
+    rows = f"(select doc, case when k = {KEEP} then g - 1 else g end as pos, {place} as sub, {text} as line from {d.explode(f'(select *, {d.upto(most)} as js from {one} c3)' + (' c4' if d.name == 'duckdb' else ''), 'doc, g, k, spot, n, first_line, t', 'js', 'jp', 'j')} c5)"
+    return f"(select doc, cast(pos as bigint) as pos, cast(sub as bigint) as sub, line from {rows} c6 where line is not null)"
 
 
 def grep(d: Dialect, src: str) -> str:
@@ -64,7 +75,7 @@ def find(d: Dialect, src: str) -> str:
     seen = f"(select *, min(pos) over (partition by doc, head) as first_seen, min(pos) over (partition by doc) as top from {rest} f7)"
     return f"""(select doc, case when p = '' then pos else first_seen end as pos, case when p = '' then cast(0 as bigint) else pos + 1 end as sub, rest as line from {seen} f8
         union all select doc, cast(-1 as bigint) as pos, cast(0 as bigint) as sub, concat('[base: ', p, '/]') as line from {seen} f9 where p <> '' and pos = top
-        union all select doc, cast(1000000000000 as bigint) as pos, cast(0 as bigint) as sub, '' as line from {rows} fa group by doc having count(*) >= 2)"""
+        union all select doc, cast({LAST} as bigint) as pos, cast(0 as bigint) as sub, '' as line from {rows} fa group by doc having count(*) >= 2)"""
 
 
 def git(d: Dialect, src: str) -> str:
@@ -77,7 +88,7 @@ def go(d: Dialect, src: str) -> str:
     """Runs of passing packages as one line (C-04)."""
     fields = d.all("t", r"[^ \t\n\f\r]+")
     base = f"(select *, sum(case when ok then 0 else 1 end) over ({UPTO}) as g from (select *, {d.starts('t', 'ok')} as ok, {d.item(fields, 2)} as pkg from {trimmed(d, src)} c0) c1)"
-    return f"""(select doc, cast(g - 1 as bigint) as pos, cast(100000 as bigint) as sub, line from {base} b where not ok union all
+    return f"""(select doc, cast(g - 1 as bigint) as pos, cast({LAST} as bigint) as sub, line from {base} b where not ok union all
         select doc, cast(g as bigint) as pos, cast(0 as bigint) as sub, concat('ok ', cast(count(*) as varchar(20)), ' packages: ', {d.agg_join('pkg', 'pos', ', ')}) as line from {base} b where ok and pkg is not null group by doc, g)"""
 
 
@@ -104,7 +115,7 @@ def docker(d: Dialect, src: str) -> str:
     pulls = f"(select doc, g, p, max(case when k = 'pull' then t end) as t, cast(sum(case when k = 'layer' then 1 else 0 end) as bigint) as n, max(pos) as pos, max(p) over (partition by doc, g) as last_p from {base} b where k in ('pull', 'layer') group by doc, g, p)"
     return f"""(select doc, cast(g as bigint) as pos, pos as sub, {command} as line from {base} b where k = 'step' union all
         select doc, cast(g as bigint) as pos, cast(-1 as bigint) as sub, line from {base} b where k = 'keep' union all
-        select doc, cast(g as bigint) as pos, cast(1000000000 as bigint) as sub, case when n > 0 then concat(t, ' (', cast(n as varchar(20)), ' layers)') else t end as line from {pulls} q where t is not null and p = last_p)"""
+        select doc, cast(g as bigint) as pos, cast({LAST} as bigint) as sub, case when n > 0 then concat(t, ' (', cast(n as varchar(20)), ' layers)') else t end as line from {pulls} q where t is not null and p = last_p)"""
 
 
 def npm(d: Dialect, src: str) -> str:
@@ -123,7 +134,7 @@ def npm(d: Dialect, src: str) -> str:
     return counter_flush(d, five + " n5", classes, {1: [("n > 0", "first_line"), ("n > 1", _n(d, "... and ", " more npm warnings", 1))]})
 
 
-def node(d: Dialect, src: str) -> str:
+def node(d: Dialect, src: str, size: int = 0) -> str:
     """Runtime warnings, build progress, assets and internal frames as counts (C-08)."""
     classes = [
         (BLANK, KEEP), (d.match("t", r"^\(node:\d+\) ExperimentalWarning:"), 1), (d.match("t", r"^\(node:\d+\) \[DEP\d+\] DeprecationWarning:"), 2),
@@ -133,7 +144,7 @@ def node(d: Dialect, src: str) -> str:
     return counter_flush(d, src, classes, {
         1: [("n > 0", _n(d, "(", " experimental warnings)"))], 2: [("n > 0", "first_line"), ("n > 1", _n(d, "... and ", " more deprecation warnings", 1))],
         3: [("n > 0", _n(d, "(", " build progress updates)"))], 4: [("n > 0", _n(d, "(", " module/asset details)"))], 5: [("n > 0", _n(d, "    [... ", " node internal frames]"))],
-    })
+    }, size=size)
 
 
 def cargo(d: Dialect, src: str) -> str:
@@ -167,11 +178,11 @@ def curl(d: Dialect, src: str) -> str:
         when t = '>' then 'end_send' when t = '<' then 'end_recv' when {d.match('t', '^>' + chr(92) + 's+' + chr(92) + 'S')} then 'send' when {d.match('t', '^<' + chr(92) + 's+' + chr(92) + 'S')} then 'recv' else 'keep' end"""
     base = f"(select doc, pos, line, t, {kind} as k from (select *, {table} as in_table from {trimmed(d, src)} u0) u1)"
     after = lambda x: f"min(case when k in ('blank', '{x}') then pos end) over (partition by doc order by pos rows between current row and unbounded following)"
-    rows = f"(select *, coalesce(case when k = 'send' then {after('end_send')} else {after('end_recv')} end, 1000000000000) as due from {base} u2)"
+    rows = f"(select *, coalesce(case when k = 'send' then {after('end_send')} else {after('end_recv')} end, {LAST}) as due from {base} u2)"
     kept = d.match("t", RESPONSE_HEADERS)
     count = lambda k, cond, sub, label, end: f"select doc, cast(due as bigint) as pos, cast({sub} as bigint) as sub, concat('{label} (', cast(count(*) as varchar(20)), ' {end})') as line from {rows} u4 where k = '{k}' and {cond} group by doc, due"
-    return f"""(select doc, pos, cast(1000000000 as bigint) as sub, line from {rows} u3 where k in ('blank', 'keep') union all
-        select doc, cast(due as bigint) as pos, pos - 1000000000 as sub, t as line from {rows} u3 where k = 'recv' and {kept} union all
+    return f"""(select doc, pos, cast({LAST} as bigint) as sub, line from {rows} u3 where k in ('blank', 'keep') union all
+        select doc, cast(due as bigint) as pos, pos - {LAST} as sub, t as line from {rows} u3 where k = 'recv' and {kept} union all
         {count('recv', f'not {kept}', 0, '<', 'other headers')} union all {count('send', 'true', 1, '>', 'request headers')})"""
 
 
@@ -212,20 +223,19 @@ def tar(d: Dialect, src: str) -> str:
     base = f"(select *, sum(case when k = 'keep' then 1 else 0 end) over ({UPTO}) as g from (select *, {kind} as k from (select *, count(*) over (partition by doc) as n from {src}) t0) t1)"
     rows = f"(select doc, g, pos, {d.extract('line', chr(92) + 'S+' + chr(92) + 's*$')} as name, row_number() over (partition by doc, g order by pos) as i, count(*) over (partition by doc, g) as m from {base} b where k = 'row')"
     head = f"case when n > 30 and {d.match('line', '^' + chr(92) + 's*Length' + chr(92) + 's+Date' + chr(92) + 's+Time' + chr(92) + 's+Name')} then 'Archive contents:' else line end"
-    return f"""(select doc, cast(g - 1 as bigint) as pos, cast(1000000000 as bigint) as sub, {head} as line from {base} b where k = 'keep' union all
+    return f"""(select doc, cast(g - 1 as bigint) as pos, cast({LAST} as bigint) as sub, {head} as line from {base} b where k = 'keep' union all
         select doc, cast(g as bigint) as pos, cast(i as bigint) as sub, case when m > 20 and i = 11 then concat('... ', cast(m - 15 as varchar(20)), ' more files ...') else name end as line from {rows} r where m <= 20 or i <= 11 or i > m - 5 union all
-        select doc, cast(g as bigint) as pos, cast(900000000 as bigint) as sub, concat('Extracted ', cast(count(*) as varchar(20)), ' files') as line from {base} b where k = 'x' group by doc, g)"""
+        select doc, cast(g as bigint) as pos, cast({LAST} - 1 as bigint) as sub, concat('Extracted ', cast(count(*) as varchar(20)), ' files') as line from {base} b where k = 'x' group by doc, g)"""
+
 
+def ssh(d: Dialect, src: str, size: int = 0) -> str:
+    """Banners, host keys and message-of-the-day frames dropped, transfers as counts (C-19).
 
-def ssh(d: Dialect, src: str) -> str:
-    """Banners, host keys and message-of-the-day frames dropped, transfers as counts (C-19)."""
+    A blank line stays and ends no run.
+    """
     drop = d.any_of((r"^(Warning: Permanently added|Pseudo-terminal|Connection to .+ closed|Authenticated to)", r"^(ECDSA|RSA|ED25519) key fingerprint is", r"^debug\d+:", r"^(#{3,}|\*{3,}|={3,})", r"^#.+#\s*$"), "t")
-    # A blank line is kept but does not flush, so it takes the place it had inside the run.
     classes = [(BLANK, DROP), (drop, DROP), (d.match("t", r"\d+%\s+[\d.]+[kKMG]?B\s+[\d.]+[kKMG]?B/s"), 1), (d.match("t", r"^\s*[\d,]+\s+\d+%\s+[\d.]+[kKMG]?B/s"), 2)]
-    flushed = counter_flush(d, src, classes, {1: [("n > 0", _n(d, "scp: ", " files transferred"))], 2: [("n > 0", _n(d, "(", " progress updates)"))]})
-    noise = " or ".join(f"({c})" for c, _ in classes)
-    blanks = f"(select doc, cast(g as bigint) as pos, cast(nth as bigint) - 100000 as sub, line from (select *, sum(case when {noise} then 0 else 1 end) over ({UPTO}) as g, row_number() over ({PREVIOUS}) as nth from {trimmed(d, src)} s0) s1 where t = '')"
-    return f"(select * from {flushed} a union all select * from {blanks} b)"
+    return counter_flush(d, src, classes, {1: [("n > 0", _n(d, "scp: ", " files transferred"))], 2: [("n > 0", _n(d, "(", " progress updates)"))]}, size=size, blanks=True)
 
 
 OPERATORS = {"grep": grep, "find": find, "git": git, "go": go, "ls": ls, "docker": docker, "npm": npm, "node": node, "cargo": cargo, "make": make, "curl": curl, "python": python, "terraform": terraform, "kubectl": kubectl, "tar": tar, "ssh": ssh}

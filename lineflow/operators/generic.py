@@ -10,6 +10,8 @@ from lineflow.functions import patterns as P
 from lineflow.functions.dialect import Dialect
 from lineflow.functions.text import strip_ansi
 
+#: Behind every position of a document.
+LAST = 1 << 60
 PREVIOUS = "partition by doc order by pos"
 UPTO = "partition by doc order by pos rows between unbounded preceding and current row"
 
@@ -65,21 +67,21 @@ def dedup_text(d: Dialect, src: str, keep: str = "") -> str:
 def collapse_node_warnings(d: Dialect, src: str) -> str:
     """Blocks of the same warning from several workers become the first and a marker (F-06).
 
-    A block is a header with its continuation lines.  Blocks carry a digest of their lines without process ids, and a
-    block equal to the one right before it joins its run; windows over one partitioning do all of it, without a join.
+    A block is a header with its continuation lines, one row with its text.  Blocks are equal if their texts without
+    process ids are, and a block equal to the one right before it joins its run.
     """
     head, more = d.match("line", P.NODE_WARNING), d.match("line", r"^[( \t]")
     one = f"(select *, sum(case when head or not more then 1 else 0 end) over ({UPTO}) as unit from (select doc, pos, line, {head} as head, {more} as more from {src}) w0)"
-    two = f"(select *, row_number() over (partition by doc, unit order by pos) as j, max(case when head then 1 else 0 end) over (partition by doc, unit) as is_block from {one} w1)"
-    key = d.row_hash("j", d.sub("line", P.NODE_PID, "(node)"))
-    three = f"(select *, bit_xor({key}) over (partition by doc, unit) as body, count(*) over (partition by doc, unit) as size from {two} w2)"
-    prev = lambda x: f"lag({x}) over ({PREVIOUS})"
-    four = f"(select *, case when j = 1 and not coalesce(is_block = 1 and {prev('is_block')} = 1 and body = {prev('body')} and size = {prev('size')}, false) then 1 else 0 end as starts from {three} w3)"
-    five = f"(select *, sum(starts) over ({UPTO}) as run from {four} w4)"
-    six = f"(select *, min(unit) over (partition by doc, run) as first_unit, max(unit) over (partition by doc, run) as last_unit, max(pos) over (partition by doc, run) as last_pos from {five} w5)"
-    count = "cast(last_unit - first_unit as varchar(20))"
-    return f"""(select doc, pos, cast(k as bigint) as sub, case when k = 0 then line else concat('... and ', {count}, case when last_unit - first_unit = 1 then ' identical warning' else ' identical warnings' end, ' from other workers') end as line
-        from {six} w6 cross join (select 0 as k union all select 1 as k) two where (k = 0 and unit = first_unit) or (k = 1 and last_unit > first_unit and pos = last_pos))"""
+    two = f"(select doc, unit, min(pos) as pos, cast(count(*) as bigint) as size, max(case when head then 1 else 0 end) as is_block, {d.agg_join('line', 'pos', chr(10))} as text from {one} w1 group by doc, unit)"
+    three = f"(select *, case when is_block = 1 then {d.sub('text', P.NODE_PID, '(node)')} end as body from {two} w2)"
+    by = "partition by doc order by unit"
+    four = f"(select *, case when coalesce(body = lag(body) over ({by}), false) then 0 else 1 end as starts from {three} w3)"
+    five = f"(select *, sum(starts) over ({by} rows between unbounded preceding and current row) as run from {four} w4)"
+    six = f"(select *, cast(count(*) over (partition by doc, run) - 1 as bigint) as others, max(unit) over (partition by doc, run) as last_unit from {five} w5)"
+    count = "case when others > 0 and unit = last_unit then concat('... and ', cast(others as varchar(20)), case when others = 1 then ' identical warning' else ' identical warnings' end, ' from other workers') end"
+    lines = f"(select doc, pos, size, case when starts = 1 then {d.split('text', chr(10))} end as kept, {count} as marker from {six} w6 where starts = 1 or unit = last_unit)"
+    kept = d.explode(f"(select doc, pos as at0, kept from {lines} w7 where kept is not null)" + (" w8" if d.name == "duckdb" else ""), "doc, at0", "kept")
+    return f"(select doc, at0 + pos as pos, cast(0 as bigint) as sub, line from {kept} w9 union all select doc, pos + size - 1 as pos, cast(1 as bigint) as sub, marker as line from {lines} w10 where marker is not null)"
 
 
 #: Secrets, in order of application: pattern and replacement.
@@ -156,3 +158,11 @@ def chain(d: Dialect, src: str, cwd: str = "/home/u/app", home: str = "/home/u",
     lines = collapse_node_warnings(d, f"{renumber(d, lines + ' l6')} l7")
     text = assemble(d, f"{drop_decorative(d, renumber(d, lines + ' l8') + ' l9')} l10")
     return f"(select doc, {redact(d, compress_paths(d, 'text', cwd, home))} as text from {text} t3)"
+
+
+def stderr_chain(d: Dialect, src: str) -> str:
+    """What is done to stderr (doc, text): escape codes, secrets, then warnings of several workers (F-15): (doc, text)."""
+    lines = strip_ansi_lines(d, f"{split_lines(d, src)} e1")
+    text = f"(select doc, {redact(d, 'text')} as text from {assemble(d, lines + ' e2')} e3)"
+    lines = collapse_node_warnings(d, f"{split_lines(d, text + (' e4' if d.name == 'duckdb' else ''))} e5")
+    return assemble(d, f"{lines} e6")

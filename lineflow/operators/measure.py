@@ -9,6 +9,7 @@ from lineflow.functions import patterns as P
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect, Spark
 from lineflow.operators import classify, contain
+from lineflow.operators.generic import LAST
 from lineflow.session import query_over
 
 HOUR = 3_600_000_000
@@ -29,16 +30,27 @@ def report(d: Dialect, src: str) -> str:
         round(avg(quality), 6) as quality from {rows} m group by grouping sets ((), (ct), (sid)))"""
 
 
-def insights(d: Dialect, src: str) -> str:
-    """Rules over the report (A-06, J-12): frequent re-requests, high reduction with re-requests, overall rate, all well."""
-    r = f"{report(d, src)} r"
+def _cells(d: Dialect, src: str) -> str:
+    """Rows of the report that a table prints: the total, every type, and all sessions as one; with the rule that fits.
+
+    One pass over the source: whatever is printed comes from these rows.
+    """
     whole = lambda x: f"cast(cast(round({x}, 0) as bigint) as varchar(20))"
-    flagged = f"(select name as flagged from {r} where level = 'type' and invocations >= 3 and rerequest_rate > 10)"
     count = lambda x: f"cast({x} as varchar(20))"
-    return f"""(select 'warning' as level, name as command, concat(name, ' has ', {whole('rerequest_rate')}, '% re-request rate (', {count('rerequests')}, '/', {count('invocations')}, ') — consider increasing truncation limit: [truncation] ', name, ' = <higher value>') as message from {r} where level = 'type' and invocations >= 3 and rerequest_rate > 10
-        union all select 'info' as level, name as command, concat(name, ' has ', {whole('reduction')}, '% reduction with ', {count('rerequests')}, ' re-request(s) — aggressive filtering may be removing useful content') as message from {r} left join {flagged} f on r.name = f.flagged where r.level = 'type' and reduction > 90 and rerequests > 0 and invocations >= 3 and f.flagged is null
-        union all select 'warning' as level, '' as command, concat('Overall re-request rate is ', {whole('rerequest_rate')}, '% — consider switching to a less aggressive profile or mode') as message from {r} where level = 'total' and invocations >= 10 and rerequest_rate > 15
-        union all select 'info' as level, '' as command, concat('No re-requests detected with ', {whole('reduction')}, '% avg reduction — filtering quality is excellent') as message from {r} where level = 'total' and invocations >= 10 and rerequests = 0 and reduction > 50)"""
+    again, deep = "level = 'type' and invocations >= 3 and rerequest_rate > 10", "level = 'type' and reduction > 90 and rerequests > 0 and invocations >= 3"
+    often, well = "level = 'total' and invocations >= 10 and rerequest_rate > 15", "level = 'total' and invocations >= 10 and rerequests = 0 and reduction > 50"
+    one = ", ".join(f"max({c}) as {c}" for c in ("invocations", "raw_tokens", "clean_tokens", "saved", "rerequests", "reduction", "rerequest_rate", "quality"))
+    rows = f"(select level, case when level = 'session' then '' else name end as name, cast(count(*) as bigint) as members, {one} from {report(d, src)} k0 group by level, case when level = 'session' then '' else name end)"
+    return f"""(select *, case when {again} or {often} then 'warning' when {deep} or {well} then 'info' end as tip,
+        case when {again} then concat(name, ' has ', {whole('rerequest_rate')}, '% re-request rate (', {count('rerequests')}, '/', {count('invocations')}, ') — consider increasing truncation limit: [truncation] ', name, ' = <higher value>')
+            when {deep} then concat(name, ' has ', {whole('reduction')}, '% reduction with ', {count('rerequests')}, ' re-request(s) — aggressive filtering may be removing useful content')
+            when {often} then concat('Overall re-request rate is ', {whole('rerequest_rate')}, '% — consider switching to a less aggressive profile or mode')
+            when {well} then concat('No re-requests detected with ', {whole('reduction')}, '% avg reduction — filtering quality is excellent') end as message from {rows} k1)"""
+
+
+def insights(d: Dialect, src: str) -> str:
+    """Rules over the report (A-06, J-12): frequent re-requests, high reduction with re-requests, overall rate, all well."""
+    return f"(select tip as level, name as command, message from {_cells(d, src)} i0 where tip is not null)"
 
 
 def clock(d: Dialect, us: str) -> str:
@@ -47,43 +59,45 @@ def clock(d: Dialect, us: str) -> str:
     return f"concat(lpad(cast({d.div(minute, '60')} % 24 as varchar(20)), 2, '0'), ':', lpad(cast({minute} % 60 as varchar(20)), 2, '0'))"
 
 
+def _printed(d: Dialect, src: str, columns: str, nth: str) -> str:
+    """(nth, line): the texts of the column `texts` of src, those that are null left out; `nth` may use `columns` and the
+    place of a text, `spot`."""
+    return f"(select cast({nth} as bigint) as nth, line from {d.explode(src, columns, 'texts', 'spot')} p0 where line is not null)"
+
+
 def report_lines(d: Dialect, src: str, period: str, name: str = "Lineflow") -> str:
     """(nth, line): the report as a printed table, types in order of name (K-06)."""
-    r, whole = f"{report(d, src)} r", "level = 'total'"
-    one = lambda n, text, cond="true": f"select cast({n} as bigint) as nth, {text} as line from {r} where {whole} and {cond}"
-    number = lambda label, x: d.printf(f"%-19s %d", d.lit(label), x)
+    number = lambda label, x: d.printf("%-19s %d", d.lit(label), x)
     percent = lambda label, x: d.printf("%-19s %.1f%%", d.lit(label), d.double(f"coalesce({x}, 0)"))
-    head = [d.lit(f"{name} Measurement Report — {period}"), d.lit("=" * 50), "''", number("Total invocations:", "invocations"), number("Total raw tokens:", "raw_tokens"), number("Total clean tokens:", "clean_tokens"), number("Total tokens saved:", "saved"), percent("Avg reduction:", "reduction"), percent("Avg quality score:", "quality")]
-    rows = [one(k, x) for k, x in enumerate(head)]
-    rows.append(one(10, d.printf("%-19s %d (%.1f%% of invocations)", d.lit("Re-requests:"), "rerequests", d.double("rerequest_rate")), "rerequests > 0"))
-    table = ["''", d.lit("By command type:"), d.printf("  %-12s %6s %10s %10s %8s %6s", *map(d.lit, ("TYPE", "COUNT", "RAW TOK", "SAVED", "REDUC", "RE-REQ"))), d.lit("  " + "-" * 58)]
-    rows += [one(20 + k, x) for k, x in enumerate(table)]
-    again = "case when rerequests > 0 then cast(rerequests as varchar(20)) else '-' end"
-    line = d.printf("  %-12s %6d %10d %10d %7.1f%% %6s", "name", "invocations", "raw_tokens", "saved", d.double("coalesce(reduction, 0)"), again)
-    rows.append(f"select cast(100 + row_number() over (order by name) as bigint) as nth, {line} as line from {r} where level = 'type'")
-    rows += [f"select cast({1_000_000 + k} as bigint) as nth, {x} as line from {r} where level = 'session' having count(*) > 0" for k, x in enumerate(("''", "concat('Sessions: ', cast(count(*) as varchar(20)))"))]
-    tips = f"{insights(d, src)} i"
-    rows += [f"select cast({2_000_000 + k} as bigint) as nth, {x} as line from {tips} having count(*) > 0" for k, x in enumerate(("''", "'Quality Insights:'"))]
-    rows.append(f"select cast(3000000 + row_number() over (order by level desc, message) as bigint) as nth, concat(case when level = 'info' then '  [i] ' else '  [!] ' end, message) as line from {tips}")
-    return "(" + " union all ".join(rows) + ")"
+    again = d.printf("%-19s %d (%.1f%% of invocations)", d.lit("Re-requests:"), "rerequests", d.double("coalesce(rerequest_rate, 0)"))
+    head = [d.lit(f"{name} Measurement Report — {period}"), d.lit("=" * 50), "''", number("Total invocations:", "invocations"), number("Total raw tokens:", "coalesce(raw_tokens, 0)"), number("Total clean tokens:", "coalesce(clean_tokens, 0)"), number("Total tokens saved:", "coalesce(saved, 0)"), percent("Avg reduction:", "reduction"), percent("Avg quality score:", "quality"), f"case when rerequests > 0 then {again} end"]
+    head += ["''", d.lit("By command type:"), d.printf("  %-12s %6s %10s %10s %8s %6s", *map(d.lit, ("TYPE", "COUNT", "RAW TOK", "SAVED", "REDUC", "RE-REQ"))), d.lit("  " + "-" * 58)]
+    dash = "case when rerequests > 0 then cast(rerequests as varchar(20)) else '-' end"
+    line = d.printf("  %-12s %6d %10d %10d %7.1f%% %6s", "name", "invocations", "coalesce(raw_tokens, 0)", "coalesce(saved, 0)", d.double("coalesce(reduction, 0)"), dash)
+    tip = "concat(case when tip = 'info' then '  [i] ' else '  [!] ' end, message)"
+    body = f"case level when 'total' then {d.array(*head)} when 'type' then {d.array(line)} else {d.array(chr(39) * 2, 'concat(' + d.lit('Sessions: ') + ', cast(members as varchar(20)))')} end"
+    tips = f"case when tip is not null then {d.array('case when j = 1 then ' + chr(39) * 2 + ' end', 'case when j = 1 then ' + d.lit('Quality Insights:') + ' end', tip)} end"
+    cells = f"(select *, row_number() over (partition by level order by name) as i, row_number() over (order by case when tip is null then 1 else 0 end, tip desc, message) as j from {_cells(d, src)} c0)"
+    parts = f"(select level, i, j, 0 as part, {body} as texts from {cells} c1 union all select level, i, j, 1 as part, {tips} as texts from {cells} c2 where tip is not null)"
+    return _printed(d, f"{parts} c3", "level, i, j, part", f"case when part = 1 then {LAST} + 7 + 3 * j + spot when level = 'total' then spot when level = 'type' then 100 + i else {LAST} + spot end")
 
 
 def last_lines(d: Dialect, src: str, n: int, name: str = "Lineflow") -> str:
     """(nth, line): the last n entries of (id, us, command, raw_tokens, clean_tokens, quality, rerequest) as a printed table
     with their totals (K-06, T-05)."""
     newest = f"(select *, raw_tokens - clean_tokens as saved, case when rerequest then ' [RE]' else '' end as tag, row_number() over (order by us, id) as i from (select * from {src} order by us desc, id desc limit {n}) z0)"
+    sums = [f"sum({x}) over ()" for x in ("raw_tokens", "clean_tokens", "saved")]
+    entries = f"(select *, cast(count(*) over () as bigint) as n, cast({sums[0]} as bigint) as raw, cast({sums[1]} as bigint) as clean, cast({sums[2]} as bigint) as gain from {newest} z1)"
     rate = lambda raw, saved: f"case when {raw} > 0 then {d.double(saved)} / {d.double(raw)} * 100 else {d.double('0')} end"
     room = "(28 - length(tag))"
     command = f"concat(case when length(command) > {room} then concat(substr(command, 1, cast({room} - 3 as int)), '...') else command end, tag)"
     form = "  %-4s %-5s  %-28s %7d %7d %7d %5.1f%%"
     line = d.printf(form + " %6.1f%%", "cast(i as varchar(20))", clock(d, "us"), command, "raw_tokens", "clean_tokens", "saved", rate("raw_tokens", "saved"), d.double("quality"))
-    sums = [d.int_sum(x) for x in ("raw_tokens", "clean_tokens", "saved")]
-    total = d.printf(form, "''", "''", "'TOTAL'", *sums, rate(sums[0], sums[2]))
-    head = [f"concat({d.lit(f'{name} — Last ')}, cast(count(*) as varchar(20)), ' invocations')", d.lit("=" * 78), "''", d.printf("  %-4s %-5s  %-28s %7s %7s %7s %6s %7s", *map(d.lit, ("#", "TIME", "COMMAND", "RAW", "CLEAN", "SAVED", "REDUC", "QUAL"))), d.lit("  " + "-" * 74)]
-    rows = [f"select cast({k - 10} as bigint) as nth, {x} as line from {newest} h{k} having count(*) > 0" for k, x in enumerate(head)]
-    rows += [f"select cast(i as bigint) as nth, {line} as line from {newest} z1", f"select cast(1000001 as bigint) as nth, {total} as line from {newest} z2 having count(*) > 0"]
-    rows += [f"select cast(1000000 as bigint) as nth, {d.lit('  ' + '-' * 74)} as line from {newest} z3 having count(*) > 0", f"select cast(0 as bigint) as nth, 'No measurement entries found.' as line from {newest} z4 having count(*) = 0"]
-    return "(" + " union all ".join(rows) + ")"
+    total = d.printf(form, "''", "''", "'TOTAL'", "raw", "clean", "gain", rate("raw", "gain"))
+    head = [f"concat({d.lit(f'{name} — Last ')}, cast(n as varchar(20)), ' invocations')", d.lit("=" * 78), "''", d.printf("  %-4s %-5s  %-28s %7s %7s %7s %6s %7s", *map(d.lit, ("#", "TIME", "COMMAND", "RAW", "CLEAN", "SAVED", "REDUC", "QUAL"))), d.lit("  " + "-" * 74)]
+    texts = [f"case when i = 1 then {x} end" for x in head] + [f"case when i is null then 'No measurement entries found.' else {line} end", f"case when i = n then {d.lit('  ' + '-' * 74)} end", f"case when i = n then {total} end"]
+    rows = f"(select i, {d.array(*texts)} as texts from (select 0 as one) z2 left join {entries} z3 on one = 0)"
+    return _printed(d, f"{rows} z4", "i", "coalesce(i, 0) * 10 + spot")
 
 
 def session_summary(d: Dialect, src: str) -> str:

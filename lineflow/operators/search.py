@@ -10,7 +10,7 @@ from lineflow.functions import patterns as P
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
 from lineflow.operators import classify
-from lineflow.operators.generic import PREVIOUS
+from lineflow.operators.generic import LAST, PREVIOUS
 
 ORDER = "partition by path order by pos"
 
@@ -23,11 +23,27 @@ def extension(d: Dialect, x: str) -> str:
     return d.extract(base_name(d, x), r"\.([^.]+)$", 1)
 
 
+def _folders(d: Dialect, x: str) -> str:
+    return d.split(d.sub(x, r"/?[^/]*$", ""), "/")
+
+
 def walkable(d: Dialect, x: str, extensions: tuple[str, ...] = ()) -> str:
-    """Paths that a search opens: no excluded folder, lock file or binary; optionally of given extensions (S-04)."""
-    folders = d.exists(d.split(d.sub(x, r"[^/]*$", ""), "/"), "s", f"s in ({', '.join(map(d.lit, P.SKIP_DIRS))})")
+    """Paths that a search opens: no excluded folder, lock file or binary; optionally of given extensions (S-04).
+
+    `x` is relative to the root, or begins with its name; extensions are compared in lower case.
+    """
+    folders = d.exists(_folders(d, x), "s", f"s in ({', '.join(map(d.lit, P.SKIP_DIRS))})")
+    kind = d.lower(extension(d, x))
+    only = f" and {kind} in ({', '.join(map(d.lit, extensions))})" if extensions else ""
+    return f"(not {folders} and {base_name(d, x)} not in ({', '.join(map(d.lit, P.SKIP_FILES))}) and {kind} not in ({', '.join(map(d.lit, P.BINARY))}){only})"
+
+
+def watchable(d: Dialect, x: str, extensions: tuple[str, ...] = ()) -> str:
+    """Paths that the watcher looks at: outside hidden and a few other folders, of given extensions as written (S-14)."""
+    hidden = "(substr(s, 1, 1) = '.' and s <> '.')"
+    folders = d.exists(_folders(d, x), "s", f"{hidden} or s in ({', '.join(map(d.lit, P.WATCH_SKIP_DIRS))})")
     only = f" and {extension(d, x)} in ({', '.join(map(d.lit, extensions))})" if extensions else ""
-    return f"(not {folders} and {base_name(d, x)} not in ({', '.join(map(d.lit, P.SKIP_FILES))}) and {extension(d, x)} not in ({', '.join(map(d.lit, P.BINARY))}){only})"
+    return f"(not {folders}{only})"
 
 
 def glob_regex(pattern: str) -> tuple[str, bool]:
@@ -55,8 +71,26 @@ def matches(d: Dialect, src: str, pattern: str, fold: bool = False) -> str:
     return f"(select path, pos, line from {src} where {d.match('line', ('(?i)' if fold else '') + pattern) if pattern else 'false'})"
 
 
+def listing(d: Dialect, src: str, pattern: str, recursive: bool = False, ignore_case: bool = False, number: bool = False) -> str:
+    """(path, pos, line): matches as the grep tool lists them (S-08).
+
+    Without any option the listing is recursive with line numbers; a recursive one puts the path before every match, one
+    with numbers the place of the line.
+    """
+    if not (recursive or ignore_case or number):
+        recursive = number = True
+    head = [x for x, on in (("path", recursive), ("cast(pos + 1 as varchar(20))", number)) if on]
+    line = f"concat({', '.join(y for x in head for y in (x, d.lit(':')))}, line)" if head else "line"
+    return f"(select path, pos, {line} as line from {matches(d, src, pattern, fold=ignore_case)} g0)"
+
+
+def no_match(d: Dialect, found: str) -> str:
+    """(line): the notice of a search without matches, or no row (S-08)."""
+    return f"(select '[no matches found]' as line from {found} n0 having count(*) = 0)"
+
+
 #: Where the lines of a file's listing stand: a blank line before it, its header, its lines, a blank line after it.
-BEFORE, HEADER, AFTER = -2, -1, 1_000_000_000_000
+BEFORE, HEADER, AFTER = -2, -1, LAST
 
 
 def _number(pos: str) -> str:

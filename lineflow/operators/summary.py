@@ -6,7 +6,7 @@ from lineflow.functions import patterns as P
 from lineflow.functions.dialect import Dialect
 from lineflow.functions.text import thousands
 from lineflow.operators import classify
-from lineflow.operators.generic import PREVIOUS
+from lineflow.operators.generic import LAST, PREVIOUS
 
 
 def context_levels(d: Dialect, src: str) -> str:
@@ -86,7 +86,7 @@ def _cut(d: Dialect, src: str, most: int, on_failure: str, window: int, cap: int
     hint = "failed = 1" if on_failure == "hint" else "false"
     text = f"""case when k = 0 and keep then line when k = 0 and nth = 1 then {marker} when k = 1 and not keep and pin and not in_place then line
         when k = 2 and {hint} and n > {most} and back = 1 then '[failures detected: rerun with a higher line limit for full context]' end"""
-    place = f"case when k = 1 then pos + 2 when k = 2 then cast(1000000000 as bigint) when keep or in_place then cast(0 as bigint) else cast(1 as bigint) end"
+    place = f"case when k = 1 then pos + 2 when k = 2 then cast({LAST} as bigint) when keep or in_place then cast(0 as bigint) else cast(1 as bigint) end"
     rows = f"(select doc, case when k = 1 then first_pos else pos end as pos, {place} as sub, {text} as line from {four} v5 cross join (select 0 as k union all select 1 as k union all select 2 as k) v6)"
     return f"(select doc, pos, cast(sub as bigint) as sub, line from {rows} v7 where line is not null)"
 

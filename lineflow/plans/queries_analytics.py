@@ -57,7 +57,6 @@ query("t06_last_calls")(lambda d: f"select id, session, cmd_type, raw_tokens - c
 query("t06_top_learned")(lambda d: f"select norm, n from {learn.analyse(d, _observed(d) + ' o', least=0.01)} q order by n desc, norm limit 5")
 query("t06_top_steps")(lambda d: f"select step, saved from (select step, bytes_before - bytes_after as saved from ({contribution(d)}) s) q order by saved desc, step limit 6")
 query("k02_newest_half")(lambda d: f"select id, us from {measure.newest_half(d, _m(d))} q")
-query("s10_since")(lambda d: f"select id, cmd_type from {_m(d)} where us >= {NOW}")
 query("j02_limits")(lambda d: f"select id, cmd_type, max_lines from {measure.limits(d, _m(d).removesuffix(' v'), {'click': 10, 'error': 500}, 50)} q")
 query("j05_rerequest")(lambda d: f"select id, type, since_us from {learn.rerequests(d, _r(d))} q")
 query("j05_rerequest_hour")(lambda d: f"select id, type, since_us from {learn.rerequests(d, _r(d), 3_600_000_000)} q")
@@ -78,6 +77,10 @@ query("s06_glob_path")(lambda d: f"select path from {search.glob(d, views.paths(
 query("a19_clusters")(lambda d: f"select dir, n, line from {search.glob_clusters(d, views.paths(d) + ' p')} q")
 query("h03_search")(lambda d: f"select path, pos, line from {search.matches(d, _code(d) + ' s', 'load[0-9]+')} q")
 query("s08_grep")(lambda d: f"select path, cast(count(*) as bigint) as n from {search.matches(d, _code(d) + ' s', 'LOAD', fold=True)} q group by path")
+query("s08_listing")(lambda d: f"select path, pos, line from {search.listing(d, _code(d) + ' s', 'load1')} q")
+query("s08_listing_fold")(lambda d: f"select path, pos, line from {search.listing(d, _code(d) + ' s', 'LOAD1', ignore_case=True)} q")
+query("s08_no_match")(lambda d: f"select line from {search.no_match(d, search.matches(d, _code(d) + ' s', 'nowhere[0-9]'))} q")
+query("s14_watched")(lambda d: f"select path from {views.paths(d)} p where {search.watchable(d, 'path', ('go', 'PY'))}")
 query("h04_scan")(lambda d: f"select path, pos, sub, line from {search.scan(d, _code(d) + ' s', 'load')} q")
 query("h05_detail")(lambda d: f"select path, pos, sub, line from {search.detail(d, _code(d) + ' s', 'load1[0-9]', 2)} q")
 query("h06_definitions")(lambda d: f"select path, pos, sub, line from {search.definitions(d, _code(d) + ' s', 'load|run|T[0-9]')} q")
@@ -134,6 +137,7 @@ def parity(d: Dialect) -> str:
 @query("j04_snapshot_changed")
 def snapshot(d: Dialect) -> str:
     """Two snapshots (path, mtime): any path new, gone or of another time (S-14, J-04)."""
-    one = f"(select path, id % 5 as mtime from {views.paths(d)} p where id % 7 <> 0)"
-    two = f"(select path, id % 5 + case when id % 50 = 0 then 1 else 0 end as mtime from {views.paths(d)} p where id % 11 <> 0)"
+    seen = search.watchable(d, "path")
+    one = f"(select path, id % 5 as mtime from {views.paths(d)} p where id % 7 <> 0 and {seen})"
+    two = f"(select path, id % 5 + case when id % 50 = 0 then 1 else 0 end as mtime from {views.paths(d)} p where id % 11 <> 0 and {seen})"
     return f"select coalesce(a.path, b.path) as path, case when a.path is null then 'new' when b.path is null then 'gone' else 'changed' end as change from {one} a full outer join {two} b on a.path = b.path where a.path is null or b.path is null or a.mtime <> b.mtime"

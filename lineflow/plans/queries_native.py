@@ -8,6 +8,8 @@ from lineflow.functions.dialect import Duck, Spark
 from lineflow.operators import contain, generic, measure, sequential
 from lineflow.plans import views
 from lineflow.plans.catalog import NATIVE_ORACLES, native
+from lineflow.session import shared_path, table
+from lineflow.sources import readers, sinks
 from lineflow.streaming import filter as stream
 
 _TRACES = ["goroutine {n} [running]:", "main.f()", "\t/a/b.go:{m}", "", "Traceback (most recent call last):", '  File "a.py", line {n}, in f', "    g()", '  File "b.py", line {m}, in g', "ValueError: x", "TypeError: bad {n}", "    at a (src/x.js:{n}:1)", "    at b (node:internal/y:{m})", "done {n}"]
@@ -77,3 +79,90 @@ def quality(spark, sf_dir):
 @native("a13_bench_quality")
 def bench_quality(spark, sf_dir):
     return measure.quality_of(*_lines_and_text(spark, sf_dir, views.log_lines, ["^TODO", "panic"]), bench=True)
+
+
+@native("s02_capped_capture")
+def capped_capture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as doc", "coalesce(text, '') as text")
+    return readers.capped(docs)
+
+
+# Beyond the cap this oracle cuts characters, the reader bytes.
+NATIVE_ORACLES["s02_capped_capture"] = f"""select doc_id as doc, case when octet_length(encode(coalesce(text, ''))) > {readers.CAPTURE_CAP}
+    then left(text, {readers.CAPTURE_CAP}) || chr(10) || '{readers.CAPTURE_NOTICE.strip()}' else coalesce(text, '') end as text from documents"""
+
+
+def _written(spark, sf_dir):
+    """A measurement log of the events as JSON lines, with a key that no column has and, for every 50th event, a broken line."""
+    path = shared_path(spark, "log")
+    rows = spark.sql(f"select *, concat('2024-01-', lpad(cast(1 + id % 28 as string), 2, '0'), 'T00:00:', lpad(cast(id % 60 as string), 2, '0'), 'Z') as ts from {views.measurements(Spark(sf_dir))} m")
+    entry = F.to_json(F.struct("ts", "session", "cmd_type", "raw_bytes", "clean_bytes", "raw_tokens", F.when(F.col("id") % 3 == 0, F.col("rerequest")).alias("rerequest"), F.col("id").alias("ticket")))
+    broken = F.when(F.col("id") % 100 == 0, F.lit("[1, 2]")).otherwise(F.concat(F.lit('{"ts": "'), F.col("ts")))
+    lines = rows.select(F.explode(F.array_compact(F.array(entry, F.when(F.col("id") % 50 == 0, broken)))).alias("value"))
+    lines.write.text(path)
+    return path
+
+
+_LOG = f"(select *, concat('2024-01-', lpad(cast(1 + id % 28 as varchar), 2, '0'), 'T00:00:', lpad(cast(id % 60 as varchar), 2, '0'), 'Z') as ts from {views.measurements(Duck())} m)"
+
+
+@native("s09_log")
+def log(spark, sf_dir):
+    rows = readers.measurements(spark, _written(spark, sf_dir), raw=True)
+    return rows.select(F.expr("variant_get(raw, '$.ticket', 'bigint')").alias("id"), "ts", "session", "cmd_type", "raw_bytes", "clean_bytes", "raw_tokens", "rerequest", "rerequest_type")
+
+
+NATIVE_ORACLES["s09_log"] = f"select id, ts, session, cmd_type, raw_bytes, clean_bytes, raw_tokens, id % 3 = 0 and rerequest as rerequest, '' as rerequest_type from {_LOG} l"
+
+
+@native("s09_log_health")
+def log_health(spark, sf_dir):
+    return readers.log_health(spark, _written(spark, sf_dir))
+
+
+NATIVE_ORACLES["s09_log_health"] = f"select count(*) as entries, count(*) filter (id % 50 = 0) as malformed from {_LOG} l"
+
+
+@native("s10_since")
+def since(spark, sf_dir):
+    return readers.measurements(spark, _written(spark, sf_dir), "2024-01-15").groupBy("cmd_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
+
+
+NATIVE_ORACLES["s10_since"] = f"select cmd_type, count(*) as n, min(ts) as first from {_LOG} l where ts >= '2024-01-15' group by cmd_type"
+
+
+@native("s11_observations")
+def observations(spark, sf_dir):
+    path = shared_path(spark, "observations")
+    rows = table(spark, sf_dir, "events").select(F.lit("2024").alias("ts"), F.col("event_type").alias("cmd"), F.concat(F.lit("n"), (F.col("event_id") % 17).cast("string")).alias("norm"), (F.col("event_id") % 6).cast("int").alias("level"), F.lit("s").alias("session"), F.lit(True).alias("extra"))
+    sinks.append_log(rows, path)
+    return readers.observations(spark, path).groupBy("cmd", "norm", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+NATIVE_ORACLES["s11_observations"] = "select event_type as cmd, 'n' || (event_id % 17) as norm, (event_id % 6)::int as level, count(*) as n from events group by all"
+
+
+def _report(spark, sf_dir, columns, outer):
+    """One JSON report, as the tools save it, of a row per event type."""
+    path = shared_path(spark, "report")
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("s"))
+    rows.select(F.struct(*columns).alias("r")).groupBy().agg(F.collect_list("r").alias("rs")).select(F.to_json(outer(F.col("rs")))).write.text(path)
+    return path
+
+
+@native("s12_bench_report")
+def bench_report(spark, sf_dir):
+    columns = [F.col("event_type").alias("name"), F.col("s").alias("raw_bytes"), F.col("n").alias("clean_bytes"), F.round(F.col("n") / F.col("s") * 100, 6).alias("reduction"), F.col("n").alias("lines_raw")]
+    return readers.bench_results(spark, _report(spark, sf_dir, columns, lambda rs: F.struct(F.lit(1).alias("total_raw"), rs.alias("results"))))
+
+
+NATIVE_ORACLES["s12_bench_report"] = "select event_type as name, sum(event_id)::bigint as raw_bytes, count(*) as clean_bytes, round(count(*)::double / sum(event_id)::double * 100, 6) as reduction, null::bigint as duration_us, count(*) as lines_raw, null::bigint as lines_clean from events group by event_type"
+
+
+@native("s13_step_snapshot")
+def step_snapshot(spark, sf_dir):
+    columns = [F.col("event_type").alias("filter"), F.col("s").alias("bytes_before"), F.col("n").alias("bytes_after"), F.lit(1.5).alias("reduction_pct"), F.col("n").alias("invocations")]
+    return readers.step_snapshot(spark, _report(spark, sf_dir, columns, lambda rs: F.struct(F.lit("now").alias("generated_at"), rs.alias("filters"))))
+
+
+NATIVE_ORACLES["s13_step_snapshot"] = "select 'now' as generated_at, event_type as filter, sum(event_id)::bigint as bytes_before, count(*) as bytes_after, 1.5::double as reduction_pct, null::bigint as duration_us, count(*) as invocations from events group by event_type"

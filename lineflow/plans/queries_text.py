@@ -5,7 +5,7 @@ from __future__ import annotations
 from lineflow.functions import patterns as P
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
-from lineflow.operators import classify, generic, learn
+from lineflow.operators import classify, commands, generic, learn, segmented, summary
 from lineflow.plans import views
 from lineflow.plans.catalog import query, spark_form
 
@@ -39,12 +39,21 @@ query("f07_redact")(lambda d: f"select doc, {generic.redact(d, 'text')} as text
 query("f08_paths")(lambda d: f"select doc, pos, {generic.compress_paths(d, 'line', '/home/u/app', '/home/u')} as line from {_log(d)}")
 query("f09_decorative")(lambda d: _rows(generic.drop_decorative(d, _log(d))))
 query("f14_keep_rules")(lambda d: f"select doc, pos, line from {generic.keep_by_rules(d, _log(d).removesuffix(' v'), generic.assemble(d, generic.remove_by_rules(d, _log(d), ['^ERROR', 'panic']) + ' r'), ['ERROR', 'panic', 'TODO'])} k")
-query("f15_stderr_chain")(lambda d: f"select doc, {generic.redact(d, 'text')} as text from {generic.assemble(d, generic.collapse_node_warnings(d, generic.renumber(d, generic.strip_ansi_lines(d, _log(d)) + ' a') + ' b') + ' c')} t")
+query("f15_stderr_chain")(lambda d: f"select doc, text from {generic.stderr_chain(d, _log_text(d) + ' s')} q")
+query("w01_dedup_pieces")(lambda d: _rows(generic.dedup(d, generic.split_lines(d, _docs(d)) + " l")))
+spark_form("w01_dedup_pieces")(lambda d: _rows(segmented.dedup(d, generic.split_lines(d, _docs(d)) + " l", 3)))
+query("w02_node_pieces")(lambda d: _rows(commands.node(d, views.command_lines(d, "node") + " v")))
+spark_form("w02_node_pieces")(lambda d: _rows(commands.node(d, views.command_lines(d, "node") + " v", 32)))
+query("c19_ssh_pieces")(lambda d: _rows(commands.ssh(d, views.command_lines(d, "ssh") + " v")))
+spark_form("c19_ssh_pieces")(lambda d: _rows(commands.ssh(d, views.command_lines(d, "ssh") + " v", 17)))
+query("t01_truncate_pieces")(lambda d: _rows(summary.truncate(d, generic.split_lines(d, _docs(d)) + " l", 20)))
+spark_form("t01_truncate_pieces")(lambda d: _rows(segmented.truncate(d, generic.split_lines(d, _docs(d)) + " l", 20, 8)))
+query("k01_assemble_pieces")(lambda d: f"select doc, text from {generic.assemble(d, generic.split_lines(d, _docs(d)) + ' l', sub=False)} t")
+spark_form("k01_assemble_pieces")(lambda d: f"select doc, text from {segmented.assemble(d, generic.split_lines(d, _docs(d)) + ' l', 16, sub=False)} t")
 query("f_chain_log")(lambda d: f"select doc, text from {generic.chain(d, _log_text(d) + ' s', remove=['^step'])} q")
 query("f_chain_documents")(lambda d: f"select doc, text from {generic.chain(d, _docs(d))} q")
 query("k01_assemble")(lambda d: f"select doc, text from {_log_text(d)} t")
 query("s01_lines")(lambda d: f"select doc, pos, line from {generic.split_lines(d, _docs(d))} l")
-query("s02_capped_capture")(lambda d: f"select doc, case when {d.octets('text')} > 4000 then concat(substr(text, 1, 1000), {d.lit(chr(10) + '[output capped]' + chr(10))}) else text end as text from {_docs(d)}")
 query("s05_numbered_lines")(lambda d: f"select doc, pos + 1 as line_num, {d.sub('line', chr(92) + 'r+$', '')} as line from (select *, max(pos) over (partition by doc) as z from {generic.split_lines(d, _docs(d))} l) m where not (pos = z and line = '')")
 query("s07_read_window")(lambda d: f"select doc, {d.join(d.slice(d.split('text', chr(10)), 2, 6), chr(10))} as text from {_docs(d)}")
 query("p01_levels")(lambda d: f"select doc, pos, level from {classify.classified(d, _log(d))} q")

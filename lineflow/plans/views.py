@@ -55,8 +55,8 @@ def documents(d: Dialect) -> str:
 
 def paths(d: Dialect) -> str:
     """(path): slash paths with the shapes that walking and grouping tell apart."""
-    dirs = ["src", "src/lib", "node_modules/x", ".git/refs", "docs", "a-b", "a", "vendor/y", "pkg/deep/er"]
-    names = ["main.go", "util.py", "yarn.lock", "logo.png", "readme.md", "x.lock", "go.sum", "run.sh", "a.ts"]
+    dirs = ["src", "src/lib", "node_modules/x", ".git/refs", "docs", ".github", "dist", "vendor/y", "pkg/deep/er"]
+    names = ["main.go", "util.py", "yarn.lock", "logo.PNG", "readme.md", "x.Lock", "go.sum", "run.sh", "a.ts"]
     pick = lambda xs, k: d.item(d.array(*map(d.lit, xs)), f"cast({k} as int) + 1")
     where, name = pick(dirs, "p_partkey % 9"), pick(names, f"{d.div('p_partkey', '9')} % 9")
     return f"(select p_partkey as id, concat({where}, '/d', cast({d.div('p_partkey', '81')} % 13 as varchar(20)), '/', cast(p_partkey as varchar(20)), '_', {name}) as path from {d.table('part')})"

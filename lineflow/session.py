@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -35,3 +36,14 @@ def query_over(build: Callable[..., str], *frames: DataFrame) -> DataFrame:
     finally:
         for view in views:
             frames[0].sparkSession.catalog.dropTempView(view)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; a temporary one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lineflow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/lineflow/{name}-{uuid.uuid4().hex}"
