@@ -217,6 +217,12 @@ class Spark(Dialect):
     def last_value(self, x, over):
         return f"last({x}, true) over ({over})"
 
+    def first_value(self, x, over):
+        return f"first({x}, true) over ({over})"
+
+    def append(self, a, x):
+        return f"array_append({a}, {x})"
+
 
 class Duck(Dialect):
     name = "duckdb"
@@ -352,3 +358,9 @@ class Duck(Dialect):
 
     def last_value(self, x, over):
         return f"last_value({x} ignore nulls) over ({over})"
+
+    def first_value(self, x, over):
+        return f"first_value({x} ignore nulls) over ({over})"
+
+    def append(self, a, x):
+        return f"list_append({a}, {x})"

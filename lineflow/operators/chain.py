@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lineflow.config import Config
 from lineflow.functions import patterns as P
 from lineflow.functions.dialect import Dialect, Spark
-from lineflow.operators import commands, contain, generic, sequential, summary
+from lineflow.operators import blocks, commands, contain, generic, sequential, summary
 from lineflow.session import query_over
 
 LineOperator = Callable[[Dialect, str], str]
@@ -34,15 +34,14 @@ class Step:
 
 
 def _by_lines(docs: DataFrame, steps: list[Step]) -> DataFrame:
+    """Neighbouring line steps: one plan, each step analysed on its own so that its text doesn't hold those before it."""
     d = Spark()
-
-    def build(view: str) -> str:
-        src = generic.split_lines(d, view)
-        for k, step in enumerate(steps):
-            src = step.lines(d, f"{src if k == 0 else generic.renumber(d, src + f' r{k}')} l{k}")
-        return f"select doc, text from {generic.assemble(d, f'{src} a')} t"
-
-    return query_over(build, docs)
+    lines = query_over(lambda view: f"select doc, pos, line from {generic.split_lines(d, view)} q", docs)
+    for k, step in enumerate(steps):
+        if k:
+            lines = query_over(lambda view: f"select doc, pos, line from {generic.renumber(d, f'{view} r')} q", lines)
+        lines = query_over(lambda view, step=step: f"select doc, pos, sub, line from {step.lines(d, f'{view} l')} q", lines)
+    return query_over(lambda view: f"select doc, text from {generic.assemble(d, f'{view} a')} t", lines)
 
 
 @dataclass(frozen=True)
@@ -110,12 +109,12 @@ def _registered() -> None:
         register(kind, (), lambda c, cwd, home, kind=kind: [line(kind)])
     for kind in ("grep", "find", "go"):
         register(kind, (), lambda c, cwd, home, kind=kind: [paths(cwd, home), line(kind)])
-    console = lambda c: Step("console", native=lambda text, drop=c.drop_console_on_pass: sequential.console(text, drop))
+    console = lambda c: Step("console", lines=lambda d, src, drop=c.drop_console_on_pass: blocks.console(d, src, "passed" if drop else "false"))
     register("npm", (), lambda c, cwd, home: [console(c), line("npm"), line("node")])
     register("node", (), lambda c, cwd, home: [console(c), line("node")])
-    register("python", (), lambda c, cwd, home: [line("python"), Step("python", native=sequential.compress_script_traces)])
-    register("tree", (), lambda c, cwd, home: [Step("tree", native=sequential.compress_tree)])
-    register("jq", (), lambda c, cwd, home: [Step("jq", native=sequential.compress_jq)])
+    register("python", (), lambda c, cwd, home: [line("python"), Step("python", lines=blocks.script_traces)])
+    register("tree", (), lambda c, cwd, home: [Step("tree", lines=blocks.tree)])
+    register("jq", (), lambda c, cwd, home: [Step("jq", lines=blocks.jq)])
     register("generic", (), lambda c, cwd, home: [paths(cwd, home)])
 
 
@@ -166,7 +165,7 @@ def build(config: Config, kind: str = "generic", cwd: str = "/home/u/app", home:
     steps += REGISTRY.get(kind, REGISTRY["generic"])(config, cwd, home)
     if config.trim_decorative:
         steps.append(Step("trim_decorative", lines=generic.drop_decorative))
-    steps.append(Step("stack_traces", native=sequential.compress_traces))
+    steps.append(Step("stack_traces", lines=blocks.traces))
     if config.redact_secrets:
         steps.append(Step("redact_secrets", text=generic.redact))
     steps.append(Step("summarize", frame=lambda docs: _with_summary(docs, exit_code)))

@@ -1,37 +1,16 @@
-"""Operators with real sequential state, as Arrow-batched Python over whole documents (C-13, C-16, C-18, F-10 to F-13, DT-04,
-and the exact LRU of A-20).
+"""Functions of one text as steps (U-01), and histories with real sequential state (DT-04, the exact LRU of A-20).
 
-One document is one task row; state never leaves it, so documents spread over the cluster as they lie.
+A history streams through one task in order, a tool at a time: the state of one tool can't be split.
 """
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lineflow.functions import patterns as P
-
-# How the tools print what the operators look for.
-_CONSOLE = re.compile(r"^\s*console\.(log|warn|error|info|debug)\s*$")
-_TRAILER = re.compile(r"^\s+at (?:[^\s()]+:\d+:\d+|[^\s()]+ \([^()]+:\d+:\d+\))\s*$")
-_FRAME = re.compile(r"^\s+at\s")
-_TRACEBACK = "Traceback (most recent call last):"
-_CHAINED = ("During handling of the above exception, another exception occurred:", "The above exception was the direct cause of the following exception:")
-_PY_CALL, _PY_CODE = re.compile(r'^\s*File "(.+)", line (\d+), in (.+)'), re.compile(r"^\s{4}\S")
-_IMPORT = re.compile(r"^(ImportError|ModuleNotFoundError|ModuleNotFound):")
-_NODE_ERROR = re.compile(r"(?:[A-Z].*)?(?:Error|Exception)")
-_NODE_INTERNAL = re.compile(r"\(node:|node:(?:internal/|events|net|async_hooks|stream|fs|_)")
-_NODE_MODULES = re.compile(r"node_modules[/\\]")
-_RUNTIME = ("runtime.goexit", "runtime.main(")
-_BRANCH, _INDENT = re.compile(r"^[│├└─┬┤┼╠╚═╔╗╝╬║ \t\n\f\r|+\\`-]+"), re.compile(r"^[ │|\t]*")
-_TREE_SUMMARY = re.compile(r"^\d+ director(y|ies), \d+ files?")
-
-
 def per_document(df: DataFrame, function: Callable[[str], str], text: str = "text") -> DataFrame:
     """`df` with `text` replaced by function(text); null stays null."""
     at = df.columns.index(text)
@@ -44,259 +23,6 @@ def per_document(df: DataFrame, function: Callable[[str], str], text: str = "tex
     return df.mapInArrow(run, df.schema)
 
 
-def compress_jq(text: str, most: int = 10, small: int = 50) -> str:
-    """Array objects after the tenth dropped (C-16), until a closing bracket that leaves a marker at the depth of the first
-    of them.  Bracket lines always stay and start the count anew; a nested opening one doesn't end what is being dropped."""
-    lines = text.split("\n")
-    if len(lines) <= small:
-        return text
-    out, depth, seen, gone, pad = [], 0, 0, 0, 0
-    for line in lines:
-        t = line.strip()
-        if t.endswith("["):
-            depth, seen = depth + 1, 0
-        elif t in ("]", "],"):
-            if gone:
-                out.append(f"{' ' * pad}  ... {gone} more elements")
-            depth, seen, gone = depth - 1, 0, 0
-        elif depth > 0:
-            if t.startswith("{"):
-                seen += 1
-                if seen > most:
-                    pad = pad if gone else len(line) - len(line.lstrip(" \t"))
-                    gone += 1
-                    continue
-            if gone:
-                continue
-        out.append(line)
-    return "\n".join(out)
-
-
-def compress_tree(text: str, small: int = 20) -> str:
-    """Chains of folders whose next line is a deeper folder, joined with the entry after them (C-13); a folder and its entry
-    alone stay on two lines.  Both forms lose their depth."""
-    lines = text.split("\n")
-    if len(lines) <= small:
-        return text
-    names = [_BRANCH.sub("", x.strip()).strip() for x in lines]
-    depth = [len(_INDENT.match(x)[0]) for x in lines]
-    folder = [bool(n) and ("." not in n or n.endswith("/")) for n in names]
-    opens = [folder[i] and folder[i + 1] and depth[i + 1] > depth[i] for i in range(len(lines) - 1)] + [False]
-    out: list[str] = []
-    chain: list[str] = []
-
-    def close() -> None:
-        out.extend(f"├── {x}" for x in (["/".join(chain)] if len(chain) > 2 else chain))
-        chain.clear()
-
-    for line, name, opening in zip(lines, names, opens):
-        if not line.strip() or _TREE_SUMMARY.match(line.strip()):
-            close()
-            out.append(line)
-        elif opening:
-            chain.append(name)
-        elif chain:
-            chain.append(name)
-            close()
-        else:
-            out.append(line)
-    close()
-    return "\n".join(out)
-
-
-def run_passed(lines: list[str]) -> bool:
-    """The runner's own totals say that the run passed, and none says that it failed (A-04)."""
-    read = {
-        "count": lambda line: "FAIL" if (m := re.search(P.FAILED_COUNT, line)) and m[1] != "0" else "PASS",
-        "pytest": lambda line: "FAIL" if re.search(P.FAILED_COUNT, line) else "PASS" if "passed" in line else None,
-        "cargo": lambda line: "PASS" if (m[1] == "ok" and m[2] == "0" if (m := re.search(P.CARGO_FULL, line)) else "test result: ok" in line) else "FAIL",
-        "FAIL": lambda line: "FAIL",
-        "PASS": lambda line: "PASS",
-    }
-    found = {next((v for p, kind in P.RUNNER_ANCHORS if kind != "none" and re.search(p, x) and (v := read[kind](x))), None) for x in lines}
-    return found - {None} == {"PASS"}
-
-
-def strip_console(text: str, drop_all: bool = False, name: str = "lineflow") -> str:
-    """Console blocks of a test runner as their message alone, equal neighbours counted; all as one marker if asked (C-18).
-
-    A block is a header, up to nine indented lines and a lone frame; a blank line after it goes too.
-    """
-    lines, out, i = text.split("\n"), [], 0
-    last, same, dropped, place = None, 0, 0, 0
-
-    def close() -> None:
-        nonlocal last, same
-        if last and same > 1:
-            out.append(f"{re.match('[ \t]*', last[0])[0]}... and {same - 1} identical console blocks")
-        last, same = None, 0
-
-    def block_end(i: int) -> int | None:
-        for j in range(i + 1, min(i + 11, len(lines))):
-            if not lines[j][:1].isspace():
-                return None
-            if _TRAILER.match(lines[j]):
-                return None if j + 1 < len(lines) and _FRAME.match(lines[j + 1]) else j
-        return None
-
-    while i < len(lines):
-        end = block_end(i) if _CONSOLE.match(lines[i]) else None
-        if end is None:
-            close()
-            out.append(lines[i])
-            i += 1
-            continue
-        message = lines[i + 1 : end]
-        if drop_all:
-            if not dropped:
-                place = len(out)
-                out.append("")
-            dropped += 1
-        elif same and message == last:
-            same += 1
-        else:
-            close()
-            out += message
-            last, same = message, 1
-        i = end + 1
-        if i < len(lines) and not lines[i]:
-            i += 1
-    close()
-    if dropped:
-        out[place] = f"  [{name}: {dropped} console.* log block{'s' if dropped > 1 else ''} dropped — run passed]"
-    return "\n".join(out)
-
-
-def console(text: str, drop_on_pass: bool = True) -> str:
-    """strip_console() that drops every block of a run that passed."""
-    return strip_console(text, drop_on_pass and run_passed(text.split("\n")))
-
-
-def _frames(body: list[str]) -> list[str]:
-    """The body of a goroutine dump without runtime frames, where others remain; lines of no frame come last."""
-    frames: list[list[str]] = []
-    loose: list[str] = []
-    call = False
-    for line in body:
-        place, call = call and line.startswith("\t"), bool(line.strip()) and not line.startswith("\t")
-        if call:
-            frames.append([line])
-        elif place:
-            frames[-1].append(line)
-        else:
-            loose.append(line)
-    own = [f for f in frames if not f[0].strip().startswith(_RUNTIME)]
-    return [x for f in own for x in f] + loose if len(frames) > 1 and own else body
-
-
-def compress_go_traces(text: str) -> str:
-    """Equal neighbouring goroutine dumps kept once with a count, runtime frames dropped where others remain (F-10).
-
-    Without equal neighbours nothing changes; with some, lines between the dumps that belong to none go.
-    """
-    lines = text.split("\n")
-    heads = [i for i, x in enumerate(lines) if x.startswith("goroutine ") and " [" in x and x.strip().endswith(":")]
-    stops = []
-    for i, following in zip(heads, [*heads[1:], len(lines)]):
-        stops.append(next((j for j in range(i + 1, following) if not lines[j].strip()), following))
-    # A dump takes one blank line after it along.
-    ends = [j + (j < len(lines) and not lines[j].strip()) for j in stops]
-    runs = [[(i, e) for i, _, e in g] for _, g in groupby(zip(heads, stops, ends), key=lambda b: lines[b[0] + 1 : b[1]])]
-    if len(runs) == len(heads):
-        return text
-    out = lines[: heads[0]]
-    for run in runs:
-        start, end = run[0]
-        out += [lines[start], *_frames(lines[start + 1 : end])]
-        if more := len(run) - 1:
-            out += [f"[... {more} more goroutine{'s' if more > 1 else ''} with identical stack]", ""]
-    return "\n".join(out + lines[ends[-1] :])
-
-
-def _folded(frames: list[list[str]], most: int, marker: str) -> list[str]:
-    """All frames, or the first and the last of more than `most` around a marker."""
-    kept = frames if len(frames) <= most else [frames[0], [marker.format(len(frames) - 2)], frames[-1]]
-    return [x for f in kept for x in f]
-
-
-def compress_python_traces(text: str, most: int = 5) -> str:
-    """Tracebacks of more than five frames as their first and last (F-11); what follows the frames, up to a blank line or a
-    chain, belongs to the exception."""
-    lines, out, i = text.split("\n"), [], 0
-    while i < len(lines):
-        out.append(lines[i])
-        i += 1
-        if out[-1].strip() != _TRACEBACK:
-            continue
-        frames: list[list[str]] = []
-        while i < len(lines) and lines[i].strip().startswith("File "):
-            frames.append([lines[i]])
-            i += 1
-            t = lines[i].strip() if i < len(lines) else ""
-            # A capital letter opens the exception's name.
-            if t and not t.startswith("File ") and t != _TRACEBACK and not "A" <= t[0] <= "Z":
-                frames[-1].append(lines[i])
-                i += 1
-        out += _folded(frames, most, "  [... {} more frames]")
-        while i < len(lines) and lines[i].strip() and lines[i].strip() not in _CHAINED:
-            out.append(lines[i])
-            i += 1
-    return "\n".join(out)
-
-
-def compress_script_traces(text: str) -> str:
-    """Tracebacks of more than two frames as first and last, unless an import failed (C-12)."""
-    lines, out, i = text.split("\n"), [], 0
-    while i < len(lines):
-        out.append(lines[i])
-        i += 1
-        if not out[-1].strip().startswith(_TRACEBACK):
-            continue
-        frames: list[list[str]] = []
-        while i < len(lines) and _PY_CALL.match(lines[i]):
-            n = 2 if i + 1 < len(lines) and _PY_CODE.match(lines[i + 1]) else 1
-            frames.append(lines[i : i + n])
-            i += n
-        failed_import = i < len(lines) and _IMPORT.match(lines[i].strip())
-        out += _folded(frames, len(frames) if failed_import else 2, "  ... {} more frames ...")
-        # The line after the frames is the error, whatever it looks like.
-        out += lines[i : i + 1]
-        i += 1
-    return "\n".join(out)
-
-
-def compress_node_traces(text: str, most: int = 2) -> str:
-    """Stacks under an error line as their first two application frames and counts of the others (F-12)."""
-    lines, out, i = text.split("\n"), [], 0
-    frame = lambda i: i < len(lines) and lines[i].strip().startswith("at ")
-    while i < len(lines):
-        out.append(lines[i])
-        # The name of the error ends at the first colon with a space.
-        name = lines[i].strip().partition(": ")
-        i += 1
-        if not (name[1] and _NODE_ERROR.fullmatch(name[0]) and frame(i)):
-            continue
-        modules = internal = app = 0
-        while frame(i):
-            if _NODE_INTERNAL.search(lines[i]):
-                internal += 1
-            elif _NODE_MODULES.search(lines[i]):
-                modules += 1
-            else:
-                app += 1
-                out += lines[i : i + 1] if app <= most else []
-            i += 1
-        parts = [f"{n} {what}" for n, what in ((modules, "node_modules frames"), (internal, "node internals"), (app - most, "more app frames")) if n > 0]
-        if parts:
-            out.append(f"    [... {', '.join(parts)}]")
-    return "\n".join(out)
-
-
-def compress_traces(text: str) -> str:
-    """The three stack operators in order (F-13)."""
-    return compress_node_traces(compress_python_traces(compress_go_traces(text)))
-
-
 def _in_order(df: DataFrame, columns: str, result: str, start: Callable[[], Callable[[dict], bool]]) -> DataFrame:
     """`columns` (tool, us, id, ...) and the boolean `result`: a tool's rows pass a function with memory, made by `start`, in
     order of time and id.

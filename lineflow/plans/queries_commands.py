@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lineflow.functions.dialect import Dialect
-from lineflow.operators import classify, commands, detect, summary
+from lineflow.operators import blocks, classify, commands, detect, generic, summary
 from lineflow.plans import views
 from lineflow.plans.catalog import BUILDERS
 
@@ -21,6 +21,39 @@ def _command(kind: str):
 for _kind, _id in _IDS.items():
     BUILDERS[f"{_id}_{_kind}"] = _command(_kind)
 
+_TRACES = ["goroutine {n} [running]:", "main.f()", "\t/a/b.go:{m}", "", "Traceback (most recent call last):", '  File "a.py", line {n}, in f', "    g()", '  File "b.py", line {m}, in g', "ValueError: x", "TypeError: bad {n}", "    at a (src/x.js:{n}:1)", "    at b (node:internal/y:{m})", "done {n}"]
+_JSON = ["[", "{", '  "a": {n}', "},", "]", "x {m}"]
+_TREE = [".", "├── a{m}", "│   ├── b{n}", "│   │   ├── c", "│   │   │   ├── f{n}.go", "├── z.txt"]
+_CONSOLE = ["  console.log", "    hello {m}", "      at log (src/a.js:{n}:2)", "", "PASS a{n}", "plain"]
+#: Block operators with lines of their kind, and how many lines of one template stand together.
+_BLOCKS = {
+    "f10_go_traces": (blocks.go_traces, _TRACES, 1), "f11_python_traces": (blocks.python_traces, _TRACES, 1), "f12_node_traces": (blocks.node_traces, _TRACES, 1), "f13_traces": (blocks.traces, _TRACES, 1),
+    "c12_script_traces": (blocks.script_traces, _TRACES, 1), "c13_tree": (blocks.tree, _TREE, 1), "c16_jq": (blocks.jq, _JSON, 2), "c18_console": (blocks.console, _CONSOLE, 1),
+}
+
+
+def _assembled(operator, lines):
+    return lambda d: f"select doc, text from {generic.assemble(d, operator(d, lines(d) + ' v') + ' o')} t"
+
+
+def _document_lines(d: Dialect) -> str:
+    return generic.split_lines(d, views.documents(d) + " v")
+
+
+def _turns(d: Dialect) -> str:
+    """The texts of the conversations, a turn of a user or assistant being a document."""
+    return f"(select conv_id * 1000 + turn as doc, coalesce(text, '') as text from {d.table('conversations')})"
+
+
+for _name, (_operator, _lines, _run) in _BLOCKS.items():
+    BUILDERS[_name] = _assembled(_operator, lambda d, lines=_lines, run=_run: views.templated(d, lines, run=run))
+    BUILDERS[f"{_name}_documents"] = _assembled(_operator, _document_lines)
+# The operators of a command on texts that weren't made for them: documents and turns of conversations.
+for _kind, _id in _IDS.items():
+    BUILDERS[f"{_id}_{_kind}_documents"] = lambda d, kind=_kind: f"select doc, pos, sub, line from {commands.OPERATORS[kind](d, _document_lines(d) + ' v')} q"
+BUILDERS["a01_auto_detect_conversations"] = lambda d: f"select doc, cmd_type from {detect.auto_detect(d, generic.split_lines(d, _turns(d) + ' c') + ' v')} q"
+BUILDERS["f_chain_conversations"] = lambda d: f"select doc, text from {generic.chain(d, _turns(d) + ' c')} q"
+
 
 def _mixed(d: Dialect) -> str:
     """Documents of several kinds, a few lines of each kind at a time."""

@@ -12,25 +12,6 @@ from lineflow.session import shared_path, table
 from lineflow.sources import readers, sinks
 from lineflow.streaming import filter as stream
 
-_TRACES = ["goroutine {n} [running]:", "main.f()", "\t/a/b.go:{m}", "", "Traceback (most recent call last):", '  File "a.py", line {n}, in f', "    g()", '  File "b.py", line {m}, in g', "ValueError: x", "TypeError: bad {n}", "    at a (src/x.js:{n}:1)", "    at b (node:internal/y:{m})", "done {n}"]
-_JSON = ["[", "{", '  "a": {n}', "},", "]", "x {m}"]
-_TREE = [".", "├── a{m}", "│   ├── b{n}", "│   │   ├── c", "│   │   │   ├── f{n}.go", "├── z.txt"]
-_CONSOLE = ["  console.log", "    hello {m}", "      at log (src/a.js:{n}:2)", "", "PASS a{n}", "plain"]
-
-
-def _texts(spark, sf_dir, templates, run=1):
-    d = Spark(sf_dir)
-    return spark.sql(f"select doc, text from {generic.assemble(d, views.templated(d, templates, run=run) + ' v', sub=False)} t")
-
-
-native("f10_go_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_go_traces))
-native("f11_python_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_python_traces))
-native("f12_node_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_node_traces))
-native("f13_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_traces))
-native("c12_script_traces")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TRACES), sequential.compress_script_traces))
-native("c13_tree")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _TREE), sequential.compress_tree))
-native("c16_jq")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _JSON, 2), sequential.compress_jq))
-native("c18_console")(lambda spark, sf_dir: sequential.per_document(_texts(spark, sf_dir, _CONSOLE), sequential.strip_console))
 native("dt04_rate_limit")(lambda spark, sf_dir: sequential.rate_limit(spark.sql(f"select tool, us, id from {views.requests(Spark(sf_dir))} v"), 1, 2))
 native("a20_lru")(lambda spark, sf_dir: sequential.lru_hits(spark.sql(f"select tool, us, id, raw_key as key from {views.requests(Spark(sf_dir))} v"), 4))
 

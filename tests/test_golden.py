@@ -7,7 +7,7 @@ import pytest
 
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Duck, Spark
-from lineflow.operators import commands, learn, measure, search, sequential, summary
+from lineflow.operators import blocks, commands, learn, measure, search, summary
 from test_operators import on_both
 
 COMMANDS = [
@@ -115,19 +115,20 @@ def test_line_operators(spark, op, text, want):
     assert on_both(spark, op, text) == want
 
 
-def test_jq_keeps_depth_and_count():
+def test_jq_keeps_depth_and_count(spark):
+    jq = lambda text: on_both(spark, blocks.jq, text)
     item = ["  {", '    "a": [', "      1", "    ]", "  },"]
     flat = ["  {", '    "a": 1', "  },"]
-    got = sequential.compress_jq("\n".join(["[", *flat * 20, "]"])).split("\n")
+    got = jq("\n".join(["[", *flat * 20, "]"])).split("\n")
     assert got == ["[", *flat * 10, "    ... 10 more elements", "]"]
     # A closing bracket inside an element ends the count, so nothing is dropped.
-    assert sequential.compress_jq("\n".join(["[", *item * 20, "]"])) == "\n".join(["[", *item * 20, "]"])
+    assert jq("\n".join(["[", *item * 20, "]"])) == "\n".join(["[", *item * 20, "]"])
     # An opening bracket inside what is dropped stays and leaves the count alone.
     nested = ["[", *flat * 11, "  {", "    [", "      {", "    ]", "tail", *flat * 10]
-    got = sequential.compress_jq("\n".join(nested)).split("\n")
+    got = jq("\n".join(nested)).split("\n")
     assert got == ["[", *flat * 10, "    [", "    ... 2 more elements", "    ]", "tail", *flat * 10]
     tabs = ["\t[", *["\t\t{", "\t\t}"] * 30, "\t]"]
-    assert "    ... 20 more elements" in sequential.compress_jq("\n".join(tabs)).split("\n")
+    assert "    ... 20 more elements" in jq("\n".join(tabs)).split("\n")
 
 
 def test_summary_header_is_delimited(spark):

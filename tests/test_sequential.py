@@ -2,65 +2,6 @@ from lineflow.operators import sequential as s
 from lineflow.streaming.filter import LineState, filter_stream, flush, process_line
 
 
-def test_go_traces_collapse():
-    block = "goroutine {} [running]:\nmain.f()\n\t/a.go:1\nruntime.goexit()\n\t/r.s:2\n"
-    got = s.compress_go_traces("head\n" + block.format(1) + "\n" + block.format(2) + "\ntail")
-    assert got.split("\n") == ["head", "goroutine 1 [running]:", "main.f()", "\t/a.go:1", "", "[... 1 more goroutine with identical stack]", "", "tail"]
-    assert s.compress_go_traces("plain") == "plain"
-    one = "goroutine 1 [running]:\na()\n\nlost\ngoroutine 2 [x]:\nb()\ngoroutine 3 [y]:\nb()\ngoroutine 4 [y]:\nb()\nc()\n\td\n\te\nf()\n\tg"
-    assert s.compress_go_traces(one).split("\n") == ["goroutine 1 [running]:", "a()", "", "goroutine 2 [x]:", "b()", "[... 1 more goroutine with identical stack]", "", "goroutine 4 [y]:", "b()", "c()", "\td", "f()", "\tg", "\te"]
-    alone = "goroutine 1 [running]:\nruntime.goexit()\n\tx\n\ngoroutine 2 [running]:\nmain.f()"
-    assert s.compress_go_traces(alone) == alone
-
-
-def test_python_traces():
-    frames = "".join(f'  File "f{i}.py", line {i}, in g\n    c{i}\n' for i in range(7))
-    got = s.compress_python_traces(f"Traceback (most recent call last):\n{frames}ValueError: x")
-    assert "[... 5 more frames]" in got and "f0.py" in got and "f6.py" in got and "f3.py" not in got
-    short = s.compress_script_traces(f"Traceback (most recent call last):\n{frames}ImportError: x")
-    assert short.count("File") == 7
-    assert "  ... 5 more frames ..." in s.compress_script_traces(f"Traceback (most recent call last):\n{frames}ValueError: x")
-
-
-def test_python_exception_text_belongs_to_the_trace():
-    frames = "".join(f'  File "f{i}.py", line {i}, in g\n' + (f"    c{i}\n" if i % 2 else "") for i in range(6))
-    text = f"Traceback (most recent call last):\n{frames}ValueError: x\nTraceback (most recent call last):\n\nend"
-    got = s.compress_python_traces(text).split("\n")
-    assert got == ["Traceback (most recent call last):", '  File "f0.py", line 0, in g', "  [... 4 more frames]", '  File "f5.py", line 5, in g', "    c5", "ValueError: x", "Traceback (most recent call last):", "", "end"]
-
-
-def test_node_traces():
-    got = s.compress_node_traces("TypeError: x\n    at a (s.js:1)\n    at b (s.js:2)\n    at c (s.js:3)\n    at d (node_modules/x)\n    at e (node:i)\nend")
-    assert got.split("\n") == ["TypeError: x", "    at a (s.js:1)", "    at b (s.js:2)", "    [... 1 node_modules frames, 1 node internals, 1 more app frames]", "end"]
-    for head, folds in (("  Uncaught Error: x", True), ("Exception: x", True), ("error: x", False), ("Error:x", False), ("Oops: Error: x", False)):
-        assert ("[... 1 node_modules frames]" in s.compress_node_traces(f"{head}\n  at d (node_modules/x)")) == folds, head
-
-
-def test_jq_and_tree():
-    text = "\n".join(["["] + ["{", "}"] * 30 + ["]"])
-    assert "  ... 20 more elements" in s.compress_jq(text) and s.compress_jq("[\n]") == "[\n]"
-    tree = "\n".join([".", "├── a", "│   ├── b", "│   │   ├── c", "│   │   │   ├── f.go", "├── p", "│   ├── q.txt", "├── r", "│   ├── s", "│   ├── t.txt", "", "3 directories, 2 files"] + ["├── z.txt"] * 20)
-    # The root's next line is no deeper, so it starts no chain; c has the file under it and ends one.
-    assert s.compress_tree(tree).split("\n")[:11] == [".", "├── a/b/c", "│   │   │   ├── f.go", "├── p", "│   ├── q.txt", "├── r", "├── s", "│   ├── t.txt", "", "3 directories, 2 files", "├── z.txt"]
-
-
-def test_console_blocks():
-    block = "  console.log\n    hi\n      at f (a.js:1:2)\n\n"
-    assert s.strip_console(block * 3 + "PASS x") == "    hi\n    ... and 2 identical console blocks\nPASS x"
-    assert s.strip_console(block * 2 + "PASS x") == "    hi\n    ... and 1 identical console blocks\nPASS x"
-    assert s.strip_console(block * 2 + "PASS x", drop_all=True) == "  [lineflow: 2 console.* log blocks dropped — run passed]\nPASS x"
-    gap = "  console.log\n    hi\n\n      at f (a.js:1:2)\n"
-    assert s.strip_console(gap) == gap
-    inside = "  console.warn\n    a\n   \n    b\n      at f (a.js:1:2)\nx"
-    assert s.strip_console(inside) == "    a\n   \n    b\nx"
-    stack = "  console.error\n    Error: a\n      at f (a.js:1:2)\n      at g (a.js:1:2)\nx"
-    assert s.strip_console(stack) == stack
-    green, red = block + "Tests: 2 passed, 2 total", block + "Tests: 1 failed, 2 total"
-    assert s.console(green) == "  [lineflow: 1 console.* log block dropped — run passed]\nTests: 2 passed, 2 total"
-    assert s.console(red) == s.console(green, False).replace("2 passed", "1 failed") == "    hi\nTests: 1 failed, 2 total"
-    assert s.console(block + "done") == "    hi\ndone"
-
-
 def test_rate_limit_and_lru(spark):
     rows = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 2, "a"), (1, 2, 3, "b"), (1, 60_000_000, 4, "a"), (2, 0, 5, "a")], "tool long, us long, id long, key string")
     got = {r["id"]: r["allowed"] for r in s.rate_limit(rows, 1, 2).collect()}
