@@ -11,7 +11,7 @@ from __future__ import annotations
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
 from lineflow.operators import classify
-from lineflow.operators.generic import LAST, PREVIOUS, UPTO, renumber
+from lineflow.operators.generic import PREVIOUS, UPTO, renumber
 
 # How the tools print what the operators look for.
 CONSOLE = r"^\s*console\.(log|warn|error|info|debug)\s*$"
@@ -29,7 +29,7 @@ TREE_SUMMARY = r"^\d+ director(y|ies), \d+ files?"
 
 #: Order of a running window inside an island.
 INSIDE = "order by pos rows between unbounded preceding and current row"
-LINE, EMPTY = "line", "''"
+LINE, TEXT, SIZE, EMPTY = "line", "text", "size", "''"
 BEFORE = "partition by doc order by pos rows between unbounded preceding and 1 preceding"
 
 
@@ -96,17 +96,17 @@ def console(d: Dialect, src: str, drop: str = "false", name: str = "lineflow") -
     four = f"(select *, case when e is not null and coalesce({d.last_value('e', BEFORE)}, -1) <> e then i end as begins from {three} k3)"
     five = f"(select *, {d.last_value('begins', UPTO)} as b, {d.last_value('case when begins is not null then e end', UPTO)} as z from {four} k4)"
     six = f"(select *, coalesce(i <= z or (i = z + 1 and line = ''), false) as inside from {five} k5)"
-    body = f"coalesce({d.agg_join('case when i > b and i < z then line end', 'pos', chr(10))}, '')"
-    block = f"(select doc, b, min(pos) as pos, max(i) as last_i, max({_flag(drop)}) as dropped, {body} as message from {six} k6 where inside group by doc, b)"
-    by = "partition by doc order by b"
-    seven = f"(select *, {_flag(f'coalesce(lag(last_i) over ({by}) + 1 = b and message = lag(message) over ({by}), false)')} as same, row_number() over ({by}) as nth, count(*) over (partition by doc) as blocks from {block} k7)"
-    eight = f"(select *, sum(1 - same) over ({by} rows between unbounded preceding and current row) as run from {seven} k8)"
-    nine = f"(select *, count(*) over (partition by doc, run) - 1 as others from {eight} k9)"
+    # A block is one row, and so is every other line.
+    key = "case when inside then -b else pos + 1 end"
+    shown = "case when not inside or (i > b and i < z) then line end"
+    seven = f"(select doc, min(pos) as pos, max({_flag('inside')}) as block, max({_flag(f'inside and {drop}')}) as dropped, coalesce({d.agg_join(shown, 'pos', chr(10))}, '') as message, {d.first_by('line', 'pos')} as plain from {six} k6 group by doc, {key})"
+    eight = f"(select *, {_flag(f'block = 1 and coalesce(lag(block) over ({PREVIOUS}) = 1 and message = lag(message) over ({PREVIOUS}), false)')} as same, sum(block) over ({UPTO}) as nth, sum(block) over (partition by doc) as blocks from {seven} k7)"
+    nine = f"(select *, sum(1 - same) over ({UPTO}) as run from {eight} k8)"
+    ten = f"(select *, count(*) over (partition by doc, run) - 1 as others from {nine} k9)"
     again = f"case when others > 0 and message <> '' then concat({T.leading_text(d, 'message')}, '... and ', {_int('others')}, ' identical console blocks') end"
     marker = f"concat('  [{name}: ', {_int('blocks')}, ' console.* log block', case when blocks > 1 then 's' else '' end, ' dropped — run passed]')"
-    texts = f"case when dropped = 1 then {d.array(marker)} when message = '' then {d.array(again)} else {d.append(d.split('message', chr(10)), again)} end"
-    lines = _exploded(d, f"{nine} k10", texts, "(dropped = 1 and nth = 1) or (dropped = 0 and same = 0)")
-    return f"(select doc, pos, cast(0 as bigint) as sub, line from {six} k11 where not inside union all select doc, pos, sub, line from {lines} k12)"
+    texts = f"case when block = 0 then {d.array('plain')} when dropped = 1 then {d.array(f'case when nth = 1 then {marker} end')} when message = '' then {d.array('cast(null as varchar(9))')} else {d.append(d.split('message', chr(10)), again)} end"
+    return _exploded(d, f"{ten} k10", texts, "same = 0 or dropped = 1")
 
 
 def go_traces(d: Dialect, src: str) -> str:
@@ -124,19 +124,20 @@ def go_traces(d: Dialect, src: str) -> str:
     order = "partition by doc, g order by pos"
     five = f"(select *, body and {d.starts('line', chr(9))} and coalesce(lag(call) over ({order}), false) as place, call and {d.match('t', GO_RUNTIME)} as runtime from {four} g5)"
     six = f"(select *, runtime or (place and coalesce(lag(runtime) over ({order}), false)) as quiet, sum({_flag('call')}) over (partition by doc, g) as frames, sum({_flag('call and not runtime')}) over (partition by doc, g) as others from {five} g6)"
-    shown = "body and t <> ''"
-    dump = f"(select doc, g, min(pos) as at0, coalesce({d.agg_join(f'case when {shown} then line end', 'pos', chr(10))}, '') as text, cast(sum({_flag(shown)}) as bigint) as size from {six} g7 where own group by doc, g)"
-    by = "partition by doc order by g"
-    seven = f"(select *, {_flag(f'coalesce(text = lag(text) over ({by}) and size = lag(size) over ({by}), false)')} as same, count(*) over (partition by doc) as dumps from {dump} g8)"
-    eight = f"(select *, sum(1 - same) over ({by} rows between unbounded preceding and current row) as run, sum(same) over (partition by doc) as repeats from {seven} g9)"
-    nine = f"(select doc as ddoc, g as dg, at0, same, repeats, dumps, count(*) over (partition by doc, run) - 1 as more from {eight} g10)"
-    rows = f"(select r.*, at0, same, dumps, coalesce(repeats, 0) > 0 as folds from {six} r left join {nine} s on r.doc = ddoc and r.g = dg)"
-    # In a folded dump lines that belong to no frame come last, the note behind them.
-    cut, loose = "frames > 1 and others > 0", "body and not call and not place"
-    placed = f"(select doc, case when folds and own then at0 else pos end as pos, case when folds and own then pos + case when {cut} and {loose} then {LAST} else 0 end else 0 end as sub, case when not folds then line when own then case when same = 0 and not (body and {cut} and quiet) then line end when g = dumps then line end as line from {rows} q0)"
-    note = f"concat('[... ', {_int('more')}, ' more goroutine', case when more > 1 then 's' else '' end, ' with identical stack]')"
-    notes = f"(select ddoc as doc, at0 as pos, {LAST} * 2 + spot as sub, line from {d.explode(f'(select ddoc, at0, {d.array(note, EMPTY)} as texts from {nine} q1 where same = 0 and more > 0)' + (' q2' if d.name == 'duckdb' else ''), 'ddoc, at0', 'texts', 'spot')} q3)"
-    return f"(select doc, pos, cast(sub as bigint) as sub, line from {placed} q4 where line is not null union all select doc, pos, cast(sub as bigint) as sub, line from {notes} q5)"
+    # A dump is one row, and so is every other line.  Folded, it loses runtime frames where others remain, and its lines
+    # that belong to no frame come last.
+    key, shown, cut = "case when own then -g else pos + 1 end", "body and t <> ''", "frames > 1 and others > 0"
+    seven = f"(select *, {_flag(f'{cut} and body and not call and not place')} as late from {six} g7)"
+    eight = f"""(select doc, min(pos) as pos, max(g) as g, max({_flag('own')}) as dump, coalesce({d.agg_join(f'case when {shown} then line end', 'pos', chr(10))}, '') as text, cast(sum({_flag(shown)}) as bigint) as size,
+        {d.agg_join('line', 'pos', chr(10))} as whole, {d.agg_join(f'case when not (body and {cut} and quiet) then line end', 'late, pos', chr(10))} as folded from {seven} g8 group by doc, {key})"""
+    last = lambda x: d.last_value(f"case when dump = 1 then {x} end", BEFORE)
+    nine = f"(select *, {_flag(f'dump = 1 and coalesce(text = {last(TEXT)} and size = {last(SIZE)}, false)')} as same, sum(dump) over (partition by doc) as dumps from {eight} g9)"
+    ten = f"(select *, sum(dump - same) over ({UPTO}) as run, sum(same) over (partition by doc) as repeats from {nine} g10)"
+    eleven = f"(select *, sum(dump) over (partition by doc, run) - 1 as more from {ten} g11)"
+    note = f"case when more > 0 then concat('[... ', {_int('more')}, ' more goroutine', case when more > 1 then 's' else '' end, ' with identical stack]') end"
+    lines = d.split("folded", chr(10))
+    texts = f"case when repeats = 0 then {d.split('whole', chr(10))} when dump = 1 then {d.append(d.append(lines, note), f'case when more > 0 then {EMPTY} end')} else {d.array('whole')} end"
+    return _exploded(d, f"{eleven} g12", texts, "repeats = 0 or (dump = 1 and same = 0) or (dump = 0 and (g = 0 or g = dumps))")
 
 
 def _folded(d: Dialect, src: str, folds: str, marker: str) -> str:

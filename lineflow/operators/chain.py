@@ -6,7 +6,7 @@ one join of lines; Catalyst sees each of them as one plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from itertools import groupby
 
@@ -176,6 +176,22 @@ def build(config: Config, kind: str = "generic", cwd: str = "/home/u/app", home:
     return Chain(tuple(steps))
 
 
+def declared(d: Dialect, src: str, steps: Sequence[Step]) -> str:
+    """A chain of line and text steps over (doc, text) as one declaration (doc, text), for either engine (U-01)."""
+    alias = lambda k: f" c{k}" if d.name == "duckdb" else ""
+    text = f"(select doc, {generic.crlf(d, 'text')} as text from {src})"
+    for k, (by_lines, group) in enumerate(groupby(steps, key=lambda s: s.lines is not None)):
+        if not by_lines:
+            for step in group:
+                text = f"(select doc, {step.text(d, 'text')} as text from {text} t{k})"
+            continue
+        lines = generic.split_lines(d, text + alias(k))
+        for j, step in enumerate(group):
+            lines = step.lines(d, f"{generic.renumber(d, f'{lines} r{k}_{j}') if j else lines} l{k}_{j}")
+        text = generic.assemble(d, f"{lines} a{k}")
+    return text
+
+
 def build_stderr(config: Config) -> Chain:
     """What is done to stderr: escape codes, secrets, warnings of several workers; nothing that changes its structure (F-15)."""
     steps = [Step("strip_ansi", lines=generic.strip_ansi_lines)] if config.strip_ansi else []

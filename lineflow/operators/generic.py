@@ -78,10 +78,13 @@ def collapse_node_warnings(d: Dialect, src: str) -> str:
     four = f"(select *, case when coalesce(body = lag(body) over ({by}), false) then 0 else 1 end as starts from {three} w3)"
     five = f"(select *, sum(starts) over ({by} rows between unbounded preceding and current row) as run from {four} w4)"
     six = f"(select *, cast(count(*) over (partition by doc, run) - 1 as bigint) as others, max(unit) over (partition by doc, run) as last_unit from {five} w5)"
-    count = "case when others > 0 and unit = last_unit then concat('... and ', cast(others as varchar(20)), case when others = 1 then ' identical warning' else ' identical warnings' end, ' from other workers') end"
-    lines = f"(select doc, pos, size, case when starts = 1 then {d.split('text', chr(10))} end as kept, {count} as marker from {six} w6 where starts = 1 or unit = last_unit)"
-    kept = d.explode(f"(select doc, pos as at0, kept from {lines} w7 where kept is not null)" + (" w8" if d.name == "duckdb" else ""), "doc, at0", "kept")
-    return f"(select doc, at0 + pos as pos, cast(0 as bigint) as sub, line from {kept} w9 union all select doc, pos + size - 1 as pos, cast(1 as bigint) as sub, marker as line from {lines} w10 where marker is not null)"
+    # One row per unit carries what is left of it: its lines if it begins a run, the marker if it ends one.
+    marker = "concat('... and ', cast(others as varchar(20)), case when others = 1 then ' identical warning' else ' identical warnings' end, ' from other workers')"
+    ends = "others > 0 and unit = last_unit"
+    texts = f"case when starts = 1 then {d.split('text', chr(10))} else {d.array(f'case when {ends} then {marker} end')} end"
+    # A run of several begins and ends in different units.
+    lines = d.explode(f"(select doc, pos as at0, size, starts, {texts} as texts from {six} w6 where starts = 1 or {ends})" + (" w7" if d.name == "duckdb" else ""), "doc, at0, size, starts", "texts", "spot")
+    return f"(select doc, case when starts = 1 then at0 + spot else at0 + size - 1 end as pos, cast(1 - starts as bigint) as sub, line from {lines} w8)"
 
 
 #: Secrets, in order of application: pattern and replacement.

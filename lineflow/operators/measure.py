@@ -59,7 +59,7 @@ def clock(d: Dialect, us: str) -> str:
     return f"concat(lpad(cast({d.div(minute, '60')} % 24 as varchar(20)), 2, '0'), ':', lpad(cast({minute} % 60 as varchar(20)), 2, '0'))"
 
 
-def _printed(d: Dialect, src: str, columns: str, nth: str) -> str:
+def printed(d: Dialect, src: str, columns: str, nth: str) -> str:
     """(nth, line): the texts of the column `texts` of src, those that are null left out; `nth` may use `columns` and the
     place of a text, `spot`."""
     return f"(select cast({nth} as bigint) as nth, line from {d.explode(src, columns, 'texts', 'spot')} p0 where line is not null)"
@@ -79,7 +79,7 @@ def report_lines(d: Dialect, src: str, period: str, name: str = "Lineflow") -> s
     tips = f"case when tip is not null then {d.array('case when j = 1 then ' + chr(39) * 2 + ' end', 'case when j = 1 then ' + d.lit('Quality Insights:') + ' end', tip)} end"
     cells = f"(select *, row_number() over (partition by level order by name) as i, row_number() over (order by case when tip is null then 1 else 0 end, tip desc, message) as j from {_cells(d, src)} c0)"
     parts = f"(select level, i, j, 0 as part, {body} as texts from {cells} c1 union all select level, i, j, 1 as part, {tips} as texts from {cells} c2 where tip is not null)"
-    return _printed(d, f"{parts} c3", "level, i, j, part", f"case when part = 1 then {LAST} + 7 + 3 * j + spot when level = 'total' then spot when level = 'type' then 100 + i else {LAST} + spot end")
+    return printed(d, f"{parts} c3", "level, i, j, part", f"case when part = 1 then {LAST} + 7 + 3 * j + spot when level = 'total' then spot when level = 'type' then 100 + i else {LAST} + spot end")
 
 
 def last_lines(d: Dialect, src: str, n: int, name: str = "Lineflow") -> str:
@@ -97,7 +97,7 @@ def last_lines(d: Dialect, src: str, n: int, name: str = "Lineflow") -> str:
     head = [f"concat({d.lit(f'{name} — Last ')}, cast(n as varchar(20)), ' invocations')", d.lit("=" * 78), "''", d.printf("  %-4s %-5s  %-28s %7s %7s %7s %6s %7s", *map(d.lit, ("#", "TIME", "COMMAND", "RAW", "CLEAN", "SAVED", "REDUC", "QUAL"))), d.lit("  " + "-" * 74)]
     texts = [f"case when i = 1 then {x} end" for x in head] + [f"case when i is null then 'No measurement entries found.' else {line} end", f"case when i = n then {d.lit('  ' + '-' * 74)} end", f"case when i = n then {total} end"]
     rows = f"(select i, {d.array(*texts)} as texts from (select 0 as one) z2 left join {entries} z3 on one = 0)"
-    return _printed(d, f"{rows} z4", "i", "coalesce(i, 0) * 10 + spot")
+    return printed(d, f"{rows} z4", "i", "coalesce(i, 0) * 10 + spot")
 
 
 def session_summary(d: Dialect, src: str) -> str:

@@ -26,18 +26,33 @@ def runner_result(d: Dialect, src: str) -> str:
     return f"(select doc, case when {d.bool_or("v = 'FAIL'")} then 'FAIL' when {d.bool_or("v = 'PASS'")} then 'PASS' end as verdict from (select doc, {classify.runner_verdict(d, 'line')} as v from {src}) r0 group by doc)"
 
 
-def summary(d: Dialect, src: str, exit_code: str = "-1", threshold: int = 100) -> str:
-    """One row per document of `threshold` lines or more: counts, first lines and verdict (A-02, A-03), in one aggregation."""
+def resolved(d: Dialect, stdout: str, stderr: str, exit_code: str, fails: str, passes: str) -> str:
+    """PASS, FAIL or unknown from the strongest signal: the runner's totals on stdout, those on stderr, the exit code, and
+    where that is unknown (-1) what lines say (A-03)."""
+    return f"case when {stdout} is not null then {stdout} when {stderr} is not null then {stderr} when {exit_code} = 0 then 'PASS' when {exit_code} > 0 then 'FAIL' when {fails} then 'FAIL' when {passes} then 'PASS' else 'unknown' end"
+
+
+def _runner(d: Dialect) -> str:
+    return f"case when {d.bool_or("v = 'FAIL'")} then 'FAIL' when {d.bool_or("v = 'PASS'")} then 'PASS' end"
+
+
+def summary(d: Dialect, src: str, exit_code: str = "-1", threshold: int = 100, stderr: str = "") -> str:
+    """One row per document of `threshold` lines or more: counts, first lines and verdict (A-02, A-03), in one aggregation.
+
+    `stderr`, lines (doc, pos, line) of the other stream, only helps with the verdict.
+    """
     exit_ = f"({exit_code})"
     one = f"(select *, {d.match('t', P.RESULT_FAIL)} as fails, {d.match('t', P.RESULT_PASS)} as passes, {classify.runner_verdict(d, 'line')} as v, case when level >= {P.ERROR} then 2 when level = {P.WARNING} then 1 else 0 end as class from {context_levels(d, src)} m0)"
     two = f"(select *, row_number() over (partition by doc, class order by pos) as nth from {one} m1)"
     first = lambda c, k: f"coalesce(max(case when class = {c} and nth = {k} then substr(t, 1, 120) end), '')"
-    files = f"(select doc, cast(count(distinct f) as bigint) as n_files from {d.explode('(select doc, ' + d.all('line', P.SUMMARY_PATH, 1) + ' as fs from ' + src + ') ' + ('e0' if d.name == 'duckdb' else ''), 'doc', 'fs', 'i', 'f')} e1 group by doc)"
+    files = f"(select doc as fdoc, cast(count(distinct f) as bigint) as n_files from {d.explode('(select doc, ' + d.all('line', P.SUMMARY_PATH, 1) + ' as fs from ' + src + ') ' + ('e0' if d.name == 'duckdb' else ''), 'doc', 'fs', 'i', 'f')} e1 group by doc)"
     agg = f"""(select doc, cast(count(*) as bigint) as n_lines, {d.int_sum(d.octets('line') + ' + 1')} as n_bytes, {d.int_sum('case when class = 2 then 1 else 0 end')} as n_errors,
         {d.int_sum('case when class = 1 then 1 else 0 end')} as n_warnings, {first(2, 1)} as error_1, {first(2, 2)} as error_2, {first(2, 3)} as error_3, {first(1, 1)} as warning_1, {first(1, 2)} as warning_2,
-        case when {d.bool_or("v = 'FAIL'")} then 'FAIL' when {d.bool_or("v = 'PASS'")} then 'PASS' when {exit_} = 0 then 'PASS' when {exit_} > 0 then 'FAIL' when {d.bool_or('fails')} then 'FAIL' when {d.bool_or('passes')} then 'PASS' else 'unknown' end as verdict
+        {_runner(d)} as stdout_says, {d.bool_or('fails')} as fails, {d.bool_or('passes')} as passes
         from {two} m2 group by doc having count(*) >= {threshold})"""
-    return f"(select a.doc, n_lines, n_bytes, n_errors, n_warnings, error_1, error_2, error_3, warning_1, warning_2, coalesce(n_files, 0) as n_files, verdict from {agg} a left join {files} f on a.doc = f.doc)"
+    other = f"(select doc as rdoc, {_runner(d)} as stderr_says from (select doc, {classify.runner_verdict(d, 'line')} as v from {stderr}) r0 group by doc)" if stderr else "(select cast(null as bigint) as rdoc, cast(null as varchar(9)) as stderr_says)"
+    verdict = resolved(d, "stdout_says", "stderr_says", exit_, "fails", "passes")
+    return f"(select a.doc, n_lines, n_bytes, n_errors, n_warnings, error_1, error_2, error_3, warning_1, warning_2, coalesce(n_files, 0) as n_files, {verdict} as verdict from {agg} a left join {files} f on a.doc = f.fdoc left join {other} r on a.doc = r.rdoc)"
 
 
 def summary_header(d: Dialect, src: str, exit_code: str = "-1", name: str = "lineflow") -> str:

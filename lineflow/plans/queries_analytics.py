@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineflow.functions import text as T
 from lineflow.functions.dialect import Dialect
-from lineflow.operators import generic, learn, measure, search
+from lineflow.operators import generic, learn, measure, search, tables
 from lineflow.plans import fixtures, views
 from lineflow.plans.catalog import query
 
@@ -126,12 +126,48 @@ def contribution(d: Dialect) -> str:
     return f"select *, cast(row_number() over (order by bytes_before - bytes_after desc, step) as bigint) as rank from ({' union all '.join(rows)}) ranked"
 
 
-@query("j03_parity")
-def parity(d: Dialect) -> str:
+def _parity(d: Dialect) -> str:
     rate = lambda f, w: f"(select source as name, round({d.double(d.int_sum(d.octets('text') + ' - ' + d.octets(f)))} / {d.double(d.int_sum(d.octets('text')))} * 100, 6) as reduction from {views.documents(d)} v where {w} group by source)"
     base = rate(generic.normalise_whitespace(d, "text"), "source <> 'src3'")
     other = rate(d.sub("text", "[.,!?]", ""), "source <> 'src5'")
-    return f"select * from {measure.parity(d, base, other, 1)} q"
+    return measure.parity(d, base, other, 1)
+
+
+query("j03_parity")(lambda d: f"select * from {_parity(d)} q")
+query("k06_parity")(lambda d: f"select nth, line from {tables.parity_table(d, _parity(d) + ' p', 'plain', 'bare', 1)} q")
+query("k06_parity_json")(lambda d: f"select json from {tables.parity_json(d, _parity(d) + ' p', 'plain', 'bare', 1)} q")
+
+
+def _scores(d: Dialect) -> str:
+    return f"(select concat('doc', cast(doc as varchar(20))) as name, important, preserved, score from {measure.quality(d, views.command_lines(d, 'test') + ' v', _clean(d))} q) s"
+
+
+def _steps(d: Dialect) -> str:
+    return f"(select rank as nth, step, bytes_before, bytes_after, bytes_before % 5000 as us from ({contribution(d)}) c) s"
+
+
+def _latency(d: Dialect) -> str:
+    """Clean sizes of the measurements, taken as microseconds."""
+    one = f"(select 1 as one, clean_bytes as us from {_m(d)})"
+    ps = f"{measure.percentiles(d, one + ' o', 'one', 'us')} p"
+    return f"(select p.n as iterations, total as bytes, least_v as min_us, most_v as max_us, mean as mean_us, p50 as p50_us, p95 as p95_us, p99 as p99_us from {ps} cross join (select {d.int_sum('raw_bytes')} as total, cast(floor(avg(clean_bytes)) as bigint) as mean from {_m(d)}) t) l"
+
+
+def _modes(d: Dialect) -> str:
+    return f"(select mode, words * 2 as raw_tokens, words as clean_tokens, {d.double('50')} as reduction, {d.double('docs % 100')} as quality from ({modes(d)}) m) s"
+
+
+query("k06_quality")(lambda d: f"select nth, line from {tables.quality_table(d, _scores(d))} q")
+query("k06_quality_json")(lambda d: f"select json from {tables.quality_json(d, _scores(d))} q")
+query("k06_steps")(lambda d: f"select nth, line from {tables.steps_table(d, _steps(d), 'log')} q")
+query("k06_steps_json")(lambda d: f"select json from {tables.steps_json(d, _steps(d), 'log')} q")
+query("k06_latency")(lambda d: f"select nth, line from {tables.latency_table(d, _latency(d))} q")
+query("k06_latency_json")(lambda d: f"select json from {tables.latency_json(d, _latency(d))} q")
+query("k06_modes")(lambda d: f"select nth, line from {tables.modes_table(d, _modes(d))} q")
+query("k06_modes_json")(lambda d: f"select json from {tables.modes_json(d, _modes(d))} q")
+query("k06_suggestions")(lambda d: f"select nth, line from {tables.suggestions_table(d, learn.analyse(d, _observed(d) + ' o', least=0.01), learn.statistics(d, _observed(d) + ' o'))} q")
+query("k06_status")(lambda d: f"select nth, line from {tables.status_table(d, learn.statistics(d, _observed(d) + ' o') + ' s', '1234')} q")
+query("k06_status_empty")(lambda d: f"select nth, line from {tables.status_table(d, learn.statistics(d, '(select * from ' + _observed(d) + ' o where session = ' + d.lit('none') + ') e') + ' s')} q")
 
 
 @query("j04_snapshot_changed")

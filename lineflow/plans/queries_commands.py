@@ -78,6 +78,7 @@ BUILDERS["p09_context_levels"] = lambda d: f"select doc, pos, cast(level as int)
 BUILDERS["a02_summary"] = lambda d: f"select * from {summary.summary(d, _tests(d) + ' v')} q"
 BUILDERS["a02_summary_log"] = lambda d: f"select * from {summary.summary(d, views.log_lines(d) + ' v', '1')} q"
 BUILDERS["a02_summary_header"] = lambda d: f"select * from {summary.summary_header(d, _tests(d) + ' v')} q"
+BUILDERS["a03_two_streams"] = lambda d: f"select doc, verdict from {summary.summary(d, views.log_lines(d) + ' v', 'doc % 3 - 1', 100, '(select doc, pos, line from ' + _tests(d) + ' t where doc % 2 = 0) e')} q"
 BUILDERS["a04_runner_result"] = lambda d: f"select doc, verdict from {summary.runner_result(d, _mixed(d) + ' v')} q"
 BUILDERS["t01_truncate"] = lambda d: f"select doc, pos, sub, line from {summary.truncate(d, _tests(d) + ' v', 50)} q"
 BUILDERS["t01_truncate_30"] = lambda d: f"select doc, pos, sub, line from {summary.truncate(d, _mixed(d) + ' v', 30)} q"

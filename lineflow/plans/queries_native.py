@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineflow.functions.dialect import Duck, Spark
-from lineflow.operators import contain, generic, measure, sequential
+from lineflow.config import Config
+from lineflow.operators import chain, contain, generic, measure, sequential
 from lineflow.plans import views
 from lineflow.plans.catalog import NATIVE_ORACLES, native
 from lineflow.session import shared_path, table
@@ -147,3 +148,22 @@ def step_snapshot(spark, sf_dir):
 
 
 NATIVE_ORACLES["s13_step_snapshot"] = "select 'now' as generated_at, event_type as filter, sum(event_id)::bigint as bytes_before, count(*) as bytes_after, 1.5::double as reduction_pct, null::bigint as duration_us, count(*) as invocations from events group by event_type"
+
+
+#: The assembled chain of a type, up to its summary: what the settings and the registry put together, run by Chain.apply,
+#: held against the same steps as one declaration.
+def _chain(kind):
+    built = chain.build(Config(), kind)
+    return chain.Chain(tuple(s for s in built.steps if s.frame is None and s.name != "truncate"))
+
+
+def _assembled_chain(kind, lines):
+    name = f"u01_chain_{kind}"
+    texts = lambda d: f"(select doc, text from {generic.assemble(d, lines(d) + ' v', sub=False)} t)"
+    native(name)(lambda spark, sf_dir: _chain(kind).apply(spark.sql(f"select * from {texts(Spark(sf_dir))} q")))
+    NATIVE_ORACLES[name] = f"select doc, coalesce(text, '') as text from {chain.declared(Duck(), texts(Duck()) + ' q', _chain(kind).steps)} c"
+
+
+_assembled_chain("npm", lambda d: views.command_lines(d, "npm"))
+_assembled_chain("python", lambda d: views.command_lines(d, "python"))
+_assembled_chain("generic", views.log_lines)
