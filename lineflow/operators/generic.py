@@ -46,10 +46,12 @@ def normalise_whitespace(d: Dialect, x: str) -> str:
 
 def dedup(d: Dialect, src: str) -> str:
     """Runs of equal lines become the first and a marker (F-05)."""
-    return f"""(select doc, pos, cast(k as bigint) as sub, case when k = 0 then line else concat('  ... (', cast(n - 1 as varchar(20)), case when n = 2 then ' duplicate line)' else ' duplicate lines)' end) end as line
-        from (select doc, min(pos) as pos, min(line) as line, cast(count(*) as bigint) as n from (select *, sum(case when same then 0 else 1 end) over ({UPTO}) as run
-            from (select doc, pos, line, coalesce(line = lag(line) over ({PREVIOUS}), false) as same from {src}) r0) r1 group by doc, run) r2
-        cross join (select 0 as k union all select 1 as k) two where k = 0 or n > 1)"""
+    runs = f"""(select doc, min(pos) as at0, min(line) as first, cast(count(*) as bigint) as n from (select *, sum(case when same then 0 else 1 end) over ({UPTO}) as run
+            from (select doc, pos, line, coalesce(line = lag(line) over ({PREVIOUS}), false) as same from {src}) r0) r1 group by doc, run)"""
+    marker = "concat('  ... (', cast(n - 1 as varchar(20)), case when n = 2 then ' duplicate line)' else ' duplicate lines)' end)"
+    texts = f"case when n > 1 then {d.array('first', marker)} else {d.array('first')} end"
+    rows = d.explode(f"(select doc, at0, {texts} as texts from {runs} r2)" + (" r3" if d.name == "duckdb" else ""), "doc, at0", "texts", "spot")
+    return f"(select doc, at0 as pos, spot as sub, line from {rows} r4)"
 
 
 def dedup_text(d: Dialect, src: str, keep: str = "") -> str:

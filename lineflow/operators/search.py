@@ -103,13 +103,24 @@ def _between(d: Dialect, files: str) -> str:
     return f"select path, cast({BEFORE} as bigint) as pos, cast(0 as bigint) as sub, '' as line from {files} b0 where path <> (select {d.first_by('path', order)} from {files} b1)"
 
 
+def _listed(d: Dialect, rows: str, texts: Sequence[str], pos: str, sub: str) -> str:
+    """(path, pos, sub, line): the texts of every row that aren't null; `pos` and `sub` may use their place `spot`."""
+    listed = d.explode(f"(select path, pos as at0, {d.array(*texts)} as texts from {rows})" + (" y0" if d.name == "duckdb" else ""), "path, at0", "texts", "spot")
+    return f"(select path, cast({pos} as bigint) as pos, cast({sub} as bigint) as sub, line from {listed} y1 where line is not null)"
+
+
+def _later(d: Dialect, files: str) -> str:
+    """Whether a file isn't the first with matches in walk order."""
+    return f"path <> (select {d.first_by('path', d.split('path', '/'))} from {files} b1)"
+
+
 def scan(d: Dialect, src: str, pattern: str, width: int = 120) -> str:
     """`Nx path` and its matches, each line cut to `width` (H-04, T-10): (path, pos, sub, line)."""
     m = f"{matches(d, src, pattern)} m"
     text = T.ellipsis(d, f"concat('  ', {_number('pos')}, ': ', {d.trim('line')})", width)
-    files = f"(select path, count(*) as n from {m} group by path)"
-    return f"""({_between(d, files)} union all select path, cast({HEADER} as bigint) as pos, cast(0 as bigint) as sub, concat(cast(n as varchar(20)), 'x ', path) as line from {files} f
-        union all select path, pos, cast(0 as bigint) as sub, {text} as line from {m})"""
+    one = f"(select *, row_number() over ({ORDER}) as i, count(*) over (partition by path) as n from {m})"
+    texts = [f"case when i = 1 and {_later(d, matches(d, src, pattern))} then '' end", "case when i = 1 then concat(cast(n as varchar(20)), 'x ', path) end", text]
+    return _listed(d, f"{one} s0", texts, f"case spot when 0 then {BEFORE} when 1 then {HEADER} else at0 end", "0")
 
 
 def detail(d: Dialect, src: str, pattern: str, context: int = 3) -> str:
@@ -119,10 +130,11 @@ def detail(d: Dialect, src: str, pattern: str, context: int = 3) -> str:
     hit = d.match("line", pattern) if pattern else "false"
     one = f"(select *, max(case when hit then 1 else 0 end) over ({ORDER} rows between {context} preceding and {context} following) as near from (select path, pos, line, {hit} as hit from {src}) d0)"
     two = f"(select *, pos - lag(pos) over ({ORDER}) as gap from {one} d1 where near = 1)"
-    files = f"(select distinct path from {matches(d, src, pattern)} m)"
-    return f"""({_between(d, files)} union all select path, pos, cast(2 as bigint) as sub, concat(case when hit then '> ' else '  ' end, {_number('pos')}, ': ', line) as line from {two} d2
-        union all select path, pos, cast(1 as bigint) as sub, concat('--- ', path, ':', {_number('pos')}, ' ---') as line from {two} d3 where coalesce(gap, 2) > 1
-        union all select path, pos, cast(0 as bigint) as sub, '  ...' as line from {two} d4 where gap > 1)"""
+    texts = [
+        f"case when gap is null and {_later(d, matches(d, src, pattern))} then '' end", "case when gap > 1 then '  ...' end", f"case when coalesce(gap, 2) > 1 then concat('--- ', path, ':', {_number('pos')}, ' ---') end",
+        f"concat(case when hit then '> ' else '  ' end, {_number('pos')}, ': ', line)",
+    ]
+    return _listed(d, f"{two} d2", texts, f"case when spot = 0 then {BEFORE} else at0 end", "greatest(spot - 1, 0)")
 
 
 def definitions(d: Dialect, src: str, pattern: str, width: int = 120) -> str:

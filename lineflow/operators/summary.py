@@ -99,11 +99,12 @@ def _cut(d: Dialect, src: str, most: int, on_failure: str, window: int, cap: int
     pinned = d.lit(" lines omitted; summary pinned below ...]")
     marker = f"concat({d.lit(chr(10) + '[... ')}, cast(gone as varchar(20)), case when pins = 1 and not in_place then {pinned} else {d.lit(' lines omitted ...]' + chr(10))} end)"
     hint = "failed = 1" if on_failure == "hint" else "false"
-    text = f"""case when k = 0 and keep then line when k = 0 and nth = 1 then {marker} when k = 1 and not keep and pin and not in_place then line
-        when k = 2 and {hint} and n > {most} and back = 1 then '[failures detected: rerun with a higher line limit for full context]' end"""
-    place = f"case when k = 1 then pos + 2 when k = 2 then cast({LAST} as bigint) when keep or in_place then cast(0 as bigint) else cast(1 as bigint) end"
-    rows = f"(select doc, case when k = 1 then first_pos else pos end as pos, {place} as sub, {text} as line from {four} v5 cross join (select 0 as k union all select 1 as k union all select 2 as k) v6)"
-    return f"(select doc, pos, cast(sub as bigint) as sub, line from {rows} v7 where line is not null)"
+    texts = [f"case when keep then line when nth = 1 then {marker} end", "case when not keep and pin and not in_place then line end", f"case when {hint} and n > {most} and back = 1 then '[failures detected: rerun with a higher line limit for full context]' end"]
+    place = f"case when k = 1 then at0 + 2 when k = 2 then {LAST} when first_row then 0 else 1 end"
+    # Most lines stay alone, so most arrays have one text.
+    several = f"not keep and pin or {hint} and back = 1"
+    rows = d.explode(f"(select doc, pos as at0, first_pos, keep or in_place as first_row, case when {several} then {d.array(*texts)} else {d.array(texts[0])} end as texts from {four} v5)" + (" v6" if d.name == "duckdb" else ""), "doc, at0, first_pos, first_row", "texts", "k")
+    return f"(select doc, case when k = 1 then first_pos else at0 end as pos, cast({place} as bigint) as sub, line from {rows} v7 where line is not null)"
 
 
 def truncate(d: Dialect, src: str, most: int) -> str:
