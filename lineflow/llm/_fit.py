@@ -48,10 +48,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
+def temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The divisor of the logits with the least cross-entropy on a calibration part, by golden section.
 
-    Targets are smoothed by 1 / (rows + 2), so that a part without errors doesn't ask for certainty.
+    `weight` undoes a balanced sample, so that the part stands for the rows it was drawn from.  Targets are smoothed by
+    1 / (rows + 2), so that a part without errors doesn't ask for certainty.
     """
     if len(y) == 0:
         return 1.0
@@ -60,7 +61,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     target[np.arange(len(y)), y] = 1 - slack
 
     def loss(log_t: float) -> float:
-        return -float((target * np.log(softmax(logits / np.exp(log_t)) + 1e-300)).sum(axis=1).mean())
+        return -float(np.average((target * np.log(softmax(logits / np.exp(log_t)) + 1e-300)).sum(axis=1), weights=weight))
 
     lo, hi, g = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):

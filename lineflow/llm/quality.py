@@ -230,7 +230,7 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ra
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     net = Network(*p, mean, scale)
     if len(hold):
-        net.heat = temperature(net.logits(x[hold]), y[hold])
+        net.heat = temperature(net.logits(x[hold]), y[hold], weight[hold])
     return net
 
 

@@ -46,3 +46,17 @@ def test_long_text_and_clashing_columns(spark):
     labels = spark.createDataFrame([(r[0], 1, 0) for r in good[:100]] + [(r[0], 0, 0) for r in bad] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
     assert len(got) == len(good) + len(bad) and {r["predicted"] for r in got if r["doc_id"] in (900, None)} == {1}
+
+
+def test_temperature_of_a_balanced_sample():
+    """Weights stand for repeated rows."""
+    import numpy as np
+
+    from lineflow.llm._fit import temperature
+
+    r = np.random.default_rng(1)
+    z = r.normal(0, 3, (60, 2))
+    y = (z[:, 1] + r.normal(0, 2, 60) > z[:, 0]).astype(int)
+    weight = np.where(y == 0, 5, 1)
+    some, all_ = temperature(z, y, weight), temperature(np.repeat(z, weight, axis=0), np.repeat(y, weight))
+    assert abs(some / all_ - 1) < 0.05 and abs(some / temperature(z, y) - 1) > 1e-3
