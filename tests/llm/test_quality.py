@@ -55,8 +55,9 @@ def test_temperature_of_a_balanced_sample():
     from lineflow.llm._fit import temperature
 
     r = np.random.default_rng(1)
-    z = r.normal(0, 3, (60, 2))
-    y = (z[:, 1] + r.normal(0, 2, 60) > z[:, 0]).astype(int)
+    z = r.normal(0, 3, (400, 2))
+    y = (z[:, 1] + r.normal(0, np.where(z[:, 1] > 0, 6, 1)) > z[:, 0]).astype(int)
     weight = np.where(y == 0, 5, 1)
     some, all_ = temperature(z, y, weight), temperature(np.repeat(z, weight, axis=0), np.repeat(y, weight))
-    assert abs(some / all_ - 1) < 0.05 and abs(some / temperature(z, y) - 1) > 1e-3
+    assert abs(some / all_ - 1) < 0.05 < abs(some / temperature(z, y) - 1)
+    assert temperature(z, y, np.full(400, 3.0)) == pytest.approx(temperature(z, y))
