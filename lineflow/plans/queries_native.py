@@ -10,7 +10,7 @@ from lineflow.operators import chain, contain, generic, measure, sequential
 from lineflow.plans import views
 from lineflow.plans.catalog import NATIVE_ORACLES, native
 from lineflow.session import shared_path, table
-from lineflow.sources import readers, sinks
+from lineflow.sources import live, readers, sinks
 from lineflow.streaming import filter as stream
 
 native("dt04_rate_limit")(lambda spark, sf_dir: sequential.rate_limit(spark.sql(f"select tool, us, id from {views.requests(Spark(sf_dir))} v"), 1, 2))
@@ -167,3 +167,31 @@ def _assembled_chain(kind, lines):
 _assembled_chain("npm", lambda d: views.command_lines(d, "npm"))
 _assembled_chain("python", lambda d: views.command_lines(d, "python"))
 _assembled_chain("generic", views.log_lines)
+
+
+@native("s03_live_lines")
+def live_lines(spark, sf_dir):
+    """The turns of the conversations as files of two streams, read by the live source until nothing is left."""
+    path, out, marks = (shared_path(spark, x) for x in ("live", "lines", "marks"))
+    table(spark, sf_dir, "conversations").selectExpr("coalesce(text, '') as text", "coalesce(role, 'none') as role").write.partitionBy("role").text(path)
+    spark.dataSource.register(live.LiveLines)
+    lines = spark.readStream.format("lineflow_lines").option("path", path).option("stderr", "role=assistant").load()
+    lines.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("is_stderr boolean, line string").parquet(out).groupBy("is_stderr", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+NATIVE_ORACLES["s03_live_lines"] = """select is_stderr, line, count(*) as n from (select coalesce(role, 'none') = 'assistant' as is_stderr, unnest(string_split(coalesce(text, ''), chr(10))) as line from conversations) l group by all"""
+
+
+@native("k02_committed_log")
+def committed_log(spark, sf_dir):
+    """Three appends to a log of the events, the last of which makes it keep its newer half."""
+    path = shared_path(spark, "committed")
+    rows = spark.sql(f"select id, lpad(cast(us as string), 20, '0') as ts from {views.measurements(Spark(sf_dir))} m")
+    n = rows.count()
+    for k in range(3):
+        sinks.commit_log(rows.where(F.col("id") % 3 == k), path, most=n - 1)
+    return sinks.read_log(spark, path, "id long, ts string")
+
+
+NATIVE_ORACLES["k02_committed_log"] = f"select id, lpad(us::varchar, 20, '0') as ts from {views.measurements(Duck())} m qualify row_number() over (order by us, id) > count(*) over () // 2"
