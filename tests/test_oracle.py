@@ -9,7 +9,7 @@ import pytest
 from lineflow.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
-TABLES = "customer documents events orders part lineitem".split()
+TABLES = "customer documents events orders part lineitem conversations".split()
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test data")
 
 
