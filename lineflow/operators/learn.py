@@ -14,15 +14,42 @@ def observe(d: Dialect, src: str) -> str:
     return f"(select ts, session, cmd, {T.normalise(d, 'line')} as norm, cast({classify.level(d, 'line', 't', 'low')} as int) as level from {lines} o1)"
 
 
-def analyse(d: Dialect, src: str, sessions: int = 3, least: float = 0.05, most: float = 0.30, noise: float = 0.80, top: int = 20) -> str:
-    """Candidates for removal (A-08, T-07): normalised lines of middling frequency, nearly all noise, none a warning."""
+def analyse(d: Dialect, src: str, sessions: int = 3, least: float = 0.05, most: float = 0.30, noise: float = 0.80, top: int = 20, members: str | None = None) -> str:
+    """Candidates for removal (A-08, T-07): normalised lines of middling frequency, nearly all noise, none a warning.
+
+    `members` has the same columns and at least the lines that are frequent enough; without it they are looked for in `src`.
+    """
     total = f"(select cast(count(*) as bigint) as total, count(distinct session) as sessions from {src})"
-    groups = f"(select norm, cast(count(*) as bigint) as n, {d.int_sum(f'case when level <= {P.DEBUG} then 1 else 0 end')} as noisy, max(level) as top_level, {d.join(d.sorted_set('cmd'), ',')} as commands from {src} group by norm)"
+    groups = f"(select norm, cast(count(*) as bigint) as n, {d.int_sum(f'case when level <= {P.DEBUG} then 1 else 0 end')} as noisy, max(level) as top_level, {d.join(d.sorted_set('cmd'), ',')} as commands from {members or src} group by norm)"
     freq, share = f"{d.double('n')} / {d.double('total')}", f"{d.double('noisy')} / {d.double('n')}"
     return f"""(select norm, {T.to_regex(d, 'norm')} as pattern, n, round({freq}, 6) as frequency, round({share}, 6) as noise_score, commands from {groups} g cross join {total} t
         where sessions >= {sessions} and {freq} >= {least} and {freq} <= {most} and {share} >= {noise} and top_level < {P.WARNING} order by n desc, norm limit {top})"""
 
 
+#: Items that the engine's sketch can track at most.
+MOST_TRACKED = 1_000_000
+
+
+def frequent(src: str, least: float) -> str:
+    """Rows of `src` (Spark) whose norm may make up `least` of all; no norm that does is lost.
+
+    A frequent-items sketch over hashes of the lines finds them, two longs for each of 16 / least items a task.  With so
+    many items its error is under least / 6 of all rows, so that every frequent line is in it, and under 2 / least lines
+    have an estimate as high as any of them: these are broadcast.  Lines of one hash are counted as one, which can only
+    let more through.  Only what comes through is classified, grouped and shuffled.
+    """
+    kept, tracked = -int(-2 // least), -int(-16 // least)
+    if tracked > MOST_TRACKED:
+        return src
+    heavy = f"(select explode(k) as item from (select approx_top_k(xxhash64(norm), {kept}, {tracked}) as k from {src}))"
+    return f"(select /*+ broadcast(h) */ o.* from (select * from {src}) o left semi join {heavy} h on xxhash64(o.norm) = h.item.item) m"
+
+
+def analyse_frequent(d: Dialect, src: str, least: float = 0.05, **options) -> str:
+    """`analyse` in Spark with a shuffle that doesn't grow with the number of different lines."""
+    return analyse(d, src, least=least, members=frequent(src, least), **options)
+
+
 def statistics(d: Dialect, src: str) -> str:
     """Size and span of the learn store (A-10); `src` has a column ts."""
     return f"(select cast(count(*) as bigint) as n, cast(count(distinct session) as bigint) as sessions, cast(count(distinct cmd) as bigint) as commands, min(ts) as oldest, max(ts) as newest from {src})"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lineflow.functions.dialect import Duck, Spark
 from lineflow.config import Config
-from lineflow.operators import chain, contain, generic, measure, sequential
+from lineflow.operators import chain, contain, generic, learn, measure, sequential
 from lineflow.plans import views
 from lineflow.plans.catalog import NATIVE_ORACLES, native
 from lineflow.session import shared_path, table
@@ -124,6 +124,26 @@ def observations(spark, sf_dir):
 NATIVE_ORACLES["s11_observations"] = "select event_type as cmd, 'n' || (event_id % 17) as norm, (event_id % 6)::int as level, count(*) as n from events group by all"
 
 
+def _observed(d):
+    """Observations of the documents' lines: sources are sessions, languages commands."""
+    docs = f"(select doc_id as doc, coalesce(text, '') as text, coalesce(source, '') as session, coalesce(lang, '') as cmd from {d.table('documents')}) v"
+    return learn.observe(d, f"(select line, session, cmd, doc as ts from {generic.split_lines(d, docs, 'session, cmd')} l) v")
+
+
+_LEARN = dict(sessions=2, least=0.0005, most=1.0, noise=0.0)
+
+
+@native("a08_learn_stored")
+def learn_stored(spark, sf_dir):
+    """The observations are stored once, as the tools do; the sketch and the counts read the store."""
+    path = shared_path(spark, "observed")
+    spark.sql(f"select * from {_observed(Spark(sf_dir))} o").write.parquet(path)
+    return spark.sql(f"select * from {learn.analyse_frequent(Spark(), f'parquet.`{path}`', **_LEARN)} q")
+
+
+NATIVE_ORACLES["a08_learn_stored"] = f"select * from {learn.analyse(Duck(), _observed(Duck()) + ' o', **_LEARN)} q"
+
+
 def _report(spark, sf_dir, columns, outer):
     """One JSON report, as the tools save it, of a row per event type."""
     path = shared_path(spark, "report")
