@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from lineflow.functions.dialect import Duck, Spark
 from lineflow.config import Config
-from lineflow.operators import chain, contain, generic, learn, measure, sequential
+from lineflow.operators import chain, contain, generic, learn, measure, sequential, user
 from lineflow.plans import views
 from lineflow.plans.catalog import NATIVE_ORACLES, native
 from lineflow.session import shared_path, table
@@ -215,3 +216,51 @@ def committed_log(spark, sf_dir):
 
 
 NATIVE_ORACLES["k02_committed_log"] = f"select id, lpad(us::varchar, 20, '0') as ts from {views.measurements(Duck())} m qualify row_number() over (order by us, id) > count(*) over () // 2"
+
+
+def _registered(spark):
+    """A user's chain, runs of equal lines as one with its count and then without blanks, and a user's aggregate."""
+
+    class Runs:
+        def __init__(self):
+            self.last, self.n = None, 0
+
+        def line(self, line):
+            if line == self.last:
+                self.n += 1
+                return
+            yield from self.end()
+            self.last, self.n = line, 1
+
+        def end(self):
+            if self.n:
+                yield self.last if self.n == 1 else f"{self.last} x{self.n}"
+
+    user.register_chain(spark, "lineflow_runs", Runs, user.each(lambda x: [x] if x else []))
+    user.register_fold(spark, "lineflow_longest", StringType(), LongType(), int, lambda n, x: max(n, len(x)), max, int)
+
+
+@native("u05_user_chain")
+def user_chain(spark, sf_dir):
+    _registered(spark)
+    d = Spark(sf_dir)
+    return spark.sql(f"select * from lineflow_runs(table(select * from {generic.split_lines(d, views.documents(d) + ' v')} l))")
+
+
+_RUNS = f"(select *, row_number() over w - row_number() over (partition by doc, line order by pos) as run from {generic.split_lines(Duck(), views.documents(Duck()) + ' v')} l window w as (partition by doc order by pos))"
+NATIVE_ORACLES["u05_user_chain"] = f"""
+with r as (select doc, line, min(pos) as first_pos, count(*) as n from {_RUNS} q group by doc, line, run),
+t as (select doc, first_pos, line || case when n > 1 then ' x' || n else '' end as line from r)
+select doc, row_number() over (partition by doc order by first_pos) - 1 as pos, line from t where line <> ''"""
+
+
+@native("u05_user_fold")
+def user_fold(spark, sf_dir):
+    _registered(spark)
+    d = Spark(sf_dir)
+    documents = d.table("documents")
+    rows = f"select source as key, line as value from {generic.split_lines(d, f'(select doc_id as doc, text, source from {documents}) v', 'source')} l"
+    return spark.sql(f"select key as source, value as longest from lineflow_longest(table(select * from lineflow_longest_parts(table({rows}))))")
+
+
+NATIVE_ORACLES["u05_user_fold"] = f"select source, coalesce(max(length(line)), 0) as longest from {generic.split_lines(Duck(), '(select doc_id as doc, text, source from documents) v', 'source')} l group by source"
