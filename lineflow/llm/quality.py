@@ -27,6 +27,8 @@ WORDS, SHAPES, WIDTH, NONZERO, REACH = 1 << 15, 1 << 10, 32, 4, 2
 PER_LABEL = 3000
 #: Bytes of text whose tokens are held at once.
 PART = 1 << 20
+#: Pairs of neighbours that are held before they are added up (about).
+PAIRS = 1 << 21
 HIDDEN = 32
 
 #: The upper bit of a hash tells forms from words.
@@ -157,30 +159,34 @@ def word_vectors(docs: DataFrame) -> Space:
         return pa.RecordBatch.from_arrays([pa.array(at), lists], names=["entry", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, index = np.zeros((words.size, WIDTH)), words.index_vectors()
+        total, held = np.zeros(words.size * WIDTH), []
 
-        def add(ids, row, reach):
-            """Adds to each entry the index vectors of its neighbours: by place first, then by entry."""
-            near = np.zeros((len(ids), WIDTH), dtype=np.float32)
+        def pairs(ids, row, reach):
+            """Pairs of entries that stand near each other in a row, the earlier one first, as one number each."""
             for step in range(1, min(reach, len(ids) - 1) + 1):
-                apart = row[step:] != row[:-step]
-                for here, there in ((near[:-step], ids[step:]), (near[step:], ids[:-step])):
-                    got = index[there]
-                    got[apart] = 0
-                    here += got
-            order = np.argsort(ids, kind="stable")
-            entry = ids[order]
-            start = np.flatnonzero(np.diff(entry, prepend=-1))
-            if len(start):
-                total[entry[start]] += np.add.reduceat(near[order], start, axis=0)
+                held.append((ids[:-step] * words.size + ids[step:])[row[step:] == row[:-step]])
+
+        def add():
+            """Adds to each entry the index vectors of its neighbours: every pair once, times how often it occurs."""
+            pair = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.int64)
+            held.clear()
+            start = np.flatnonzero(np.diff(pair, prepend=-1))
+            n = np.diff(start, append=len(pair))
+            left, right = np.divmod(pair[start], words.size)
+            for k in range(NONZERO):
+                for entry, other in ((left, right), (right, left)):
+                    total[:] += np.bincount(entry * WIDTH + words.at[other, k], weights=words.sign[other, k] * n, minlength=len(total))
 
         for whole in batches:
             for part in parts(whole, PART):
                 w, f, row, _ = tokens(*text_column(part["text"]))
                 w, f = words.ids(w, f)
-                add(w, row, REACH)
-                add(f, row, 1)
-        yield rows(total)
+                pairs(w, row, REACH)
+                pairs(f, row, 1)
+                if sum(map(len, held)) >= PAIRS:
+                    add()
+        add()
+        yield rows(total.reshape(-1, WIDTH))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((words.size, WIDTH))

@@ -61,3 +61,20 @@ def test_temperature_of_a_balanced_sample():
     some, all_ = temperature(z, y, weight), temperature(np.repeat(z, weight, axis=0), np.repeat(y, weight))
     assert abs(some / all_ - 1) < 0.05 < abs(some / temperature(z, y) - 1)
     assert temperature(z, y, np.full(400, 3.0)) == pytest.approx(temperature(z, y))
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 21])
+def test_context_vectors_against_plain_sums(spark, monkeypatch, pairs):
+    monkeypatch.setattr(quality, "PAIRS", pairs)
+    texts = [prose(i, 40) for i in range(12)] + [None, "", "one", "two words"]
+    space = quality.word_vectors(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
+    index, want = space.words.index_vectors(), np.zeros((space.words.size, quality.WIDTH))
+    for t in texts:
+        words, forms, _, _ = quality.tokens(*text_column(pa.array([t], pa.string())))
+        for ids, reach in zip(space.words.ids(words, forms), (quality.REACH, 1)):
+            for i, a in enumerate(ids):
+                for j, b in enumerate(ids):
+                    if 0 < abs(i - j) <= reach:
+                        want[a] += index[b]
+    want = want.astype(np.float32)
+    assert np.array_equal(space.vectors, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9))
